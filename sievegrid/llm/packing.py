@@ -113,19 +113,23 @@ def plan(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]
     return made
 
 
-def places(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarray, ...]]:
-    """For each length: first rank, first sequence, number of sequences and offset of each run of places."""
-    runs: dict[int, list[tuple[int, int, int, int]]] = {}
+_RANK_BITS = 40  # a length and a rank of that length make one sortable key
+
+
+def places(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, ...]:
+    """Runs of places, by length and first rank: that key, the first rank, the first sequence and the offset."""
+    runs: list[tuple[int, int, int, int]] = []
     rank: dict[int, int] = {}
     sequence = 0
     for lengths, times in patterns:
         offset = 0
         for x in lengths:
-            runs.setdefault(x, []).append((rank.get(x, 0), sequence, times, offset))
-            rank[x] = rank.get(x, 0) + times
+            first = rank.get(x, 0)
+            runs.append(((x << _RANK_BITS) + first, first, sequence, offset))
+            rank[x] = first + times
             offset += x
         sequence += times
-    return {x: tuple(np.array(c, np.int64) for c in zip(*r, strict=True)) for x, r in runs.items()}
+    return tuple(np.array(c, np.int64) for c in zip(*sorted(runs), strict=True)) if runs else ()
 
 
 def pack(docs: DataFrame, path: str, size: int = 1024, end_id: int = 2) -> DataFrame:
@@ -139,18 +143,13 @@ def pack(docs: DataFrame, path: str, size: int = 1024, end_id: int = 2) -> DataF
         table = where.value
 
         def work(part: pa.RecordBatch) -> list:
-            length, rank = (part.column(c).to_numpy(zero_copy_only=False) for c in ("length", "_sg_rank"))
-            sequence, offset = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
-            for x in np.unique(length):
-                here = np.flatnonzero(length == x)
-                first, start, _, off = table[int(x)]
-                run = np.searchsorted(first, rank[here], side="right") - 1
-                sequence[here] = start[run] + rank[here] - first[run]
-                offset[here] = off[run]
-            return [sequence, offset]
+            length, rank = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "_sg_rank"))
+            keys, first, sequence, offset = table
+            run = np.searchsorted(keys, (length << _RANK_BITS) + rank, side="right") - 1
+            return [sequence[run] + rank - first[run], offset[run]]
 
         return work
 
-    # the id column is cast for the slicer alone, which measures texts
+    # the slicer measures a text column; these rows have none
     wide = rows.withColumn("_sg_text", F.lit(None).cast("string"))
     return map_slices(wide, "_sg_text", make, "sequence_id long, offset long").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
