@@ -126,7 +126,7 @@ def identified(df: DataFrame, text: Column, declared: Column, host: Column) -> D
     names = F.array(*map(F.lit, langs))
     votes = told.where("_sg_ll is not null").withColumn("k", guess).where(F.col("k") < count)
     one = [F.sum((F.col("k") == i).cast("long")).alias(f"n{i}") for i in range(count)]
-    trusted = [F.sum((F.col("_sg_declared") != "").cast("long")).alias("said"), F.sum((F.col("_sg_declared") == names[F.col("k")]).cast("long")).alias("agreed")]
+    trusted = [F.sum((F.col("_sg_declared") != "").cast("long")).alias("said"), F.sum((F.col("_sg_declared") == F.get(names, F.col("k"))).cast("long")).alias("agreed")]
     hosts = votes.groupBy("_sg_host", "_sg_suffix").agg(*one, *trusted)
 
     hosts = materialize(hosts, "hosts")
@@ -159,7 +159,7 @@ def identified(df: DataFrame, text: Column, declared: Column, host: Column) -> D
     posterior = F.array(*fused)
     most = F.array_max(posterior)
     share = 1.0 / F.aggregate(posterior, F.lit(0.0), lambda acc, x: acc + F.exp(x - most))
-    best = F.array(*map(F.lit, [*langs, UNKNOWN]))[_best(posterior)]
+    best = F.get(F.array(*map(F.lit, [*langs, UNKNOWN])), _best(posterior))
     out = {"_sg_predicted": F.coalesce(best, F.lit(UNKNOWN)), "_sg_confidence": F.when(F.col("_sg_ll").isNull(), 1.0).otherwise(share)}
     return joined.withColumns(out).select(*df.columns, "_sg_predicted", "_sg_confidence")
 

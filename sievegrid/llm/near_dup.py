@@ -266,6 +266,19 @@ def candidates(classes: DataFrame) -> DataFrame:
     return found.where("a is not null").select("a", "b").union(seams).where("a <> b").distinct()
 
 
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets of distinct hashes are similar enough for a link."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= PERCENT * (len(x) + len(y) - both)
+
+
+def same_document(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of texts that share a doc_id, by way of that doc_id."""
+    ids = rows.groupBy("doc_id").agg(F.min("set_key").alias("x"), F.max("set_key").alias("y")).where("x <> y").select(F.col("doc_id").alias("_sg_id"))
+    several = rows.join(ids, rows["doc_id"] == ids["_sg_id"]).select("doc_id", F.col("set_key").alias("_sg_key"))
+    return several.join(classes, several["_sg_key"] == classes["set_key"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of ``pairs`` whose full sets are similar enough; each class's set is that of the document it is named after.
 
@@ -274,7 +287,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     is read as a stream.
     """
     ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-    wanted = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"), "set_key").join(ids, "rep", "left_semi")
+    wanted = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(ids, "rep", "left_semi")
 
     def make():
         shingler = Shingler()
@@ -288,18 +301,19 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     bound_batches(dealt)
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own_set = None, np.empty(0, np.uint64)
+        at, own_sets = None, []
         for batch in batches:
             out_a, out_b = [], []
             for a, b, items in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("items"), strict=True):
                 values = np.frombuffer(items.as_buffer(), np.uint64)
                 if b is None:
-                    at, own_set = a, values.copy()
-                elif a == at:
-                    both = len(np.intersect1d(own_set, values, assume_unique=True))
-                    if 100 * both >= PERCENT * (len(own_set) + len(values) - both):
-                        out_a.append(a)
-                        out_b.append(b)
+                    if a != at:
+                        at, own_sets = a, []
+                    if not any(np.array_equal(values, x) for x in own_sets):
+                        own_sets.append(values.copy())
+                elif any(similar(x, values) for x in own_sets):
+                    out_a.append(a)
+                    out_b.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
     return dealt.mapInArrow(compare, "a long, b long")
@@ -311,7 +325,7 @@ def groups(docs: DataFrame) -> DataFrame:
     some = rows.where("set_key is not null and doc_id is not null")
     classes = materialize(some.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
     pairs = materialize(candidates(classes), "pairs")
-    links = confirmed(pairs, docs)
+    links = confirmed(pairs, docs).union(same_document(some, classes))
     roots = components(links)
     named = materialize(classes.select("set_key", "rep").join(roots, classes["rep"] == roots["node"], "left").select(F.col("set_key").alias("_sg_key"), F.coalesce("root", "rep").alias("_sg_root")), "named")
     out = rows.join(named, (rows["set_key"] == named["_sg_key"]) & rows["doc_id"].isNotNull(), "left")

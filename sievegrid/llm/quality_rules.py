@@ -95,7 +95,7 @@ def thresholds(rows: DataFrame) -> DataFrame:
     def bounds(df: DataFrame, tag: str) -> DataFrame:
         out = {}
         for m, floor in FLOORS.items():
-            q1, q3 = (F.expr(f"kll_sketch_get_quantile_double({m}, double({q}))") for q in (0.25, 0.75))
+            q1, q3 = (F.expr(f"CASE WHEN n > 0 THEN kll_sketch_get_quantile_double({m}, double({q})) END") for q in (0.25, 0.75))
             out[f"{tag}_{m}"] = F.greatest(q3 + SPREAD * (q3 - q1), F.lit(floor))
         return df.withColumns(out).withColumnRenamed("n", f"{tag}_n").drop(*FLOORS)
 
