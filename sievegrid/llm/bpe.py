@@ -11,7 +11,8 @@ _UNSURE = regex.compile("[՘֋֌࢏౜೜₏₝-₟꟎-꭭\U00010000-\U0010ffff]
 #: Fixed value: the published split pattern of byte-level BPE vocabularies of this kind.
 _SPLIT = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 
-CACHE_ENTRIES, CACHE_LONGEST = 400_000, 64
+CACHE_ENTRIES, CACHE_LONGEST = 600_000, 64
+_LOADED: dict[str, PreTokens] = {}
 
 
 def packed(ids: list[int]) -> bytes:
@@ -58,3 +59,10 @@ class PreTokens:
         if not self.plain(text):
             return packed(self.whole(text))
         return b"".join(map(self.cache.__getitem__, _SPLIT.findall(text)))
+
+
+def loaded(path: str) -> PreTokens:
+    """The tokenizer of this worker process: its cache lives on from task to task."""
+    if path not in _LOADED:
+        _LOADED[path] = PreTokens(path)
+    return _LOADED[path]

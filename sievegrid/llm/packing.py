@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievegrid.llm.arrow import map_slices, texts
-from sievegrid.llm.bpe import PreTokens
+from sievegrid.llm.bpe import loaded
 from sievegrid.operators.ranking import ranked
 from sievegrid.sources.scratch import materialize
 
@@ -38,7 +38,7 @@ def pieces(docs: DataFrame, path: str, size: int, end_id: int) -> DataFrame:
     end = end_id.to_bytes(4, "little")
 
     def make():
-        pre = PreTokens(path)
+        pre = loaded(path)
 
         def work(part: pa.RecordBatch) -> list:
             made = []

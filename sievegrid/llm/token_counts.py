@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievegrid.llm.arrow import bound_batches, map_slices, slices, texts
-from sievegrid.llm.bpe import PreTokens
+from sievegrid.llm.bpe import loaded
 
 #: Documents whose pre-tokens are counted to choose the frequent ones, and entries of the table. The sample is bounded
 #: because it only decides which pre-tokens skip the second tier.
@@ -36,7 +36,7 @@ def frequent_table(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS, e
     bound_batches(part)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pre, seen = PreTokens(path), Counter()
+        pre, seen = loaded(path), Counter()
         for batch in batches:
             for piece in slices(batch, "text"):
                 for text in texts(piece, "text"):
@@ -46,7 +46,7 @@ def frequent_table(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS, e
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["pre", "n"])
 
     top = part.mapInArrow(count, "pre string, n long").groupBy("pre").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "pre").limit(entries).collect()
-    pre = PreTokens(path)
+    pre = loaded(path)
     kept = [(r["pre"], k) for r in top if 0 < (k := len(pre.ids(r["pre"])) // 4) < 256]
     return "\0".join(p for p, _ in kept).encode(), np.array([k for _, k in kept], np.uint8).tobytes()
 
@@ -59,7 +59,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     table = docs.sparkSession.sparkContext.broadcast(frequent_table(docs, path))
 
     def make():
-        pre = PreTokens(path)
+        pre = loaded(path)
         names, counts = table.value
 
         class Lengths(dict):
