@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 import regex
 from tokenizers import Tokenizer
 
 #: Code points that the splitter here and the library's class differently, or that newer Unicode
 #: versions add; a text with one of them is encoded by the library alone. tests/llm/test_bpe.py compares both.
-_UNSURE = regex.compile("[՘֋֌࢏౜೜₏₝-₟꟎-꭭\U00010000-\U0010ffff]")
+_UNSURE = re.compile("[՘֋֌࢏౜೜₏₝-₟꟎-꭭\U00010000-\U0010ffff]")
 #: Fixed value: the published split pattern of byte-level BPE vocabularies of this kind.
 _SPLIT = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 
@@ -20,6 +22,16 @@ def packed(ids: list[int]) -> bytes:
     return b"".join(i.to_bytes(4, "little") for i in ids)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if it can be printed, else one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+_LETTERS = _byte_letters()
+
+
 class PreTokens:
     """Splits texts into pre-tokens and encodes each distinct one once.
 
@@ -30,11 +42,11 @@ class PreTokens:
     def __init__(self, path: str) -> None:
         self.library = Tokenizer.from_file(path)
         self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
-        library = self.library
+        model = self.library.model
 
         class Cache(dict):
             def __missing__(self, pre: str) -> bytes:
-                ids = packed(library.encode(pre, add_special_tokens=False).ids)
+                ids = packed([x.id for x in model.tokenize(pre.encode("utf-8", "surrogatepass").decode("latin-1").translate(_LETTERS))])
                 if len(pre) <= CACHE_LONGEST:
                     if len(self) >= CACHE_ENTRIES:
                         self.clear()

@@ -19,5 +19,5 @@ def test_pre_tokens_of_every_code_point():
 
 def test_contractions_and_spaces():
     pre = PreTokens(public_tokenizers.path("byte_bpe_50k.json"))
-    for text in ("it's  we'll\n\n x  \t y'd'S ", " ", "  a", "\u00a0\u2003 b \x1c\x85c", "x" * 300, "12 3a b4'"):
+    for text in ("it's  we'll\n\n x  \t y'd'S ", " ", "  a", "\u00a0\u2003 b \x1c\x85c", "x" * 300, "12 3a b4'", "".join(map(chr, range(1, 0x557)))):
         assert pre.ids(text) == b"".join(i.to_bytes(4, "little") for i in pre.whole(text))
