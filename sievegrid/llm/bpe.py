@@ -32,11 +32,16 @@ def _byte_letters() -> dict[int, str]:
 _LETTERS = _byte_letters()
 
 
+class _Spaces(Exception):
+    """Two spaces meet: pre-tokens there depend on both sides."""
+
+
 class PreTokens:
     """Splits texts into pre-tokens and encodes each distinct one once.
 
-    The cache is emptied at CACHE_ENTRIES entries and holds no pre-token of over
-    CACHE_LONGEST characters, so its memory is bounded.
+    Words between single spaces are looked up whole first. A cache is emptied at
+    CACHE_ENTRIES entries and holds nothing of over CACHE_LONGEST characters, so
+    its memory is bounded.
     """
 
     def __init__(self, path: str) -> None:
@@ -53,7 +58,25 @@ class PreTokens:
                     self[pre] = ids
                 return ids
 
-        self.cache = Cache()
+        cache = self.cache = Cache()
+
+        class Words(dict):
+            """Ids of a word with the space before it, where both ends of the word are no white space.
+
+            No pre-token goes over such a space from the left, so they don't depend on what stands there.
+            """
+
+            def __missing__(self, word: str) -> bytes:
+                if not word or word[0].isspace() or word[-1].isspace():
+                    raise _Spaces
+                ids = b"".join(map(cache.__getitem__, _SPLIT.findall(" " + word)))
+                if len(word) <= CACHE_LONGEST:
+                    if len(self) >= CACHE_ENTRIES:
+                        self.clear()
+                    self[word] = ids
+                return ids
+
+        self.words = Words()
 
     def plain(self, text: str) -> bool:
         """Whether the splitter here is known to give the library's pre-tokens."""
@@ -70,7 +93,13 @@ class PreTokens:
         """Packed ids of a text."""
         if not self.plain(text):
             return packed(self.whole(text))
-        return b"".join(map(self.cache.__getitem__, _SPLIT.findall(text)))
+        first, *words = text.split(" ")
+        try:
+            if words and first[-1:].isspace():
+                raise _Spaces
+            return b"".join([*map(self.cache.__getitem__, _SPLIT.findall(first)), *map(self.words.__getitem__, words)])
+        except _Spaces:
+            return b"".join(map(self.cache.__getitem__, _SPLIT.findall(text)))
 
 
 def loaded(path: str) -> PreTokens:

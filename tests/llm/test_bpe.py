@@ -21,3 +21,13 @@ def test_contractions_and_spaces():
     pre = PreTokens(public_tokenizers.path("byte_bpe_50k.json"))
     for text in ("it's  we'll\n\n x  \t y'd'S ", " ", "  a", "\u00a0\u2003 b \x1c\x85c", "x" * 300, "12 3a b4'", "".join(map(chr, range(1, 0x557)))):
         assert pre.ids(text) == b"".join(i.to_bytes(4, "little") for i in pre.whole(text))
+
+
+def test_words_between_spaces():
+    import random
+
+    pre, rng = PreTokens(public_tokenizers.path("byte_bpe_50k.json")), random.Random(2)
+    pieces = ["a", "don't", "'s", "12", "x1", "!", " ", "  ", "\n", "\t", "é", "\u00a0", "\u3000", ".", "_", "word", " ", " "]
+    for _ in range(4000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randrange(12)))
+        assert pre.ids(text) == b"".join(i.to_bytes(4, "little") for i in pre.whole(text)), repr(text)
