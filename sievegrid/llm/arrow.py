@@ -41,23 +41,25 @@ def texts(part: pa.RecordBatch, text: str) -> list[str]:
     return [x or "" for x in part.column(text).to_pylist()]
 
 
-def map_slices(df: DataFrame, text: str, make: Callable[[], Callable[[pa.RecordBatch], list]], added: str) -> DataFrame:
+def map_slices(df: DataFrame, text: str, make: Callable[[], Callable[[pa.RecordBatch], list]], added: str, drop: tuple[str, ...] = ()) -> DataFrame:
     """Adds columns that Python computes from slices of ``df``.
 
     make() runs once in each task and gives a function from a slice to a list of
     arrays, one for each field of the DDL string ``added``. All columns of ``df``
-    pass through, so a row's verdict never has to be joined back to its text.
+    but those of ``drop`` pass through, so a row's verdict never has to be joined
+    back to its text.
     """
     bound_batches(df)
-    fields = T.StructType(df.schema.fields + T.StructType.fromDDL(added).fields)
+    kept = [i for i, c in enumerate(df.columns) if c not in drop]
+    fields = T.StructType([df.schema.fields[i] for i in kept] + T.StructType.fromDDL(added).fields)
     schema = to_arrow_schema(fields)
-    new = [schema.field(i) for i in range(len(df.columns), len(schema))]
+    new = [schema.field(i) for i in range(len(kept), len(schema))]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
             for part in slices(batch, text):
                 made = [a if isinstance(a, pa.Array) else pa.array(a, f.type) for a, f in zip(work(part), new, strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[f.name for f in schema])
+                yield pa.RecordBatch.from_arrays([*(part.columns[i] for i in kept), *made], names=[f.name for f in schema])
 
     return df.mapInArrow(run, fields)

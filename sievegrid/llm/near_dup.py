@@ -42,7 +42,7 @@ from sievegrid.sources.scratch import materialize
 SHINGLE, PERCENT = 5, 75
 HASHES, TREES, FIRST, DEPTH, SMALL, NEAR = 64, 20, 3, 8, 16, 2
 #: Rows that a partition's end shows to the next one, and rows that are looked at together.
-EDGE, CHUNK, CACHE_WORDS = 3 * SMALL, 1 << 17, 500_000
+EDGE, CHUNK = 3 * SMALL, 1 << 16
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _A = np.array([xxhash.xxh64_intdigest(b"a%d" % i) | 1 for i in range(HASHES)], np.uint64)
@@ -50,31 +50,19 @@ _B = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = [np.uint64(pow(0xD1B54A32D192ED03, k, 1 << 64)) for k in range(SHINGLE)]
 
 
-class Shingler:
-    """Sorted distinct shingle hashes of texts, with a bounded cache of word hashes."""
-
-    def __init__(self) -> None:
-        class Words(dict):
-            def __missing__(self, word: bytes) -> int:
-                if len(self) >= CACHE_WORDS:
-                    self.clear()
-                value = self[word] = xxhash.xxh64_intdigest(word)
-                return value
-
-        self.words = Words()
-
-    def set_of(self, text: str) -> np.ndarray:
-        words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
-        if not words:
-            return np.empty(0, np.uint64)
-        if len(words) < SHINGLE:
-            return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
-        h = np.fromiter(map(self.words.__getitem__, words), np.uint64, len(words))
-        n = len(h) - SHINGLE + 1
-        sums = h[:n] * _POWERS[0]
-        for k in range(1, SHINGLE):
-            sums = sums + h[k : k + n] * _POWERS[k]
-        return np.unique(sums ^ (sums >> np.uint64(29)))
+def set_of(text: str) -> np.ndarray:
+    """Sorted distinct shingle hashes of a text."""
+    words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    if not words:
+        return np.empty(0, np.uint64)
+    if len(words) < SHINGLE:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    n = len(h) - SHINGLE + 1
+    sums = h[:n] * _POWERS[0]
+    for k in range(1, SHINGLE):
+        sums = sums + h[k : k + n] * _POWERS[k]
+    return np.unique(sums ^ (sums >> np.uint64(29)))
 
 
 def signature(sets: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -92,10 +80,8 @@ def signed(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, set_key (a digest of the set) and sig (big-endian values); the last two null for empty sets."""
 
     def make():
-        shingler = Shingler()
-
         def work(part: pa.RecordBatch) -> list:
-            sets = [shingler.set_of(t) for t in texts(part, "text")]
+            sets = [set_of(t) for t in texts(part, "text")]
             n = np.array([len(s) for s in sets], np.int64)
             some = n > 0
             keys: list[bytes | None] = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
@@ -109,7 +95,7 @@ def signed(docs: DataFrame) -> DataFrame:
         return work
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_slices(rows, "text", make, "n_shingles long, set_key binary, sig binary").drop("text")
+    return map_slices(rows, "text", make, "n_shingles long, set_key binary, sig binary", drop=("text",))
 
 
 def neighbours(lcp: np.ndarray, small: int = SMALL, near: int = NEAR, first: int = FIRST) -> tuple[np.ndarray, np.ndarray]:
@@ -284,19 +270,19 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     Sets are made anew from the texts of classes that occur in a pair. A partition
     holds each set ``a`` once, before the sets ``b`` that are compared with it, and
-    is read as a stream.
+    is read as a stream. Joins are by sorting at every size, for the sets of ids grow
+    with the corpus; so a small run moves what a large one does.
     """
     ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-    wanted = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(ids, "rep", "left_semi")
+    wanted = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(ids.hint("merge"), "rep", "left_semi")
 
     def make():
-        shingler = Shingler()
-        return lambda part: [pa.array([shingler.set_of(t).tobytes() for t in texts(part, "text")], pa.binary())]
+        return lambda part: [pa.array([set_of(t).tobytes() for t in texts(part, "text")], pa.binary())]
 
-    sets = materialize(map_slices(wanted.select("rep", "text"), "text", make, "items binary").drop("text"), "sets")
+    sets = materialize(map_slices(wanted.select("rep", "text"), "text", make, "items binary", drop=("text",)), "sets")
     asked = pairs.select("a").distinct()
-    own = sets.join(asked, sets["rep"] == asked["a"], "left_semi").select(F.col("rep").alias("a"), F.lit(None).cast("long").alias("b"), "items")
-    theirs = pairs.join(sets, pairs["b"] == sets["rep"]).select("a", "b", "items")
+    own = sets.join(asked.hint("merge"), sets["rep"] == asked["a"], "left_semi").select(F.col("rep").alias("a"), F.lit(None).cast("long").alias("b"), "items")
+    theirs = pairs.hint("merge").join(sets, pairs["b"] == sets["rep"]).select("a", "b", "items")
     dealt = own.union(theirs).repartition(shuffle_width(pairs), "a").sortWithinPartitions("a", F.col("b").asc_nulls_first())
     bound_batches(dealt)
 

@@ -53,7 +53,7 @@ def pieces(docs: DataFrame, path: str, size: int, end_id: int) -> DataFrame:
         return work
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    cut = map_slices(rows, "text", make, "pieces array<struct<piece: int, start: bigint, length: bigint, ids_crc32: bigint>>")
+    cut = map_slices(rows, "text", make, "pieces array<struct<piece: int, start: bigint, length: bigint, ids_crc32: bigint>>", drop=("text",))
     return cut.select("doc_id", F.explode("pieces").alias("p")).select("doc_id", "p.piece", "p.start", "p.length", "p.ids_crc32")
 
 

@@ -75,7 +75,7 @@ def measured(docs: DataFrame) -> DataFrame:
         return work
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
-    counts = map_slices(rows, "text", make, "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long").drop("text")
+    counts = map_slices(rows, "text", make, "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long", drop=("text",))
     per = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
     return counts.withColumns({"word_length": per("word_chars", "n_words"), "symbol_ratio": per("n_symbols", "word_chars"), "dup_line_ratio": per("n_dup_lines", "n_words"), "repeat_ratio": per("n_repeat_words", "n_words")})
 

@@ -74,6 +74,6 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
 
         return work
 
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    counted = map_slices(rows, "text", make, "n_tokens long")
-    return counted.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    rows = docs.select("doc_id", F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("n_bytes"), F.col("text").cast("string").alias("text"))
+    counted = map_slices(rows, "text", make, "n_tokens long", drop=("text",))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
