@@ -48,7 +48,7 @@ def trigrams(docs: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return h[inside], starts
 
 
-def learn(rows: DataFrame) -> tuple[list[str], np.ndarray]:
+def learn(rows: DataFrame, text: str) -> tuple[list[str], np.ndarray]:
     """Languages and the log probability of each bucket under each, from rows with a declared language.
 
     What goes to the driver is BUCKETS counts for each declared language.
@@ -60,7 +60,7 @@ def learn(rows: DataFrame) -> tuple[list[str], np.ndarray]:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 declared = part.column("_sg_declared").to_pylist()
-                h, starts = trigrams(texts(part, "_sg_text"))
+                h, starts = trigrams(texts(part, text))
                 for i, lang in enumerate(declared):
                     if lang:
                         seen.setdefault(lang, np.zeros(BUCKETS, np.int64))
@@ -77,7 +77,7 @@ def learn(rows: DataFrame) -> tuple[list[str], np.ndarray]:
     return langs, np.log(table / table.sum(1, keepdims=True)).astype(np.float32)
 
 
-def _with_text_evidence(df: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
+def _with_text_evidence(df: DataFrame, text: str, langs: list[str], table: np.ndarray, drop: tuple[str, ...]) -> DataFrame:
     """Adds _sg_ll: the text's log likelihood under each language and, last, the unknown one; null without letters."""
     sent = df.sparkSession.sparkContext.broadcast(table)
     flat = -float(np.log(BUCKETS))
@@ -86,7 +86,7 @@ def _with_text_evidence(df: DataFrame, langs: list[str], table: np.ndarray) -> D
         model = sent.value
 
         def work(part: pa.RecordBatch) -> list:
-            docs = texts(part, "_sg_text")
+            docs = texts(part, text)
             h, starts = trigrams(docs)
             n = np.diff(starts)
             out = np.empty((len(docs), len(model) + 1))
@@ -100,7 +100,7 @@ def _with_text_evidence(df: DataFrame, langs: list[str], table: np.ndarray) -> D
 
         return work
 
-    return map_slices(df, "_sg_text", make, "_sg_ll array<double>")
+    return map_slices(df, text, make, "_sg_ll array<double>", drop)
 
 
 def _best(scores: Column) -> Column:
@@ -108,20 +108,20 @@ def _best(scores: Column) -> Column:
     return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
 
 
-def identified(df: DataFrame, text: Column, declared: Column, host: Column) -> DataFrame:
-    """``df`` (all columns) with _sg_predicted (a language or "und") and _sg_confidence (its posterior).
+def identified(df: DataFrame, text: str, declared: Column, host: Column, drop: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` (all columns but ``drop``) with _sg_predicted (a language or "und") and _sg_confidence (its posterior).
 
     Texts are read three times (to learn, to count by host, to judge) and never shuffled, unless the table of host
     priors is too large to be broadcast.
     """
     site = F.coalesce(host.cast("string"), F.lit(""))
     said = F.lower(F.regexp_extract(F.coalesce(declared.cast("string"), F.lit("")), "^[A-Za-z]+", 0))
-    rows = df.withColumns({"_sg_text": text.cast("string"), "_sg_declared": said, "_sg_host": site, "_sg_suffix": F.regexp_extract(site, r"\.([^.]+)$", 1)})
-    langs, table = learn(rows.select("_sg_text", "_sg_declared"))
+    rows = df.withColumns({"_sg_declared": said, "_sg_host": site, "_sg_suffix": F.regexp_extract(site, r"\.([^.]+)$", 1)})
+    langs, table = learn(rows.select(text, "_sg_declared"), text)
     count = len(langs)
     if not count:
-        return df.withColumns({"_sg_predicted": F.lit(UNKNOWN), "_sg_confidence": F.lit(1.0)})
-    told = _with_text_evidence(rows.select("_sg_text", "_sg_declared", "_sg_host", "_sg_suffix"), langs, table)
+        return df.withColumns({"_sg_predicted": F.lit(UNKNOWN), "_sg_confidence": F.lit(1.0)}).drop(*drop)
+    told = _with_text_evidence(rows.select(text, "_sg_declared", "_sg_host", "_sg_suffix"), text, langs, table, (text,))
     guess = _best(F.col("_sg_ll"))
     names = F.array(*map(F.lit, langs))
     votes = told.where("_sg_ll is not null").withColumn("k", guess).where(F.col("k") < count)
@@ -146,7 +146,7 @@ def identified(df: DataFrame, text: Column, declared: Column, host: Column) -> D
     by_host = smoothed(by_host, [F.col(f"s{i}") for i in range(count)], HOST_WORTH, "h")
     prior = by_host.select(F.col("_sg_host").alias("_sg_site"), F.array(*(F.col(f"h{i}") for i in range(count))).alias("_sg_prior"))
 
-    judged = _with_text_evidence(rows, langs, table)
+    judged = _with_text_evidence(rows, text, langs, table, drop)
     joined = judged.join(prior, judged["_sg_host"] == prior["_sg_site"], "left")
     priors = F.coalesce("_sg_prior", F.array(*map(F.lit, base)))
     known = F.array_contains(names, F.col("_sg_declared"))
@@ -161,7 +161,7 @@ def identified(df: DataFrame, text: Column, declared: Column, host: Column) -> D
     share = 1.0 / F.aggregate(posterior, F.lit(0.0), lambda acc, x: acc + F.exp(x - most))
     best = F.get(F.array(*map(F.lit, [*langs, UNKNOWN])), _best(posterior))
     out = {"_sg_predicted": F.coalesce(best, F.lit(UNKNOWN)), "_sg_confidence": F.when(F.col("_sg_ll").isNull(), 1.0).otherwise(share)}
-    return joined.withColumns(out).select(*df.columns, "_sg_predicted", "_sg_confidence")
+    return joined.withColumns(out).select(*(c for c in df.columns if c not in drop), "_sg_predicted", "_sg_confidence")
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -170,13 +170,13 @@ def identify(docs: DataFrame) -> DataFrame:
     The declared language is ``lang``; the source is taken as host.
     """
     rows = docs.select("doc_id", "text", "lang", "source")
-    done = identified(rows, F.col("text"), F.col("lang"), F.col("source"))
+    done = identified(rows, "text", F.col("lang"), F.col("source"), ("text",))
     return done.select("doc_id", "lang", F.col("_sg_predicted").alias("predicted"), F.col("_sg_confidence").alias("confidence"), (F.col("_sg_predicted") != UNKNOWN).alias("kept"))
 
 
 def accepted(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` in a known language, with their columns."""
-    return identified(docs, F.col("text"), F.col("lang"), F.col("source")).where(F.col("_sg_predicted") != UNKNOWN).select(*docs.columns)
+    return identified(docs, "text", F.col("lang"), F.col("source")).where(F.col("_sg_predicted") != UNKNOWN).select(*docs.columns)
 
 
 def identify_pages(pages: DataFrame) -> DataFrame:
@@ -188,5 +188,5 @@ def identify_pages(pages: DataFrame) -> DataFrame:
     lang = F.regexp_extract(html, r"(?i)<html[^>]*\blang\s*=\s*[\"']?([A-Za-z]+)", 1)
     text = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), r"(?s)<[^>]*>", " ")
     rows = pages.select("page_id", text.alias("text"), lang.alias("declared"), host_of(F.col("url")).alias("host"))
-    done = identified(rows, F.col("text"), F.col("declared"), F.col("host"))
+    done = identified(rows, "text", F.col("declared"), F.col("host"), ("text",))
     return done.select("page_id", "declared", F.col("_sg_predicted").alias("predicted"), F.col("_sg_confidence").alias("confidence"), (F.col("_sg_predicted") != UNKNOWN).alias("kept"))

@@ -87,8 +87,8 @@ def count(docs: list[str]) -> np.ndarray:
     return out
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    """``docs`` (all columns) with the array _sg_counts."""
+def counted(docs: DataFrame, drop: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` (all columns but ``drop``) with the array _sg_counts."""
 
     def make():
         def work(part: pa.RecordBatch) -> list:
@@ -96,7 +96,7 @@ def counted(docs: DataFrame) -> DataFrame:
 
         return work
 
-    return map_slices(docs, "text", make, "_sg_counts array<double>")
+    return map_slices(docs, "text", make, "_sg_counts array<double>", drop)
 
 
 class Discriminant:
@@ -195,25 +195,19 @@ def train(rows: DataFrame, labels: DataFrame) -> Discriminant:
     return model
 
 
-def _scored(rows: DataFrame, model: Discriminant) -> DataFrame:
-    sent = rows.sparkSession.sparkContext.broadcast(model)
+def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score and predicted (1 if score >= THRESHOLD) of every row of ``docs``."""
+    rows = materialize(counted(docs.select("doc_id", F.col("text").cast("string").alias("text")), ("text",)), "statistics")
+    sent = docs.sparkSession.sparkContext.broadcast(train(rows, labels))
 
     def make():
         def work(part: pa.RecordBatch) -> list:
-            counts = np.array(part.column("_sg_counts").to_pylist(), float).reshape(-1, len(COUNTS))
-            return [sent.value.scores(counts)]
+            return [sent.value.scores(np.array(part.column("_sg_counts").to_pylist(), float).reshape(-1, len(COUNTS)))]
 
         return work
 
-    text = "text" if "text" in rows.columns else "_sg_text"
-    wide = rows if text in rows.columns else rows.withColumn(text, F.lit(None).cast("string"))
-    return map_slices(wide, text, make, "_sg_score double")
-
-
-def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score and predicted (1 if score >= THRESHOLD) of every row of ``docs``."""
-    rows = materialize(counted(docs.select("doc_id", F.col("text").cast("string").alias("text"))).drop("text"), "statistics")
-    out = _scored(rows, train(rows, labels))
+    # the slicer measures a text column; these rows have none
+    out = map_slices(rows.withColumn("_sg_text", F.lit(None).cast("string")), "_sg_text", make, "_sg_score double", ("_sg_text", "_sg_counts"))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_sg_score").alias("score"), (F.col("_sg_score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -226,5 +220,9 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     marked = labels.where("quality in (0, 1)").select(F.col("doc_id").alias("_sg_id")).distinct()
     some = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     some = some.join(marked, some["doc_id"] == marked["_sg_id"], "left_semi")
-    model = train(materialize(counted(some).drop("text"), "statistics"), labels)
-    return _scored(counted(docs), model).where(F.col("_sg_score") >= THRESHOLD).select(*docs.columns)
+    sent = docs.sparkSession.sparkContext.broadcast(train(materialize(counted(some, ("text",)), "statistics"), labels))
+
+    def make():
+        return lambda part: [sent.value.scores(count(texts(part, "text")))]
+
+    return map_slices(docs, "text", make, "_sg_score double").where(F.col("_sg_score") >= THRESHOLD).drop("_sg_score")
