@@ -145,6 +145,7 @@ def identified(df: DataFrame, text: str, declared: Column, host: Column, drop: t
     by_host = hosts.join(by_suffix, same(hosts, by_suffix, [("_sg_suffix", "_sg_x")]))
     by_host = smoothed(by_host, [F.col(f"s{i}") for i in range(count)], HOST_WORTH, "h")
     prior = by_host.select(F.col("_sg_host").alias("_sg_site"), F.array(*(F.col(f"h{i}") for i in range(count))).alias("_sg_prior"))
+    prior = materialize(prior, "priors")  # its size is known then, and the join is planned by it
 
     judged = _with_text_evidence(rows, text, langs, table, drop)
     joined = judged.join(prior, judged["_sg_host"] == prior["_sg_site"], "left")

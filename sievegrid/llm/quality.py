@@ -214,13 +214,11 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose score reaches THRESHOLD, with their columns.
 
-    Only labelled rows are counted for the fit; every row is then counted and
-    scored where it is read, so that texts aren't shuffled.
+    Rows are counted once for the fit, where counts alone are joined with labels,
+    and once more where they are scored, so that texts aren't shuffled.
     """
-    marked = labels.where("quality in (0, 1)").select(F.col("doc_id").alias("_sg_id")).distinct()
-    some = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    some = some.join(marked, some["doc_id"] == marked["_sg_id"], "left_semi")
-    sent = docs.sparkSession.sparkContext.broadcast(train(materialize(counted(some, ("text",)), "statistics"), labels))
+    rows = counted(docs.select("doc_id", F.col("text").cast("string").alias("text")), ("text",))
+    sent = docs.sparkSession.sparkContext.broadcast(train(materialize(rows, "statistics"), labels))
 
     def make():
         return lambda part: [sent.value.scores(count(texts(part, "text")))]
