@@ -28,8 +28,9 @@ from sievegrid.llm.arrow import bound_batches, texts
 from sievegrid.operators.ranking import shuffle_width
 
 SKETCH, SHORT, LEVELS = 64, 64, 40
-CELLS, CHUNK_ROWS, CHUNK_CHARS = 1024, 256, 1 << 19
-_ROUNDS = 4  # 64-bit names to labels below 128, 14, 8 and 6
+CELLS, CHUNK_ROWS, CHUNK_CHARS = 1024, 48, 1 << 17
+_ROUNDS = 3  # after the first: 64-bit names to labels below 128, then 14, 8 and 6
+_LOWEST = np.array([(b & -b).bit_length() - 1 if b else 0 for b in range(256)], np.uint8)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(64)], np.uint64)
 
@@ -40,25 +41,32 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+_CODES = _mixed(np.arange(0x3000, dtype=np.uint64) + _ODD)
+
+
 def _merged(names: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """A name for each stretch of ``names`` that begins at ``starts``."""
     lengths = np.diff(starts, append=len(names))
     place = np.arange(len(names)) - np.repeat(starts, lengths)
-    sums = np.add.reduceat(_mixed(names) * _POWERS[place & 63], starts)
+    sums = np.add.reduceat(names * _POWERS[place & 63], starts)  # names are mixed already
     return _mixed(sums ^ (lengths.astype(np.uint64) * _ODD))
 
 
 def _labels(names: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Coin tossing: labels below 6, of which neighbours in a sequence differ. first: where sequences begin."""
-    label = names
+    left = np.empty_like(names)
+    left[1:] = names[:-1]
+    left[first] = ~names[first]
+    left ^= names
+    left &= ~left + np.uint64(1)
+    bit = (left.astype(np.float64).view(np.uint64) >> np.uint64(52)) - np.uint64(1023)  # exponents of powers of two
+    label = ((bit << np.uint64(1)) | ((names >> bit) & np.uint64(1))).astype(np.uint8)
     for _ in range(_ROUNDS):
-        left = np.empty_like(label)
-        left[1:] = label[:-1]
-        left[first] = ~label[first]
-        differ = label ^ left
-        lowest = differ & (~differ + np.uint64(1))
-        bit = np.log2(lowest.astype(np.float64)).astype(np.uint64)  # exact for powers of two
-        label = (bit << np.uint64(1)) | ((label >> bit) & np.uint64(1))
+        before = np.empty_like(label)
+        before[1:] = label[:-1]
+        before[first] = ~label[first]
+        at = _LOWEST[label ^ before]
+        label = (at << np.uint8(1)) | ((label >> at) & np.uint8(1))
     return label
 
 
@@ -84,7 +92,7 @@ def sketches(docs: list[str]) -> list[np.ndarray]:
     found_doc, found = [], []
     if len(live):
         codes = np.frombuffer("".join(docs).encode("utf-32-le", "surrogatepass"), np.uint32)
-        names, size = _mixed(codes.astype(np.uint64) + _ODD), lengths[live]
+        names, size = _CODES[codes] if codes.max() < len(_CODES) else _mixed(codes.astype(np.uint64) + _ODD), lengths[live]
         for level in range(1, LEVELS):
             first = np.concatenate(([0], np.cumsum(size)[:-1]))
             names, first = _collapsed(names, first)
