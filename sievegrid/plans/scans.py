@@ -40,9 +40,9 @@ def terminal_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
     WITH {_SEQ}, c AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY seq) AS b FROM seq), d AS (SELECT * FROM c WHERE b IS DISTINCT FROM event_type)
-    SELECT user_id, seq, event_type, at_ms AS started, lead(at_ms) OVER (PARTITION BY user_id ORDER BY seq) AS ended FROM d""")
+    SELECT user_id, seq, event_type, at_ms AS started, coalesce(lead(at_ms) OVER (PARTITION BY user_id ORDER BY seq), -1) AS ended FROM d""")
 def stage_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log.timeline(_events(spark, sf_dir), "user_id", "seq", "event_type", "at_ms")
+    return log.timeline(_events(spark, sf_dir), "user_id", "seq", "event_type", "at_ms").withColumn("ended", F.coalesce("ended", F.lit(-1)))
 
 
 @query(f"WITH {_SEQ} SELECT user_id, event_type, count(*) AS n, max(seq) AS last_seq, round(sum(value), 4) AS total FROM seq GROUP BY ALL")
