@@ -10,11 +10,13 @@
    with its NEAR next ones, those with the longest common prefixes.
 3. Candidates are confirmed on full sets, and linked if
    100 * intersection >= 75 * union. Linked classes make components.
+4. In crowded regions that hold several components, each class outside the
+   region's largest one is compared with every class of another component, in
+   blocks, on full sets. What is linked there joins the components.
 
 Sorting spreads equal prefixes over partitions, so no region lands in one task;
 pairs over a partition's end are found from its edges. A pair at similarity 0.75
-that no crowded region holds is missed with probability (1 - 0.75^3)^20, 2 in
-100,000, and less above it.
+is missed with probability (1 - 0.75^3)^20, 2 in 100,000, and less above it.
 
 Null and empty texts have empty sets and are linked with nothing. Rows with a
 null doc_id are linked with nothing and kept. Rows that share a doc_id are one
@@ -43,6 +45,10 @@ SHINGLE, PERCENT = 5, 75
 HASHES, TREES, FIRST, DEPTH, SMALL, NEAR = 64, 20, 3, 8, 16, 2
 #: Rows that a partition's end shows to the next one, and rows that are looked at together.
 EDGE, CHUNK = 3 * SMALL, 1 << 16
+#: Classes and shingles of a block of a crowded region.
+BLOCK, LOAD = 1024, 1 << 20
+#: A pair at 0.75 agrees in fewer of its HASHES values with probability 2 in a million.
+AGREE = 30
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _A = np.array([xxhash.xxh64_intdigest(b"a%d" % i) | 1 for i in range(HASHES)], np.uint64)
@@ -220,13 +226,17 @@ def _sweep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _found(none, none, tail, part, 1)
 
 
+def prefixes(classes: DataFrame, depth: int) -> DataFrame:
+    """tree, prefix (the first ``depth`` values of the tree's order), rep and n of each class in each tree."""
+    start = F.col("tree") * (FIRST * 4) % (HASHES * 4) + 1
+    rows = classes.select("rep", "n", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    return rows.select("tree", F.substring(F.concat("sig", "sig"), start, F.lit(depth * 4)).alias("prefix"), "rep", "n")
+
+
 def candidates(classes: DataFrame) -> DataFrame:
     """Distinct pairs (a < b) of classes (rep, n, sig) that the forest's orders put near each other."""
     spark = classes.sparkSession
-    start = F.col("tree") * (FIRST * 4) % (HASHES * 4) + 1
-    twice = F.concat("sig", "sig")
-    rows = classes.select("rep", "n", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    rows = rows.select("tree", F.substring(twice, start, F.lit(DEPTH * 4)).alias("prefix"), "rep", "n")
+    rows = prefixes(classes, DEPTH)
     width = max(1, min(shuffle_width(classes), classes.count() * TREES // (4 * EDGE)))
     order = rows.repartitionByRange(width, "tree", "prefix", "rep").sortWithinPartitions("tree", "prefix", "rep")
     bound_batches(order)
@@ -265,21 +275,23 @@ def same_document(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return several.join(classes, several["_sg_key"] == classes["set_key"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of ``pairs`` whose full sets are similar enough; each class's set is that of the document it is named after.
-
-    Sets are made anew from the texts of classes that occur in a pair. A partition
-    holds each set ``a`` once, before the sets ``b`` that are compared with it, and
-    is read as a stream. Joins are by sorting at every size, for the sets of ids grow
-    with the corpus; so a small run moves what a large one does.
-    """
-    ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-    wanted = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(ids.hint("merge"), "rep", "left_semi")
+def sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """rep and items (the full set) of the documents whose id is in ``ids`` (rep), made anew from their texts."""
+    wanted = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(ids.distinct().hint("merge"), "rep", "left_semi")
 
     def make():
         return lambda part: [pa.array([set_of(t).tobytes() for t in texts(part, "text")], pa.binary())]
 
-    sets = materialize(map_slices(wanted.select("rep", "text"), "text", make, "items binary", drop=("text",)), "sets")
+    return map_slices(wanted.select("rep", "text"), "text", make, "items binary", drop=("text",))
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of ``pairs`` whose full sets are similar enough; each class's set is that of the document it is named after.
+
+    A partition holds each set ``a`` once, before the sets ``b`` that are compared
+    with it, and is read as a stream. Joins are by sorting at every size, for the
+    sets of ids grow with the corpus; so a small run moves what a large one does.
+    """
     asked = pairs.select("a").distinct()
     own = sets.join(asked.hint("merge"), sets["rep"] == asked["a"], "left_semi").select(F.col("rep").alias("a"), F.lit(None).cast("long").alias("b"), "items")
     theirs = pairs.hint("merge").join(sets, pairs["b"] == sets["rep"]).select("a", "b", "items")
@@ -305,15 +317,93 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return dealt.mapInArrow(compare, "a long, b long")
 
 
+def crowded(classes: DataFrame) -> DataFrame:
+    """region, tree, rep and n of the classes that share FIRST values of a tree with at least SMALL others."""
+    rows = prefixes(classes, FIRST).select(F.xxhash64("tree", "prefix").alias("region"), "tree", "rep", "n")
+    full = materialize(rows.groupBy("region").agg(F.count("*").alias("m")).where(F.col("m") > SMALL).select("region"), "crowded")
+    return rows.join(full, "region")
+
+
+def _across(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components that a pair of similar sets joins, cell by cell; the sets that ask come first in a cell and are held."""
+    columns = [np.arange(t * FIRST, (t + 1) * FIRST) % HASHES for t in range(TREES)]
+    at, held, joined = None, [], set()
+    reps = roots = sizes = sigs = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        items = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("items")]
+        ends = np.cumsum([len(x) for x in items])
+        values = signature(np.concatenate(items), np.concatenate(([0], ends[:-1])))
+        out_a, out_b = [], []
+        rows = zip(*(batch.column(c).to_pylist() for c in ("region", "i", "j", "asks", "tree", "rep", "root", "outside")), items, values, strict=True)
+        for region, i, j, asks, tree, rep, root, outside, own, sig in rows:
+            if (region, i, j) != at:
+                at, held, joined, reps = (region, i, j), [], set(), None
+            if asks:
+                held.append((rep, root, own.copy(), sig))
+                continue
+            if not held:
+                continue
+            if reps is None:
+                reps, roots = (np.array([h[k] for h in held], np.int64) for k in (0, 1))
+                sizes, sigs = np.array([len(h[2]) for h in held]), np.stack([h[3] for h in held])
+            may = (roots != root) & (100 * np.minimum(sizes, len(own)) >= PERCENT * np.maximum(sizes, len(own)))
+            if outside:  # such a pair meets twice
+                may &= reps < rep
+            which = np.flatnonzero(may)
+            same = sigs[which] == sig
+            close = same.sum(1) >= AGREE
+            for x, equal in zip(which[close], same[close], strict=True):
+                pair = (int(roots[x]), root)
+                # an earlier tree that both share has them too, or had them among its candidates
+                if pair not in joined and not any(equal[columns[t]].all() for t in range(tree)) and similar(held[x][2], own):
+                    joined.add(pair)
+                    out_a.append(pair[0])
+                    out_b.append(pair[1])
+        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+
+
+def across(inside: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between components (node, root) that similar classes of a crowded region join.
+
+    Classes outside the region's largest component ask; all classes of the region
+    are asked. Both are cut into blocks, and each pair of blocks is one cell, of
+    bounded size, that goes to a task; pairs are met inside tasks and only links
+    between components leave them.
+    """
+    rooted = inside.join(roots, inside["rep"] == roots["node"], "left")
+    rows = materialize(rooted.select("region", "tree", "rep", "n", F.coalesce("root", "rep").alias("root")), "inside")
+    parts = rows.groupBy("region", "root").agg(F.count("*").alias("k"), F.sum("n").alias("load"))
+    largest = F.max_by(F.struct("root", "k", "load"), F.struct("k", "root"))
+    mixed = parts.groupBy("region").agg(F.count("*").alias("several"), largest.alias("big"), F.sum("k").alias("m"), F.sum("load").alias("load")).where("several > 1")
+    blocks = lambda k, load: F.greatest(F.ceil(k / BLOCK), F.ceil(load / LOAD)).cast("int")
+    asking = blocks(F.col("m") - F.col("big.k"), F.col("load") - F.col("big.load"))
+    mixed = materialize(mixed.select("region", F.col("big.root").alias("big"), asking.alias("tall"), blocks(F.col("m"), F.col("load")).alias("wide")), "mixed")
+    rows = rows.join(mixed, "region").withColumn("outside", F.col("root") != F.col("big"))
+    place = lambda among: F.pmod(F.xxhash64("rep"), F.col(among)).cast("int")
+    each = lambda among: F.explode(F.sequence(F.lit(0), F.col(among) - 1))
+    columns = ["region", "tree", "rep", "root", "outside"]
+    ask = rows.where("outside").select(*columns, F.lit(True).alias("asks"), place("tall").alias("i"), each("wide").alias("j"))
+    asked = rows.select(*columns, F.lit(False).alias("asks"), place("wide").alias("j"), each("tall").alias("i"))
+    met = ask.unionByName(asked).join(sets.where("octet_length(items) > 0"), "rep")
+    dealt = met.repartition(shuffle_width(inside), "region", "i", "j").sortWithinPartitions("region", "i", "j", F.col("asks").desc(), "rep")
+    bound_batches(dealt)
+    return dealt.mapInArrow(_across, "a long, b long")
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id that it reaches) and kept of every row of ``docs``."""
     rows = materialize(signed(docs), "signatures")
     some = rows.where("set_key is not null and doc_id is not null")
     classes = materialize(some.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
     pairs = materialize(candidates(classes), "pairs")
-    links = confirmed(pairs, docs).union(same_document(some, classes))
-    roots = components(links)
-    named = materialize(classes.select("set_key", "rep").join(roots, classes["rep"] == roots["node"], "left").select(F.col("set_key").alias("_sg_key"), F.coalesce("root", "rep").alias("_sg_root")), "named")
+    inside = materialize(crowded(classes), "regions")
+    sets = materialize(sets_of(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(inside.select("rep")), docs), "sets")
+    roots = components(confirmed(pairs, sets).union(same_document(some, classes)))
+    wider = components(across(inside, roots, sets)).select(F.col("node").alias("_sg_part"), F.col("root").alias("_sg_whole"))
+    named = classes.select("set_key", "rep").join(roots, classes["rep"] == roots["node"], "left").select(F.col("set_key").alias("_sg_key"), F.coalesce("root", "rep").alias("_sg_part"))
+    named = materialize(named.join(wider, "_sg_part", "left").select("_sg_key", F.coalesce("_sg_whole", "_sg_part").alias("_sg_root")), "named")
     out = rows.join(named, (rows["set_key"] == named["_sg_key"]) & rows["doc_id"].isNotNull(), "left")
     component = F.coalesce("_sg_root", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (component.eqNullSafe(F.col("doc_id"))).alias("kept"))

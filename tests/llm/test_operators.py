@@ -1,12 +1,14 @@
 """Each operator against a brute-force version, over awkward rows and empty tables."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sievegrid.llm import fingerprints, language_id, mixing, near_dup, packing, quality, quality_rules, sharding, token_counts, url_rules
@@ -257,6 +259,40 @@ def test_near_dup_links_texts_of_one_id(spark):
     assert {(r.doc_id, r.component_id) for r in near_dup.groups(docs).collect()} == {(1, 1), (2, 1), (5, 1), (6, 6)}
 
 
+@pytest.mark.parametrize("block", [1024, 7])
+def test_crowded_regions_lose_no_link(spark, monkeypatch, block):
+    """Without any link of the forest's, the blocks of crowded regions find the components of a large group."""
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    rng = random.Random(11)
+    bases = [corpus.prose(rng, 160)]
+    bases.append(corpus.near(rng, bases[0], 12))
+    rows = [(i, corpus.near(rng, bases[i % 2], rng.choice([1, 2, 3, 4, 5, 6])), *[None] * 7) for i in range(150)]
+    docs = materialize(spark.createDataFrame(rows, corpus.SCHEMA), "fixture")
+    classes = near_dup.signed(docs).groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    classes = materialize(classes, "classes")
+    inside = materialize(near_dup.crowded(classes), "inside")
+    alone = spark.createDataFrame([], "node long, root long")
+    sets = materialize(near_dup.sets_of(inside.select("rep"), docs), "sets")
+    found = near_dup.components(materialize(near_dup.across(inside, alone, sets), "links"))
+    got = {r.node: r.root for r in found.collect()}
+    regions, size = defaultdict(set), Counter()
+    for r in near_dup.prefixes(classes, near_dup.FIRST).collect():
+        regions[r.rep].add((r.tree, bytes(r.prefix)))
+        size[r.tree, bytes(r.prefix)] += 1
+    words = {r[0]: r[1].lower().split() for r in rows}
+    items = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in words.items()}
+    want = {i: i for i in regions}
+    for i in regions:
+        for j in regions:
+            shared = regions[i] & regions[j] if i < j else ()  # where the first one is small, the forest itself has the pair
+            if shared and want[i] != want[j] and size[min(shared)] > near_dup.SMALL and 100 * len(items[i] & items[j]) >= 75 * len(items[i] | items[j]):
+                low, high = sorted((want[i], want[j]))
+                want = {k: low if v == high else v for k, v in want.items()}
+    assert len(want) > 100 and len(set(want.values())) > 1
+    assert {i: got.get(i, i) for i in want} == want
+    assert {r.doc_id: r.component_id for r in near_dup.groups(docs).collect()} == {i: root for i, _, root in brute_groups(rows)}
+
+
 def test_neighbours_take_whole_small_regions():
     import numpy as np
 
