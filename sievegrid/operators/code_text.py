@@ -103,3 +103,11 @@ def sarif(findings: DataFrame) -> DataFrame:
     results = findings.groupBy("scan_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", result.alias("result")))), lambda r: r["result"]).alias("results"))
     run = F.struct(F.struct(F.struct(F.lit("sievegrid").alias("name"), F.col("rules")).alias("driver")).alias("tool"), F.col("results"))
     return results.join(rules, "scan_id").select("scan_id", F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("document"))
+
+
+def private_keys(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, line, type, severity and hash of PEM private keys, from a BEGIN line to the END line of the same kind."""
+    block = r"(-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----[A-Za-z0-9+/=\s:,\\-]{20,20000}?-----END \2PRIVATE KEY-----)"
+    rows = df.select(key, F.col(text).alias("_sg_text"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(block), F.lit(1)))).alias("_sg_value"))
+    line = F.size(F.split(F.substr("_sg_text", F.lit(1), F.position("_sg_value", "_sg_text")), "\n", -1))
+    return rows.select(key, line.alias("line"), F.lit("private-key").alias("type"), F.lit("high").alias("severity"), F.sha2("_sg_value", 256).alias("hash"))

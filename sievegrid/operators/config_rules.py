@@ -66,3 +66,44 @@ def env_issues(files: DataFrame) -> DataFrame:
     public = F.col("name").rlike(r"^(NEXT_PUBLIC|VITE|REACT_APP|NUXT_PUBLIC|EXPO_PUBLIC|GATSBY)_") & F.col("name").rlike(_SECRET_NAME) & ~F.col("name").rlike(r"(?i)(PUBLIC_?KEY|PUBLISHABLE_?KEY|ANON_?KEY|SITE_?KEY)$")
     first = rows.where(env).groupBy("path").agg(F.min("line").alias("line")).select("path", "line", F.lit("config/env-file-committed").alias("rule"), F.lit(None).cast("string").alias("name"))
     return first.union(rows.where(public).select("path", "line", F.lit("config/client-exposed-credential"), "name"))
+
+
+#: Expressions that an outsider's event can fill.
+UNTRUSTED = (
+    "github.event.issue.title", "github.event.issue.body", "github.event.pull_request.title", "github.event.pull_request.body",
+    "github.event.pull_request.head.ref", "github.event.pull_request.head.label", "github.event.comment.body", "github.event.review.body",
+    "github.event.review_comment.body", "github.event.discussion.title", "github.event.discussion.body", "github.event.head_commit.message", "github.head_ref",
+)
+
+
+def workflow_issues(files: DataFrame) -> DataFrame:
+    """path, line and rule of workflow files, by their lines: unpinned actions, untrusted values in scripts, checkouts of
+    a pull request's head with the target's rights, and permissions to write everything (or none stated with such a trigger)."""
+    rows = files.select("path", F.transform(F.split(F.coalesce("text", F.lit("")), r"\r?\n", -1), lambda x, i: F.struct((i + 1).alias("line"), x.alias("content"))).alias("rows"))
+    has = lambda p: F.exists("rows", lambda r: r["content"].rlike(p))
+    target = has(r"^\s*(-\s*)?['\"]?pull_request_target\b|^\s*['\"]?on['\"]?:.*\bpull_request_target\b")
+    facts = rows.select("path", "rows", target.alias("target"), has(r"^\s*permissions\s*:").alias("permits"))
+    # a fold keeps how deep the script that a line belongs to is, or -1
+    start = F.struct(F.lit(-1).alias("deep"), F.array().cast("array<int>").alias("inside"))
+
+    def follow(acc, r):
+        depth = F.length(F.regexp_extract(r["content"], r"^([\s-]*)", 1))
+        begins = r["content"].rlike(r"^[\s-]*run\s*:")
+        goes_on = (acc["deep"] >= 0) & ((depth > acc["deep"]) | (F.trim(r["content"]) == ""))
+        deep = F.when(begins, depth).when(goes_on, acc["deep"]).otherwise(-1)
+        return F.struct(deep.alias("deep"), F.when(deep >= 0, F.concat(acc["inside"], F.array(r["line"]))).otherwise(acc["inside"]).alias("inside"))
+
+    each = facts.select("path", "target", F.aggregate("rows", start, follow)["inside"].alias("inside"), F.explode("rows").alias("r")).select("path", "target", "inside", "r.line", "r.content")
+    action = F.regexp_extract("content", r"^[\s-]*uses\s*:\s*['\"]?([^'\"\s#]+)", 1)
+    loose = (action != "") & ~action.rlike(r"^(\./|docker://|actions/|github/)") & ~action.rlike("@[0-9a-f]{40}$")
+    values = F.regexp_extract_all("content", F.lit(r"\$\{\{([^}]{0,500})\}\}"), F.lit(1))
+    untrusted = F.exists(values, lambda v: F.coalesce(*(F.when(v.contains(n), True) for n in UNTRUSTED), F.lit(False)) | (v.contains("github.event.commits.") & v.contains(".message")) | (v.contains("github.event.pages.") & v.contains(".page_name")))
+    head = F.col("target") & F.col("content").rlike(r"^\s*ref\s*:.*github\.(event\.pull_request\.head\.(sha|ref)|head_ref)")
+    named = lambda rule: F.lit(f"config/gha-{rule}").alias("rule")
+    return (
+        each.where(loose).select("path", "line", named("unpinned-action"))
+        .union(each.where(untrusted & F.array_contains("inside", F.col("line"))).select("path", "line", named("script-injection")))
+        .union(each.where(head).select("path", "line", named("pull-request-target-checkout")))
+        .union(each.where(F.col("content").rlike(r"^\s*permissions\s*:\s*['\"]?write-all\b")).select("path", "line", named("excessive-permissions")))
+        .union(facts.where("target and not permits").select("path", F.lit(1), named("excessive-permissions")))
+    )

@@ -169,3 +169,28 @@ def cyclonedx(nodes: DataFrame, advisories: DataFrame) -> DataFrame:
     comps = parts.groupBy("lockfile").agg(F.sort_array(F.collect_set("c")).alias("components"))
     doc = F.to_json(F.struct(F.lit("CycloneDX").alias("bomFormat"), F.lit("1.5").alias("specVersion"), "components", F.coalesce("vulnerabilities", F.array().cast(vulns.schema["vulnerabilities"].dataType)).alias("vulnerabilities")))
     return comps.join(vulns, "lockfile", "left").select("lockfile", doc.alias("document"))
+
+
+def yarn_packages(files: DataFrame) -> DataFrame:
+    """Nodes of yarn.lock files: key (name@version), name, version, source, specs (what asks for it) and needs (specs).
+
+    Blocks are parted by empty lines; both forms of the file name the version and dependencies by indented lines.
+    """
+    blocks = files.select(F.col("path").alias("lockfile"), F.explode(F.split(F.coalesce("text", F.lit("")), r"\r?\n(?:[ \t]*\r?\n)+")).alias("block"))
+    head = F.regexp_extract("block", r"(?m)^([^\s#][^\n]*):[ \t]*\r?$", 1)
+    spec = lambda s: F.regexp_replace(F.trim(F.replace(s, F.lit('"'), F.lit(""))), r"(?<=.)@npm:", "@")
+    rows = blocks.withColumn("specs", F.transform(F.split(head, r"\s*,\s*"), spec)).withColumn("version", F.regexp_extract("block", r'(?m)^  "?version"?:?\s+"?([^"\s]+)"?', 1))
+    name = F.regexp_extract(F.get("specs", F.lit(0)), "^(@?[^@]+)@", 1)
+    section = F.regexp_extract("block", r"(?m)^  dependencies:[ \t]*\r?\n((?:    [^\n]*(?:\n|$))+)", 1)
+    one = r'(?m)^    "?(@?[^"\s:]+)"?:?\s+"?([^"\r\n]+?)"?[ \t]*\r?$'
+    names, ranges = F.regexp_extract_all(section, F.lit(one), F.lit(1)), F.regexp_extract_all(section, F.lit(one), F.lit(2))
+    needs = F.zip_with(names, ranges, lambda n, r: F.concat(n, F.lit("@"), F.regexp_replace(r, "^npm:", "")))
+    source = F.nullif(F.regexp_extract("block", r'(?m)^  "?(?:resolved|resolution)"?:?\s+"?([^"\s]+)"?', 1), F.lit(""))
+    real = rows.where((F.col("version") != "") & (name != "") & (F.col("version") != "0.0.0-use.local"))
+    return real.select("lockfile", F.concat(name, F.lit("@"), "version").alias("key"), F.lit("npm").alias("ecosystem"), name.alias("name"), "version", source.alias("source"), "specs", needs.alias("needs"))
+
+
+def yarn_edges(nodes: DataFrame) -> DataFrame:
+    """lockfile, parent and child: each need joined with the node that lists it among its specs."""
+    wanted = nodes.select("lockfile", F.col("key").alias("parent"), F.explode("needs").alias("spec"))
+    return wanted.join(nodes.select("lockfile", F.col("key").alias("child"), F.explode("specs").alias("spec")), ["lockfile", "spec"]).select("lockfile", "parent", "child").distinct()
