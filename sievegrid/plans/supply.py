@@ -12,25 +12,25 @@ from sievegrid.sources.tables import table
 
 
 @query("""
-    WITH p AS (SELECT c_name FROM customer WHERE c_custkey < 40)
+    WITH p AS (SELECT c_name FROM customer WHERE c_acctbal > 9700)
     SELECT c.c_name AS name, min(p.c_name) AS target FROM customer c JOIN p ON damerau_levenshtein(c.c_name, p.c_name) = 1
     WHERE c.c_name NOT IN (SELECT c_name FROM p) GROUP BY c.c_name""")
 def typosquats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), "c_custkey")
-    return dependencies.typosquats(names, names.where("c_custkey < 40"), names.where("false"))
+    names = table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), "c_acctbal")
+    return dependencies.typosquats(names, names.where("c_acctbal > 9700"), names.where("false"))
 
 
 @query("""
     WITH k AS (SELECT c_custkey, unnest([CAST(c_custkey % 37 AS BIGINT), CAST(c_nationkey AS BIGINT) + 100]) AS key, unnest([0, 1]) AS pos FROM customer),
     s AS (SELECT CAST(s_suppkey AS BIGINT) AS key, CASE WHEN s_suppkey % 2 = 0 THEN 'accepted' ELSE 'false_positive' END AS status FROM supplier WHERE s_suppkey % 5 < 3
-          UNION ALL SELECT 100 + n_nationkey, 'by_nation' FROM nation WHERE n_nationkey % 2 = 0)
+          UNION ALL SELECT 100 + n_nationkey, 'by_nation' FROM nation WHERE n_name < 'J')
     SELECT CAST(c_custkey AS VARCHAR) AS id, min_by(status, pos) AS status FROM k JOIN s USING (key) GROUP BY c_custkey""")
 def suppressions_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = F.lit("2024-01-01").cast("timestamp")
     found = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.array((F.col("c_custkey") % 37).cast("string"), (F.col("c_nationkey") + 100).cast("string")).alias("keys"))
     until = F.when(F.col("s_suppkey") % 5 == 3, now).when(F.col("s_suppkey") % 5 == 4, F.lit("2023-01-01").cast("timestamp")).when(F.col("s_suppkey") % 5 == 0, F.lit("2025-01-01").cast("timestamp"))
     by_key = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("fingerprint"), F.when(F.col("s_suppkey") % 2 == 0, "accepted").otherwise("false_positive").alias("status"), until.alias("expires_at"))
-    by_nation = table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select((F.col("n_nationkey") + 100).cast("string"), F.lit("by_nation"), F.lit(None).cast("timestamp"))
+    by_nation = table(spark, sf_dir, "nation").where("n_name < 'J'").select((F.col("n_nationkey") + 100).cast("string"), F.lit("by_nation"), F.lit(None).cast("timestamp"))
     return matching.suppressed(found, by_key.union(by_nation), now)
 
 
