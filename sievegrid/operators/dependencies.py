@@ -194,3 +194,30 @@ def yarn_edges(nodes: DataFrame) -> DataFrame:
     """lockfile, parent and child: each need joined with the node that lists it among its specs."""
     wanted = nodes.select("lockfile", F.col("key").alias("parent"), F.explode("needs").alias("spec"))
     return wanted.join(nodes.select("lockfile", F.col("key").alias("child"), F.explode("specs").alias("spec")), ["lockfile", "spec"]).select("lockfile", "parent", "child").distinct()
+
+
+def pnpm_packages(files: DataFrame) -> DataFrame:
+    """Nodes of pnpm-lock.yaml files: key (name@version), name, version, dev and needs (keys), from packages and snapshots.
+
+    Blocks are told by their indentation; what follows a version in brackets (peers) is left out, so a package that is
+    there with several peers is one node that needs what each of them needs.
+    """
+    parts = F.filter(F.split(F.coalesce("text", F.lit("")), r"\r?\n(?=\S)"), lambda s: s.rlike(r"^(packages|snapshots):"))
+    blocks = files.select(F.col("path").alias("lockfile"), F.explode(F.flatten(F.transform(parts, lambda s: F.split(s, r"\r?\n(?=  \S)")))).alias("block"))
+    head = F.regexp_extract("block", r"^  ['\"]?/?([^'\"\n]+?)['\"]?:[ \t]*(?:\{\})?[ \t]*(?:\r?\n|$)", 1)
+    bare = lambda s: F.regexp_extract(s, r"^(@?[^@(]+@[^@(]+)", 1)
+    section = F.concat(*(F.regexp_extract("block", rf"(?m)^    {s}:[ \t]*\r?\n((?:      [^\n]*(?:\n|$))+)", 1) for s in ("dependencies", "optionalDependencies")))
+    one = r"(?m)^      ['\"]?(@?[^'\":\s]+)['\"]?:\s+['\"]?/?([^'\"\s]+)['\"]?"
+    names, versions = F.regexp_extract_all(section, F.lit(one), F.lit(1)), F.regexp_extract_all(section, F.lit(one), F.lit(2))
+    # an alias names the package that it stands for
+    needs = F.zip_with(names, versions, lambda n, v: F.when(F.regexp_replace(v, r"\(.*$", "").rlike(".@"), bare(v)).otherwise(bare(F.concat(n, F.lit("@"), v))))
+    rows = blocks.select("lockfile", bare(head).alias("key"), F.col("block").rlike(r"(?m)^    dev: true[ \t]*\r?$").alias("dev"), needs.alias("needs")).where("key <> ''")
+    nodes = rows.groupBy("lockfile", "key").agg(F.bool_or("dev").alias("dev"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("needs")))).alias("needs"))
+    cut = r"^(@?[^@]+)@(.+)$"
+    return nodes.select("lockfile", "key", F.lit("npm").alias("ecosystem"), F.regexp_extract("key", cut, 1).alias("name"), F.regexp_extract("key", cut, 2).alias("version"), "dev", "needs")
+
+
+def pnpm_edges(nodes: DataFrame) -> DataFrame:
+    """lockfile, parent and child; needs that no node has (links to folders) give none."""
+    wanted = nodes.select("lockfile", F.col("key").alias("parent"), F.explode("needs").alias("child"))
+    return wanted.join(nodes.select("lockfile", F.col("key").alias("child")), ["lockfile", "child"]).select("lockfile", "parent", "child")

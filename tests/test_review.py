@@ -55,3 +55,11 @@ def test_yarn_lock(spark):
     nodes = dep.yarn_packages(spark.createDataFrame([("yarn.lock", first), ("x/yarn.lock", berry), ("n/yarn.lock", None)], "path string, text string"))
     assert {(r.lockfile, r.key) for r in nodes.collect()} == {("yarn.lock", "@s/a@1.2.0"), ("yarn.lock", "b@2.1.0"), ("x/yarn.lock", "a@1.0.0"), ("x/yarn.lock", "b@2.1.0")}
     assert {tuple(r) for r in dep.yarn_edges(nodes).collect()} == {("yarn.lock", "@s/a@1.2.0", "b@2.1.0"), ("x/yarn.lock", "a@1.0.0", "b@2.1.0")}
+
+
+def test_pnpm_lock(spark):
+    nine = "lockfileVersion: '9.0'\n\nimporters:\n  .:\n    dependencies:\n      a:\n        specifier: ^1\n        version: 1.0.0\n\npackages:\n\n  '@s/c@2.0.0':\n    resolution: {integrity: x}\n\n  a@1.0.0:\n    resolution: {integrity: y}\n    engines: {node: '>=8'}\n\nsnapshots:\n\n  '@s/c@2.0.0': {}\n\n  a@1.0.0(p@3.0.0):\n    dependencies:\n      '@s/c': 2.0.0\n      alias: '@s/c@2.0.0'\n      away: link:../away\n    optionalDependencies:\n      gone: 1.0.0\n"
+    six = "lockfileVersion: '6.0'\npackages:\n\n  /a@1.0.0(p@3.0.0):\n    resolution: {integrity: y}\n    dependencies:\n      b: 2.0.0\n    dev: true\n\n  /b@2.0.0:\n    dev: false\n"
+    nodes = dep.pnpm_packages(spark.createDataFrame([("pnpm-lock.yaml", nine), ("x/pnpm-lock.yaml", six), ("n/pnpm-lock.yaml", None)], "path string, text string"))
+    assert {(r.lockfile, r.name, r.version, r.dev) for r in nodes.collect()} == {("pnpm-lock.yaml", "@s/c", "2.0.0", False), ("pnpm-lock.yaml", "a", "1.0.0", False), ("x/pnpm-lock.yaml", "a", "1.0.0", True), ("x/pnpm-lock.yaml", "b", "2.0.0", False)}
+    assert {tuple(r) for r in dep.pnpm_edges(nodes).collect()} == {("pnpm-lock.yaml", "a@1.0.0", "@s/c@2.0.0"), ("x/pnpm-lock.yaml", "a@1.0.0", "b@2.0.0")}
