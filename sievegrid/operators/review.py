@@ -47,3 +47,32 @@ def overlapping(df: DataFrame, key: str, start: str, end: str, tie: str) -> Data
     """Rows with ``overlaps``: whether a row that begins no later reaches into them, by the furthest end so far."""
     before = Window.partitionBy(key).orderBy(start, tie).rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn("overlaps", F.coalesce(F.max(end).over(before) >= F.col(start), F.lit(False)))
+
+#: Signs of a guard near a dangerous call, and what else must stand near the first.
+GUARDS = (
+    r"""\.startsWith\(\s*['"`]/['"`]\s*\)""",
+    r"\bpath\.basename\s*\(",
+    r"""['"`][^'"`]*(?:\?|\$\d+)[^'"`]*['"`]\s*,\s*\[""",
+    r"\b(?:escape\w*|\w*[sS]anitize\w*)\s*\(",
+)
+BESIDE_FIRST = r"""['"`]//['"`]"""
+TEST_PATH = r"(?i)(^|/)(test|tests|__tests__|spec|examples?)/|\.(test|spec)\.[a-z]+$"
+
+
+def verdicts(findings: DataFrame, file_lines: DataFrame, above: int = 6) -> DataFrame:
+    """id, verdict and evidence: refuted where a guard stands in a finding's lines or up to ``above`` lines before them
+    (evidence: the first such line), else weakened in test code, else upheld.
+
+    findings: id, file, start, end. file_lines: file, line, content. Every line near a finding is a key of an equi join.
+    """
+    near = F.sequence(F.greatest(F.col("start") - above, F.lit(1)), F.greatest("start", "end"))
+    asked = findings.select("id", "file", F.explode(near).alias("line")).join(file_lines, ["file", "line"])
+    first, *others = GUARDS
+    other = F.lit(False)
+    for pattern in others:
+        other = other | F.col("content").rlike(pattern)
+    line_if = lambda c: F.min(F.when(c, F.col("line")))
+    seen = asked.groupBy("id").agg(line_if(F.col("content").rlike(first)).alias("path_check"), F.bool_or(F.col("content").rlike(BESIDE_FIRST)).alias("beside"), line_if(other).alias("guard"))
+    rows = findings.select("id", "file").join(seen, "id", "left").withColumn("evidence", F.least("guard", F.when(F.col("beside"), F.col("path_check"))))
+    verdict = F.when(F.col("evidence").isNotNull(), "refuted").when(F.col("file").rlike(TEST_PATH), "weakened").otherwise("upheld")
+    return rows.select("id", verdict.alias("verdict"), "evidence")

@@ -63,3 +63,12 @@ def test_pnpm_lock(spark):
     nodes = dep.pnpm_packages(spark.createDataFrame([("pnpm-lock.yaml", nine), ("x/pnpm-lock.yaml", six), ("n/pnpm-lock.yaml", None)], "path string, text string"))
     assert {(r.lockfile, r.name, r.version, r.dev) for r in nodes.collect()} == {("pnpm-lock.yaml", "@s/c", "2.0.0", False), ("pnpm-lock.yaml", "a", "1.0.0", False), ("x/pnpm-lock.yaml", "a", "1.0.0", True), ("x/pnpm-lock.yaml", "b", "2.0.0", False)}
     assert {tuple(r) for r in dep.pnpm_edges(nodes).collect()} == {("pnpm-lock.yaml", "a@1.0.0", "@s/c@2.0.0"), ("x/pnpm-lock.yaml", "a@1.0.0", "b@2.0.0")}
+
+
+def test_verdicts(spark):
+    text = "p = path.basename(x)\n" + "\n" * 5 + "send(p)\nsend(q)\nif (u.startsWith('/')) go(u)\n"
+    safe = "if (u.startsWith('/') && !u.startsWith('//')) go(u)\nx = escapeHtml(y)"
+    files = lines(spark, **{"a.js": text, "tests/a.js": "send(q)", "b.js": safe})
+    rows = [("near", "a.js", 7, 7), ("far", "a.js", 8, 8), ("half", "a.js", 9, 9), ("tested", "tests/a.js", 1, 1), ("both", "b.js", 1, 2), ("gone", "c.js", 1, 1)]
+    got = {r.id: (r.verdict, r.evidence) for r in review.verdicts(spark.createDataFrame(rows, "id string, file string, start int, end int"), files).collect()}
+    assert got == {"near": ("refuted", 1), "far": ("upheld", None), "half": ("upheld", None), "tested": ("weakened", None), "both": ("refuted", 1), "gone": ("upheld", None)}
