@@ -59,20 +59,28 @@ BESIDE_FIRST = r"""['"`]//['"`]"""
 TEST_PATH = r"(?i)(^|/)(test|tests|__tests__|spec|examples?)/|\.(test|spec)\.[a-z]+$"
 
 
-def verdicts(findings: DataFrame, file_lines: DataFrame, above: int = 6) -> DataFrame:
+def verdicts(findings: DataFrame, file_lines: DataFrame, above: int = 6, guards: tuple[str, ...] = GUARDS, beside: str = BESIDE_FIRST) -> DataFrame:
     """id, verdict and evidence: refuted where a guard stands in a finding's lines or up to ``above`` lines before them
     (evidence: the first such line), else weakened in test code, else upheld.
 
-    findings: id, file, start, end. file_lines: file, line, content. Every line near a finding is a key of an equi join.
+    findings: id, file, start, end. file_lines: file, line, content. The first guard counts only if ``beside`` stands near too. Every line near a finding is a key of an equi join.
     """
     near = F.sequence(F.greatest(F.col("start") - above, F.lit(1)), F.greatest("start", "end"))
     asked = findings.select("id", "file", F.explode(near).alias("line")).join(file_lines, ["file", "line"])
-    first, *others = GUARDS
+    first, *others = guards
     other = F.lit(False)
     for pattern in others:
         other = other | F.col("content").rlike(pattern)
     line_if = lambda c: F.min(F.when(c, F.col("line")))
-    seen = asked.groupBy("id").agg(line_if(F.col("content").rlike(first)).alias("path_check"), F.bool_or(F.col("content").rlike(BESIDE_FIRST)).alias("beside"), line_if(other).alias("guard"))
+    seen = asked.groupBy("id").agg(line_if(F.col("content").rlike(first)).alias("path_check"), F.bool_or(F.col("content").rlike(beside)).alias("beside"), line_if(other).alias("guard"))
     rows = findings.select("id", "file").join(seen, "id", "left").withColumn("evidence", F.least("guard", F.when(F.col("beside"), F.col("path_check"))))
     verdict = F.when(F.col("evidence").isNotNull(), "refuted").when(F.col("file").rlike(TEST_PATH), "weakened").otherwise("upheld")
     return rows.select("id", verdict.alias("verdict"), "evidence")
+
+
+def incremental_plan(files: DataFrame, scope: DataFrame, most: float = 0.4) -> DataFrame:
+    """One row: files, those in scope, their share, and whether it is over ``most``, so that a full scan is due. No files: no share, a full scan."""
+    inside = files.select("file").distinct().join(scope.select("file").distinct().withColumn("_sg_in", F.lit(1)), "file", "left")
+    sums = inside.agg(F.count("*").alias("files"), F.count("_sg_in").alias("in_scope"))
+    share = F.when(F.col("files") > 0, F.col("in_scope") / F.col("files"))
+    return sums.select("files", "in_scope", share.alias("share"), F.coalesce(share > most, F.lit(True)).alias("full"))

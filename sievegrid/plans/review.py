@@ -54,3 +54,22 @@ def carried_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def overlaps_any(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", (F.col("o_orderdate") + F.expr("INTERVAL 20 DAY")).alias("until"))
     return review.overlapping(rows, "o_custkey", "o_orderdate", "until", "o_orderkey").select("o_orderkey", "overlaps")
+
+
+@query("""
+    WITH s AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderdate >= DATE '1998-01-01')
+    SELECT count(*) AS files, count(o_custkey) AS in_scope, count(o_custkey) / count(*)::DOUBLE AS share, count(o_custkey) / count(*)::DOUBLE > 0.4 AS full FROM customer LEFT JOIN s ON c_custkey = o_custkey""")
+def incremental_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("file"))
+    return review.incremental_plan(files, table(spark, sf_dir, "orders").where("o_orderdate >= '1998-01-01'").select(F.col("o_custkey").alias("file")))
+
+
+@query("""
+    WITH f AS (SELECT conv_id, turn FROM conversations WHERE role = 'assistant')
+    SELECT f.conv_id, f.turn, CASE WHEN coalesce(bool_or(starts_with(text, 'Th')) AND bool_or(contains(text, ', th')), false) OR coalesce(bool_or(starts_with(text, 'In')), false) THEN 'refuted' ELSE 'upheld' END AS verdict
+    FROM f JOIN conversations c ON f.conv_id = c.conv_id AND c.turn BETWEEN f.turn - 1 AND f.turn GROUP BY f.conv_id, f.turn""")
+def guarded_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("file"), (F.col("turn") + 1).cast("int").alias("line"), F.col("text").alias("content"), "conv_id", "turn", "role")
+    found = rows.where("role = 'assistant'").select(F.struct("conv_id", "turn").alias("id"), "file", F.col("line").alias("start"), F.col("line").alias("end"))
+    made = review.verdicts(found, rows.select("file", "line", "content"), above=1, guards=("^Th", "^In"), beside=", th")
+    return made.select("id.conv_id", "id.turn", "verdict")
