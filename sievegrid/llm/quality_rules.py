@@ -2,11 +2,16 @@
 
 Four ratios are measured for each document. Mergeable quantile sketches (KLL)
 hold their distribution for each pair of language and source, for each language
-and for the corpus; a ratio's bound is the upper quartile plus SPREAD times the
-distance between the quartiles, at least a floor below which a value is never
-odd. A pair with fewer than LEAST documents takes the bounds of its language,
-and a language with fewer those of the corpus. Documents are then joined with
-their bounds, and kept if no ratio passes its bound.
+and for the corpus. The bulk of a distribution begins with its lower half, or
+with what chance alone does to a document of median length, and grows upwards
+from the median, quantile by quantile, while the next one lies within SPREAD
+times the reach so far. Where a quantile lies beyond that, what is above is
+detached, up to nearly half of the rows; the bound is the median plus SPREAD times the
+bulk's reach. Bounds are shrunk by row counts towards the corpus and the language,
+and a pair's is at most LIMIT times its language's, so that a source of junk
+alone doesn't excuse itself. Documents are then joined with their bounds, and
+kept if no ratio passes its bound. Junk that makes up half of a language, or that
+passes into the bulk without a gap, is not told from it.
 
 Null texts count as empty and fail the base rule. Null languages and sources are
 groups of their own. Repeated rows count each. An empty table gives an empty
@@ -27,9 +32,12 @@ from sievegrid.llm.arrow import map_slices, texts
 from sievegrid.operators.ranking import same
 from sievegrid.sources.scratch import materialize
 
-LEAST, SPREAD, SKETCH_K = 200, 6.0, 400
-#: The ratios and the floors of their bounds: characters a word, symbols a character, doubled lines a word, repeated words a word.
-FLOORS = {"word_length": 12.0, "symbol_ratio": 0.02, "dup_line_ratio": 0.02, "repeat_ratio": 0.2}
+#: Rows that a bound is worth to the level below, reach of a bulk, a pair's most over its language, and standard deviations of chance.
+WORTH, SPREAD, LIMIT, CHANCE, SKETCH_K = 200, 3.0, 2.0, 3.0, 400
+#: The ratios and what they are shares of: characters a word, symbols a character, doubled lines a word, repeated words a word.
+RATIOS = {"word_length": "n_words", "symbol_ratio": "word_chars", "dup_line_ratio": "n_words", "repeat_ratio": "n_words"}
+#: The lower quartile, the median and the quantiles above it by which a bulk grows.
+RANKS = (0.25, 0.5, *(k / 100 for k in range(51, 100)))
 
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 _SPACES = re.compile(r"[\x20\x09-\x0D]+")
@@ -84,25 +92,37 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
+def bound(measure: str) -> Column:
+    """The bound of ``measure`` from a row of sketches (``n`` rows; null where there are none)."""
+    at = F.expr(f"CASE WHEN n > 0 THEN kll_sketch_get_quantile_double({measure}, array({', '.join(f'double({r})' for r in RANKS)})) END")
+    size = F.greatest(F.expr(f"CASE WHEN n > 0 THEN kll_sketch_get_quantile_double({RATIOS[measure]}, double(0.5)) END"), F.lit(1.0))
+    low, middle = at[0], at[1]
+    chance = CHANCE * F.sqrt(middle / size) + CHANCE**2 / size  # of a count with this mean
+    # quantiles ascend: after the first one beyond the reach none is within it
+    grown = lambda reach, x: F.when(x - middle <= SPREAD * reach, F.greatest(reach, x - middle)).otherwise(reach)
+    return middle + SPREAD * F.aggregate(F.slice(at, 3, len(RANKS) - 2), F.greatest(middle - low, chance), grown)
+
+
 def thresholds(rows: DataFrame) -> DataFrame:
     """lang, source and a bound for each ratio, from the sketches of rows that pass the base rule."""
-    sketches = rows.where(~base_failed()).groupBy("lang", "source").agg(F.count("*").alias("n"), *(F.expr(f"kll_sketch_agg_double({m}, {SKETCH_K})").alias(m) for m in FLOORS))
+    kinds = [*RATIOS, *sorted(set(RATIOS.values()))]
+    sketches = rows.where(~base_failed()).groupBy("lang", "source").agg(F.count("*").alias("n"), *(F.expr(f"kll_sketch_agg_double(double({m}), {SKETCH_K})").alias(m) for m in kinds))
     pairs = materialize(sketches, "sketches")
-    merged = [F.expr(f"kll_merge_agg_double({m})").alias(m) for m in FLOORS]
+    merged = [F.expr(f"kll_merge_agg_double({m})").alias(m) for m in kinds]
     langs = pairs.groupBy("lang").agg(F.sum("n").alias("n"), *merged)
     corpus = pairs.agg(F.sum("n").alias("n"), *merged)
 
     def bounds(df: DataFrame, tag: str) -> DataFrame:
-        out = {}
-        for m, floor in FLOORS.items():
-            q1, q3 = (F.expr(f"CASE WHEN n > 0 THEN kll_sketch_get_quantile_double({m}, double({q})) END") for q in (0.25, 0.75))
-            out[f"{tag}_{m}"] = F.greatest(q3 + SPREAD * (q3 - q1), F.lit(floor))
-        return df.withColumns(out).withColumnRenamed("n", f"{tag}_n").drop(*FLOORS)
+        return df.withColumns({f"{tag}_{m}": bound(m) for m in RATIOS}).withColumnRenamed("n", f"{tag}_n").drop(*kinds)
 
     a, b, c = bounds(pairs, "pair"), bounds(langs, "lang").withColumnRenamed("lang", "_sg_lang"), bounds(corpus, "all")
     joined = a.join(b, same(a, b, [("lang", "_sg_lang")]), "left").crossJoin(F.broadcast(c))  # one row
-    pick = lambda m: F.when(F.col("pair_n") >= LEAST, F.col(f"pair_{m}")).when(F.col("lang_n") >= LEAST, F.col(f"lang_{m}")).otherwise(F.col(f"all_{m}"))
-    return joined.select("lang", "source", *(pick(m).alias(f"most_{m}") for m in FLOORS))
+    shrunk = lambda tag, m, under: (F.col(f"{tag}_n") * F.col(f"{tag}_{m}") + WORTH * under) / (F.col(f"{tag}_n") + WORTH)
+    most = {}
+    for m in RATIOS:
+        lang = shrunk("lang", m, F.col(f"all_{m}"))
+        most[m] = F.least(shrunk("pair", m, lang), LIMIT * lang)
+    return joined.select("lang", "source", *(most[m].alias(f"most_{m}") for m in RATIOS))
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -112,7 +132,7 @@ def judge(docs: DataFrame) -> DataFrame:
     right = limits.withColumnsRenamed({"lang": "_sg_lang", "source": "_sg_source"})
     joined = rows.join(right, same(rows, right, [("lang", "_sg_lang"), ("source", "_sg_source")]), "left")
     odd = F.lit(False)
-    for m in FLOORS:
+    for m in RATIOS:
         odd = odd | F.coalesce(F.col(m) > F.col(f"most_{m}"), F.lit(False))
     failed = base_failed()
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~odd).alias("kept"))

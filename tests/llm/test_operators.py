@@ -179,6 +179,26 @@ def test_quality_rules(docs, empty):
     assert quality_rules.judge(empty).count() == 0
 
 
+def test_quality_rules_tell_junk_from_a_natural_difference(spark):
+    import random
+
+    rng, rows, kinds = random.Random(8), [], {}
+    symbols = lambda t, every: " ".join(f"{w} |" if i % every == 0 else w for i, w in enumerate(t.split(" ")))
+    for source in ("clean", "other", "natural", "third", "junk", "small"):
+        for i in range(20 if source == "small" else 300):
+            text = corpus.prose(rng, rng.choice([80, 200, 400]))
+            junk = source in ("junk", "small") or source == "third" and i % 3 == 0
+            if source == "natural":  # longer words, and some symbols in every text
+                text = symbols("".join(c * 2 if c in "aeiou" else c for c in text), 17)
+            kinds[len(rows)] = source, junk
+            rows.append((len(rows), symbols(text, rng.choice([2, 3])) if junk else text, "en", source))
+    made = quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    kept, all_ = Counter(kinds[r.doc_id] for r in made if r.kept), Counter(kinds[r.doc_id] for r in made if not r.base_failed)
+    for kind, n in all_.items():
+        assert kept[kind] <= 0.02 * n if kind[1] else kept[kind] >= 0.98 * n, (kind, kept[kind], n)
+    assert len(all_) == 7
+
+
 def test_fingerprints(docs, empty):
     rows = fingerprints.fingerprints(docs).collect()
     order = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
