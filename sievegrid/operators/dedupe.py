@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievegrid.functions.severity import CONFIDENCES, rank_of
 from sievegrid.operators.components import components
+from sievegrid.sources.scratch import materialize
 
 #: Other names of rule families, tails that name none, and categories that may be merged.
 FAMILIES = {
@@ -50,29 +52,49 @@ def candidate_pairs(findings: DataFrame) -> DataFrame:
     return pairs.select(F.col("a_rank").alias("a"), F.col("b_rank").alias("b")).distinct()
 
 
+def beaten(pairs: DataFrame) -> DataFrame:
+    """b: the findings of ``pairs`` (a beats b) that are absorbed when the best come first; all others win.
+
+    In each round an open finding that no open one beats wins, what it beats is absorbed, and the pairs of decided
+    findings go. Rounds are written to scratch and no task holds a component. There are as many as the longest
+    chain of pairs in which each waits for the one before: few where ranks are mixed over a file, half of a
+    chain's length where they ascend along it.
+    """
+    open_, lost = pairs, [pairs.select("b").limit(0)]
+    while not open_.isEmpty():
+        won = open_.select("a").distinct().join(open_.select(F.col("b").alias("a")), "a", "left_anti")
+        lost.append(materialize(open_.join(won, "a", "left_semi").select("b").distinct(), "lost"))
+        # a winner's pairs go with those that it beats
+        left = open_.join(lost[-1], "b", "left_anti").join(lost[-1].select(F.col("b").alias("a")), "a", "left_anti")
+        open_ = materialize(left.select("a", "b"), "open")
+        if len(lost) == 16:  # plans stay short
+            lost = [materialize(reduce(DataFrame.union, lost), "lost")]
+    return reduce(DataFrame.union, lost)
+
+
 def absorbed(findings: DataFrame) -> DataFrame:
     """id and winner_id of findings that a better one absorbs: best first, each takes what matches it and isn't taken.
 
-    Absorption isn't transitive; the order matters within a connected component only, so each is decided alone.
+    Absorption isn't transitive. Findings of one family, file, line range and trace meet each other and the same
+    others, so the best of them alone is paired, and the others go with it: to its winner, or else to itself.
+    Pairs grow with the different ranges of a file and not with the square of its findings.
     """
-    pairs = candidate_pairs(findings)
-    roots = components(pairs)
-    grouped = pairs.join(roots, pairs["a"] == roots["node"]).select("root", "a", "b")
-
-    def best_first(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(), []
-        for a, losers in pdf.sort_values(["a", "b"]).groupby("a")["b"]:
-            if a not in taken:
-                taken.add(a)
-                for b in losers:
-                    if b not in taken:
-                        taken.add(b)
-                        out.append((b, a))
-        return pd.DataFrame(out, columns=["rank", "winner"], dtype="int64")
-
-    won = grouped.groupBy("root").applyInPandas(best_first, "rank long, winner long")
-    names = findings.select(F.col("rank").cast("long").alias("rank"), "id")
-    return won.join(names, "rank").join(names.select(F.col("rank").alias("winner"), F.col("id").alias("winner_id")), "winner").select("id", "winner_id")
+    trace = F.coalesce("trace", F.array().cast("array<struct<file:string,line:int>>"))
+    rows = findings.where(F.col("category").isin(*MERGEABLE)).withColumns({"rank": F.col("rank").cast("long"), "trace": trace, "_sg_family": family(F.col("rule_id"))})
+    key = ["_sg_family", "file", "start", "end", "trace"]
+    meets = F.coalesce(F.col("file").isNotNull() & (F.col("start") <= F.col("end")), F.lit(False)) & ~F.col("_sg_family").isin(*GENERIC)
+    rows = materialize(rows.select("id", "category", "rule_id", "rank", *key, meets.alias("_sg_meets")), "findings")
+    alike = rows.where("_sg_meets")
+    bests = materialize(alike.groupBy(*key).agg(F.min("rank").alias("best"), *(F.min_by(c, "rank").alias(c) for c in ("id", "category", "rule_id"))), "bests")
+    alone = rows.where("not _sg_meets")
+    columns = ["id", "category", "rule_id", "file", "start", "end", "trace", "rank"]
+    pairs = materialize(candidate_pairs(bests.withColumnRenamed("best", "rank").select(*columns).union(alone.select(*columns))), "pairs")
+    # a finding may meet a winner before a better one is known to win, so winners are chosen when all are known
+    taken = pairs.join(beaten(pairs).select(F.col("b").alias("a")), "a", "left_anti").groupBy(F.col("b").alias("best")).agg(F.min("a").alias("winner"))
+    of = alike.join(bests.select(*key, "best"), key).select("id", "rank", "best").union(alone.select("id", "rank", F.col("rank").alias("best")))
+    won = of.join(taken, "best", "left").withColumn("winner", F.coalesce("winner", "best")).where("winner <> rank").select("id", "winner")
+    names = rows.select(F.col("rank").alias("winner"), F.col("id").alias("winner_id"))
+    return won.join(names, "winner").select("id", "winner_id")
 
 
 def ranked_findings(findings: DataFrame) -> DataFrame:

@@ -15,6 +15,45 @@ def test_absorption_is_best_first_and_not_transitive(spark):
     assert got == {("b", "a"), ("d", "a")}
 
 
+def test_absorption_holds_no_component_and_no_square_of_findings(spark, monkeypatch):
+    import random
+
+    from pyspark.sql import GroupedData
+
+    rng = random.Random(4)
+    rows = []
+    for k in range(1500):
+        file, start = ("hot" if k % 3 else f"f{k % 40}"), rng.randrange(40)
+        trace = [(f"f{rng.randrange(40)}", rng.randrange(40))] if k % 50 == 0 else None
+        rows.append((f"i{k}", "sast", f"sast/{'xss' if k % 4 else 'sqli'}", None if k % 97 == 0 else file, start, start + rng.randrange(-1, 3), trace, 7 * k + 1))
+    rows += [(f"c{k}", "sast", "sast/xss", "chain", 2 * k, 2 * k + 2, None, 20_000 + k) for k in range(9)]  # ranks ascend: several rounds
+    rows += [("p1", "sast", "sast/xss", "late", 5, 6, None, 31_002), ("p2", "sast", "sast/xss", "late", 6, 7, None, 31_001), ("p3", "sast", "sast/xss", "late", 1, 2, None, 31_000), ("p4", "sast", "sast/xss", "late", 2, 5, None, 31_003)]
+    # q5 meets two winners of different rounds: the one of the later round is better
+    rows += [(n, "sast", "sast/xss", "two", a, b, None, r) for n, a, b, r in (("q1", 1, 2, 40_000), ("q2", 2, 4, 40_001), ("q3", 4, 6, 40_002), ("q4", 8, 9, 40_003), ("q5", 6, 8, 40_004))]
+    rng.shuffle(rows)
+    schema = "id string, category string, rule_id string, file string, start int, end int, trace array<struct<file:string,line:int>>, rank long"
+
+    def meet(x, y):
+        reach = lambda p, q: any(f == q[3] and q[4] <= n <= q[5] for f, n in p[6] or ())
+        return x[2] == y[2] and (x[3] is not None and x[3] == y[3] and x[4] <= y[5] and y[4] <= x[5] or reach(x, y) or reach(y, x))
+
+    order, taken, want = sorted(rows, key=lambda r: r[7]), set(), set()
+    for i, x in enumerate(order):
+        if x[0] not in taken:
+            for y in order[i + 1 :]:
+                if y[0] not in taken and meet(x, y):
+                    taken.add(y[0])
+                    want.add((y[0], x[0]))
+    made, pairs = [], dedupe.candidate_pairs
+    monkeypatch.setattr(dedupe, "candidate_pairs", lambda f: made.append(pairs(f)) or made[-1])
+    monkeypatch.setattr(GroupedData, "applyInPandas", None)  # no group goes to one task
+    got = [(r.id, r.winner_id) for r in dedupe.absorbed(spark.createDataFrame(rows, schema)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert ("q5", "q3") in want and ("p4", "p3") in want
+    n, square = made[0].count(), pairs(spark.createDataFrame(rows, schema)).count()
+    assert 2 * n < square, (n, square)
+
+
 def test_npm_graph_resolves_upwards(spark):
     lock = {"lockfileVersion": 3, "packages": {"": {"dependencies": {"a": "^1", "b": "1"}}, "node_modules/a": {"version": "1.0.0", "dependencies": {"b": "^2", "c": "1"}}, "node_modules/a/node_modules/b": {"version": "2.0.0", "dependencies": {"c": "1"}}, "node_modules/b": {"version": "1.0.0", "dev": True}, "node_modules/@s/c": {"version": "3.0.0"}, "node_modules/c": {"version": "1.1.0", "resolved": "git+ssh://git@Example.com/x.git"}}}
     nodes = dep.npm_packages(spark.createDataFrame([("package-lock.json", json.dumps(lock)), ("x/package-lock.json", "{broken")], "path string, text string"))
