@@ -4,7 +4,8 @@ Documents of each source are counted by exact length. A source that is to give
 more than it has gives every document once, and the rest is a budget below its
 size. Of each budget the larger part is spread over the lengths in proportion;
 a bounded-knapsack dynamic program over the counts that are left then fills the
-remaining budget as exactly as they allow. So many documents of each length as
+remaining budget. If that misses the budget, the program is given a larger part,
+at last all of it, and the closest sum counts. So many documents of each length as
 the program asks for are chosen: those with the smallest seeded hash.
 
 One row for each source goes to the driver, for the shares depend on all
@@ -17,6 +18,7 @@ taken together. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import gcd
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 from sievegrid.operators.ranking import ranked, same
 from sievegrid.sources.scratch import materialize
 
-#: Words of a budget that the dynamic program fills, and sums that it can look at.
-WINDOW, WIDEST = 8_192, 1 << 17
+#: Words of a budget that the dynamic program fills at first, and how much wider it looks where that isn't enough.
+WINDOW, WIDER = 8_192, 8
 
 
 def word_count(text: Column) -> Column:
@@ -60,19 +62,33 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = (3
 def fit(counts: dict[int, int], budget: int) -> dict[int, int]:
     """How many documents of each length to take so that their sum is near ``budget`` and not above.
 
-    counts: documents of each length. The sum is the largest that the dynamic
-    program reaches; it is the budget itself but for few or very long documents.
+    counts: documents of each length. Where the window doesn't reach the budget (or the multiple of all lengths'
+    common divisor below it), it is widened, up to the whole budget; then the sum is the largest that there is.
     """
-    total = sum(x * n for x, n in counts.items())
-    if budget >= total:
+    if budget >= sum(x * n for x, n in counts.items()):
         return dict(counts)
-    spread = max(0, budget - WINDOW)
+    unit = gcd(*counts)
+    small, goal = {x // unit: n for x, n in counts.items()}, budget // unit
+    best, most, window = {}, -1, WINDOW
+    while True:
+        taken = _filled(small, goal, window)
+        if (made := sum(x * n for x, n in taken.items())) > most:
+            best, most = taken, made
+        if most == goal or window >= goal:
+            return {x * unit: n for x, n in best.items()}
+        window *= WIDER
+
+
+def _filled(counts: dict[int, int], budget: int, window: int) -> dict[int, int]:
+    """All but ``window`` of the budget spread in proportion, and the rest filled by the dynamic program."""
+    total = sum(x * n for x, n in counts.items())
+    spread = max(0, budget - window)
     taken, seen, used = {}, 0, 0
     for x in sorted(counts, reverse=True):
         seen += x * counts[x]
         taken[x] = max(0, min(counts[x], (spread * seen // total - used) // x))
         used += taken[x] * x
-    rest = min(budget - used, WIDEST)
+    rest = budget - used
     reached, steps = 1, []  # bit s: a sum of s can be made
     whole = (1 << (rest + 1)) - 1
     for x in sorted(counts, reverse=True):
@@ -81,14 +97,15 @@ def fit(counts: dict[int, int], budget: int) -> dict[int, int]:
             k = min(k, n)
             new = reached << (x * k) & whole & ~reached
             if new:
-                steps.append((x, k, new))
+                low = (new & -new).bit_length() - 1
+                steps.append((x, k, low, new >> low))
                 reached |= new
             n, k = n - k, 2 * k
         if reached >> rest & 1:
             break
     at = reached.bit_length() - 1
-    for x, k, new in reversed(steps):
-        if new >> at & 1:
+    for x, k, low, new in reversed(steps):
+        if at >= low and new >> (at - low) & 1:
             taken[x] += k
             at -= x * k
     return taken

@@ -166,6 +166,25 @@ def naive_measure(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(covered)
 
 
+def test_fit_looks_over_the_whole_budget_where_lengths_are_long():
+    import random
+
+    made = lambda counts, budget: sum(x * n for x, n in mixing.fit(counts, budget).items())
+    assert made({30000: 1, 16000: 1, 2000: 1}, 17000) == 16000
+    assert made({300000: 1, 160000: 1, 20000: 1}, 170000) == 160000
+    assert made({300001: 1, 160003: 1, 20000: 1}, 170000) == 160003
+    rng = random.Random(1)
+    for _ in range(20):
+        counts = {rng.randrange(1000, 400_000): rng.choice([1, 1, 2]) for _ in range(6)}
+        budget = rng.randrange(sum(x * n for x, n in counts.items()))
+        sums = {0}
+        for x, n in counts.items():
+            sums = {s + x * k for s in sums for k in range(n + 1)}
+        taken = mixing.fit(counts, budget)
+        assert sum(x * n for x, n in taken.items()) == max(s for s in sums if s <= budget)
+        assert all(0 <= n <= counts[x] for x, n in taken.items())
+
+
 def test_quality_rules(docs, empty):
     rows = quality_rules.judge(docs).collect()
     want = Counter()
