@@ -1,4 +1,4 @@
-"""Text metrics, likeness and links, over documents, pages, conversations and the benchmark."""
+"""Text metrics, likeness and links, over documents, pages and conversations."""
 
 from __future__ import annotations
 
