@@ -2,33 +2,38 @@
 
 The labels of a host in reverse, each closed by NUL, make a key; a rule's host
 and all its subdomains are then one interval of keys, and intervals are nested or
-apart. A sweep over sorted pages keeps a stack of the rules whose interval is
-open; the innermost host with a rule whose path begins the page's path wins, and
-within a host the longest path.
-
-Rules of at most SMALL_RULES rows are sent to all tasks and each sweeps its own
-sorted batches, so pages aren't shuffled. More rules are cut into ranges of keys:
-a page goes to its range, a rule to each range that its interval meets, salted so
-that a hot host is spread; sorted partitions are then swept as streams.
+apart. Keys are cut into ranges of about equally many rows; a page goes to the
+range that it is in, a rule to each range that its interval meets. A hot host is
+cut too, by hashes of its pages. Ranges are sorted and swept as streams, with a
+stack of the rules whose interval is open; the innermost host with a rule whose
+path begins the page's path wins, and within a host the longest path.
 
 Null urls and urls without :// have an empty host and path, and no rule fits
-them. Rules with a null or empty host, path or verdict other than a path of any
-kind are refused. Repeated pages are judged each. Repeated rules must agree.
+them. A rule whose host is null or empty, or whose path or verdict is null, fits
+nothing. Of rules with one host and path the verdict that is last by code points
+counts. Repeated pages are judged each. An empty table gives an empty result;
+without rules every page has the default. Other columns, whatever their names,
+are ignored.
 """
 
 from __future__ import annotations
 
+import json
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
+from math import isqrt
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievegrid.llm.arrow import bound_batches, map_slices
+from sievegrid.llm.arrow import bound_batches
 from sievegrid.operators.ranking import shuffle_width
+from sievegrid.sources.scratch import materialize
 
-SMALL_RULES, RANGES, SALTS = 50_000, 64, 8
+#: Ranges for each shuffle partition, and rows for each range that are looked at to cut the ranges. What a page gets doesn't depend on the cuts.
+RANGES, LOOKED_AT = 4, 16
+_LEAST = -(1 << 63)
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -76,73 +81,71 @@ class Sweep:
         return None, None
 
 
-def _map_side(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
-    ordered = sorted((key_of(h), p, v) for h, p, v in rules)
-    table = pages.sparkSession.sparkContext.broadcast(ordered)
-
-    def make():
-        opened = table.value
-
-        def work(part: pa.RecordBatch) -> list:
-            hosts, paths = part.column("host").to_pylist(), part.column("path").to_pylist()
-            keys = [key_of(h) for h in hosts]
-            out: list[tuple[str | None, str | None]] = [(None, None)] * len(keys)
-            sweep, at = Sweep(), 0
-            for i in sorted(range(len(keys)), key=keys.__getitem__):
-                while at < len(opened) and opened[at][0] <= keys[i]:
-                    sweep.open(*opened[at])
-                    at += 1
-                if keys[i]:
-                    out[i] = sweep.judge(keys[i], paths[i])
-            return [[r for r, _ in out], [v for _, v in out]]
-
-        return work
-
-    return map_slices(pages, "path", make, "rule string, found string")
-
-
-def _shuffled(pages: DataFrame, rules: DataFrame, ranges: int, salts: int) -> DataFrame:
-    def key(host: Column) -> Column:
-        return F.when(host == "", "").otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.", -1)), "\0"), F.lit("\0")))
-
-    rules = rules.withColumn("key", key(F.col("host")))
-    cuts = sorted({r["key"] for r in rules.select("key").distinct().orderBy(F.xxhash64("key"), "key").limit(ranges - 1).collect()})  # at most ranges - 1
-    marks = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<string>")
-    below = lambda k: F.size(F.filter(marks, lambda b: b <= k))
-    reach = lambda k: F.size(F.filter(marks, lambda b: (b <= k) | F.startswith(b, k)))
-    k = F.col("key")
-    sent = rules.select(F.explode(F.sequence(below(k), reach(k))).alias("cell"), "key", "path", "verdict").select("cell", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "key", F.lit(0).alias("kind"), "path", "verdict", F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("host"))
-    asked = pages.withColumn("key", key(F.col("host"))).select(below(k).alias("cell"), F.pmod(F.xxhash64("page_id", "host", "path"), F.lit(salts)).cast("int").alias("salt"), "key", F.lit(1).alias("kind"), "path", F.lit(None).cast("string").alias("verdict"), "page_id", "host")
-    both = sent.unionByName(asked)
-    dealt = both.repartition(shuffle_width(pages), "cell", "salt").sortWithinPartitions("cell", "salt", "key", "kind", "path")
-    bound_batches(dealt)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sweep, where = Sweep(), None
-        for batch in batches:
-            c = {n: batch.column(n).to_pylist() for n in batch.schema.names}
-            out = []
-            for i in range(batch.num_rows):
-                if (here := (c["cell"][i], c["salt"][i])) != where:
-                    sweep, where = Sweep(), here
-                if c["kind"][i] == 0:
-                    sweep.open(c["key"][i], c["path"][i], c["verdict"][i])
-                else:
-                    rule, found = sweep.judge(c["key"][i], c["path"][i]) if c["key"][i] else (None, None)
-                    out.append((c["page_id"][i], c["host"][i], c["path"][i], rule, found))
-            names = ["page_id", "host", "path", "rule", "found"]
-            yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], pa.int64() if not j else pa.string()) for j in range(5)], names=names)
-
-    return dealt.mapInArrow(run, "page_id long, host string, path string, rule string, found string")
-
-
-def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", small_rules: int = SMALL_RULES) -> DataFrame:
+def key_column(host: Column) -> Column:
+    """``key_of`` as a column."""
+    return F.when(host == "", "").otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.", -1)), "\0"), F.lit("\0")))
+
+
+def _cuts(rows: DataFrame, ranges: int) -> list[tuple[str, int]]:
+    """At most ranges - 1 places (key, tie) that cut ``rows`` into about equal parts, from a sample of LOOKED_AT rows for each."""
+    share = min(1.0, ranges * LOOKED_AT / max(rows.count(), 1))
+    seen = sorted((r["key"], r["tie"]) for r in rows.sample(share, seed=7).collect())
+    return sorted({seen[len(seen) * k // ranges] for k in range(1, ranges)}) if seen else []
+
+
+def _below(cuts: list[tuple[str, int]], key: Column, tie: Column) -> Column:
+    """How many of the sorted ``cuts`` are at or below a place, by a look at blocks of cuts and then into one."""
+    if not cuts:
+        return F.lit(0)
+    step = isqrt(len(cuts)) + 1
+    blocks = [[{"k": k, "t": t} for k, t in cuts[at : at + step]] for at in range(0, len(cuts), step)]
+    table = F.from_json(F.lit(json.dumps(blocks)), "array<array<struct<k:string,t:bigint>>>")
+    place = F.struct(key.alias("k"), tie.alias("t"))
+    block = F.size(F.filter(table, lambda b: F.get(b, F.lit(0)) <= place))
+    return F.when(block == 0, 0).otherwise((block - 1) * step + F.size(F.filter(F.get(table, block - 1), lambda c: c <= place)))
+
+
+def _sweep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Judges the pages of sorted ranges; a range's rules of a key stand before the pages of that key and of all below it."""
+    sweep, where = Sweep(), None
+    for batch in batches:
+        at: list[int] = []
+        rules: list[str | None] = []
+        found: list[str | None] = []
+        for i, (cell, key, is_page, path, verdict) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("cell", "key", "is_page", "path", "verdict")), strict=True)):
+            if cell != where:
+                sweep, where = Sweep(), cell
+            if not is_page:
+                sweep.open(key, path, verdict)
+                continue
+            rule, said = sweep.judge(key, path) if key else (None, None)
+            at.append(i)
+            rules.append(rule)
+            found.append(said)
+        pages = batch.select(["page_id", "host", "path"]).take(pa.array(at, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*pages.columns, pa.array(rules, pa.string()), pa.array(found, pa.string())], names=["page_id", "host", "path", "rule", "found"])
+
+
+def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", ranges: int | None = None) -> DataFrame:
     """page_id, host, path, rule (host and path of the winning one, else null) and verdict of every page.
 
-    rules: host, path, verdict. default: the verdict where no rule fits.
+    rules: host, path, verdict. default: the verdict where no rule fits. ranges: RANGES for each shuffle partition, unless given.
     """
-    rules = rules.select(F.lower("host").alias("host"), "path", "verdict").where("host is not null and host <> '' and path is not null and verdict is not null")
+    width = shuffle_width(pages)
+    ranges = ranges or RANGES * width
+    host = F.translate("host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sound = rules.select(host.alias("host"), "path", "verdict").where("host is not null and host <> '' and path is not null and verdict is not null")
+    sound = sound.groupBy("host", "path").agg(F.max("verdict").alias("verdict")).withColumn("key", key_column(F.col("host")))
     asked = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    few = rules.limit(small_rules + 1).collect()
-    judged = _map_side(asked, [tuple(r) for r in few]) if len(few) <= small_rules else _shuffled(asked, rules, RANGES, SALTS)
+    asked = materialize(asked.withColumns({"key": key_column(F.col("host")), "tie": F.xxhash64("page_id", "path")}), "asked")
+    cuts = _cuts(asked.select("key", "tie").union(sound.select("key", F.lit(_LEAST))), ranges)
+
+    key, least = F.col("key"), F.lit(_LEAST)
+    behind = F.concat(F.substr("key", F.lit(1), F.length("key") - 1), F.lit("\1"))  # the first key behind the rule's interval
+    first, last = _below(cuts, key, least), _below(cuts, behind, least)
+    sent = sound.select(F.explode(F.sequence(first, last)).alias("cell"), "key", F.lit(False).alias("is_page"), "path", "verdict", F.lit(None).cast("long").alias("page_id"), "host")
+    met = asked.select(_below(cuts, key, F.col("tie")).alias("cell"), "key", F.lit(True).alias("is_page"), "path", F.lit(None).cast("string").alias("verdict"), "page_id", "host")
+    dealt = sent.unionByName(met).repartition(width, "cell").sortWithinPartitions("cell", "key", "is_page", "path")
+    bound_batches(dealt)
+    judged = dealt.mapInArrow(_sweep, "page_id long, host string, path string, rule string, found string")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("found", F.lit(default)).alias("verdict"))
