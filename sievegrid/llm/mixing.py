@@ -11,8 +11,10 @@ the program asks for are chosen: those with the smallest seeded hash.
 One row for each source goes to the driver, for the shares depend on all
 sources' sizes; counts of lengths and documents stay with Spark. Documents of
 size 0 are never taken. Null texts have size 0; a null source is one source and
-comes last. Equal doc_ids of a source and length have equal hashes, and are
-taken together. An empty table gives an empty result.
+comes last. The hash is of seed, doc_id and text, and rows are ranked by it, so
+null and repeated doc_ids are counted row by row; rows that agree in all of them
+are interchangeable. An empty table gives an empty result. Other columns, whatever
+their names, pass through ``drawn`` and are left out by ``mix``.
 """
 
 from __future__ import annotations
@@ -111,56 +113,67 @@ def _filled(counts: dict[int, int], budget: int, window: int) -> dict[int, int]:
     return taken
 
 
-def plan(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 20) -> DataFrame:
-    """source, size, source_size, target, copies and cut for each source and length.
+def sized(docs: DataFrame, seed: int) -> DataFrame:
+    """``docs`` with the columns that the plan is made and applied by."""
+    text = F.col("text").cast("string")
+    return docs.withColumns({"_sg_source": F.col("source").cast("string"), "_sg_size": word_count(text), "_sg_hash": F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), text)})
+
 
-    A document is taken ``copies`` times, and once more if its seeded hash is at
-    most ``cut`` (null: none is).
+def planned(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 20) -> DataFrame:
+    """A row for each row of ``docs``: doc_id, _sg_source, _sg_size, _sg_hash, _sg_rank, and what the mix asks of its source and length.
+
+    _sg_all and _sg_target are its source's; a row is taken _sg_copies times, and once more if its rank (among the rows of its
+    source and length, by seeded hash) is below _sg_more.
     """
     spark = docs.sparkSession
-    rows = materialize(sized(docs, seed).select("doc_id", "_sg_source", "_sg_size", "_sg_hash"), "lengths")
-    lengths = materialize(rows.groupBy("_sg_source", "_sg_size").agg(F.count("*").alias("n")), "length_counts")
-    sizes = [(r["_sg_source"], r["size"]) for r in lengths.groupBy("_sg_source").agg(F.sum(F.col("_sg_size") * F.col("n")).alias("size")).collect()]
-    goal = targets(sizes, weights, share, most)
-    size = dict(sizes)
-
-    def ask(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        source = None if pd.isna(key[0]) else key[0]
-        counts = {int(x): int(n) for x, n in zip(pdf["_sg_size"], pdf["n"], strict=True) if x > 0}
-        all_, want = size[source], round(goal[source])
+    rows = materialize(sized(docs, seed).select(F.col("doc_id").alias("_sg_id"), "_sg_source", "_sg_size", "_sg_hash"), "lengths")
+    lengths = materialize(rows.groupBy("_sg_source", "_sg_size").agg(F.count("*").alias("_sg_n")), "length_counts")
+    sizes = [(r["_sg_source"], r["size"]) for r in lengths.groupBy("_sg_source").agg(F.sum(F.col("_sg_size") * F.col("_sg_n")).alias("size")).collect()]
+    size, goal = dict(sizes), targets(sizes, weights, share, most)
+    goals = spark.createDataFrame([(s, size[s], float(t)) for s, t in goal.items()], "_sg_s string, _sg_all long, _sg_target double")
+    of_source = lengths.join(goals, same(lengths, goals, [("_sg_source", "_sg_s")])).drop("_sg_s")
+
+    def ask(pdf: pd.DataFrame) -> pd.DataFrame:
+        counts = {int(x): int(n) for x, n in zip(pdf["_sg_size"], pdf["_sg_n"], strict=True) if x > 0}
+        all_, want = int(pdf["_sg_all"].iloc[0]), round(pdf["_sg_target"].iloc[0])
         copies = want // all_ if all_ else 0
         more = fit(counts, want - copies * all_)
-        return pd.DataFrame({"_sg_source": pdf["_sg_source"], "_sg_size": pdf["_sg_size"], "source_size": all_, "target": goal[source], "copies": copies, "more": [more.get(int(x), 0) for x in pdf["_sg_size"]]})
-
-    asked = lengths.groupBy("_sg_source").applyInPandas(ask, "_sg_source string, _sg_size long, source_size long, target double, copies long, more long")
-    asked = materialize(asked, "asked")
-    some = asked.where("more > 0").select(F.col("_sg_source").alias("_sg_s"), F.col("_sg_size").alias("_sg_n"), "more")
-    order = ranked(rows, ["_sg_source", "_sg_size"], ["_sg_hash", "doc_id"], "_sg_rank")
-    last = order.join(some, same(order, some, [("_sg_source", "_sg_s"), ("_sg_size", "_sg_n")])).where(F.col("_sg_rank") == F.col("more") - 1).select("_sg_s", "_sg_n", F.col("_sg_hash").alias("cut"))
-    return asked.join(last, same(asked, last, [("_sg_source", "_sg_s"), ("_sg_size", "_sg_n")]), "left").select("_sg_source", "_sg_size", "source_size", "target", "copies", "cut")
-
-
-def sized(docs: DataFrame, seed: int) -> DataFrame:
-    """``docs`` with the columns that the plan is made and applied by."""
-    return docs.withColumns({"_sg_source": F.col("source").cast("string"), "_sg_size": word_count(F.col("text").cast("string")), "_sg_hash": F.xxhash64(F.lit(seed), "doc_id")})
+        return pdf.drop(columns="_sg_n").assign(_sg_copies=copies, _sg_more=[more.get(int(x), 0) for x in pdf["_sg_size"]])
 
-
-def mixed(docs: DataFrame, seed: int = 20, **how) -> DataFrame:
-    """``docs`` with _sg_size, source_size, target and taken (words that the mix takes)."""
-    rows = sized(docs, seed)
-    made = materialize(plan(docs, seed=seed, **how), "mix").withColumnsRenamed({"_sg_source": "_sg_s", "_sg_size": "_sg_n", "source_size": "_sg_all", "target": "_sg_target"})
-    joined = rows.join(made, same(rows, made, [("_sg_source", "_sg_s"), ("_sg_size", "_sg_n")]), "left")
-    more = (F.col("_sg_hash") <= F.col("cut")).cast("long")
-    return joined.withColumn("_sg_taken", F.col("_sg_size") * (F.col("copies") + F.coalesce(more, F.lit(0)))).drop("_sg_s", "_sg_n", "_sg_hash", "copies", "cut")
+    fields = "_sg_source string, _sg_size long, _sg_all long, _sg_target double, _sg_copies long, _sg_more long"
+    asked = materialize(of_source.groupBy("_sg_source").applyInPandas(ask, fields), "asked").withColumnsRenamed({"_sg_source": "_sg_s", "_sg_size": "_sg_n"})
+    order = ranked(rows, ["_sg_source", "_sg_size"], ["_sg_hash", "_sg_id"], "_sg_rank")
+    return order.join(asked, same(order, asked, [("_sg_source", "_sg_s"), ("_sg_size", "_sg_n")])).drop("_sg_s", "_sg_n")
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """doc_id, size, source_size, target and taken of every row of ``docs``."""
-    narrow = docs.select("doc_id", "text", "source")
-    return mixed(narrow, **how).select("doc_id", F.col("_sg_size").alias("size"), F.col("_sg_all").alias("source_size"), F.col("_sg_target").alias("target"), F.col("_sg_taken").alias("taken"))
+    """doc_id, size, source_size, target and taken (words that the mix takes) of every row of ``docs``."""
+    taken = F.col("_sg_size") * (F.col("_sg_copies") + (F.col("_sg_rank") < F.col("_sg_more")).cast("long"))
+    return planned(docs.select("doc_id", "text", "source"), **how).select(F.col("_sg_id").alias("doc_id"), F.col("_sg_size").alias("size"), F.col("_sg_all").alias("source_size"), F.col("_sg_target").alias("target"), taken.alias("taken"))
+
 
+def drawn(docs: DataFrame, seed: int = 20, **how) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as the mix takes it, with its columns.
 
-def drawn(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as the mix takes it."""
-    rows = mixed(docs, **how).where("_sg_taken > 0").withColumn("_sg_times", (F.col("_sg_taken") / F.col("_sg_size")).cast("int"))
-    return rows.withColumn("_sg_copy", F.explode(F.sequence(F.lit(1), F.col("_sg_times")))).select(*docs.columns)
+    Rows meet their source's and length's plan by the hash of the last row that it takes once more. Rows that agree in doc_id,
+    text and source share a hash; where the plan takes only some of those, one of them stands for what is taken of them.
+    """
+    keys = ["_sg_source", "_sg_size"]
+    rows = materialize(planned(docs.select("doc_id", "text", "source"), seed=seed, **how), "mix")
+    cut = rows.groupBy(*keys).agg(F.first("_sg_copies").alias("_sg_copies"), F.max(F.when(F.col("_sg_rank") < F.col("_sg_more"), F.col("_sg_hash"))).alias("_sg_cut"))
+    plan = materialize(cut.where("_sg_copies > 0 or _sg_cut is not null").withColumnsRenamed({"_sg_source": "_sg_s", "_sg_size": "_sg_n"}), "cuts")
+    at_cut = rows.join(plan.select("_sg_s", "_sg_n", "_sg_cut"), same(rows, plan, [("_sg_source", "_sg_s"), ("_sg_size", "_sg_n")])).where(F.col("_sg_hash") == F.col("_sg_cut"))
+    some = at_cut.groupBy(*keys).agg(F.count("*").alias("_sg_all"), F.count_if(F.col("_sg_rank") < F.col("_sg_more")).alias("_sg_some")).where("_sg_some < _sg_all")
+    ties = materialize(some.select(F.col("_sg_source").alias("_sg_x"), F.col("_sg_size").alias("_sg_y"), "_sg_some"), "ties")
+
+    met = sized(docs, seed)
+    met = met.join(plan, same(met, plan, [("_sg_source", "_sg_s"), ("_sg_size", "_sg_n")]))
+    met = met.join(ties, same(met, ties, [("_sg_source", "_sg_x"), ("_sg_size", "_sg_y")]), "left")
+    tied = F.col("_sg_some").isNotNull() & (F.col("_sg_hash") == F.col("_sg_cut"))
+    more = F.coalesce(((F.col("_sg_hash") <= F.col("_sg_cut")) & ~tied).cast("long"), F.lit(0))
+    times = lambda df, n: df.where(n > 0).withColumn("_sg_copy", F.explode(F.sequence(F.lit(1), n.cast("int")))).select(*docs.columns)
+    out = times(met, F.when(F.col("_sg_size") > 0, F.col("_sg_copies") + more))
+    if ties.isEmpty():
+        return out
+    one = met.where(tied & (F.col("_sg_size") > 0)).groupBy(*keys).agg(F.first("_sg_some").alias("_sg_some"), F.first(F.struct(*(F.col(c) for c in docs.columns))).alias("_sg_row"))
+    return out.union(times(one.select("_sg_some", "_sg_row.*"), F.col("_sg_some")))

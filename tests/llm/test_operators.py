@@ -101,12 +101,48 @@ def test_sharding(docs, empty):
     assert sharding.shard(empty).count() == 0
 
 
-def test_schedule_is_longest_first():
-    to = sharding.schedule([(5, 1), (4, 2), (3, 3), (3, 4), (3, 5)], 2)
+def loads_of(counts, shards):
+    """Loads of a schedule, from the shard of each rank."""
     loads = Counter()
-    for size, key in [(5, 1), (4, 2), (3, 3), (3, 4), (3, 5)]:
-        loads[to[key]] += size
-    assert sorted(loads.values()) == [8, 10]
+    for size, turns in sharding.schedule(counts, shards).items():
+        assert turns[0][0] == 0
+        for rank in range(counts[size]):
+            first, order = next(t for t in reversed(turns) if t[0] <= rank)
+            loads[order[(rank - first) % len(order)]] += size
+    return loads
+
+
+def test_schedule_is_longest_first():
+    import heapq
+
+    assert sorted(loads_of({5: 1, 4: 1, 3: 3}, 2).values()) == [8, 10]
+    rng = random.Random(6)
+    for _ in range(60):
+        counts = {rng.choice([3, 10, 100, 1000]) * rng.randrange(1, 40): rng.choice([1, 1, 2, 7, 90]) for _ in range(rng.randrange(1, 40))}
+        shards = rng.choice([1, 2, 5, 40])
+        heap = [0] * shards
+        for size in sorted((x for x, n in counts.items() for _ in range(n)), reverse=True):
+            heapq.heapreplace(heap, heap[0] + size)
+        made = loads_of(counts, shards)
+        assert sorted(heap) == sorted(made.get(s, 0) for s in range(shards))
+    # many alike behind one that is very large: no step for each group
+    many = sharding.schedule({10**12: 1, 7: 10**9}, 40)
+    assert len(many[7]) < 100
+
+
+def test_sharding_balances_small_and_hot_groups(spark):
+    rng = random.Random(5)
+    texts = ["hot " * 50] * 900 + [corpus.prose(rng, rng.choice([1, 2, 3, 20, 60])) for _ in range(2000)] + [None, ""]
+    rows = sharding.shard(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 11).collect()
+    groups = Counter()
+    for t in texts:
+        groups[t or ""] += len((t or "").encode()) + 16
+    loads, want = Counter(), loads_of(Counter(groups.values()), 11)
+    for r in rows:
+        loads[r.shard] += r.size
+    assert sorted(loads.values()) == sorted(want.values())
+    for t in ("hot " * 50, ""):
+        assert len({r.shard for r in rows if (texts[r.doc_id] or "") == t}) == 1
 
 
 def test_mixing(docs, empty):
@@ -134,6 +170,32 @@ def test_mixing(docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_counts_rows_of_null_and_repeated_ids(spark):
+    rng = random.Random(2)
+    rows = [(None if i % 6 else i, corpus.prose(rng, 15), "a" if i % 2 else "b", "clash", i) for i in range(60)]
+    rows += [(7, "the same row of seven words here", "c", "clash", k) for k in range(40)] + [(None, "x y", None, "", 0), (None, None, None, "", 0), (1, "", "a", "", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copies string, cut long")
+    made = mixing.mix(docs).collect()
+    assert Counter((r.doc_id, r["size"]) for r in made) == Counter((r[0], len((r[1] or "").split())) for r in rows)
+    all_ = Counter()
+    for r in rows:
+        all_[r[2]] += len((r[1] or "").split())
+    goal, taken, drawn = mixing.targets(list(all_.items())), Counter(), Counter()
+    of = {(n, goal[s]): s for s, n in all_.items()}
+    for r in made:
+        taken[of[r.source_size, r.target]] += r.taken
+        assert r.taken in (0, r["size"], 2 * r["size"])
+    picked = mixing.drawn(docs)
+    assert picked.columns == docs.columns
+    known = Counter(rows)
+    for r, n in Counter(tuple(x) for x in picked.collect()).items():
+        assert r in known
+        drawn[r[2]] += n * len(r[1].split())
+    assert drawn == +taken
+    for s, t in goal.items():
+        assert abs(taken[s] - t) <= 15, (s, taken[s], t)
+
+
 def test_targets_reshare_what_is_above():
     got = mixing.targets([("a", 10), ("b", 100), ("c", 100), (None, 5)])
     assert got["a"] == 20 and got[None] == 10
@@ -167,8 +229,6 @@ def naive_measure(text):
 
 
 def test_fit_looks_over_the_whole_budget_where_lengths_are_long():
-    import random
-
     made = lambda counts, budget: sum(x * n for x, n in mixing.fit(counts, budget).items())
     assert made({30000: 1, 16000: 1, 2000: 1}, 17000) == 16000
     assert made({300000: 1, 160000: 1, 20000: 1}, 170000) == 160000
@@ -403,14 +463,39 @@ def naive_judge(url, rules):
     return host, path, *(max(fits)[2:] if fits else (None, None))
 
 
-@pytest.mark.parametrize("small", [100, 0])
-def test_url_rules(spark, small):
-    rules = [*url_rules.RULES, ("b.example.net", "", "allow"), ("example.net", "/fr/", "block"), ("example.net", "/fr/1", "allow")]
-    pages = spark.createDataFrame(PAGES, "page_id long, url string").withColumn("rule", url_rules.F.lit("clash"))
-    made = url_rules.judge(pages, spark.createDataFrame(rules, "host string, path string, verdict string"), small_rules=small)
+RULE_COLUMNS = "host string, path string, verdict string"
+
+
+@pytest.mark.parametrize("ranges", [1, 5, None])
+def test_url_rules(spark, ranges):
+    rules = [*url_rules.RULES, ("b.example.net", "", "allow"), ("example.net", "/fr/", "block"), ("EXAMPLE.net", "/fr/1", "block"), ("example.net", "/fr/1", "allow")]
+    unsound = [(None, "/", "block"), ("", "/", "block"), ("example.com", None, "block"), ("example.com", "/", None)]
+    pages = spark.createDataFrame(PAGES, "page_id long, url string").withColumns({c: F.lit("clash") for c in ("rule", "key", "cell", "tie", "host", "path", "verdict")})
+    made = url_rules.judge(pages, spark.createDataFrame(rules + unsound, RULE_COLUMNS), ranges=ranges)
     want = Counter()
     for i, u in PAGES:
-        host, path, rule, verdict = naive_judge(u, rules)
+        host, path, rule, verdict = naive_judge(u, [(h.lower(), p, v) for h, p, v in rules])
         want[i, host, path, rule, verdict or "allow"] += 1
     assert Counter(tuple(r) for r in made.collect()) == want
-    assert url_rules.judge(pages.limit(0), spark.createDataFrame(rules, "host string, path string, verdict string"), small_rules=small).count() == 0
+    assert url_rules.judge(pages.limit(0), spark.createDataFrame(rules, RULE_COLUMNS), ranges=ranges).count() == 0
+    none = url_rules.judge(pages, spark.createDataFrame([], RULE_COLUMNS), default="block").collect()
+    assert len(none) == len(PAGES) and {(r.rule, r.verdict) for r in none} == {(None, "block")}
+
+
+def test_url_rules_many_rules_and_a_hot_host(spark):
+    rng = random.Random(4)
+    rules = [(f"h{i % 20_000}.{rng.choice(['com', 'org', 'co.uk'])}", rng.choice(["", "/", "/a/", "/a/b"]), rng.choice(["allow", "block"])) for i in range(60_000)]
+    rules = [(h, p, v) for (h, p), v in {(h, p): v for h, p, v in rules}.items()] + [("hot.com", "/a/", "block"), ("com", "/a", "allow"), ("hot.com", "/a/b/7", "allow")]
+    hosts = ["hot.com", "x.hot.com", *(f"{rng.choice(['', 'www.', 'a.b.'])}h{rng.randrange(21_000)}.{rng.choice(['com', 'org', 'co.uk'])}" for _ in range(1500))]
+    urls = [f"http://{rng.choice(hosts[:2]) if i % 3 == 0 else rng.choice(hosts)}{rng.choice(['', '/', '/a/b/c', f'/a/{i}', f'/a/b/{i}'])}" for i in range(3000)]
+    made = url_rules.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), spark.createDataFrame(rules, RULE_COLUMNS), ranges=37)
+    of_host = defaultdict(list)
+    for h, p, v in rules:
+        of_host[h].append((h, p, v))
+    want = {}
+    for i, u in enumerate(urls):
+        labels = u.split("://")[1].split("/")[0].split(".")
+        near = [r for k in range(len(labels)) for r in of_host[".".join(labels[k:])]]
+        want[i] = naive_judge(u, near)[2:]
+    assert {r.page_id: (r.rule, r.verdict if r.rule else None) for r in made.collect()} == want
+    assert sum(v[0] is not None for v in want.values()) > 500
