@@ -15,7 +15,8 @@
    blocks, on full sets. What is linked there joins the components.
 
 Sorting spreads equal prefixes over partitions, so no region lands in one task;
-pairs over a partition's end are found from its edges. A pair at similarity 0.75
+pairs over partitions' ends are found from their edges, over several short ones
+where need be. A pair at similarity 0.75
 is missed with probability (1 - 0.75^3)^20, 2 in 100,000, and less above it.
 
 Null and empty texts have empty sets and are linked with nothing. Rows with a
@@ -30,6 +31,7 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -233,33 +235,47 @@ def prefixes(classes: DataFrame, depth: int) -> DataFrame:
     return rows.select("tree", F.substring(F.concat("sig", "sig"), start, F.lit(depth * 4)).alias("prefix"), "rep", "n")
 
 
-def candidates(classes: DataFrame) -> DataFrame:
+def seams(sizes: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(seam, part, side) for each partition but the last: whose last rows (side 1) and whose first ones (side 0) are looked at together.
+
+    sizes: partitions in order, and their rows up to EDGE. A seam is named after the partition that its pairs begin in. It
+    reaches back and on until it has EDGE rows on either side, over as many partitions as that takes.
+    """
+    out = []
+    for at in range(len(sizes) - 1):
+        for side, way in ((1, range(at, -1, -1)), (0, range(at + 1, len(sizes)))):
+            rows = 0
+            for k in way:
+                out.append((sizes[at][0], sizes[k][0], side))
+                rows += sizes[k][1]
+                if rows >= EDGE:
+                    break
+    return out
+
+
+def candidates(classes: DataFrame, width: int | None = None) -> DataFrame:
     """Distinct pairs (a < b) of classes (rep, n, sig) that the forest's orders put near each other."""
     spark = classes.sparkSession
     rows = prefixes(classes, DEPTH)
-    width = max(1, min(shuffle_width(classes), classes.count() * TREES // (4 * EDGE)))
+    width = width or max(1, min(shuffle_width(classes), classes.count() * TREES // (4 * EDGE)))
     order = rows.repartitionByRange(width, "tree", "prefix", "rep").sortWithinPartitions("tree", "prefix", "rep")
     bound_batches(order)
     found = materialize(order.mapInArrow(_sweep, "a long, b long, part int, side int, place int, tree int, prefix binary, rep long, n long"), "forest")
-    parts = sorted(r["part"] for r in found.where("side = 1").select("part").distinct().collect())  # one row per partition
-    after = spark.createDataFrame(list(zip(parts[1:], parts, strict=False)) or [], "part int, seam int")
-    ends = found.where("side = 1").withColumn("seam", F.col("part"))
-    begins = found.where("side = 0").join(F.broadcast(after), "part")
-    columns = ["seam", "side", "place", "tree", "prefix", "rep", "n"]
-
-    def over_seam(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values(["side", "place"])
-        cut = int((pdf["side"] == 1).sum())
-        order = Order.of(pa.RecordBatch.from_pandas(pd.concat([pdf[pdf["side"] == 1], pdf[pdf["side"] == 0]])[["tree", "prefix", "rep", "n"]], preserve_index=False))
+    sizes = sorted((r["part"], r["n"]) for r in found.where("side = 0").groupBy("part").agg(F.count("*").alias("n")).collect())  # one row per partition
+    looks = spark.createDataFrame(seams(sizes), "seam int, part int, side int")
+    edges = found.where("part is not null").join(F.broadcast(looks), ["part", "side"])  # a few rows per partition
+
+    def over_seam(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["side", "part", "place"], ascending=[False, True, True])
+        order = Order.of(pa.RecordBatch.from_pandas(pdf[["tree", "prefix", "rep", "n"]], preserve_index=False))
+        own, behind = ((pdf["side"] == 1) & (pdf["part"] == pdf["seam"])).to_numpy(), (pdf["side"] == 0).to_numpy()
         i, j = order.pairs()
-        new = (i < cut) & (j >= cut)
+        new = own[i] & behind[j]
         a, b = order.named(i[new], j[new])
         return pd.DataFrame({"a": a, "b": b})
 
-    seams = ends.select(*columns).union(begins.select(*columns)).groupBy("seam").applyInPandas(over_seam, "a long, b long")
-    return found.where("a is not null").select("a", "b").union(seams).where("a <> b").distinct()
+    met = edges.select("seam", "part", "side", "place", "tree", "prefix", "rep", "n").groupBy("seam").applyInPandas(over_seam, "a long, b long")
+    return found.where("a is not null").select("a", "b").union(met).where("a <> b").distinct()
 
 
 def similar(x: np.ndarray, y: np.ndarray) -> bool:

@@ -392,6 +392,39 @@ def test_crowded_regions_lose_no_link(spark, monkeypatch, block):
     assert {r.doc_id: r.component_id for r in near_dup.groups(docs).collect()} == {i: root for i, _, root in brute_groups(rows)}
 
 
+def test_partitions_of_few_rows_hide_no_pair(spark):
+    rng = random.Random(12)
+    bases = [corpus.prose(rng, 120) for _ in range(3)]
+    rows = [(i, corpus.near(rng, bases[i % 3], rng.choice([1, 3, 6])), *[None] * 7) for i in range(45)]
+    signed = near_dup.signed(spark.createDataFrame(rows, corpus.SCHEMA))
+    classes = materialize(signed.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
+    pairs = lambda width: {tuple(r) for r in near_dup.candidates(classes, width).collect()}
+    alone = pairs(1)
+    assert len(alone) > 100 and pairs(150) == alone and pairs(13) == alone
+
+
+def test_no_link_of_documents_is_lost(spark):
+    """Recall on the corpus, against all pairs that share a shingle."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    holders, size = defaultdict(list), {}
+    for i, t in rows:
+        w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        items = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
+        size[i] = len(items)
+        for x in items:
+            holders[x].append(i)
+    shared = Counter((a, b) for ids in holders.values() for k, a in enumerate(ids) for b in ids[k + 1 :])
+    root = {i: i for i in size}
+    links = [(a, b) for (a, b), n in shared.items() if 100 * n >= 75 * (size[a] + size[b] - n)]
+    for a, b in links:
+        low, high = sorted((root[a], root[b]))
+        if low != high:
+            root = {k: low if v == high else v for k, v in root.items()}
+    assert len(links) > 50
+    got = near_dup.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (size[i], root[i]) for i in size}
+
+
 def test_neighbours_take_whole_small_regions():
     import numpy as np
 
