@@ -6,12 +6,19 @@ depends on it and a few symbols to its left, so that neighbours differ; phrases
 begin at local minima of the labels, and a phrase's name is a hash of its
 symbols. The names are the next level's sequence. Where two texts hold the same
 passage, the parses inside it agree but for a few symbols at its ends, whatever
-stands before it. The fingerprint holds the SKETCH smallest names of the levels
-from 2 up (from 1 up for texts of under SHORT code points), and of the root; the
-likeness of two fingerprints estimates the share of names that both texts have.
+stands before it. The fingerprint holds the SKETCH smallest names of all levels
+up to the root; the likeness of two fingerprints estimates the share of names that
+both texts have.
+
+Documents are put in order by ranges of (doc_id, hash of the text) that hold about
+as many bytes each, however many rows share a doc_id or have none; the first row of
+a range is sent to the range before it as well.
 
 Null texts count as empty; the fingerprint of the empty text is empty and like
-itself alone. Texts that are equal have equal fingerprints.
+itself alone. Texts that are equal have equal fingerprints. Null doc_ids come
+first; rows of one doc_id go by a hash of their texts, and repeated rows are each
+other's next. An empty table gives an empty result. Other columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -25,10 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievegrid.llm.arrow import bound_batches, texts
+from sievegrid.llm.ranges import below, cuts
 from sievegrid.operators.ranking import shuffle_width
 
-SKETCH, SHORT, LEVELS = 64, 64, 40
-CELLS, CHUNK_ROWS, CHUNK_CHARS = 1024, 48, 1 << 17
+SKETCH, LEVELS = 64, 40
+#: Ranges for each shuffle partition at least, and bytes of text of a range and of a partition at most.
+RANGES, RANGE_BYTES, PART_BYTES = 8, 128 << 20, 256 << 20
+CHUNK_ROWS, CHUNK_CHARS = 48, 1 << 17
 _ROUNDS = 3  # after the first: 64-bit names to labels below 128, then 14, 8 and 6
 _LOWEST = np.array([(b & -b).bit_length() - 1 if b else 0 for b in range(256)], np.uint8)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -93,7 +103,7 @@ def sketches(docs: list[str]) -> list[np.ndarray]:
     if len(live):
         codes = np.frombuffer("".join(docs).encode("utf-32-le", "surrogatepass"), np.uint32)
         names, size = _CODES[codes] if codes.max() < len(_CODES) else _mixed(codes.astype(np.uint64) + _ODD), lengths[live]
-        for level in range(1, LEVELS):
+        for _ in range(1, LEVELS):
             first = np.concatenate(([0], np.cumsum(size)[:-1]))
             names, first = _collapsed(names, first)
             label = _labels(names, first)
@@ -110,9 +120,8 @@ def sketches(docs: list[str]) -> list[np.ndarray]:
             size = np.diff(np.searchsorted(starts, first), append=len(starts))
             owner = np.repeat(live, size)
             done = size == 1
-            use = (lengths[owner] < SHORT) | np.repeat(done, size) if level == 1 else np.ones(len(owner), bool)
-            found_doc.append(owner[use])
-            found.append((names[use] >> np.uint64(32)).astype(np.uint32))
+            found_doc.append(owner)
+            found.append((names >> np.uint64(32)).astype(np.uint32))
             if done.all():
                 break
             names, live, size = names[np.repeat(~done, size)], live[~done], size[~done]
@@ -139,27 +148,29 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return sum(v in x and v in y for v in least) / len(least)
 
 
-def successors(docs: DataFrame) -> DataFrame:
+def successors(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """Rows dealt so that each stands directly before its next, by ascending doc_id.
 
-    doc_ids are cut into cells by quantiles; the first row of a cell is sent to
-    the cell before it as well, and the first of all to the last, marked by
-    ``_sg_guest``. Nulls come first; rows of one doc_id go by text.
+    The first row of a range is sent to the range before it as well, and the first of all to the last, marked by
+    ``_sg_guest``. ranges: as many as the texts' bytes ask for, unless given.
     """
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_sg_at"))
-    width = shuffle_width(docs)
-    cells = min(CELLS, 8 * width)
-    cuts = rows.agg(F.min("_sg_at").alias("least"), F.percentile_approx("_sg_at", [k / cells for k in range(1, cells)], 100 * cells).alias("cuts")).first()
-    least = cuts["least"]
-    marks = sorted({c for c in cuts["cuts"] or () if c > least})  # at most CELLS
-    array = F.array(*(F.lit(c) for c in marks)) if marks else F.array().cast("array<bigint>")
-    cell = F.size(F.filter(array, lambda c: c <= F.col("_sg_at")))
-    before = F.when(F.col("_sg_at") == F.lit(least), len(marks)).when(F.array_contains(array, F.col("_sg_at")), cell - 1)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    at, tie = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), F.shiftright(F.xxhash64(text), 1)
+    rows = docs.select("doc_id", text.alias("text"), at.alias("_sg_at"), tie.alias("_sg_tie"))
+    places = rows.select(F.col("_sg_at").alias("key"), F.col("_sg_tie").alias("tie"), F.octet_length("text").alias("weight"))
+    all_ = places.agg(F.count("*").alias("n"), F.sum("weight").alias("bytes"), F.min(F.struct("key", "tie")).alias("first")).first()
+    size, first = all_["bytes"] or 0, tuple(all_["first"] or (0, 0))
+    width = max(shuffle_width(docs), size // PART_BYTES)
+    marks = [m for m in cuts(places, all_["n"], ranges or max(RANGES * width, size // RANGE_BYTES)) if m > first]
+    cell = below(marks, "bigint", F.col("_sg_at"), F.col("_sg_tie"))
+    begins = cell != below(marks, "bigint", F.col("_sg_at"), F.col("_sg_tie") - 1)
+    is_first = (F.col("_sg_at") == F.lit(first[0])) & (F.col("_sg_tie") == F.lit(first[1]))
+    before = F.when(is_first, len(marks)).when(begins, cell - 1)
     stays = F.struct(cell.alias("cell"), F.lit(False).alias("guest"))
     guest = F.struct(before.alias("cell"), F.lit(True).alias("guest"))
     dealt = rows.withColumn("_sg_to", F.explode(F.array_compact(F.array(stays, F.when(before.isNotNull(), guest)))))
-    dealt = dealt.select("doc_id", "text", "_sg_at", F.col("_sg_to.cell").alias("_sg_cell"), F.col("_sg_to.guest").alias("_sg_guest"))
-    return dealt.repartition(width, "_sg_cell").sortWithinPartitions("_sg_cell", "_sg_guest", "_sg_at", "text")
+    dealt = dealt.select("doc_id", "text", "_sg_at", "_sg_tie", F.col("_sg_to.cell").alias("_sg_cell"), F.col("_sg_to.guest").alias("_sg_guest"))
+    return dealt.repartition(width, "_sg_cell").sortWithinPartitions("_sg_cell", "_sg_guest", "_sg_at", "_sg_tie")
 
 
 def _compared(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
@@ -171,7 +182,7 @@ def _compared(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, list[st
             if cell != where:
                 ids, held, chars, where, ended = [], [], 0, cell, False
             if ended:
-                continue  # rows that share the doc_id of the first guest
+                continue  # rows like the first guest
             if guest or len(ids) >= CHUNK_ROWS or chars >= CHUNK_CHARS:
                 if ids:
                     yield ids, [*held, text]
@@ -182,13 +193,13 @@ def _compared(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, list[st
                 chars += len(text)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next.
 
     The edited text has its last quarter replaced by as many first code points of
     the next document, by ascending doc_id (after the last: the first).
     """
-    dealt = successors(docs)
+    dealt = successors(docs, ranges)
     bound_batches(dealt)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

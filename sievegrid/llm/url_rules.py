@@ -18,21 +18,20 @@ are ignored.
 
 from __future__ import annotations
 
-import json
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
-from math import isqrt
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievegrid.llm.arrow import bound_batches
+from sievegrid.llm.ranges import below, cuts
 from sievegrid.operators.ranking import shuffle_width
 from sievegrid.sources.scratch import materialize
 
-#: Ranges for each shuffle partition, and rows for each range that are looked at to cut the ranges. What a page gets doesn't depend on the cuts.
-RANGES, LOOKED_AT = 4, 16
+#: Ranges for each shuffle partition. What a page gets doesn't depend on them.
+RANGES = 4
 _LEAST = -(1 << 63)
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -86,25 +85,6 @@ def key_column(host: Column) -> Column:
     return F.when(host == "", "").otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.", -1)), "\0"), F.lit("\0")))
 
 
-def _cuts(rows: DataFrame, ranges: int) -> list[tuple[str, int]]:
-    """At most ranges - 1 places (key, tie) that cut ``rows`` into about equal parts, from a sample of LOOKED_AT rows for each."""
-    share = min(1.0, ranges * LOOKED_AT / max(rows.count(), 1))
-    seen = sorted((r["key"], r["tie"]) for r in rows.sample(share, seed=7).collect())
-    return sorted({seen[len(seen) * k // ranges] for k in range(1, ranges)}) if seen else []
-
-
-def _below(cuts: list[tuple[str, int]], key: Column, tie: Column) -> Column:
-    """How many of the sorted ``cuts`` are at or below a place, by a look at blocks of cuts and then into one."""
-    if not cuts:
-        return F.lit(0)
-    step = isqrt(len(cuts)) + 1
-    blocks = [[{"k": k, "t": t} for k, t in cuts[at : at + step]] for at in range(0, len(cuts), step)]
-    table = F.from_json(F.lit(json.dumps(blocks)), "array<array<struct<k:string,t:bigint>>>")
-    place = F.struct(key.alias("k"), tie.alias("t"))
-    block = F.size(F.filter(table, lambda b: F.get(b, F.lit(0)) <= place))
-    return F.when(block == 0, 0).otherwise((block - 1) * step + F.size(F.filter(F.get(table, block - 1), lambda c: c <= place)))
-
-
 def _sweep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Judges the pages of sorted ranges; a range's rules of a key stand before the pages of that key and of all below it."""
     sweep, where = Sweep(), None
@@ -138,13 +118,14 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", ranges: in
     sound = sound.groupBy("host", "path").agg(F.max("verdict").alias("verdict")).withColumn("key", key_column(F.col("host")))
     asked = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     asked = materialize(asked.withColumns({"key": key_column(F.col("host")), "tie": F.xxhash64("page_id", "path")}), "asked")
-    cuts = _cuts(asked.select("key", "tie").union(sound.select("key", F.lit(_LEAST))), ranges)
+    places = asked.select("key", "tie").union(sound.select("key", F.lit(_LEAST))).withColumn("weight", F.lit(1))
+    marks = cuts(places, places.count(), ranges)
 
     key, least = F.col("key"), F.lit(_LEAST)
     behind = F.concat(F.substr("key", F.lit(1), F.length("key") - 1), F.lit("\1"))  # the first key behind the rule's interval
-    first, last = _below(cuts, key, least), _below(cuts, behind, least)
+    first, last = below(marks, "string", key, least), below(marks, "string", behind, least)
     sent = sound.select(F.explode(F.sequence(first, last)).alias("cell"), "key", F.lit(False).alias("is_page"), "path", "verdict", F.lit(None).cast("long").alias("page_id"), "host")
-    met = asked.select(_below(cuts, key, F.col("tie")).alias("cell"), "key", F.lit(True).alias("is_page"), "path", F.lit(None).cast("string").alias("verdict"), "page_id", "host")
+    met = asked.select(below(marks, "string", key, F.col("tie")).alias("cell"), "key", F.lit(True).alias("is_page"), "path", F.lit(None).cast("string").alias("verdict"), "page_id", "host")
     dealt = sent.unionByName(met).repartition(width, "cell").sortWithinPartitions("cell", "key", "is_page", "path")
     bound_batches(dealt)
     judged = dealt.mapInArrow(_sweep, "page_id long, host string, path string, rule string, found string")

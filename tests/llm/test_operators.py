@@ -278,28 +278,83 @@ def test_quality_rules_tell_junk_from_a_natural_difference(spark):
     assert len(all_) == 7
 
 
-def test_fingerprints(docs, empty):
-    rows = fingerprints.fingerprints(docs).collect()
-    order = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+def naive_parse(text):
+    """All names of a text's parse, symbol by symbol."""
+    mask, odd = (1 << 64) - 1, 0x9E3779B97F4A7C15
+
+    def mixed(x):
+        for _ in range(2):
+            x = ((x ^ (x >> 32)) * 0xD6E8FEB86659FD93) & mask
+        return x ^ (x >> 32)
+
+    def toss(values):
+        out = []
+        for i, v in enumerate(values):
+            left = values[i - 1] if i else None
+            bit = 0 if left is None else ((v ^ left) & -(v ^ left)).bit_length() - 1
+            out.append(2 * bit + (v >> bit & 1))
+        return out
+
+    names, found = [mixed((ord(c) + odd) & mask) for c in text], set()
+    while names:
+        runs = []
+        for v in names:
+            if runs and runs[-1][0] == v:
+                runs[-1][1] += 1
+            else:
+                runs.append([v, 1])
+        names = [v if n == 1 else mixed(v ^ (n * odd & mask)) for v, n in runs]
+        label = names
+        for _ in range(4):
+            label = toss(label)
+        begins = [0] + [i for i in range(2, len(names) - 1) if label[i] < label[i - 1] and label[i] < label[i + 1]]
+        parts = [names[a:b] for a, b in zip(begins, [*begins[1:], len(names)], strict=True)]
+        names = [mixed((sum(v * pow(odd, k & 63, 1 << 64) for k, v in enumerate(p)) & mask) ^ (len(p) * odd & mask)) for p in parts]
+        found |= {v >> 32 for v in names}
+        if len(names) == 1:
+            break
+    return sorted(found)[:64]
+
+
+def naive_likeness(a, b):
+    least = sorted({*a, *b})[:64]
+    return sum(x in a and x in b for x in least) / len(least) if a and b else float(a == b)
+
+
+@pytest.mark.parametrize("ranges", [None, 1, 500])
+def test_fingerprints(docs, empty, ranges):
+    import xxhash
+
+    def tie(t):
+        h = xxhash.xxh64_intdigest(t.encode(), seed=42)
+        return (h - (1 << 64) if h >> 63 else h) >> 1
+
+    rows = fingerprints.fingerprints(docs, ranges).collect()
+    order = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, tie(r[1] or "")))
     text = [r[1] or "" for r in order]
+    hex_ = lambda names: b"".join(x.to_bytes(4, "big") for x in names).hex()
     want = Counter()
     for i, t in enumerate(text):
-        n = len(t) // 4
-        edited = t[: len(t) - n] + text[(i + 1) % len(text)][:n]
-        want[order[i][0], len(t), hashlib.sha256(edited.encode()).hexdigest()] += 1
-    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in rows) == want
-    by = {r[0]: r[1] or "" for r in ROWS}
-    marks = defaultdict(set)
-    for r in rows:
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
-        marks[by[r.doc_id]].add(r.fingerprint)
-    assert all(len(m) == 1 for m in marks.values())
+        n, after = len(t) // 4, text[(i + 1) % len(text)]
+        edited = t[: len(t) - n] + after[:n]
+        own, other, nxt = naive_parse(t), naive_parse(edited), naive_parse(after)
+        want[order[i][0], len(t), hashlib.sha256(edited.encode()).hexdigest(), hex_(own), hex_(other), naive_likeness(own, other), naive_likeness(own, nxt)] += 1
+    assert Counter(tuple(r) for r in rows) == want
     long = [r for r in rows if r.n_chars > 400 and r.doc_id and r.doc_id < 60 * 7]
     assert min(r.near_edited for r in long) > 0.25
     assert sum(r.near_next for r in long) / len(long) < 0.3
     assert fingerprints.fingerprints(empty).count() == 0
 
 
+def test_fingerprints_of_rows_without_ids(spark):
+    rng = random.Random(9)
+    rows = [(None if i % 3 == 0 else i // 5, corpus.prose(rng, rng.choice([2, 30, 90]))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made = fingerprints.fingerprints(docs, 60).collect()
+    assert Counter((r.doc_id, r.n_chars) for r in made) == Counter((i, len(t)) for i, t in rows)
+    assert max(r["n"] for r in fingerprints.successors(docs, 60).groupBy("_sg_cell").agg(F.count("*").alias("n")).collect()) < 40
+
+
 def test_interiors_agree_whatever_the_offset():
     import random
 
