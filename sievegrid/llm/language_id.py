@@ -7,14 +7,20 @@ Three kinds of evidence are put together as log probabilities:
 * the declared language (a markup's lang, a column), as reliable as it is over
   the corpus;
 * the address: a prior of its host, smoothed towards that of its suffix, and that
-  towards the corpus, from grouped counts of what the texts alone say.
+  towards the corpus, from grouped counts of what the texts alone say. A row's
+  own text is left out of the counts that it is judged by.
 
-The trigram counts are learned from all rows with a declared language. Evidence
-of long texts is limited to TEXT_WORTH trigrams. A row whose best guess is the
-unknown language, or that has no letters, is rejected: predicted is "und".
+The trigram counts are learned from all rows that declare one of the languages
+told apart: those of two or three letters, at most LANGUAGES of them, the ones
+declared most often. Another declaration is no evidence. Evidence of long texts is
+limited to TEXT_WORTH trigrams. A row whose best guess is the unknown language, or
+that has no letters, is rejected: predicted is "und". Where two languages score
+alike the one that is first by its code counts.
 
 Null texts count as empty and are rejected. A null declared language or host is
 no evidence. Repeated rows count each. An empty table gives an empty result.
+Other columns, whatever their names, pass through ``accepted`` and are left out
+elsewhere.
 """
 
 from __future__ import annotations
@@ -26,10 +32,9 @@ from pyspark.sql import functions as F
 
 from sievegrid.llm.arrow import map_slices, texts
 from sievegrid.llm.url_rules import host_of
-from sievegrid.operators.ranking import same
 from sievegrid.sources.scratch import materialize
 
-BUCKETS, TEXT_WORTH, UNKNOWN = 1 << 13, 300, "und"
+BUCKETS, TEXT_WORTH, UNKNOWN, LANGUAGES = 1 << 13, 300, "und", 200
 #: Prior of the unknown language, rows that a suffix's and a host's prior are worth to the level below, and the most that a declaration is trusted.
 UNKNOWN_PRIOR, SUFFIX_WORTH, HOST_WORTH, MOST_TRUST = 1e-4, 20.0, 10.0, 0.99
 
@@ -48,11 +53,19 @@ def trigrams(docs: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return h[inside], starts
 
 
+def declared_language(said: Column) -> Column:
+    """Primary subtag of a declared language, in lower case; empty where there is none of two or three letters."""
+    return F.lower(F.regexp_extract(F.coalesce(said.cast("string"), F.lit("")), "^([A-Za-z]{2,3})(?:[^A-Za-z]|$)", 1))
+
+
 def learn(rows: DataFrame, text: str) -> tuple[list[str], np.ndarray]:
-    """Languages and the log probability of each bucket under each, from rows with a declared language.
+    """Languages and the log probability of each bucket under each, from rows with one of them as _sg_declared.
 
-    What goes to the driver is BUCKETS counts for each declared language.
+    What goes to the driver is BUCKETS counts for each of at most LANGUAGES languages.
     """
+    said = rows.where("_sg_declared <> ''").groupBy("_sg_declared").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_sg_declared").limit(LANGUAGES)
+    langs = sorted(r["_sg_declared"] for r in said.collect())
+    known = frozenset(langs)
 
     def make_counts(batches):
         seen: dict[str, np.ndarray] = {}
@@ -62,7 +75,7 @@ def learn(rows: DataFrame, text: str) -> tuple[list[str], np.ndarray]:
                 declared = part.column("_sg_declared").to_pylist()
                 h, starts = trigrams(texts(part, text))
                 for i, lang in enumerate(declared):
-                    if lang:
+                    if lang in known:
                         seen.setdefault(lang, np.zeros(BUCKETS, np.int64))
                         seen[lang] += np.bincount(h[starts[i] : starts[i + 1]], minlength=BUCKETS)
         for lang, n in seen.items():
@@ -70,10 +83,10 @@ def learn(rows: DataFrame, text: str) -> tuple[list[str], np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(some, pa.int32()), pa.array(n[some])], names=["lang", "bucket", "n"])
 
     counts = rows.mapInArrow(make_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
-    langs = sorted({r["lang"] for r in counts})
+    place = {lang: i for i, lang in enumerate(langs)}
     table = np.full((len(langs), BUCKETS), 0.5)
     for r in counts:
-        table[langs.index(r["lang"]), r["bucket"]] += r["n"]
+        table[place[r["lang"]], r["bucket"]] += r["n"]
     return langs, np.log(table / table.sum(1, keepdims=True)).astype(np.float32)
 
 
@@ -108,61 +121,91 @@ def _best(scores: Column) -> Column:
     return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
 
 
-def identified(df: DataFrame, text: str, declared: Column, host: Column, drop: tuple[str, ...] = ()) -> DataFrame:
-    """``df`` (all columns but ``drop``) with _sg_predicted (a language or "und") and _sg_confidence (its posterior).
+class Evidence:
+    """What the corpus says: languages, their trigram tables, how far declarations are trusted, and counts of hosts."""
+
+    def __init__(self, rows: DataFrame, text: str) -> None:
+        self.langs, self.table = learn(rows.select(text, "_sg_declared"), text)
+        self.count = len(self.langs)
+        self.names = F.array(*map(F.lit, self.langs)) if self.langs else F.array().cast("array<string>")
+
+    def told(self, rows: DataFrame, text: str, drop: tuple[str, ...]) -> DataFrame:
+        """``rows`` with _sg_ll and _sg_vote, the 0-based language that the text alone speaks for (null: none of them)."""
+        df = _with_text_evidence(rows, text, self.langs, self.table, drop)
+        guess = _best(F.col("_sg_ll"))
+        return df.withColumn("_sg_vote", F.when(guess < self.count, guess))
+
+    def count_hosts(self, told: DataFrame) -> None:
+        """Counts votes by host, suffix and in all; sets ``hosts``: _sg_site and an array of counts for it and for its suffix."""
+        votes = told.where("_sg_vote is not null")
+        agreed = F.count_if(F.col("_sg_declared") == F.get(self.names, F.col("_sg_vote")))
+        cells = materialize(votes.groupBy("_sg_host", "_sg_suffix", "_sg_vote").agg(F.count("*").alias("n"), F.count_if(F.col("_sg_declared") != "").alias("said"), agreed.alias("agreed")), "votes")
+        of_all = {r["_sg_vote"]: r for r in cells.groupBy("_sg_vote").agg(*(F.sum(c).alias(c) for c in ("n", "said", "agreed"))).collect()}  # a row for each language
+        self.all = [of_all[i]["n"] if i in of_all else 0 for i in range(self.count)]
+        said, agreed = (sum(r[c] for r in of_all.values()) for c in ("said", "agreed"))
+        self.trust = min(MOST_TRUST, (agreed + 1) / (said + 2))
+        counts = F.map_from_entries(F.collect_list(F.struct("_sg_vote", "n")))  # at most LANGUAGES entries
+        dense = F.transform(F.sequence(F.lit(0), F.lit(self.count - 1)), lambda i: F.coalesce(F.element_at("_sg_map", i), F.lit(0)))
+
+        def by(key: str, out: str) -> DataFrame:
+            sums = cells.groupBy(key, "_sg_vote").agg(F.sum("n").alias("n"), F.min("_sg_suffix").alias("_sg_of"))
+            return sums.groupBy(key).agg(counts.alias("_sg_map"), F.min("_sg_of").alias("_sg_of")).select(F.col(key).alias(f"_sg_{out}"), "_sg_of", dense.alias(f"_sg_n_{out}"))
+
+        sites, ends = by("_sg_host", "site"), by("_sg_suffix", "end").drop("_sg_of")
+        hosts = sites.join(ends, sites["_sg_of"] == ends["_sg_end"]).select("_sg_site", "_sg_n_site", "_sg_n_end")
+        self.hosts = materialize(hosts, "hosts")  # its size is known then, and the join is planned by it
+
+    def fused(self, told: DataFrame) -> DataFrame:
+        """``told`` with _sg_predicted and _sg_confidence."""
+        joined = told.join(self.hosts, told["_sg_host"] == self.hosts["_sg_site"], "left")
+        own = lambda i: F.when(F.col("_sg_vote") == i, 1).otherwise(0)
+        voted = F.when(F.col("_sg_vote").isNotNull(), 1).otherwise(0)
+        all_ = F.array(*(F.lit(n) for n in self.all))
+        sum_of = lambda c: F.coalesce(F.aggregate(c, F.lit(0).cast("long"), lambda acc, x: acc + x), F.lit(0))
+        many = lambda c, i: F.coalesce(F.get(c, i), F.lit(0)) - own(i)
+        totals = {c: sum_of(F.col(c)) for c in ("_sg_n_site", "_sg_n_end")}
+        joined = joined.withColumns({f"{c}_sum": F.greatest(n - voted, F.lit(0)) for c, n in totals.items()})
+        least = lambda x: F.greatest(x, F.lit(0))  # noqa: E731  a host without counts has no vote to leave out
+
+        def prior(i: Column) -> Column:
+            base = (many(all_, i) + 1) / (F.lit(sum(self.all)) - voted + self.count)
+            end = (least(many(F.col("_sg_n_end"), i)) + SUFFIX_WORTH * base) / (F.col("_sg_n_end_sum") + SUFFIX_WORTH)
+            return (least(many(F.col("_sg_n_site"), i)) + HOST_WORTH * end) / (F.col("_sg_n_site_sum") + HOST_WORTH)
+
+        known = F.array_contains(self.names, F.col("_sg_declared"))
+        other = float(np.log((1 - self.trust) / max(self.count - 1, 1) + 1e-9))
+        said = lambda i: F.when(~known, 0.0).when(F.get(self.names, i) == F.col("_sg_declared"), float(np.log(self.trust))).otherwise(other)
+        scores = F.transform(F.sequence(F.lit(0), F.lit(self.count - 1)), lambda i: F.get("_sg_ll", i) + F.log(prior(i)) + said(i))
+        unknown = F.get("_sg_ll", F.lit(self.count)) + float(np.log(UNKNOWN_PRIOR)) + F.when(known, float(np.log(1 / self.count))).otherwise(0.0)
+        scored = joined.withColumn("_sg_scores", F.concat(scores, F.array(unknown)))
+        most = F.array_max("_sg_scores")
+        share = 1.0 / F.aggregate("_sg_scores", F.lit(0.0), lambda acc, x: acc + F.exp(x - most))
+        best = F.get(F.concat(self.names, F.array(F.lit(UNKNOWN))), _best(F.col("_sg_scores")))
+        none = F.col("_sg_ll").isNull()
+        return scored.withColumns({"_sg_predicted": F.when(none, UNKNOWN).otherwise(best), "_sg_confidence": F.when(none, 1.0).otherwise(share)})
+
+
+def _with_keys(df: DataFrame, declared: Column, host: Column) -> DataFrame:
+    site = F.coalesce(host.cast("string"), F.lit(""))
+    return df.withColumns({"_sg_declared": declared_language(declared), "_sg_host": site, "_sg_suffix": F.regexp_extract(site, r"\.([^.]+)$", 1)})
+
+
+def identified(df: DataFrame, text: str, declared: Column, host: Column) -> DataFrame:
+    """``df`` without ``text``, with _sg_predicted (a language or "und") and _sg_confidence (its posterior).
 
-    Texts are read three times (to learn, to count by host, to judge) and never shuffled, unless the table of host
-    priors is too large to be broadcast.
+    Texts are read twice, to learn and to be told by; what they say is written, and meets the counts of hosts without them.
     """
-    site = F.coalesce(host.cast("string"), F.lit(""))
-    said = F.lower(F.regexp_extract(F.coalesce(declared.cast("string"), F.lit("")), "^[A-Za-z]+", 0))
-    rows = df.withColumns({"_sg_declared": said, "_sg_host": site, "_sg_suffix": F.regexp_extract(site, r"\.([^.]+)$", 1)})
-    langs, table = learn(rows.select(text, "_sg_declared"), text)
-    count = len(langs)
-    if not count:
-        return df.withColumns({"_sg_predicted": F.lit(UNKNOWN), "_sg_confidence": F.lit(1.0)}).drop(*drop)
-    told = _with_text_evidence(rows.select(text, "_sg_declared", "_sg_host", "_sg_suffix"), text, langs, table, (text,))
-    guess = _best(F.col("_sg_ll"))
-    names = F.array(*map(F.lit, langs))
-    votes = told.where("_sg_ll is not null").withColumn("k", guess).where(F.col("k") < count)
-    one = [F.sum((F.col("k") == i).cast("long")).alias(f"n{i}") for i in range(count)]
-    trusted = [F.sum((F.col("_sg_declared") != "").cast("long")).alias("said"), F.sum((F.col("_sg_declared") == F.get(names, F.col("k"))).cast("long")).alias("agreed")]
-    hosts = votes.groupBy("_sg_host", "_sg_suffix").agg(*one, *trusted)
-
-    hosts = materialize(hosts, "hosts")
-    sums = [F.sum(f"n{i}").alias(f"n{i}") for i in range(count)]
-    all_ = hosts.agg(*sums, F.sum("said").alias("said"), F.sum("agreed").alias("agreed")).first()
-    total = sum(all_[f"n{i}"] or 0 for i in range(count))
-    base = [((all_[f"n{i}"] or 0) + 1) / (total + count) for i in range(count)]
-    trust = min(MOST_TRUST, ((all_["agreed"] or 0) + 1) / ((all_["said"] or 0) + 2))
-    suffixes = hosts.groupBy("_sg_suffix").agg(*sums)
-
-    def smoothed(df: DataFrame, under: list[Column], worth: float, tag: str) -> DataFrame:
-        n = sum((F.col(f"n{i}") for i in range(1, count)), F.col("n0"))
-        return df.withColumns({f"{tag}{i}": (F.col(f"n{i}") + worth * under[i]) / (n + worth) for i in range(count)})
-
-    by_suffix = smoothed(suffixes, [F.lit(b) for b in base], SUFFIX_WORTH, "s").select(F.col("_sg_suffix").alias("_sg_x"), *(f"s{i}" for i in range(count)))
-    by_host = hosts.join(by_suffix, same(hosts, by_suffix, [("_sg_suffix", "_sg_x")]))
-    by_host = smoothed(by_host, [F.col(f"s{i}") for i in range(count)], HOST_WORTH, "h")
-    prior = by_host.select(F.col("_sg_host").alias("_sg_site"), F.array(*(F.col(f"h{i}") for i in range(count))).alias("_sg_prior"))
-    prior = materialize(prior, "priors")  # its size is known then, and the join is planned by it
-
-    judged = _with_text_evidence(rows, text, langs, table, drop)
-    joined = judged.join(prior, judged["_sg_host"] == prior["_sg_site"], "left")
-    priors = F.coalesce("_sg_prior", F.array(*map(F.lit, base)))
-    known = F.array_contains(names, F.col("_sg_declared"))
-    fused = []
-    for i, lang in enumerate(langs):
-        said_so = F.when(~known, 0.0).when(F.col("_sg_declared") == lang, float(np.log(trust))).otherwise(float(np.log((1 - trust) / max(count - 1, 1) + 1e-9)))
-        fused.append(F.col("_sg_ll")[i] + F.log(priors[i]) + said_so)
-    unsaid = F.when(known, float(np.log(1 / count))).otherwise(0.0)
-    fused.append(F.col("_sg_ll")[count] + float(np.log(UNKNOWN_PRIOR)) + unsaid)
-    posterior = F.array(*fused)
-    most = F.array_max(posterior)
-    share = 1.0 / F.aggregate(posterior, F.lit(0.0), lambda acc, x: acc + F.exp(x - most))
-    best = F.get(F.array(*map(F.lit, [*langs, UNKNOWN])), _best(posterior))
-    out = {"_sg_predicted": F.coalesce(best, F.lit(UNKNOWN)), "_sg_confidence": F.when(F.col("_sg_ll").isNull(), 1.0).otherwise(share)}
-    return joined.withColumns(out).select(*(c for c in df.columns if c not in drop), "_sg_predicted", "_sg_confidence")
+    rows = _with_keys(df, declared, host)
+    seen = Evidence(rows, text)
+    if not seen.count:
+        return df.drop(text).withColumns({"_sg_predicted": F.lit(UNKNOWN), "_sg_confidence": F.lit(1.0)})
+    told = materialize(seen.told(rows, text, (text,)), "told")
+    seen.count_hosts(told)
+    return seen.fused(told).select(*(c for c in df.columns if c != text), "_sg_predicted", "_sg_confidence")
+
+
+def _verdicts(done: DataFrame, *columns: str | Column) -> DataFrame:
+    return done.select(*columns, F.col("_sg_predicted").alias("predicted"), F.col("_sg_confidence").alias("confidence"), (F.col("_sg_predicted") != UNKNOWN).alias("kept"))
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -170,14 +213,23 @@ def identify(docs: DataFrame) -> DataFrame:
 
     The declared language is ``lang``; the source is taken as host.
     """
-    rows = docs.select("doc_id", "text", "lang", "source")
-    done = identified(rows, "text", F.col("lang"), F.col("source"), ("text",))
-    return done.select("doc_id", "lang", F.col("_sg_predicted").alias("predicted"), F.col("_sg_confidence").alias("confidence"), (F.col("_sg_predicted") != UNKNOWN).alias("kept"))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), "lang", "source")
+    return _verdicts(identified(rows, "text", F.col("lang"), F.col("source")), "doc_id", "lang")
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in a known language, with their columns."""
-    return identified(docs, "text", F.col("lang"), F.col("source")).where(F.col("_sg_predicted") != UNKNOWN).select(*docs.columns)
+    """The rows of ``docs`` in a known language, with their columns.
+
+    Texts are read a third time to be judged where they are, so that they aren't shuffled unless the counts of hosts are
+    too many to be broadcast.
+    """
+    rows = _with_keys(docs, F.col("lang"), F.col("source"))
+    narrow = rows.select(F.col("text").cast("string").alias("text"), "_sg_declared", "_sg_host", "_sg_suffix")
+    seen = Evidence(narrow, "text")
+    if not seen.count:
+        return docs.limit(0)
+    seen.count_hosts(seen.told(narrow, "text", ("text",)))
+    return seen.fused(seen.told(rows, "text", ())).where(F.col("_sg_predicted") != UNKNOWN).select(*docs.columns)
 
 
 def identify_pages(pages: DataFrame) -> DataFrame:
@@ -189,5 +241,4 @@ def identify_pages(pages: DataFrame) -> DataFrame:
     lang = F.regexp_extract(html, r"(?i)<html[^>]*\blang\s*=\s*[\"']?([A-Za-z]+)", 1)
     text = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), r"(?s)<[^>]*>", " ")
     rows = pages.select("page_id", text.alias("text"), lang.alias("declared"), host_of(F.col("url")).alias("host"))
-    done = identified(rows, "text", F.col("declared"), F.col("host"), ("text",))
-    return done.select("page_id", "declared", F.col("_sg_predicted").alias("predicted"), F.col("_sg_confidence").alias("confidence"), (F.col("_sg_predicted") != UNKNOWN).alias("kept"))
+    return _verdicts(identified(rows, "text", F.col("declared"), F.col("host")), "page_id", "declared")

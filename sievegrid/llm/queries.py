@@ -22,6 +22,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def page_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 1 over web pages, with real markup, hosts and suffixes."""
+    return language_id.identify_pages(table(spark, sf_dir, "pages"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -60,7 +65,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_fingerprints, op4_mixing, op5_quality, op6_near_dup, op7_quality_rules, op8_packing, op9_sharding, op10_url_rules)}
+    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_fingerprints, op4_mixing, op5_quality, op6_near_dup, op7_quality_rules, op8_packing, op9_sharding, op10_url_rules, page_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:

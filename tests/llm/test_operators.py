@@ -520,6 +520,81 @@ def test_language(docs, empty, spark):
     assert language_id.accepted(docs).columns == docs.columns
 
 
+def naive_language(rows):
+    """(language, posterior) of each (text, declared, host), by plain loops."""
+    import math
+
+    def buckets(text):
+        d, out = (" " + text.lower() + " ").encode(), []
+        for x, y, z in zip(d, d[1:], d[2:], strict=False):
+            h = (x * 0x9E3779B1 + y * 0x85EBCA77 + z * 0xC2B2AE3D) & 0xFFFFFFFF
+            out.append((((h ^ (h >> 15)) * 0x2C1B3C6D) & 0xFFFFFFFF) >> 19)
+        return out
+
+    said = [(m[1].lower() if (m := re.match(r"([A-Za-z]{2,3})(?:[^A-Za-z]|$)", d or "")) else "") for _, d, _ in rows]
+    langs, n = sorted({s for s in said if s}), Counter()
+    grams = [buckets(t or "") for t, _, _ in rows]
+    for s, g in zip(said, grams, strict=True):
+        if s:
+            for x in g:
+                n[s, x] += 1
+    all_ = {lang: sum(v for (s, _), v in n.items() if s == lang) for lang in langs}
+    logs = {lang: [math.log((n[lang, x] + 0.5) / (all_[lang] + 0.5 * 8192)) for x in range(8192)] for lang in langs}
+    likely, votes = [], []
+    for (t, _, _), g in zip(rows, grams, strict=True):
+        worth = min(1.0, 300 / max(len(g), 1))
+        ll = [worth * sum(logs[lang][x] for x in g) for lang in langs] + [-worth * len(g) * math.log(8192)]
+        likely.append(ll if any(map(str.isalpha, t or "")) else None)
+        votes.append(None if likely[-1] is None or max(ll) == ll[-1] > max(ll[:-1]) else ll.index(max(ll)))
+    host = [h or "" for _, _, h in rows]
+    end = [h.rsplit(".", 1)[1] if re.search(r"\.[^.]+$", h) else "" for h in host]
+    agreed = sum(v is not None and langs[v] == s for v, s in zip(votes, said, strict=True))
+    trust = min(0.99, (agreed + 1) / (sum(v is not None and s != "" for v, s in zip(votes, said, strict=True)) + 2))
+    out = []
+    for i, ll in enumerate(likely):
+        if ll is None:
+            out.append(("und", 1.0))
+            continue
+        rest = [(v, host[k], end[k]) for k, v in enumerate(votes) if v is not None and k != i]
+        some = lambda fits: [sum(v == k for v, *at in rest if fits(*at)) for k in range(len(langs))]  # noqa: E731, B023
+        of_all, of_end, of_host = some(lambda *_: True), some(lambda _, e: e == end[i]), some(lambda h, _: h == host[i])  # noqa: B023
+        scores = []
+        for k, lang in enumerate(langs):
+            base = (of_all[k] + 1) / (len(rest) + len(langs))
+            suffix = (of_end[k] + 20 * base) / (sum(of_end) + 20)
+            prior = (of_host[k] + 10 * suffix) / (sum(of_host) + 10)
+            told = 0 if said[i] not in langs else math.log(trust) if said[i] == lang else math.log((1 - trust) / max(len(langs) - 1, 1) + 1e-9)
+            scores.append(ll[k] + math.log(prior) + told)
+        scores.append(ll[-1] + math.log(1e-4) + (math.log(1 / len(langs)) if said[i] in langs else 0))
+        best = scores.index(max(scores))
+        out.append(([*langs, "und"][best], 1 / sum(math.exp(x - max(scores)) for x in scores)))
+    return out
+
+
+def test_language_posteriors(spark):
+    rng = random.Random(14)
+    voices = {"en": corpus.WORDS[:28], "de-DE": corpus.WORDS[20:], "FR": [w[::-1] for w in corpus.WORDS], "english": corpus.WORDS[:28], None: corpus.WORDS, "": ["zz", "qq"]}
+    rows = []
+    for i in range(90):
+        said = rng.choice(list(voices))
+        text = " ".join(rng.choice(voices[said]) for _ in range(rng.choice([1, 2, 5, 40])))
+        rows.append((i, text, said if rng.random() < 0.8 else rng.choice(list(voices)), rng.choice(["a.com", "b.com", "c.org", "d", None, "a."])))
+    rows += [(91, None, "en", "a.com"), (92, "", None, None), (93, "12 ...", "FR", "new.com"), (94, "x" * 2_000_000, "en", "a.com"), (94, "tora", None, None), (None, "tora mena", "en", "new.net")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({"predicted": F.lit(1), "n": F.lit("clash")})
+    made, want = defaultdict(list), defaultdict(list)
+    for r in language_id.identify(docs).collect():
+        assert r.kept == (r.predicted != "und")
+        made[r.doc_id].append((r.predicted, r.confidence))
+    for r, best in zip(rows, naive_language([r[1:] for r in rows]), strict=True):
+        want[r[0]].append(best)
+    assert {k: sorted(x[0] for x in v) for k, v in made.items()} == {k: sorted(x[0] for x in v) for k, v in want.items()}
+    for k, v in want.items():
+        assert sorted(x[1] for x in made[k]) == pytest.approx(sorted(x[1] for x in v), rel=1e-3), k
+    kept = language_id.accepted(docs)
+    assert kept.columns == docs.columns
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(k for k, v in want.items() for x in v if x[0] != "und")
+
+
 def test_language_accuracy_on_documents_and_pages(spark):
     base = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{base}/documents.parquet")
