@@ -13,7 +13,8 @@ _UNSURE = re.compile("[՘֋֌࢏౜೜₏₝-₟꟎-꭭\U00010000-\U0010ffff]")
 #: Fixed value: the published split pattern of byte-level BPE vocabularies of this kind.
 _SPLIT = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 
-CACHE_ENTRIES, CACHE_LONGEST = 600_000, 64
+#: Bytes of each of the two caches, what an entry takes besides its key and ids, and characters of the longest key.
+CACHE_BYTES, ENTRY_BYTES, CACHE_LONGEST = 100 << 20, 200, 64
 _LOADED: dict[str, PreTokens] = {}
 
 
@@ -36,12 +37,26 @@ class _Spaces(Exception):
     """Two spaces meet: pre-tokens there depend on both sides."""
 
 
+class _Cache(dict):
+    """Ids by key, emptied where they would take over CACHE_BYTES; keys of over CACHE_LONGEST characters aren't held."""
+
+    held = 0
+
+    def keep(self, key: str, ids: bytes) -> bytes:
+        if len(key) <= CACHE_LONGEST:
+            self.held += 2 * len(key) + len(ids) + ENTRY_BYTES
+            if self.held > CACHE_BYTES:
+                self.clear()
+                self.held = 0
+            self[key] = ids
+        return ids
+
+
 class PreTokens:
     """Splits texts into pre-tokens and encodes each distinct one once.
 
-    Words between single spaces are looked up whole first. A cache is emptied at
-    CACHE_ENTRIES entries and holds nothing of over CACHE_LONGEST characters, so
-    its memory is bounded.
+    Words between single spaces are looked up whole first. Both caches are bounded
+    in bytes, and live on in the worker from task to task.
     """
 
     def __init__(self, path: str) -> None:
@@ -49,18 +64,14 @@ class PreTokens:
         self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
         model = self.library.model
 
-        class Cache(dict):
+        class Cache(_Cache):
             def __missing__(self, pre: str) -> bytes:
-                ids = packed([x.id for x in model.tokenize(pre.encode("utf-8", "surrogatepass").decode("latin-1").translate(_LETTERS))])
-                if len(pre) <= CACHE_LONGEST:
-                    if len(self) >= CACHE_ENTRIES:
-                        self.clear()
-                    self[pre] = ids
-                return ids
+                letters = pre.encode("utf-8", "surrogatepass").decode("latin-1").translate(_LETTERS)
+                return self.keep(pre, packed([x.id for x in model.tokenize(letters)]))
 
         cache = self.cache = Cache()
 
-        class Words(dict):
+        class Words(_Cache):
             """Ids of a word with the space before it, where both ends of the word are no white space.
 
             No pre-token goes over such a space from the left, so they don't depend on what stands there.
@@ -69,12 +80,7 @@ class PreTokens:
             def __missing__(self, word: str) -> bytes:
                 if not word or word[0].isspace() or word[-1].isspace():
                     raise _Spaces
-                ids = b"".join(map(cache.__getitem__, _SPLIT.findall(" " + word)))
-                if len(word) <= CACHE_LONGEST:
-                    if len(self) >= CACHE_ENTRIES:
-                        self.clear()
-                    self[word] = ids
-                return ids
+                return self.keep(word, b"".join(map(cache.__getitem__, _SPLIT.findall(" " + word))))
 
         self.words = Words()
 

@@ -11,7 +11,10 @@ Mahalanobis distances by those factors, and of the class shares.
 Labels come only from rows that aren't held out. Null and empty texts get the
 score of the labelled mean text. Labels that are null or not 0 or 1 are ignored;
 repeated equal labels count once. With one class or none, every score is the
-smoothed share of class 1. Repeated rows are scored each.
+smoothed share of class 1. Null doc_ids are scored and never held out. Repeated
+rows are scored each, and one whose doc_id is labelled with both classes counts
+for both. An empty table gives an empty result. Other columns, whatever their
+names, pass through ``accepted`` and are left out by ``score``.
 """
 
 from __future__ import annotations

@@ -2,7 +2,8 @@
 
 Tier 1 is a compact table from frequent pre-tokens to their numbers of tokens,
 sent to every worker; tier 2 is a bounded cache in each worker that encodes what
-tier 1 misses. The table is a cache alone: counts don't depend on what it holds.
+tier 1 misses. Words of all documents are counted for the table, in a summary of
+bounded size for each task; counts of tokens don't depend on what it holds.
 
 Null texts count as empty, empty texts have 0 tokens, repeated rows are counted
 each, other columns are ignored and an empty table gives an empty result.
@@ -21,29 +22,33 @@ from pyspark.sql import functions as F
 from sievegrid.llm.arrow import bound_batches, map_slices, slices, texts
 from sievegrid.llm.bpe import loaded
 
-#: Documents whose pre-tokens are counted to choose the frequent ones, and entries of the table. The sample is bounded
-#: because it only decides which pre-tokens skip the second tier.
-SAMPLE_DOCS, TABLE_ENTRIES = 2_000, 16_384
+#: Entries of the table, words that a task's summary holds, and characters of the longest pre-token in the table.
+TABLE_ENTRIES, SUMMARY, LONGEST = 16_384, 1 << 17, 32
 
 
-def frequent_table(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS, entries: int = TABLE_ENTRIES) -> tuple[bytes, bytes]:
-    """The compact table: frequent pre-tokens, joined by NUL and compressed, and one byte for each count.
+def frequent_table(docs: DataFrame, path: str, entries: int = TABLE_ENTRIES) -> tuple[bytes, bytes]:
+    """The compact table: frequent pre-tokens, joined by NUL, and one byte for each one's number of tokens.
 
-    Its size is bounded by ``entries`` pre-tokens of at most 32 characters.
+    Words between single spaces are counted; a task gives its ``entries`` most frequent ones, and a summary that holds
+    2 * SUMMARY words is cut to the SUMMARY most frequent. Only such summaries are shuffled.
     """
-    rows = docs.count()
-    part = docs.select("text").sample(fraction=min(1.0, sample_docs / max(rows, 1)), seed=1)
+    part = docs.select("text")
     bound_batches(part)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pre, seen = loaded(path), Counter()
+        words: Counter[str] = Counter()
         for batch in batches:
             for piece in slices(batch, "text"):
                 for text in texts(piece, "text"):
-                    if pre.plain(text):
-                        seen.update(pre.split(text))
-        top = [(p, n) for p, n in seen.most_common(2 * entries) if len(p) <= 32 and "\0" not in p]
-        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["pre", "n"])
+                    words.update(text.split(" "))
+                if len(words) > 2 * SUMMARY:
+                    words = Counter(dict(words.most_common(SUMMARY)))
+        pre, seen = loaded(path), Counter()
+        for word, n in words.most_common(entries):
+            for p in pre.split(" " + word) if len(word) <= LONGEST and pre.plain(word) else ():
+                if len(p) <= LONGEST and "\0" not in p:
+                    seen[p] += n
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["pre", "n"])
 
     top = part.mapInArrow(count, "pre string, n long").groupBy("pre").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "pre").limit(entries).collect()
     pre = loaded(path)
@@ -56,7 +61,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
 
     path: a tokenizers .json file of a byte-level BPE; executors must see it.
     """
-    table = docs.sparkSession.sparkContext.broadcast(frequent_table(docs, path))
+    table = docs.sparkSession.sparkContext.broadcast(frequent_table(docs.select(F.col("text").cast("string").alias("text")), path))
 
     def make():
         pre = loaded(path)

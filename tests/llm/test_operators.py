@@ -258,9 +258,69 @@ def test_quality_rules(docs, empty):
     assert quality_rules.judge(empty).count() == 0
 
 
-def test_quality_rules_tell_junk_from_a_natural_difference(spark):
-    import random
+def naive_bounds(measures, pairs):
+    """Whether each of ``measures`` passes the bounds, with exact quantiles; and the bounds of pairs, languages and corpus."""
+    import math
+
+    ratios = {"word_length": (1, 0), "symbol_ratio": (2, 1), "dup_line_ratio": (3, 0), "repeat_ratio": (4, 0)}
+    ranks = [0.25, 0.5, *(k / 100 for k in range(51, 100))]
+    passed = [i for i, m in enumerate(measures) if not (m[0] < 50 or 100 * m[4] > 50 * m[0])]
+    ratio = lambda m, part, whole: m[part] / m[whole] if m[whole] else 0.0
+    quantile = lambda xs, r: xs[max(0, math.ceil(r * len(xs) - 1e-9) - 1)]
+
+    def bound(rows, part, whole):
+        xs, sizes = sorted(ratio(measures[i], part, whole) for i in rows), sorted(measures[i][whole] for i in rows)
+        low, middle, *above = (quantile(xs, r) for r in ranks)
+        size = max(1, quantile(sizes, 0.5))
+        reach = max(middle - low, 3 * math.sqrt(middle / size) + 9 / size)
+        for x in above:
+            reach = max(reach, x - middle) if x - middle <= 3 * reach else reach
+        return middle + 3 * reach
+
+    made = {}
+    for name, (part, whole) in ratios.items():
+        of_all = bound(passed, part, whole)
+        for lang, source in {pairs[i] for i in passed}:
+            of_lang = [i for i in passed if pairs[i][0] == lang]
+            of_pair = [i for i in of_lang if pairs[i][1] == source]
+            lang_bound = (len(of_lang) * bound(of_lang, part, whole) + 200 * of_all) / (len(of_lang) + 200)
+            pair_bound = (len(of_pair) * bound(of_pair, part, whole) + 200 * lang_bound) / (len(of_pair) + 200)
+            made[name, lang, source] = min(pair_bound, 2 * lang_bound), lang_bound
+    fits = lambda i, k: all(ratio(measures[i], *ratios[n]) <= made[n, *pairs[i]][k] for n in ratios)
+    return [i in set(passed) and fits(i, 0) for i in range(len(measures))], [i in set(passed) and fits(i, 1) for i in range(len(measures))], made
+
+
+def test_quality_rules_bounds_are_those_of_exact_quantiles(spark):
+    rng, rows = random.Random(21), []
+    for source in ("a", "b", "long", None):
+        for i in range(150 if source == "b" else 70):
+            words = corpus.prose(rng, rng.choice([60, 90, 150])).split(" ")
+            if source == "long":
+                words = [w * 2 if rng.random() < 0.7 else w for w in words]
+            every = rng.choice([2, 3, 4, 9, 30]) if source != "b" else 200
+            text = " ".join(f"{w} #" if k % every == 1 else w for k, w in enumerate(words))
+            if i % 9 == 0:
+                text += "\n" + "\n".join(["one line that is there again"] * rng.choice([1, 2, 3]))
+            rows.append((len(rows), text, "en" if i % 4 else None, source, "clash"))
+    bounds = naive_bounds([naive_measure(r[1]) for r in rows], [(r[2], r[3]) for r in rows])[2]
+    for (name, lang, source), (most, of_language) in bounds.items():
+        if (name, lang, source) == ("symbol_ratio", "en", "b"):  # a text between the bound of its pair and that of its language
+            share = (most + of_language) / 2
+            words = ["".join(rng.choice("abcdefgh") for _ in range(3)) for _ in range(100)]
+            words[0] += "#" * round(300 * share / (1 - share))
+            rows.append((len(rows), " ".join(words), lang, source, "clash"))
+    rows += [(1000, "w" * 30 + " word" * 200, "en", "a", ""), (1001, None, None, None, None), (1002, "", "xx", "a", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n string")
+    measures, pairs = [naive_measure(r[1] or "") for r in rows], [(r[2], r[3]) for r in rows]
+    kept, by_language, made = naive_bounds(measures, pairs)
+    limits = {(r.lang, r.source): r for r in quality_rules.thresholds(materialize(quality_rules.measured(docs), "m")).collect()}
+    for (name, lang, source), (most, _) in made.items():
+        assert limits[lang, source][f"most_{name}"] == pytest.approx(most), (name, lang, source)
+    assert {r.doc_id: r.kept for r in quality_rules.judge(docs).collect()} == {r[0]: k for r, k in zip(rows, kept, strict=True)}
+    assert sum(a != b for a, b in zip(kept, by_language, strict=True)) == 1  # the bound of the pair changes its verdict
+
 
+def test_quality_rules_tell_junk_from_a_natural_difference(spark):
     rng, rows, kinds = random.Random(8), [], {}
     symbols = lambda t, every: " ".join(f"{w} |" if i % every == 0 else w for i, w in enumerate(t.split(" ")))
     for source in ("clean", "other", "natural", "third", "junk", "small"):
@@ -356,7 +416,7 @@ def test_fingerprints_of_rows_without_ids(spark):
 
 
 def test_interiors_agree_whatever_the_offset():
-    import random
+
 
     text = corpus.prose(random.Random(5), 400)
     alone, after = fingerprints.sketches([text, "zz" + text])
@@ -502,6 +562,61 @@ def test_quality(docs, empty, labels):
     assert quality.accepted(docs, labels).columns == docs.columns
 
 
+def test_quality_scores_are_those_of_a_plain_discriminant(docs, labels):
+    import numpy as np
+
+    marked = {r.doc_id: r.quality for r in labels.collect() if r.doc_id is not None and r.quality in (0, 1)}
+    symbols, points = set("#*$%&<>@^~=+_\\{}[]`"), set(".,;:?'\"-()")
+
+    def statistics(text):
+        kinds, lines, words = Counter(), [x for x in text.split("\n") if x and not x.isspace()], text.split()
+        for c in text:
+            if ord(c) >= 0x3000:
+                kinds["lower"] += 1
+                continue
+            kind = "line_end" if c == "\n" else "space" if c in " \t\v\f\r" else "symbol" if c in symbols else "pipe" if c == "|" else "exclaim" if c == "!" else "point" if c in points else None
+            kinds[kind or ("digit" if c.isdigit() else "upper" if c.isupper() else "lower" if c.isalpha() else "other")] += 1
+        triples = list(zip(words, words[1:], words[2:], strict=False)) if len(words) > 3 else []
+        return dict(kinds) | {"chars": len(text), "words": len(words), "distinct": len(set(words)), "adjacent": sum(a == b for a, b in zip(words, words[1:], strict=False)), "lines": len(lines), "dup_lines": len(lines) - len(set(lines)), "triples": len(triples) - len(set(triples))}
+
+    rows = [(r[0], statistics(r[1] or "")) for r in ROWS]
+    fold = [(s, marked[i]) for i, s in rows if i in marked and zlib.crc32(str(i).encode()) % 4 != 2]
+    mean = Counter()
+    for s, y in fold:
+        if y == 1:
+            mean.update(s)
+    letters = lambda s: s.get("upper", 0) + s.get("lower", 0) + s.get("other", 0)
+
+    def features(s):
+        out = []
+        for part, whole, w in quality.RATIOS:
+            share = mean[part] / max(mean[whole], 1)
+            out.append(np.arcsin(np.sqrt(min(1, (s.get(part, 0) + w * share) / (s[whole] + w)))))
+        return np.array([*out, np.log((letters(s) + 60 * letters(mean) / max(mean["words"], 1)) / (s["words"] + 60)), np.log((s["distinct"] + 20) / (s["words"] + 20) ** 0.8)])
+
+    x, y = np.array([features(s) for s, _ in fold]), np.array([k for _, k in fold])
+    cov = [np.cov(x[y == c].T, bias=True) for c in (0, 1)]
+    pooled = sum((y == c).mean() * np.diag(cov[c]) for c in (0, 1))
+    floor = np.maximum(pooled, 1e-3 * pooled.max())
+    density = []
+    for c in (0, 1):
+        sigma = 0.9 * cov[c] + 0.1 * np.diag(floor) + 1e-3 * np.diag(floor)
+        inverse, (_, log_det) = np.linalg.inv(sigma), np.linalg.slogdet(sigma)
+        density.append(lambda v, m=x[y == c].mean(0), i=inverse, d=log_det: -0.5 * (v - m) @ i @ (v - m) - 0.5 * d)
+    share = (y.sum() + 1) / (len(y) + 2)
+    got = defaultdict(list)
+    for r in quality.score(docs, labels).collect():
+        got[r.doc_id].append(r.score)
+    want = defaultdict(list)
+    for i, s in rows:
+        v = features(s)
+        logit = np.log(share / (1 - share)) + 0.5 * (density[1](v) - density[0](v))
+        want[i].append(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
+    assert got.keys() == want.keys()
+    for i, scores in want.items():
+        assert sorted(got[i]) == pytest.approx(sorted(scores), abs=1e-6), i
+
+
 def test_quality_held_out_accuracy(spark):
     base = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{base}/{t}.parquet") for t in ("documents", "labels"))
@@ -662,3 +777,29 @@ def test_url_rules_many_rules_and_a_hot_host(spark):
         want[i] = naive_judge(u, near)[2:]
     assert {r.page_id: (r.rule, r.verdict if r.rule else None) for r in made.collect()} == want
     assert sum(v[0] is not None for v in want.values()) > 500
+
+
+def test_texts_of_over_a_megabyte_are_read_whole(spark, labels):
+    rng = random.Random(17)
+    long = corpus.prose(rng, 300_000)
+    docs = materialize(spark.createDataFrame([(1, long, "en", "a"), (2, long[:-40] + " another end", "en", "a"), (3, None, None, None), (4, "short text", "en", "b")], "doc_id long, text string, lang string, source string"), "long")
+    by = lambda df: {r.doc_id: r for r in df.collect()}
+    assert len(long) > 1 << 20
+    words = len(long.split())
+    assert by(quality_rules.judge(docs))[1].n_words == words
+    assert by(mixing.mix(docs))[1]["size"] == words
+    groups = by(near_dup.groups(docs))
+    assert groups[1].n_shingles > 100_000 and groups[2].component_id == 1 and groups[3].n_shingles == 0
+    marks = by(fingerprints.fingerprints(docs))
+    assert marks[1].n_chars == len(long) and marks[1].near_next > 0.9 and 0.3 < marks[2].near_edited < 1
+    counts = by(token_counts.token_counts(docs, PATH))
+    assert counts[1].n_tokens == len(Tokenizer.from_file(PATH).encode(long, add_special_tokens=False).ids)
+    packed = Counter()
+    for r in packing.pack(docs, PATH).collect():
+        packed[r.doc_id] += r.length
+    assert packed == {i: c.n_tokens + 1 for i, c in counts.items()}
+    assert by(sharding.shard(docs))[1].text_crc32 == zlib.crc32(long.encode())
+    assert 0 <= by(quality.score(docs, labels))[1].score <= 1
+    assert by(language_id.identify(docs))[1].predicted == "en"
+    url = "http://a.example.com/" + "x" * 2_000_000
+    assert by(url_rules.judge(spark.createDataFrame([(1, url)], "page_id long, url string"), spark.createDataFrame(url_rules.RULES, RULE_COLUMNS)).withColumnRenamed("page_id", "doc_id"))[1].rule == "com/"
