@@ -41,25 +41,39 @@ def bump_severity(severity: Column, steps: Column | int, least: str = "low") ->
     return F.element_at(names, (F.least(rank + steps, floor) + 1).cast("int"))
 
 
-#: What changes a score, in this order. Each is a name, a factor and the flag column that it needs.
+#: What changes a score, in this order: its name, its factor, the flag that it needs, and one that rules it out.
 MULTIPLIERS = (
-    ("live_credential", 1.3, "is_live"), ("revoked_credential", 0.35, "is_revoked"), ("history_only", 0.75, "is_history_only"), ("client_exposed", 1.2, "is_client_exposed"),
-    ("reachable", 1.15, "is_reachable"), ("transitive_unknown", 0.85, "is_transitive_unknown"), ("unreachable", 0.45, "is_unreachable"), ("dev_dependency", 0.6, "is_dev"),
-    ("public_route", 1.2, "is_public_route"), ("entrypoint", 1.1, "is_entrypoint"), ("non_production_code", 0.4, "is_non_production"), ("generated_code", 0.7, "is_generated"),
-    ("medium_confidence", 0.9, "is_medium_confidence"), ("low_confidence", 0.7, "is_low_confidence"), ("ai_unreviewed", 0.95, "is_ai_unreviewed"),
+    ("live_credential", 1.3, "is_live", None), ("revoked_credential", 0.35, "is_revoked", None), ("history_only", 0.75, "is_history_only", "is_live"),
+    ("client_exposed", 1.2, "is_client_exposed", None), ("reachable", 1.15, "is_reachable", None), ("transitive_unknown", 0.85, "is_transitive_unknown", None),
+    ("unreachable", 0.45, "is_unreachable", None), ("dev_dependency", 0.6, "is_dev", None), ("public_route", 1.2, "is_public_route", None),
+    ("entrypoint", 1.1, "is_entrypoint", "is_public_route"), ("non_production_code", 0.4, "is_non_production", None),
+    ("generated_code", 0.7, "is_generated", "is_non_production"), ("medium_confidence", 0.9, "is_medium_confidence", None),
+    ("low_confidence", 0.7, "is_low_confidence", None), ("ai_unreviewed", 0.95, "is_ai_unreviewed", None),
 )
 LEAST_VISIBLE = 2
 
 
+def _steps(flags: dict[str, Column]) -> list[tuple[str, Column]]:
+    """Name and factor (1 where it doesn't hold) of each multiplier whose flag is among ``flags``."""
+    holds = lambda f: F.coalesce(flags[f], F.lit(False)) if f in flags else F.lit(False)
+    return [(name, F.when(holds(flag) & ~holds(unless) if unless else holds(flag), F.lit(m)).otherwise(1.0)) for name, m, flag, unless in MULTIPLIERS if flag in flags]
+
+
+def _impact(base_severity: Column, cvss: Column) -> Column:
+    return F.greatest(F.element_at(literal_map(IMPACT), base_severity), F.coalesce(cvss * 10, F.lit(0.0)))
+
+
 def risk(base_severity: Column, cvss: Column, flags: dict[str, Column]) -> Column:
-    """struct<score: double, factors: array<struct<factor, effect>>>: the multipliers whose flag holds, applied in order.
+    """Score from 0 to 100: the impact times the multipliers whose flag holds, capped at each step. A flat expression."""
+    score = _impact(base_severity, cvss)
+    for _, factor in _steps(flags):
+        score = F.least(F.lit(100.0), score * factor)
+    return half_up(score).cast("double")
 
-    The score is capped at 100 at each step; a factor is listed if its rounded effect is at least LEAST_VISIBLE.
-    """
-    impact = F.element_at(literal_map(IMPACT), base_severity)
-    start = F.greatest(impact, F.coalesce(cvss * 10, F.lit(0.0)))
-    steps = F.array(*(F.struct(F.lit(n).alias("factor"), F.when(F.coalesce(flags[f], F.lit(False)), F.lit(m)).otherwise(1.0).alias("m")) for n, m, f in MULTIPLIERS if f in flags))
-    steps = steps.cast("array<struct<factor:string,m:double>>")
+
+def risk_factors(base_severity: Column, cvss: Column, flags: dict[str, Column]) -> Column:
+    """array<struct<factor, effect>>: what each multiplier changed, if the rounded change is at least LEAST_VISIBLE."""
+    steps = F.array(*(F.struct(F.lit(name).alias("factor"), factor.alias("m")) for name, factor in _steps(flags)))
     none = F.array().cast("array<struct<factor:string,effect:double>>")
 
     def step(acc: Column, x: Column) -> Column:
@@ -68,8 +82,30 @@ def risk(base_severity: Column, cvss: Column, flags: dict[str, Column]) -> Colum
         seen = F.when(F.abs(effect) >= LEAST_VISIBLE, F.array(F.struct(x["factor"].alias("factor"), effect.alias("effect")))).otherwise(none)
         return F.struct(after.alias("score"), F.concat(acc["factors"], seen).alias("factors"))
 
-    folded = F.aggregate(steps, F.struct(start.alias("score"), none.alias("factors")), step)
-    return F.struct(half_up(folded["score"]).cast("double").alias("score"), folded["factors"].alias("factors"))
+    return F.aggregate(steps, F.struct(_impact(base_severity, cvss).alias("score"), none.alias("factors")), step)["factors"]
+
+
+def file_context(path: Column) -> Column:
+    """test, example, docs, generated or source, by the first that the path fits."""
+    dirs = lambda *names: rf"(?i)(^|/)({'|'.join(names)})/"
+    test = path.rlike(dirs("test", "__tests__", "fixtures")) | path.rlike(r"(?i)(^|/)(test|__tests__)$|\.(test|spec)\.[^./]+$")
+    docs = path.rlike(dirs("docs")) | path.rlike(r"(?i)\.md$")
+    return F.when(test, "test").when(path.rlike(dirs("examples?")), "example").when(docs, "docs").when(path.rlike(dirs("vendor")), "generated").otherwise("source")
+
+
+def risk_flags(finding: Column, factors: Column, entrypoint: Column, public_route: Column) -> dict[str, Column]:
+    """The flags of ``risk`` from a finding's fields and the names of its factors.
+
+    finding: struct of file, confidence, liveness, history_only, reachability, scope and direct.
+    """
+    has = lambda *names: F.arrays_overlap(factors, F.array(*map(F.lit, names)))
+    context = file_context(finding["file"])
+    return {
+        "is_live": finding["liveness"] == "live", "is_revoked": finding["liveness"] == "revoked", "is_history_only": finding["history_only"], "is_client_exposed": has("client_exposed"),
+        "is_reachable": finding["reachability"] == "reachable", "is_transitive_unknown": (finding["reachability"] == "unknown") & ~finding["direct"], "is_unreachable": finding["reachability"] == "unreachable",
+        "is_dev": finding["scope"] == "dev", "is_public_route": public_route, "is_entrypoint": entrypoint, "is_non_production": context.isin("test", "example", "docs"), "is_generated": context == "generated",
+        "is_medium_confidence": finding["confidence"] == "medium", "is_low_confidence": finding["confidence"] == "low", "is_ai_unreviewed": has("ai_unreviewed", "skeptic_unreviewed"),
+    }
 
 
 def guarded(score: Column, malicious: Column, refuted: Column, live: Column) -> Column:

@@ -35,6 +35,11 @@ def file_metrics(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.size(rows).alias("lines"), code.alias("code_lines"), todo.alias("todos"), F.when(code > 0, todo / code).otherwise(0.0).alias("todo_density"), longest.alias("longest_line"))
 
 
+def equal_texts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """digest, first (least key) and n of each text that is there more than once; null texts are left out."""
+    return df.where(F.col(text).isNotNull()).groupBy(F.sha2(text, 256).alias("digest")).agg(F.min(key).alias("first"), F.count("*").alias("n")).where("n > 1")
+
+
 def duplicate_blocks(df: DataFrame, key: str, text: str, size: int = 6) -> DataFrame:
     """file_a, start_a, file_b, start_b and length of stretches of at least ``size`` equal lines, each taken with the first place that has it.
 

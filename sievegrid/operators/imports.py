@@ -28,6 +28,11 @@ def py_imports(file_lines: DataFrame) -> DataFrame:
     return file_lines.select("file", "line", F.explode(specs).alias("spec"))
 
 
+def page_links(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """key and target of each different link of a page to a path of its own site."""
+    return pages.select(key, F.explode(F.regexp_extract_all(html, F.lit('<a href="(/[^"]*)"'), F.lit(1))).alias("target")).distinct()
+
+
 def normal_path(path: Column) -> Column:
     """Path without ``.`` and ``..``; null if it leaves the root."""
     none = F.array().cast("array<string>")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievegrid.functions.text import jaccard, words_of
 from sievegrid.operators.search import latest_per
+from sievegrid.sources.scratch import materialize
 
 LINE_SLACK, RULE_LIKENESS, TITLE_LIKENESS, GENERIC_TITLE_LIKENESS = 3, 0.5, 0.6, 0.8
 #: Rule tails that say nothing, and categories whose text a model writes.
@@ -47,23 +49,29 @@ def same_issue(a: str, b: str) -> Column:
 def fuzzy_matches(base: DataFrame, head: DataFrame) -> DataFrame:
     """head_id and base_id, one to one: pairs of same_issue, closest lines first, then by head and base order.
 
-    Pairs are made by an equi join on category and file; the greedy choice runs for each file alone.
+    Pairs are made by an equi join on category and file, and chosen in rounds.
     """
     columns = ["id", "ord", "category", "file", "start", "end", "cwe", "tail", "title"]
     b, h = (d.select(*(F.col(c).alias(f"{t}_{c}") for c in columns)) for d, t in ((base, "b"), (head, "h")))
     pairs = h.join(b, (F.col("h_category") == F.col("b_category")) & (F.col("h_file") == F.col("b_file"))).where(same_issue("h", "b"))
-    pairs = pairs.select("h_file", "h_id", "b_id", "h_ord", "b_ord", F.abs(F.col("h_start") - F.col("b_start")).alias("distance"))
+    pairs = pairs.select(F.col("h_id").alias("head_id"), F.col("b_id").alias("base_id"), F.struct(F.abs(F.col("h_start") - F.col("b_start")), F.col("h_ord"), F.col("b_ord")).alias("order"))
+    return greedy_pairs(pairs, "head_id", "base_id", "order")
+
 
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        heads, bases, out = set(), set(), []
-        for r in pdf.sort_values(["distance", "h_ord", "b_ord"]).itertuples():
-            if r.h_id not in heads and r.b_id not in bases:
-                heads.add(r.h_id)
-                bases.add(r.b_id)
-                out.append((r.h_id, r.b_id))
-        return pd.DataFrame(out, columns=["head_id", "base_id"])
+def greedy_pairs(pairs: DataFrame, left: str, right: str, order: str) -> DataFrame:
+    """left and right, one to one: the pairs that a walk over all of them by ``order`` (which tells pairs apart) takes.
 
-    return pairs.groupBy("h_file").applyInPandas(greedy, "head_id string, base_id string")
+    In each round a pair that is first at both of its ends is taken, and all other pairs of its ends go. Rounds are
+    written to scratch, and no task holds a file or a component.
+    """
+    open_, taken = materialize(pairs.select(left, right, order), "pairs"), [pairs.select(left, right).limit(0)]
+    while not open_.isEmpty():
+        first = lambda c: open_.groupBy(c).agg(F.min(order).alias(f"_sg_{c}"))  # noqa: E731, B023
+        best = open_.join(first(left), left).join(first(right), right).where((F.col(order) == F.col(f"_sg_{left}")) & (F.col(order) == F.col(f"_sg_{right}")))
+        won = materialize(best.select(left, right), "taken")
+        taken.append(won)
+        open_ = materialize(open_.join(won.select(left), left, "left_anti").join(won.select(right), right, "left_anti").select(left, right, order), "open")
+    return reduce(DataFrame.union, taken)
 
 
 def matches(base: DataFrame, head: DataFrame) -> DataFrame:
@@ -89,6 +97,19 @@ def suppressed(findings: DataFrame, suppressions: DataFrame, now: Column) -> Dat
     return asked.join(live, "key").groupBy("id").agg(F.min_by("status", "pos").alias("status"))
 
 
+def diff(base: DataFrame, head: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and status of the distinct keys of both: added, fixed (only in base) or unchanged; null keys are equal."""
+    side = lambda df, n: df.select(*keys, F.lit(n).alias("_sg_side"))
+    both = side(base, 1).union(side(head, 2)).groupBy(*keys).agg(F.bit_or("_sg_side").alias("_sg_side"))
+    return both.select(*keys, F.when(F.col("_sg_side") == 3, "unchanged").when(F.col("_sg_side") == 2, "added").otherwise("fixed").alias("status"))
+
+
+def covered(rows: DataFrame, coverage: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with covered: whether ``coverage`` has their keys."""
+    marks = coverage.select(*keys).distinct().withColumn("_sg_covered", F.lit(True))
+    return rows.join(marks, keys, "left").select(*rows.columns, F.coalesce("_sg_covered", F.lit(False)).alias("covered"))
+
+
 def first_of(df: DataFrame, key: str, ordinal: str) -> DataFrame:
     """The first row of each key."""
     return latest_per(df, [key], [F.col(ordinal)])

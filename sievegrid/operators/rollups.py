@@ -11,6 +11,11 @@ def crosstab(df: DataFrame, row: str, column: str, domain: list[str]) -> DataFra
     return df.groupBy(row).pivot(column, domain).agg(F.count(F.lit(1))).na.fill(0)
 
 
+def call_counts(df: DataFrame, by: list[str], sums: list[str] | None = None) -> DataFrame:
+    """n, and the sum of each of ``sums``, of each combination of ``by``."""
+    return df.groupBy(*by).agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in sums or ()))
+
+
 def call_sums(calls: DataFrame, by: str) -> DataFrame:
     """Calls, failures, tokens and cost, by ``by`` and in total (null)."""
     cost = F.round(F.coalesce(F.sum("cost_usd"), F.lit(0.0)), 9)
@@ -47,7 +52,7 @@ def merged_ranges(df: DataFrame, key: str, start: str, end: str, gap: int = 1) -
 def cost_usd(calls: DataFrame, prices: DataFrame) -> DataFrame:
     """Adds cost_usd: tokens at the model's price for a million; an unknown model takes the highest price of each kind."""
     top = prices.agg(*(F.max(c).alias(f"_sg_top_{c}") for c in ("input_price", "output_price")))
-    priced = calls.join(F.broadcast(prices), "model", "left").crossJoin(F.broadcast(top))  # one row for each model, and one
+    priced = calls.join(prices, "model", "left").crossJoin(top)  # the latter is one row
     part = lambda kind: F.col(f"{kind}_tokens") * F.coalesce(f"{kind}_price", f"_sg_top_{kind}_price")
     return priced.withColumn("cost_usd", (part("input") + part("output")) / 1e6).select(*calls.columns, "cost_usd")
 

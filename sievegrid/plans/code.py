@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievegrid.functions import text as tx
-from sievegrid.operators import code_text, graph
+from sievegrid.operators import code_text, dependencies, graph, imports, matching, rollups
 from sievegrid.plans.registry import query
 from sievegrid.sources.tables import table
 
@@ -36,8 +36,7 @@ def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT sha256(text) AS digest, min(doc_id) AS first_doc, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
 def duplicate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("text is not null")
-    return docs.groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")).where("n > 1")
+    return code_text.equal_texts(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("first", "first_doc")
 
 
 @query("SELECT DISTINCT doc_id, t AS token, '…' || right(t, 4) AS redacted FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\b[0-9a-f]{40}\\b')) AS t FROM documents)")
@@ -64,17 +63,18 @@ def title_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH h AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages)
+    WITH h AS (SELECT page_id, lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) AS host FROM pages)
     SELECT host, count(*) AS n FROM h GROUP BY host""")
 def url_host(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("host")).groupBy("host").agg(F.count("*").alias("n"))
+    hosts = table(spark, sf_dir, "pages").select(dependencies.source_host(F.col("url")).alias("host"))
+    return rollups.call_counts(hosts, ["host"])
 
 
 _LINKS = "links AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '<a href=\"(/[^\"]*)\"', 1)) AS target FROM pages)"
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="(/[^"]*)"'), F.lit(1))).alias("target")).distinct()
+    return imports.page_links(table(spark, sf_dir, "pages"), "page_id", "html")
 
 
 @query(f"WITH {_LINKS} SELECT page_id, target FROM links")
@@ -94,14 +94,21 @@ def reach_depth2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT role, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY role")
 def role_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    turns = table(spark, sf_dir, "conversations").select("role", F.length("text").alias("chars"))
+    return rollups.call_counts(turns, ["role"], ["chars"])
 
 
 @query("""
-    SELECT quality, count(*) AS expected, count(*) FILTER (doc_id IN (SELECT doc_id FROM documents WHERE text LIKE '%|%' OR regexp_matches(text, '[#*$%&]{3}'))) AS found FROM labels GROUP BY quality""")
-def recall_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    odd = table(spark, sf_dir, "documents").where(F.contains("text", F.lit("|")) | F.col("text").rlike("[#*$%&]{3}")).select("doc_id", F.lit(1).alias("hit"))
-    return table(spark, sf_dir, "labels").join(odd, "doc_id", "left").groupBy("quality").agg(F.count("*").alias("expected"), F.count("hit").alias("found"))
+    WITH l AS (SELECT doc_id, i AS line, x[i] AS content FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents))),
+    f AS (SELECT doc_id, line, CASE WHEN contains(content, '|') THEN 'noise' ELSE 'symbols' END AS tail FROM l WHERE contains(content, '|') OR regexp_matches(content, '[#*$%&]{3}'))
+    SELECT CAST(doc_id AS VARCHAR) AS expected_id, CAST(quality AS VARCHAR) AS category, EXISTS (SELECT 1 FROM f WHERE f.doc_id = labels.doc_id AND f.line <= 4 AND f.tail = 'noise') AS found FROM labels""")
+def recall_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels as expected findings near a text's second line, and odd lines as what was found."""
+    rows = code_text.lines(table(spark, sf_dir, "documents"), "doc_id", "text").where(F.contains("content", F.lit("|")) | F.col("content").rlike("[#*$%&]{3}"))
+    found = rows.select(F.col("doc_id").cast("string").alias("file"), F.col("line").alias("start"), F.col("line").alias("end"), F.lit(None).cast("string").alias("cwe"), F.when(F.contains("content", F.lit("|")), "noise").otherwise("symbols").alias("tail"))
+    doc = F.col("doc_id").cast("string")
+    wanted = table(spark, sf_dir, "labels").select(doc.alias("expected_id"), F.col("quality").cast("string").alias("category"), doc.alias("file"), F.lit(2).alias("line"), F.lit(2).alias("line_tolerance"), F.lit("CWE-0").alias("cwe"), F.lit("noise").alias("rule_hint"))
+    return matching.recall(wanted, found)
 
 
 @query()

@@ -23,8 +23,7 @@ def import_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
     WITH l AS (SELECT page_id, unnest(regexp_split_to_array(coalesce(html, ''), '\\r?\\n')) AS content, generate_subscripts(regexp_split_to_array(coalesce(html, ''), '\\r?\\n'), 1) AS line FROM pages),
     h AS (SELECT page_id, CAST(line AS INTEGER) AS line, CASE WHEN regexp_matches(content, '<script\\b') THEN 'web/script' WHEN regexp_matches(content, '<!--') THEN 'web/comment' WHEN regexp_matches(content, '(?i)<a href="/t') THEN 'web/link' END AS rule_id FROM l)
-    SELECT page_id AS file, line, rule_id, CASE rule_id WHEN 'web/script' THEN 'high' WHEN 'web/comment' THEN 'low' ELSE 'medium' END AS severity FROM h WHERE rule_id IS NOT NULL
-    QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY line) <= 15""")
+    SELECT page_id AS file, line, rule_id, CASE rule_id WHEN 'web/script' THEN 'high' WHEN 'web/comment' THEN 'low' ELSE 'medium' END AS severity FROM h WHERE rule_id IS NOT NULL""")
 def line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = code_text.lines(table(spark, sf_dir, "pages"), "page_id", "html").withColumnRenamed("page_id", "file")
     return review.rule_hits(rows, (("web/script", "high", r"<script\b"), ("web/comment", "low", "<!--"), ("web/link", "medium", '(?i)<a href="/t')))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievegrid.operators import events as log
@@ -47,14 +47,18 @@ def stage_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_SEQ} SELECT user_id, event_type, count(*) AS n, max(seq) AS last_seq, round(sum(value), 4) AS total FROM seq GROUP BY ALL")
 def lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, sf_dir).groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.max("seq").alias("last_seq"), F.round(F.sum("value"), 4).alias("total"))
+    return log.lanes(_events(spark, sf_dir), "user_id", "event_type", "seq", "value").withColumn("total", F.round("total", 4))
 
 
 @query(f"""
-    WITH {_SEQ}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id, floor(at_ms / 86400000.0) ORDER BY at_ms, seq) AS a, row_number() OVER (PARTITION BY user_id ORDER BY at_ms DESC, seq DESC) AS b FROM seq)
-    SELECT user_id, seq FROM r WHERE a = 1 OR b = 1""")
+    WITH RECURSIVE {_SEQ}, k(user_id, seq, at_ms) AS (
+        SELECT user_id, seq, at_ms FROM seq WHERE seq = 1
+        UNION ALL SELECT user_id, min(seq), min_by(at_ms, seq) FROM (
+            SELECT s.user_id, s.seq, s.at_ms, k.seq AS of FROM k JOIN seq s ON s.user_id = k.user_id AND s.seq > k.seq AND (s.at_ms - k.at_ms >= 86400000 OR s.event_type = 'error')) GROUP BY user_id, of)
+    SELECT user_id, seq FROM k""")
 def throttle_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log.throttled(_events(spark, sf_dir), "user_id", "at_ms", 86_400_000).select("user_id", "seq")
+    rows = _events(spark, sf_dir).withColumn("final", F.col("event_type") == "error")
+    return log.throttled(rows, "user_id", "at_ms", 86_400_000, final="final").select("user_id", "seq")
 
 
 @query("SELECT user_id, max(epoch_us(ts) // 1000) AS last_ms FROM events GROUP BY user_id HAVING max(ts) < TIMESTAMP '2024-01-30 00:00:00'")
@@ -67,9 +71,8 @@ def stuck_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH {_SEQ}, p AS (SELECT user_id, seq, event_id FROM seq WHERE event_type = 'purchase')
     SELECT s.user_id, s.seq, max_by(p.event_id, p.seq) AS baseline FROM seq s JOIN p ON s.user_id = p.user_id AND p.seq < s.seq WHERE s.event_type = 'error' GROUP BY ALL""")
 def asof_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.last(F.when(F.col("event_type") == "purchase", F.col("event_id")), ignorenulls=True).over(w)
-    return _events(spark, sf_dir).withColumn("baseline", before).where("event_type = 'error' and baseline is not null").select("user_id", "seq", "baseline")
+    found = log.as_of(_events(spark, sf_dir), "user_id", "seq", F.col("event_type") == "purchase", "event_id", "baseline")
+    return found.where("event_type = 'error' and baseline is not null").select("user_id", "seq", "baseline")
 
 
 @query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS k FROM events) WHERE k = 1")
@@ -84,7 +87,8 @@ def ttl_fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-25'")
 def ttl_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").where(F.col("ts").cast("timestamp_ntz") >= F.lit("2024-01-25").cast("timestamp_ntz")).select("event_id")
+    rows = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return log.unpurged(rows, "ts", F.lit("2024-01-25").cast("timestamp_ntz")).select("event_id")
 
 
 @query(f"""
@@ -94,16 +98,23 @@ def budget_running(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.running_budget(_events(spark, sf_dir), "user_id", ["seq"], "value", 500.0, {"first": 1.0, "second": 0.7}).select("user_id", "seq", "fits_first", "fits_second")
 
 
-@query("SELECT CAST(o_orderkey % 97 AS BIGINT) AS log, o_orderkey FROM orders WHERE o_orderkey % 11 = 0")
+_GENESIS = "0" * 64
+_PAYLOAD = "concat_ws('|', o_orderkey, o_orderstatus, o_orderpriority)"
+
+
+@query(f"""
+    WITH RECURSIVE o AS (SELECT o_custkey AS log, o_orderkey AS seq, {_PAYLOAD} AS payload, o_orderpriority, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+    c AS (SELECT log, seq, n, payload, o_orderpriority, o_orderstatus, '{_GENESIS}' AS prev_hash, sha256('{_GENESIS}' || payload) AS hash FROM o WHERE n = 1
+          UNION ALL SELECT o.log, o.seq, o.n, o.payload, o.o_orderpriority, o.o_orderstatus, c.hash, sha256(c.hash || o.payload) FROM c JOIN o ON o.log = c.log AND o.n = c.n + 1),
+    stored AS (SELECT log, seq, CASE WHEN o_orderpriority LIKE '1%' AND o_orderstatus = 'P' THEN payload || '!' ELSE payload END AS payload,
+                      CASE WHEN o_orderpriority LIKE '2%' AND o_orderstatus = 'P' THEN 'lost' ELSE prev_hash END AS prev_hash, hash
+               FROM c WHERE NOT (o_orderpriority LIKE '5%' AND o_orderstatus = 'P')),
+    seen AS (SELECT *, lag(hash, 1, '{_GENESIS}') OVER (PARTITION BY log ORDER BY seq) AS before FROM stored)
+    SELECT log, seq FROM seen WHERE prev_hash <> before OR hash <> sha256(prev_hash || payload)""")
 def hash_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chains of hashed orders of which every eleventh has a payload that was changed later: those are found."""
-    rows = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 97).alias("log"), "o_orderkey", F.concat_ws("|", "o_orderkey", "o_custkey", "o_orderstatus").alias("payload"))
-    genesis = "0" * 64
-    # prev_hash is the hash of the entry before; entries here hash their own key's digest, so chains can be made without a loop
-    w = Window.partitionBy("log").orderBy("o_orderkey")
-    prev = F.lag(F.sha2(F.col("o_orderkey").cast("string"), 256), 1, genesis).over(w)
-    chained = rows.withColumn("prev_hash", prev).withColumn("hash", F.sha2(F.col("o_orderkey").cast("string"), 256))
-    recomputed = chained.withColumn("before", F.lag("hash", 1, genesis).over(w))
-    seen = F.when(F.col("o_orderkey") % 11 == 0, F.concat("payload", F.lit("!"))).otherwise(F.col("payload"))
-    sealed = F.sha2(F.concat("prev_hash", "payload"), 256)
-    return recomputed.where((F.col("before") != F.col("prev_hash")) | (sealed != F.sha2(F.concat("prev_hash", seen), 256))).select("log", "o_orderkey")
+    """Customers' orders as sealed logs, of which some entries have another payload since, some another link, and some are gone."""
+    orders = table(spark, sf_dir, "orders").selectExpr("o_custkey AS log", "o_orderkey AS seq", f"{_PAYLOAD} AS payload", "o_orderstatus", "o_orderpriority")
+    sealed = log.chained(orders, "log", "seq", "payload", _GENESIS)
+    odd = lambda n: F.col("payload").like(f"%|P|{n}%")
+    stored = sealed.where(~odd(5)).withColumns({"prev_hash": F.when(odd(2), "lost").otherwise(F.col("prev_hash")), "payload": F.when(odd(1), F.concat("payload", F.lit("!"))).otherwise(F.col("payload"))})
+    return log.chain_breaks(stored, "seq", "prev_hash", "hash", "payload", _GENESIS, "log").select("log", "seq")

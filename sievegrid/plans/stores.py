@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievegrid.functions import severity as sev
-from sievegrid.operators import graph, matching, rollups, search
+from sievegrid.operators import dependencies, graph, matching, rollups, search
 from sievegrid.plans.registry import query
 from sievegrid.sources.tables import table
 
@@ -107,32 +107,23 @@ def _base_head(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @query(f"WITH {_SPLIT} SELECT o_custkey FROM head ANTI JOIN base USING (o_custkey)")
 def diff_added(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base, head = _base_head(spark, sf_dir)
-    return head.join(base, "o_custkey", "left_anti")
+    return matching.diff(*_base_head(spark, sf_dir), ["o_custkey"]).where("status = 'added'").drop("status")
 
 
 @query(f"WITH {_SPLIT} SELECT o_custkey FROM base ANTI JOIN head USING (o_custkey)")
 def diff_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base, head = _base_head(spark, sf_dir)
-    return base.join(head, "o_custkey", "left_anti")
+    return matching.diff(*_base_head(spark, sf_dir), ["o_custkey"]).where("status = 'fixed'").drop("status")
 
 
 @query(f"WITH {_SPLIT} SELECT o_custkey FROM head SEMI JOIN base USING (o_custkey)")
 def diff_unchanged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base, head = _base_head(spark, sf_dir)
-    return head.join(base, "o_custkey", "left_semi")
+    return matching.diff(*_base_head(spark, sf_dir), ["o_custkey"]).where("status = 'unchanged'").drop("status")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
-def semi_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("SELECT c_custkey, c_name, c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000) AS covered FROM customer")
+def covered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     big = table(spark, sf_dir, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf_dir, "customer").select("c_custkey", "c_name").join(big, "c_custkey", "left_semi")
-
-
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 100000)")
-def anti_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = table(spark, sf_dir, "orders").where("o_totalprice > 100000").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf_dir, "customer").select("c_custkey", "c_name").join(seen, "c_custkey", "left_anti")
+    return matching.covered(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), big, ["c_custkey"])
 
 
 _RANGES = [("Brand#11", "A-1", None, 10, None), ("Brand#11", "A-2", 20, 30, None), ("Brand#12", "A-3", 5, None, 25), ("Brand#13", "A-4", 40, None, None)]
@@ -150,13 +141,11 @@ def interval_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     WITH cur AS (SELECT p_brand, min(p_size) AS now FROM part GROUP BY p_brand)
-    SELECT p.p_brand, min(p.p_size) AS next_clean FROM part p JOIN cur c ON p.p_brand = c.p_brand WHERE p.p_size > c.now AND p.p_size % 7 <> 0 GROUP BY p.p_brand""")
+    SELECT p.p_brand AS package, min(p.p_size) AS next FROM part p JOIN cur c ON p.p_brand = c.p_brand WHERE p.p_size > c.now AND p.p_size % 7 <> 0 GROUP BY p.p_brand""")
 def min_clean_version(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").select("p_brand", "p_size")
-    now = part.groupBy("p_brand").agg(F.min("p_size").alias("now"))
-    bad = part.where("p_size % 7 = 0").distinct()
-    clean = part.join(now, "p_brand").where("p_size > now").join(bad, ["p_brand", "p_size"], "left_anti")
-    return clean.groupBy("p_brand").agg(F.min("p_size").alias("next_clean"))
+    versions = table(spark, sf_dir, "part").select(F.col("p_brand").alias("package"), F.col("p_size").alias("version"), F.col("p_size").alias("key")).distinct()
+    now = versions.groupBy("package").agg(F.min("key").alias("key"))
+    return dependencies.safe_upgrade(now, versions, versions.where("key % 7 = 0"))
 
 
 @query("""
@@ -194,13 +183,13 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     live, low = F.col("l_returnflag") == "R", F.col("l_discount") > 0.08
     risk = sev.risk(F.col("base"), F.lit(None).cast("double"), {"is_live": live, "is_unreachable": F.col("l_tax") < 0.02, "is_low_confidence": low})
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_discount", "l_tax", base.alias("base")).withColumn("risk", risk)
-    final = sev.guarded(F.col("risk.score"), F.lit(False), (F.col("l_linestatus") == "O") & (F.col("l_tax") > 0.07), live)
+    final = sev.guarded(F.col("risk"), F.lit(False), (F.col("l_linestatus") == "O") & (F.col("l_tax") > 0.07), live)
     return rows.withColumn("final", final).withColumn("severity", sev.severity_from_score(F.col("final")))
 
 
 @query(f"WITH {_SCORED} SELECT l_orderkey, l_linenumber, base, score, final, {_SEVERITY} AS severity FROM s6")
 def score_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir).select("l_orderkey", "l_linenumber", "base", F.col("risk.score").alias("score"), "final", "severity")
+    return _scored(spark, sf_dir).select("l_orderkey", "l_linenumber", "base", F.col("risk").alias("score"), "final", "severity")
 
 
 @query(f"WITH {_SCORED} SELECT {_SEVERITY} AS severity, count(*) AS n FROM s6 GROUP BY 1")
@@ -233,10 +222,35 @@ def scope_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH m AS (SELECT l_orderkey, l_linenumber AS a, l_linenumber + CAST(l_quantity AS INTEGER) % 3 AS b FROM lineitem),
+    WITH m AS (SELECT DISTINCT l_orderkey, l_linenumber AS a, l_linenumber + CAST(l_quantity AS INTEGER) % 3 AS b FROM lineitem),
     w AS (SELECT *, max(b) OVER (PARTITION BY l_orderkey ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM m),
     g AS (SELECT *, sum(CASE WHEN p IS NULL OR a > p + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS k FROM w)
     SELECT l_orderkey, min(a) AS start_line, max(b) AS end_line FROM g GROUP BY l_orderkey, k""")
 def merge_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("start_line"), (F.col("l_linenumber") + F.col("l_quantity").cast("int") % 3).alias("end_line"))
     return rollups.merged_ranges(rows, "l_orderkey", "start_line", "end_line")
+
+
+_FACTORS = [("l_returnflag = 'R'", 1.3), ("l_linenumber = 2 AND l_returnflag <> 'R'", 0.75), ("l_discount < 0.03", 1.15), ("l_tax < 0.02", 0.6), ("l_linenumber < 3", 1.2), ("l_linenumber > 2 AND l_linenumber < 6", 1.1),
+            ("l_linestatus = 'F'", 0.4), ("l_linestatus <> 'F' AND l_discount > 0.05", 0.7), ("l_quantity < 25", 0.9)]
+
+
+def _chain() -> str:
+    """The score after each of _FACTORS, as SQL columns x1, x2, ... of one subquery inside the next."""
+    inner = f"SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus, l_discount, l_tax, l_quantity, greatest(CASE {_BASE} WHEN 'critical' THEN 92.0 WHEN 'high' THEN 75.0 WHEN 'medium' THEN 52.0 WHEN 'low' THEN 28.0 ELSE 8.0 END::DOUBLE, coalesce(CASE WHEN l_linenumber = 4 THEN 7.5::DOUBLE END * 10, 0)) AS x FROM lineitem"
+    for condition, m in _FACTORS:
+        inner = f"SELECT * REPLACE (least(100.0::DOUBLE, x * CASE WHEN {condition} THEN {m}::DOUBLE ELSE 1.0::DOUBLE END) AS x) FROM ({inner})"
+    return inner
+
+
+@query(f"SELECT l_orderkey, l_linenumber, floor(x + 0.5) AS score FROM ({_chain()})")
+def risk_exclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores where flags that rule each other out hold together."""
+    q, n = F.col("l_quantity"), F.col("l_linenumber")
+    base = F.when(q >= 45, "critical").when(q >= 30, "high").when(q >= 15, "medium").when(q >= 5, "low").otherwise("info")
+    flags = {
+        "is_live": F.col("l_returnflag") == "R", "is_history_only": n == 2, "is_reachable": F.col("l_discount") < 0.03, "is_dev": F.col("l_tax") < 0.02, "is_public_route": n < 3, "is_entrypoint": n < 6,
+        "is_non_production": F.col("l_linestatus") == "F", "is_generated": F.col("l_discount") > 0.05, "is_medium_confidence": q < 25,
+    }
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_discount", "l_tax", "l_quantity")
+    return rows.select("l_orderkey", "l_linenumber", sev.risk(base, F.when(n == 4, 7.5), flags).alias("score"))

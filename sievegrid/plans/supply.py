@@ -55,15 +55,23 @@ def version_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as findings: a file for each user, a family for each type, and short line ranges."""
-    start = (F.col("event_id") % 40).cast("int")
-    trace = F.lit(None).cast("array<struct<file:string,line:int>>")
-    return table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("id"), F.lit("sast").alias("category"), F.concat(F.lit("sast/"), "event_type").alias("rule_id"), F.col("user_id").cast("string").alias("file"), start.alias("start"), (start + (F.col("event_id") % 3).cast("int")).alias("end"), trace.alias("trace"), F.col("event_id").alias("rank"))
+    """Events as findings: a file for each user, a family for each type, short line ranges, and for every seventh a trace that ends at a sink."""
+    e = F.col("event_id")
+    start = (e % 40).cast("int")
+    step = lambda line, kind: F.struct(F.col("user_id").cast("string").alias("file"), line.cast("int").alias("line"), F.lit(kind).alias("kind"))
+    trace = F.when(e % 7 == 0, F.array(step(start + 20, "source"), step(start, "sink"))).cast(dedupe.TRACE)
+    cwe = F.when(e % 5 == 0, "cwe-89 ").when(e % 11 == 0, "CWE-79")
+    return table(spark, sf_dir, "events").select(e.cast("string").alias("id"), F.lit("sast").alias("category"), F.concat(F.lit("sast/"), "event_type").alias("rule_id"), cwe.alias("cwe"), F.col("user_id").cast("string").alias("file"), start.alias("start"), (start + (e % 3).cast("int")).alias("end"), trace.alias("trace"), e.alias("rank"))
 
 
-@query("""
-    WITH f AS (SELECT event_id, user_id, event_type, event_id % 40 AS s, event_id % 40 + event_id % 3 AS e FROM events)
-    SELECT a.event_id AS a, b.event_id AS b FROM f a JOIN f b ON a.user_id = b.user_id AND a.event_type = b.event_type AND a.event_id < b.event_id AND a.s <= b.e AND b.s <= a.e""")
+_PAIRS = """
+    f AS (SELECT event_id, user_id, event_type, event_id % 40 AS s, event_id % 40 + event_id % 3 AS e, event_id % 7 = 0 AS t, CASE WHEN event_id % 5 = 0 THEN 89 WHEN event_id % 11 = 0 THEN 79 END AS cwe FROM events),
+    pairs AS (SELECT a.event_id AS a, b.event_id AS b FROM f a JOIN f b ON a.user_id = b.user_id AND a.event_id < b.event_id AND (a.event_type = b.event_type OR a.cwe = b.cwe)
+      AND ((a.s <= b.e AND b.s <= a.e) OR (a.t AND (a.s + 20 BETWEEN b.s AND b.e OR a.s BETWEEN b.s AND b.e)) OR (b.t AND (b.s + 20 BETWEEN a.s AND a.e OR b.s BETWEEN a.s AND a.e)))
+      AND (NOT a.t OR NOT b.t OR a.s = b.s OR a.s BETWEEN b.s AND b.e OR b.s BETWEEN a.s AND a.e))"""
+
+
+@query(f"WITH {_PAIRS} SELECT a, b FROM pairs")
 def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.candidate_pairs(_findings(spark, sf_dir))
 

@@ -9,9 +9,9 @@ from sievegrid.operators import config_rules, dedupe, dependencies as dep
 
 
 def test_absorption_is_best_first_and_not_transitive(spark):
-    schema = "id string, category string, rule_id string, file string, start int, end int, trace array<struct<file:string,line:int>>, rank int"
-    rows = [("a", "taint", "taint/sqli", "f", 10, 12, [("f", 30)], 1), ("b", "sast", "sast/sql-injection", "f", 12, 14, None, 2), ("c", "sast", "sast/sql-injection", "f", 14, 16, None, 3), ("d", "sast", "sast/sql-injection", "f", 30, 30, [], 4), ("e", "sast", "sast/xss", "f", 12, 12, None, 5), ("g", "secret", "x/sqli", "f", 10, 10, None, 6)]
-    got = {(r.id, r.winner_id) for r in dedupe.absorbed(spark.createDataFrame(rows, schema)).collect()}
+    schema = "id string, category string, rule_id string, file string, start int, end int, trace array<struct<file:string,line:int,kind:string>>, rank int"
+    rows = [("a", "taint", "taint/sqli", "f", 10, 12, [("f", 30, "sink")], 1), ("b", "sast", "sast/sql-injection", "f", 12, 14, None, 2), ("c", "sast", "sast/sql-injection", "f", 14, 16, None, 3), ("d", "sast", "sast/sql-injection", "f", 30, 30, [], 4), ("e", "sast", "sast/xss", "f", 12, 12, None, 5), ("g", "secret", "x/sqli", "f", 10, 10, None, 6)]
+    got = {(r.id, r.winner_id) for r in dedupe.absorbed(spark.createDataFrame(rows, schema).withColumn("cwe", F.lit(None).cast("string"))).collect()}
     assert got == {("b", "a"), ("d", "a")}
 
 
@@ -24,17 +24,21 @@ def test_absorption_holds_no_component_and_no_square_of_findings(spark, monkeypa
     rows = []
     for k in range(1500):
         file, start = ("hot" if k % 3 else f"f{k % 40}"), rng.randrange(40)
-        trace = [(f"f{rng.randrange(40)}", rng.randrange(40))] if k % 50 == 0 else None
+        trace = [(f"f{rng.randrange(40)}", rng.randrange(40), None)] if k % 50 == 0 else None
         rows.append((f"i{k}", "sast", f"sast/{'xss' if k % 4 else 'sqli'}", None if k % 97 == 0 else file, start, start + rng.randrange(-1, 3), trace, 7 * k + 1))
     rows += [(f"c{k}", "sast", "sast/xss", "chain", 2 * k, 2 * k + 2, None, 20_000 + k) for k in range(9)]  # ranks ascend: several rounds
     rows += [("p1", "sast", "sast/xss", "late", 5, 6, None, 31_002), ("p2", "sast", "sast/xss", "late", 6, 7, None, 31_001), ("p3", "sast", "sast/xss", "late", 1, 2, None, 31_000), ("p4", "sast", "sast/xss", "late", 2, 5, None, 31_003)]
     # q5 meets two winners of different rounds: the one of the later round is better
     rows += [(n, "sast", "sast/xss", "two", a, b, None, r) for n, a, b, r in (("q1", 1, 2, 40_000), ("q2", 2, 4, 40_001), ("q3", 4, 6, 40_002), ("q4", 8, 9, 40_003), ("q5", 6, 8, 40_004))]
     rng.shuffle(rows)
-    schema = "id string, category string, rule_id string, file string, start int, end int, trace array<struct<file:string,line:int>>, rank long"
+    schema = "id string, category string, rule_id string, file string, start int, end int, trace array<struct<file:string,line:int,kind:string>>, rank long"
 
     def meet(x, y):
-        reach = lambda p, q: any(f == q[3] and q[4] <= n <= q[5] for f, n in p[6] or ())
+        reach = lambda p, q: any(f == q[3] and q[4] <= n <= q[5] for f, n, _ in p[6] or ())
+        end = lambda p: p[6][-1][:2] if p[6] else None
+        inside = lambda p, q: end(p)[0] == q[3] and q[4] <= end(p)[1] <= q[5]
+        if end(x) and end(y) and not (end(x)[0] == end(y)[0] and (end(x)[1] == end(y)[1] or inside(x, y) or inside(y, x))):
+            return False
         return x[2] == y[2] and (x[3] is not None and x[3] == y[3] and x[4] <= y[5] and y[4] <= x[5] or reach(x, y) or reach(y, x))
 
     order, taken, want = sorted(rows, key=lambda r: r[7]), set(), set()
@@ -47,13 +51,33 @@ def test_absorption_holds_no_component_and_no_square_of_findings(spark, monkeypa
     made, pairs = [], dedupe.candidate_pairs
     monkeypatch.setattr(dedupe, "candidate_pairs", lambda f: made.append(pairs(f)) or made[-1])
     monkeypatch.setattr(GroupedData, "applyInPandas", None)  # no group goes to one task
-    got = [(r.id, r.winner_id) for r in dedupe.absorbed(spark.createDataFrame(rows, schema)).collect()]
+    got = [(r.id, r.winner_id) for r in dedupe.absorbed(spark.createDataFrame(rows, schema).withColumn("cwe", F.lit(None).cast("string"))).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert ("q5", "q3") in want and ("p4", "p3") in want
-    n, square = made[0].count(), pairs(spark.createDataFrame(rows, schema)).count()
+    n, square = made[0].count(), pairs(spark.createDataFrame(rows, schema).withColumn("cwe", F.lit(None).cast("string"))).count()
     assert 2 * n < square, (n, square)
 
 
+def test_families_sinks_and_merged_winners(spark):
+    names = {"sast/sql_injection": "sql-injection", "taint/SQLi ": "sql-injection", "config/Missing  Authentication": "missing-authn", "x": "x", "a/": ""}
+    got = spark.createDataFrame([(n,) for n in names], "r string").select("r", dedupe.family(F.col("r")).alias("x")).collect()
+    assert {r.r: r.x for r in got} == names
+    schema = f"id string, category string, rule_id string, cwe string, file string, start int, end int, trace {dedupe.TRACE}, rank int, analyzer string, produced_by array<string>, fingerprint string, merged array<string>"
+    flow = lambda line: [("f", 1, "source"), ("f", line, "sink"), ("g", 9, "step")]
+    rows = [
+        ("a", "taint", "taint/sqli", "CWE-89", "f", 1, 60, flow(50), 1, "taint", None, "fa", None),
+        ("b", "taint", "taint/sqli", "CWE-89", "h", 1, 1, [("f", 1, "source"), ("f", 80, "sink")], 2, "taint", None, "fb", None),  # another sink
+        ("c", "sast", "sast/other", " cwe-89", "f", 48, 52, None, 3, "code", ["sast:llm"], "fc", ["old"]),  # by CWE
+        ("d", "sast", "sast/other", None, "f", 48, 52, None, 4, "code", None, "fd", None),  # generic and without CWE
+        ("e", "quality", "quality/sql injection", None, "f", 50, 50, None, 5, "quality", ["taint", "q"], "fe", ["fa"]),
+    ]
+    findings = spark.createDataFrame(rows, schema)
+    taken = dedupe.absorbed(findings)
+    assert {(r.id, r.winner_id) for r in taken.collect()} == {("c", "a"), ("e", "a")}
+    merged = [tuple(r) for r in dedupe.merged_winners(findings, taken).collect()]
+    assert merged == [("a", ["taint", "sast:llm", "q"], ["fc", "old", "fe"], "Also reported by: code (sast/other at f:48); quality (quality/sql injection at f:50).")]
+
+
 def test_npm_graph_resolves_upwards(spark):
     lock = {"lockfileVersion": 3, "packages": {"": {"dependencies": {"a": "^1", "b": "1"}}, "node_modules/a": {"version": "1.0.0", "dependencies": {"b": "^2", "c": "1"}}, "node_modules/a/node_modules/b": {"version": "2.0.0", "dependencies": {"c": "1"}}, "node_modules/b": {"version": "1.0.0", "dev": True}, "node_modules/@s/c": {"version": "3.0.0"}, "node_modules/c": {"version": "1.1.0", "resolved": "git+ssh://git@Example.com/x.git"}}}
     nodes = dep.npm_packages(spark.createDataFrame([("package-lock.json", json.dumps(lock)), ("x/package-lock.json", "{broken")], "path string, text string"))

@@ -15,12 +15,31 @@ def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
 
 
-def test_risk_lists_visible_factors(spark):
-    flags = {"is_live": F.lit(True), "is_low_confidence": F.lit(True)}
-    r = one(spark, sev.risk(F.lit("high"), F.lit(None).cast("double"), flags))
-    assert r["score"] == 68 and [(f["factor"], f["effect"]) for f in r["factors"]] == [("live_credential", 23), ("low_confidence", -29)]
-    assert one(spark, sev.risk(F.lit("low"), F.lit(9.8), {}))["score"] == 98
-    assert one(spark, sev.risk(F.lit("critical"), F.lit(None).cast("double"), {"is_live": F.lit(True)}))["score"] == 100
+def test_risk_and_visible_factors(spark):
+    flags, none = {"is_live": F.lit(True), "is_low_confidence": F.lit(True)}, F.lit(None).cast("double")
+    assert one(spark, sev.risk(F.lit("high"), none, flags)) == 68
+    assert [(f["factor"], f["effect"]) for f in one(spark, sev.risk_factors(F.lit("high"), none, flags))] == [("live_credential", 23), ("low_confidence", -29)]
+    assert one(spark, sev.risk(F.lit("low"), F.lit(9.8), {})) == 98
+    assert one(spark, sev.risk(F.lit("critical"), none, {"is_live": F.lit(True)})) == 100
+    both = lambda *names: one(spark, sev.risk(F.lit("medium"), none, {n: F.lit(True) for n in names}))
+    assert both("is_public_route", "is_entrypoint") == 62 and both("is_entrypoint") == 57
+    assert both("is_non_production", "is_generated") == 21 and both("is_live", "is_history_only") == 68 and both("is_history_only") == 39
+
+
+def test_risk_flags(spark):
+    schema = "file string, confidence string, liveness string, history_only boolean, reachability string, scope string, direct boolean, factors array<string>, want array<string>"
+    rows = [
+        ("src/tests/../test/a.ts", "low", "live", True, None, None, None, ["client_exposed", "x"], ["is_client_exposed", "is_history_only", "is_live", "is_low_confidence", "is_non_production"]),
+        ("vendor/a.go", "medium", "revoked", False, "unknown", "dev", False, ["ai_unreviewed"], ["is_ai_unreviewed", "is_dev", "is_generated", "is_medium_confidence", "is_revoked", "is_transitive_unknown"]),
+        ("a.ts", "high", None, False, "reachable", "prod", True, None, ["is_entrypoint", "is_reachable"]),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    flags = sev.risk_flags(F.struct(*(F.col(c) for c in df.columns[:7])), F.col("factors"), F.col("file") == "a.ts", F.lit(False))
+    held = F.array_sort(F.array_compact(F.array(*(F.when(c, n) for n, c in flags.items()))))
+    assert [r.held for r in df.select(held.alias("held"), "want").collect()] == [r[-1] for r in rows]
+    contexts = {"a/fixtures/x.py": "test", "test/README.md": "test", "Example/a.py": "example", "a.MD": "docs", "docs/a.py": "docs", "a/vendor/b.js": "generated", "a/b.ts": "source", "latest/b.ts": "source"}
+    got = spark.createDataFrame([(p,) for p in contexts], "p string").select("p", sev.file_context(F.col("p")).alias("x")).collect()
+    assert {r.p: r.x for r in got} == contexts
 
 
 @pytest.mark.parametrize(("score", "malicious", "refuted", "live", "want"), [(120.0, 0, 0, 0, 100), (10.0, 1, 1, 0, 85), (50.0, 0, 1, 0, 14), (50.0, 0, 1, 1, 65), (-3.0, 0, 0, 0, 0), (70.0, 0, 0, 1, 70)])
@@ -123,7 +142,8 @@ def test_events(spark):
     rows = spark.createDataFrame([("s", i, t, i * 400) for i, t in enumerate(["run", "run", "done", "run"], 1)], "scan string, seq long, type string, at long")
     assert [r.seq for r in events.until_terminal(rows, "scan", "seq", F.col("type") == "done").orderBy("seq").collect()] == [1, 2, 3]
     assert [(r.type, r.started, r.ended) for r in events.timeline(rows, "scan", "seq", "type", "at").orderBy("seq").collect()] == [("run", 400, 1200), ("done", 1200, 1600), ("run", 1600, None)]
-    assert [r.seq for r in events.throttled(rows, "scan", "at", 1000).orderBy("seq").collect()] == [1, 3, 4]
+    near = spark.createDataFrame([("s", 1, 0, False), ("s", 2, 999, False), ("s", 3, 1000, False), ("s", 4, 1500, False), ("s", 5, 1600, True), ("s", 6, 2100, False), ("t", 1, 1700, False), (None, 1, 5, False)], "scan string, seq long, at long, final boolean")
+    assert [(r.scan, r.seq) for r in events.throttled(near, "scan", "at", 1000, final="final").orderBy("scan", "seq").collect()] == [(None, 1), ("s", 1), ("s", 3), ("s", 5), ("t", 1)]
     import hashlib
 
     chain, prev = [], "0" * 64
@@ -132,7 +152,15 @@ def test_events(spark):
         chain.append((i, prev, h, f"p{i}" if i != 4 else "forged"))
         prev = h
     log = spark.createDataFrame(chain, "seq int, prev string, hash string, payload string")
-    assert [r.seq for r in events.chain_breaks(log, "seq", "prev", "hash", "payload", "0" * 64).collect()] == [4]
+    breaks = lambda df, *by: sorted(r.seq for r in events.chain_breaks(df, "seq", "prev", "hash", "payload", "0" * 64, *by).collect())
+    assert breaks(log) == [4] and breaks(log.where("seq <> 2")) == [3, 4] and breaks(log.where("seq > 0")) == [1, 4]
+    two = log.withColumn("log", F.lit("a")).union(log.where("seq < 3").withColumn("log", F.lit(None)))
+    assert breaks(two, "log") == [4] and breaks(log.limit(0)) == []
+    own = spark.createDataFrame([("a", 2, "y"), ("a", 1, "x"), ("b", 5, "z")], "log string, seq long, payload string")
+    sealed = events.chained(own, "log", "seq", "payload", "0" * 64).withColumnsRenamed({"prev_hash": "prev"})
+    assert sealed.count() == 3 and breaks(sealed, "log") == []
+    said = spark.createDataFrame([("s", 1, "c", "m", "x"), ("s", 2, "c", "m", "y"), ("s", 3, "c", "n", "z")], "scan string, seq int, code string, message string, stage string")
+    assert {(r.message, r.stage) for r in events.warnings_once(said, "scan", "seq").collect()} == {("m", "x"), ("n", "z")}
 
 
 def test_rollups(spark):

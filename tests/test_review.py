@@ -22,10 +22,16 @@ def test_imports(spark):
 
 
 def test_line_rules(spark):
-    text = "x = eval(y)\nok\nexec(cmd); el.innerHTML = 1\nyaml.load(f, SafeLoader)\nyaml.load(f)\nmd5"
-    got = {(r.line, r.rule_id) for r in review.rule_hits(lines(spark, f=text)).collect()}
-    assert got == {(1, "sast/code-injection"), (3, "sast/command-injection"), (5, "sast/unsafe-deserialization"), (6, "sast/weak-crypto")}
-    assert [r.line for r in review.rule_hits(lines(spark, f="md5\n" * 20), most=3).collect()] == [1, 2, 3]
+    cases = {
+        "x = eval(y)": "code-injection", "re.eval(y)": None, "eval('1')": None, "ok": None, "exec(cmd); el.innerHTML = 1": "command-injection", "exec('ls')": None, "os.system('rm ' + path)": "command-injection",
+        "yaml.load(f, Loader=yaml.SafeLoader)": None, "yaml.load(f)": "unsafe-yaml", "pickle.loads(data)": "unsafe-deserialization", "hashlib.md5(x)": "weak-crypto", "createHash('sha1')": "weak-crypto", "md5": None,
+        "db.query('select ' + name)": "sql-injection", "db.query(`select ${name}`)": "sql-injection", "db.query('select ?', [name])": None, "cur.execute(f'select {x}')": "sql-injection",
+        "el.innerHTML == 1": None, "el.innerHTML = html": "xss", "res.redirect(req.query.next)": "open-redirect", "res.redirect('/home')": None, "await fetch(req.body.url)": "ssrf", "requests.get(request.args['u'])": "ssrf",
+    }
+    made = {r.line: r.rule_id for r in review.rule_hits(lines(spark, f="\n".join(cases))).collect()}
+    assert {c: made.get(i, "/").split("/")[1] or None for i, c in enumerate(cases, 1)} == cases
+    some = review.rule_hits(lines(spark, f="eval(x)\n" * 20, g="eval(x)"), most=3).collect()
+    assert {(r.file, r.line, r.truncated) for r in some} == {("f", 1, True), ("f", 2, True), ("f", 3, True), ("g", 1, False)}
 
 
 def test_upsert_takes_nulls_of_changes(spark):
