@@ -47,8 +47,8 @@ SHINGLE, PERCENT = 5, 75
 HASHES, TREES, FIRST, DEPTH, SMALL, NEAR = 64, 20, 3, 8, 16, 2
 #: Rows that a partition's end shows to the next one, and rows that are looked at together.
 EDGE, CHUNK = 3 * SMALL, 1 << 16
-#: Classes and shingles of a block of a crowded region.
-BLOCK, LOAD = 1024, 1 << 20
+#: Classes and shingles of a block of a crowded region that asks, and how many blocks of those that are asked take its place.
+BLOCK, LOAD, FINER = 1024, 1 << 20, 4
 #: A pair at 0.75 agrees in fewer of its HASHES values with probability 2 in a million.
 AGREE = 30
 
@@ -393,9 +393,9 @@ def across(inside: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
     parts = rows.groupBy("region", "root").agg(F.count("*").alias("k"), F.sum("n").alias("load"))
     largest = F.max_by(F.struct("root", "k", "load"), F.struct("k", "root"))
     mixed = parts.groupBy("region").agg(F.count("*").alias("several"), largest.alias("big"), F.sum("k").alias("m"), F.sum("load").alias("load")).where("several > 1")
-    blocks = lambda k, load: F.greatest(F.ceil(k / BLOCK), F.ceil(load / LOAD)).cast("int")
-    asking = blocks(F.col("m") - F.col("big.k"), F.col("load") - F.col("big.load"))
-    mixed = materialize(mixed.select("region", F.col("big.root").alias("big"), asking.alias("tall"), blocks(F.col("m"), F.col("load")).alias("wide")), "mixed")
+    blocks = lambda k, load, finer: F.greatest(F.ceil(k * finer / BLOCK), F.ceil(load * finer / LOAD)).cast("int")
+    asking = blocks(F.col("m") - F.col("big.k"), F.col("load") - F.col("big.load"), 1)
+    mixed = materialize(mixed.select("region", F.col("big.root").alias("big"), asking.alias("tall"), blocks(F.col("m"), F.col("load"), FINER).alias("wide")), "mixed")
     rows = rows.join(mixed, "region").withColumn("outside", F.col("root") != F.col("big"))
     place = lambda among: F.pmod(F.xxhash64("rep"), F.col(among)).cast("int")
     each = lambda among: F.explode(F.sequence(F.lit(0), F.col(among) - 1))
