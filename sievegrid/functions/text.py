@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 #: Languages by file extension.
 LANGUAGES = {
     "ts": "typescript", "tsx": "typescript", "mts": "typescript", "cts": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "py": "python",
-    "json": "json", "yaml": "yaml", "yml": "yaml", "toml": "toml", "md": "markdown", "html": "html", "css": "css", "sql": "sql", "sh": "shell", "tf": "terraform",
+    "json": "json", "jsonc": "json", "yml": "yaml", "yaml": "yaml", "toml": "toml", "sql": "sql", "sh": "shell", "bash": "shell", "zsh": "shell", "html": "html", "htm": "html", "css": "css", "scss": "css",
+    "md": "markdown", "mdx": "markdown", "xml": "xml",
 }
 
 
@@ -125,3 +126,26 @@ def cvss3(vector: Column) -> Column:
     scaled = F.floor(raw * 100000 + 0.5)
     up = F.when(scaled % 10000 == 0, scaled / 100000).otherwise((F.floor(scaled / 10000) + 1) / 10)
     return F.when(scope.isin("U", "C") & impact.isNotNull() & ease.isNotNull(), F.when(impact <= 0, 0.0).otherwise(up))
+
+
+#: Further weights of the approximate CVSS 4 score.
+_V4 = {"AT": {"N": 0.85, "P": 0.62}, "UI": {"N": 0.85, "P": 0.62, "A": 0.2}}
+
+
+def cvss4(vector: Column) -> Column:
+    """An approximation of the base score of a CVSS 4.0 vector, by the formula of version 3 and the worse of both systems' impacts; null where it is malformed."""
+    metrics = F.when(vector.rlike(r"^CVSS:4\.0/([A-Za-z]+:[A-Za-z]+/?)+$"), F.str_to_map(vector, F.lit("/"), F.lit(":")))
+    table = lambda values: F.create_map(*(F.lit(x) for pair in values.items() for x in pair))
+    weight = lambda values, metric: F.element_at(table(values), F.element_at(metrics, metric))
+    lost = lambda system: 1 - (1 - weight(_V3["CIA"], f"{system}C")) * (1 - weight(_V3["CIA"], f"{system}I")) * (1 - weight(_V3["CIA"], f"{system}A"))
+    own, next_ = lost("V"), lost("S")
+    ease = 8.22 * weight(_V3["AV"], "AV") * weight(_V3["AC"], "AC") * weight(_V4["AT"], "AT") * weight(_V3["PR_U"], "PR") * weight(_V4["UI"], "UI")
+    impact = 6.42 * F.greatest(own, next_)
+    scaled = F.floor(F.least(impact + ease, F.lit(10.0)) * 100000 + 0.5)
+    up = F.when(scaled % 10000 == 0, scaled / 100000).otherwise((F.floor(scaled / 10000) + 1) / 10)
+    return F.when(own.isNotNull() & next_.isNotNull() & ease.isNotNull(), F.when(impact <= 0, 0.0).otherwise(up))
+
+
+def cvss_severity(score: Column) -> Column:
+    """Band of a CVSS score."""
+    return F.when(score <= 0, "info").when(score < 4, "low").when(score < 7, "medium").when(score < 9, "high").when(score.isNotNull(), "critical")
