@@ -41,7 +41,7 @@ def indexed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
     WITH f AS ({_FILES})
-    SELECT repo, count(*) AS files, count(*) FILTER (skip IS NULL) AS read, CAST(coalesce(sum(length(path)) FILTER (skip IS NULL), 0) AS BIGINT) AS bytes FROM f GROUP BY repo""")
+    SELECT repo, count(*) AS files, count(*) FILTER (skip IS NULL) AS read, CAST(coalesce(sum(length(path)) FILTER (skip IS NULL OR skip = 'generated'), 0) AS BIGINT) AS bytes FROM f GROUP BY repo""")
 def index_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repo_index.index_stats(repo_index.indexed(*_tree(spark, sf_dir))).select("repo", "files", "read", "bytes")
 
