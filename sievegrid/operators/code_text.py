@@ -96,16 +96,25 @@ def sarif_level(severity: Column) -> Column:
     return F.when(severity.isin("critical", "high"), "error").when(severity == "medium", "warning").otherwise("note")
 
 
+def code_flow(trace: Column) -> Column:
+    """SARIF's code flows of a trace (array of file, line, note); null without one."""
+    at = lambda s: F.struct(F.struct(F.struct(s["file"].alias("uri")).alias("artifactLocation"), F.struct(s["line"].alias("startLine")).alias("region")).alias("physicalLocation"), F.struct(s["note"].alias("text")).alias("message"))
+    steps = F.transform(trace, lambda s: F.struct(at(s).alias("location")))
+    return F.when(F.size(trace) > 0, F.array(F.struct(F.array(F.struct(steps.alias("locations"))).alias("threadFlows"))))
+
+
 def sarif(findings: DataFrame) -> DataFrame:
     """scan_id and document: SARIF 2.1.0 as JSON text, one for each scan; the first finding of a rule describes it.
 
-    findings: scan_id, ord, rule_id, title, severity, file, start, end, fingerprint.
+    findings: scan_id, ord, rule_id, title, severity, file, start, end, fingerprint, and trace (array of file, line, note) if there is one.
     """
     place = F.struct(F.struct(F.struct(F.col("file").alias("uri")).alias("artifactLocation"), F.struct(F.col("start").alias("startLine"), F.col("end").alias("endLine")).alias("region")).alias("physicalLocation"))
-    result = F.struct(F.col("rule_id").alias("ruleId"), sarif_level(F.col("severity")).alias("level"), F.struct(F.col("title").alias("text")).alias("message"), F.array(place).alias("locations"), F.struct(F.col("fingerprint").alias("primary")).alias("partialFingerprints"))
+    flows = [code_flow(F.col("trace")).alias("codeFlows")] if "trace" in findings.columns else []
+    result = F.struct(F.col("rule_id").alias("ruleId"), sarif_level(F.col("severity")).alias("level"), F.struct(F.col("title").alias("text")).alias("message"), F.array(place).alias("locations"), F.struct(F.col("fingerprint").alias("primary")).alias("partialFingerprints"), *flows)
     rules = findings.groupBy("scan_id", "rule_id").agg(F.min_by("title", "ord").alias("title"), F.min("ord").alias("ord"))
     rules = rules.groupBy("scan_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "rule_id", "title"))), lambda r: F.struct(r["rule_id"].alias("id"), F.struct(r["title"].alias("text")).alias("shortDescription"))).alias("rules"))
-    results = findings.groupBy("scan_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", result.alias("result")))), lambda r: r["result"]).alias("results"))
+    ordered = F.array_sort(F.collect_list(F.struct("ord", result.alias("result"))), lambda x, y: F.when(x["ord"] < y["ord"], -1).when(x["ord"] > y["ord"], 1).otherwise(0))
+    results = findings.groupBy("scan_id").agg(F.transform(ordered, lambda r: r["result"]).alias("results"))
     run = F.struct(F.struct(F.struct(F.lit("sievegrid").alias("name"), F.col("rules")).alias("driver")).alias("tool"), F.col("results"))
     return results.join(rules, "scan_id").select("scan_id", F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("document"))
 

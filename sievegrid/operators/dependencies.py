@@ -17,7 +17,6 @@ from sievegrid.functions.text import basename, normalize_pypi, within_one_edit
 
 #: Lockfiles of the npm family, first wins in a folder.
 NPM_ORDER = ("npm-shrinkwrap.json", "package-lock.json", "pnpm-lock.yaml", "yarn.lock")
-MOST_NODES = 50_000
 _PACKAGE = "struct<version:string,resolved:string,dev:boolean,link:boolean,hasInstallScript:boolean,dependencies:map<string,string>,optionalDependencies:map<string,string>,peerDependencies:map<string,string>>"
 
 
@@ -33,14 +32,14 @@ def discovered(files: DataFrame) -> DataFrame:
 
 
 def npm_packages(files: DataFrame) -> DataFrame:
-    """Nodes of npm lockfiles of version 2 and 3, keyed by their place in node_modules, at most MOST_NODES a file."""
+    """Nodes of npm lockfiles of version 2 and 3, keyed by their place in node_modules."""
     parsed = files.select("path", F.from_json("text", f"packages map<string,{_PACKAGE}>").alias("doc"))
     rows = parsed.select(F.col("path").alias("lockfile"), F.explode("doc.packages").alias("key", "p"))
     name = F.regexp_extract("key", "(?:^|.*/)node_modules/((?:@[^/]+/)?[^/]+)$", 1)
     needs = F.map_concat(*(F.coalesce(f"p.{m}", F.create_map().cast("map<string,string>")) for m in ("dependencies",)))
     other = F.concat(F.map_keys(needs), *(F.coalesce(F.map_keys(f"p.{m}"), F.array().cast("array<string>")) for m in ("optionalDependencies", "peerDependencies")))
     nodes = rows.select("lockfile", "key", F.lit("npm").alias("ecosystem"), name.alias("name"), F.col("p.version").alias("version"), F.coalesce("p.dev", F.lit(False)).alias("dev"), F.col("p.resolved").alias("source"), F.coalesce("p.hasInstallScript", F.lit(False)).alias("has_install_script"), F.array_distinct(other).alias("needs"))
-    return nodes.withColumn("place", F.row_number().over(Window.partitionBy("lockfile").orderBy("key"))).where(F.col("place") <= MOST_NODES).drop("place")
+    return nodes
 
 
 def npm_edges(nodes: DataFrame) -> DataFrame:
@@ -157,14 +156,29 @@ def purl(ecosystem: Column, name: Column, version: Column) -> Column:
     return F.concat(F.lit("pkg:"), kind, F.lit("/"), F.replace(name, F.lit("@"), F.lit("%40")), F.lit("@"), F.replace(F.url_encode(version), F.lit("+"), F.lit("%20")))
 
 
+def vex_analysis(triage: Column, reachability: Column) -> Column:
+    """struct<state, justification> of a vulnerability: by a decision in force, then by how it is reached."""
+    state = F.when(triage == "false_positive", "false_positive").when(triage == "accepted", "exploitable").when(reachability == "reachable", "exploitable").when(reachability == "unreachable", "not_affected").otherwise("in_triage")
+    return F.struct(state.alias("state"), F.when(state == "not_affected", "code_not_reachable").alias("justification"))
+
+
+def rating(severity: Column, cvss: Column, vector: Column) -> Column:
+    """struct<severity, score, method, vector>; score, method and vector only for an exact vector of CVSS 3.1."""
+    exact = F.coalesce(vector.startswith("CVSS:3.1/"), F.lit(False)) & cvss.isNotNull()
+    return F.struct(severity.alias("severity"), F.when(exact, cvss).alias("score"), F.when(exact, "CVSSv31").alias("method"), F.when(exact, vector).alias("vector"))
+
+
 def cyclonedx(nodes: DataFrame, advisories: DataFrame) -> DataFrame:
     """lockfile and document: CycloneDX components and vulnerabilities as JSON text, one for each lockfile.
 
-    advisories: lockfile, advisory, key, severity. A vulnerability lists each affected component once.
+    advisories: lockfile, advisory, key, severity, and if there are such columns cvss and vector, triage and reachability. A
+    vulnerability lists each affected component once; the first analysis by key counts.
     """
+    has = lambda c, kind: F.col(c) if c in advisories.columns else F.lit(None).cast(kind)
+    rows = advisories.select("lockfile", "advisory", "key", rating(F.col("severity"), has("cvss", "double"), has("vector", "string")).alias("rating"), vex_analysis(has("triage", "string"), has("reachability", "string")).alias("analysis"))
     parts = nodes.select("lockfile", "key", F.struct(purl(F.col("ecosystem"), F.col("name"), F.col("version")).alias("bom-ref"), F.lit("library").alias("type"), "name", "version").alias("c"))
-    refs = advisories.join(parts, ["lockfile", "key"]).groupBy("lockfile", "advisory").agg(F.min("severity").alias("severity"), F.sort_array(F.collect_set("c.bom-ref")).alias("refs"))
-    vulnerable = F.struct(F.col("advisory").alias("id"), F.array(F.struct("severity")).alias("ratings"), F.transform("refs", lambda r: F.struct(r.alias("ref"))).alias("affects"))
+    refs = rows.join(parts, ["lockfile", "key"]).groupBy("lockfile", "advisory").agg(F.min_by("rating", "key").alias("rating"), F.min_by("analysis", "key").alias("analysis"), F.sort_array(F.collect_set("c.bom-ref")).alias("refs"))
+    vulnerable = F.struct(F.col("advisory").alias("id"), F.array("rating").alias("ratings"), "analysis", F.transform("refs", lambda r: F.struct(r.alias("ref"))).alias("affects"))
     vulns = refs.groupBy("lockfile").agg(F.sort_array(F.collect_list(vulnerable)).alias("vulnerabilities"))
     comps = parts.groupBy("lockfile").agg(F.sort_array(F.collect_set("c")).alias("components"))
     doc = F.to_json(F.struct(F.lit("CycloneDX").alias("bomFormat"), F.lit("1.5").alias("specVersion"), "components", F.coalesce("vulnerabilities", F.array().cast(vulns.schema["vulnerabilities"].dataType)).alias("vulnerabilities")))
