@@ -2,39 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _SECRET_NAME = r"(?i)(secret|token|passw(?:or)?d|api_?key|private_?key|credential)"
 
 
-def _instructions(text: Column) -> Column:
-    """Array of struct<line, op, rest>: logical lines; a line that ends in a backslash goes on."""
-    rows = F.transform(F.split(text, r"\r?\n", -1), lambda x, i: F.struct((i + 1).alias("line"), x.alias("content")))
-    none = F.array().cast("array<struct<line:int,content:string>>")
-    start = F.struct(none.alias("done"), F.lit(0).alias("line"), F.lit("").alias("held"))
+def _lines(files: DataFrame) -> DataFrame:
+    """path, pos (from 0) and content of every line."""
+    return files.select("path", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\r?\n", -1)).alias("pos", "content"))
 
-    def step(acc: Column, x: Column) -> Column:
-        goes_on = x["content"].rlike(r"\\\s*$") & ~x["content"].rlike(r"^\s*#")
-        text = F.concat(acc["held"], F.regexp_replace(x["content"], r"\\\s*$", " "))
-        line = F.when(acc["line"] == 0, x["line"]).otherwise(acc["line"])
-        done = F.when(goes_on, acc["done"]).otherwise(F.concat(acc["done"], F.array(F.struct(line.alias("line"), text.alias("content")))))
-        return F.struct(done.alias("done"), F.when(goes_on, line).otherwise(0).alias("line"), F.when(goes_on, text).otherwise("").alias("held"))
 
-    logical = F.aggregate(rows, start, step, lambda acc: F.when(acc["held"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(F.struct(acc["line"].alias("line"), acc["held"].alias("content"))))))
-    kept = F.filter(logical, lambda x: x["content"].rlike(r"^\s*[A-Za-z]+\s") & ~x["content"].rlike(r"^\s*#"))
-    return F.transform(kept, lambda x: F.struct(x["line"].alias("line"), F.upper(F.regexp_extract(x["content"], r"^\s*([A-Za-z]+)", 1)).alias("op"), F.trim(F.regexp_extract(x["content"], r"(?s)^\s*[A-Za-z]+\s+(.*)$", 1)).alias("rest")))
+def _instructions(files: DataFrame) -> DataFrame:
+    """path, line, op and rest of every instruction; a line that ends in a backslash goes on in the next one."""
+    w = Window.partitionBy("path").orderBy("pos")
+    rows = _lines(files).withColumn("goes_on", F.col("content").rlike(r"\\\s*$") & ~F.col("content").rlike(r"^\s*#"))
+    block = F.sum(F.when(F.lag("goes_on", 1, False).over(w), 0).otherwise(1)).over(w)
+    piece = F.struct("pos", F.regexp_replace("content", r"\\\s*$", " ").alias("content"))
+    blocks = rows.withColumn("block", block).groupBy("path", "block").agg(F.min("pos").alias("pos"), F.sort_array(F.collect_list(piece)).alias("pieces"))
+    text = F.array_join(F.transform("pieces", lambda x: x["content"]), "")
+    logical = blocks.select("path", (F.col("pos") + 1).alias("line"), text.alias("content")).where(F.col("content").rlike(r"^\s*[A-Za-z]+\s") & ~F.col("content").rlike(r"^\s*#"))
+    return logical.select("path", "line", F.upper(F.regexp_extract("content", r"^\s*([A-Za-z]+)", 1)).alias("op"), F.trim(F.regexp_extract("content", r"(?s)^\s*[A-Za-z]+\s+(.*)$", 1)).alias("rest"))
 
 
 def dockerfile_issues(files: DataFrame) -> DataFrame:
     """path, line and rule: secrets in ARG or ENV, downloads piped to a shell, final user root, base without fixed tag."""
-    steps = files.select("path", _instructions(F.col("text")).alias("steps"))
-    each = steps.select("path", F.explode("steps").alias("s")).select("path", "s.line", "s.op", "s.rest")
+    each = _instructions(files)
+    told = each.where(F.col("op").isin("FROM", "USER")).groupBy("path").agg(F.sort_array(F.collect_list(F.struct("line", "op", "rest"))).alias("steps"))
     secret = F.col("op").isin("ARG", "ENV") & F.col("rest").rlike(r"(?i)\b\w*" + _SECRET_NAME[4:] + r"\w*(=|\s+)[\"']?[^\s\"'$]{3,}")
     piped = (F.col("op") == "RUN") & F.col("rest").rlike(r"\b(curl|wget)\b[^|;&]*\|\s*(sudo\s+)?(ba|z|da)?sh\b")
     stage = lambda s: F.lower(F.regexp_extract(s["rest"], r"(?i)\sAS\s+(\S+)\s*$", 1))
     image = F.regexp_extract("rest", r"^(?:--\S+\s+)*(\S+)", 1)
-    stages = steps.select("path", F.transform(F.filter("steps", lambda s: s["op"] == "FROM"), stage).alias("stages"))
+    stages = told.select("path", F.transform(F.filter("steps", lambda s: s["op"] == "FROM"), stage).alias("stages"))
     loose = each.where("op = 'FROM'").join(stages, "path").where(~F.array_contains("stages", F.lower(image)) & (image != "scratch") & ~image.rlike("[$@]") & (image.rlike(":latest$") | ~F.substring_index(image, "/", -1).contains(":")))
 
     # a fold over instructions: the user of each named stage, and of the one being built
@@ -48,7 +47,7 @@ def dockerfile_issues(files: DataFrame) -> DataFrame:
         return F.when(s["op"] == "FROM", from_).when(s["op"] == "USER", user).otherwise(acc)
 
     start = F.struct(none.alias("users"), F.lit("").alias("stage"), F.lit("").alias("user"), F.lit(0).alias("line"))
-    last = steps.select("path", F.aggregate("steps", start, follow).alias("end")).where("end.line > 0 and end.user in ('', 'root', '0')")
+    last = told.select("path", F.aggregate("steps", start, follow).alias("end")).where("end.line > 0 and end.user in ('', 'root', '0')")
     return (
         each.where(secret).select("path", "line", F.lit("config/docker-secret-in-arg-env").alias("rule"))
         .union(each.where(piped).select("path", "line", F.lit("config/docker-curl-pipe-shell")))
@@ -79,21 +78,15 @@ UNTRUSTED = (
 def workflow_issues(files: DataFrame) -> DataFrame:
     """path, line and rule of workflow files, by their lines: unpinned actions, untrusted values in scripts, checkouts of
     a pull request's head with the target's rights, and permissions to write everything (or none stated with such a trigger)."""
-    rows = files.select("path", F.transform(F.split(F.coalesce("text", F.lit("")), r"\r?\n", -1), lambda x, i: F.struct((i + 1).alias("line"), x.alias("content"))).alias("rows"))
-    has = lambda p: F.exists("rows", lambda r: r["content"].rlike(p))
-    target = has(r"^\s*(-\s*)?['\"]?pull_request_target\b|^\s*['\"]?on['\"]?:.*\bpull_request_target\b")
-    facts = rows.select("path", "rows", target.alias("target"), has(r"^\s*permissions\s*:").alias("permits"))
-    # a fold keeps how deep the script that a line belongs to is, or -1
-    start = F.struct(F.lit(-1).alias("deep"), F.array().cast("array<int>").alias("inside"))
-
-    def follow(acc, r):
-        depth = F.length(F.regexp_extract(r["content"], r"^([\s-]*)", 1))
-        begins = r["content"].rlike(r"^[\s-]*run\s*:")
-        goes_on = (acc["deep"] >= 0) & ((depth > acc["deep"]) | (F.trim(r["content"]) == ""))
-        deep = F.when(begins, depth).when(goes_on, acc["deep"]).otherwise(-1)
-        return F.struct(deep.alias("deep"), F.when(deep >= 0, F.concat(acc["inside"], F.array(r["line"]))).otherwise(acc["inside"]).alias("inside"))
-
-    each = facts.select("path", "target", F.aggregate("rows", start, follow)["inside"].alias("inside"), F.explode("rows").alias("r")).select("path", "target", "inside", "r.line", "r.content")
+    w = Window.partitionBy("path")
+    rows = _lines(files).withColumns({"line": F.col("pos") + 1, "depth": F.length(F.regexp_extract("content", r"^([\s-]*)", 1))})
+    some = lambda p: F.max(F.col("content").rlike(p)).over(w)
+    begins = F.last(F.when(F.col("content").rlike(r"^[\s-]*run\s*:"), F.struct("pos", "depth")), ignorenulls=True).over(w.orderBy("pos"))
+    facts = rows.withColumns({"target": some(r"^\s*(-\s*)?['\"]?pull_request_target\b|^\s*['\"]?on['\"]?:.*\bpull_request_target\b"), "permits": some(r"^\s*permissions\s*:"), "script": begins})
+    # a line is in a script if no line since the script began is as shallow as its beginning
+    shallow = F.min(F.when((F.col("pos") > F.col("script.pos")) & (F.trim("content") != ""), F.col("depth"))).over(Window.partitionBy("path", "script.pos").orderBy("pos"))
+    inside = F.col("script").isNotNull() & F.coalesce(shallow > F.col("script.depth"), F.lit(True))
+    each = facts.withColumn("inside", inside)
     action = F.regexp_extract("content", r"^[\s-]*uses\s*:\s*['\"]?([^'\"\s#]+)", 1)
     loose = (action != "") & ~action.rlike(r"^(\./|docker://|actions/|github/)") & ~action.rlike("@[0-9a-f]{40}$")
     values = F.regexp_extract_all("content", F.lit(r"\$\{\{([^}]{0,500})\}\}"), F.lit(1))
@@ -102,8 +95,8 @@ def workflow_issues(files: DataFrame) -> DataFrame:
     named = lambda rule: F.lit(f"config/gha-{rule}").alias("rule")
     return (
         each.where(loose).select("path", "line", named("unpinned-action"))
-        .union(each.where(untrusted & F.array_contains("inside", F.col("line"))).select("path", "line", named("script-injection")))
+        .union(each.where(untrusted & F.col("inside")).select("path", "line", named("script-injection")))
         .union(each.where(head).select("path", "line", named("pull-request-target-checkout")))
         .union(each.where(F.col("content").rlike(r"^\s*permissions\s*:\s*['\"]?write-all\b")).select("path", "line", named("excessive-permissions")))
-        .union(facts.where("target and not permits").select("path", F.lit(1), named("excessive-permissions")))
+        .union(facts.where("pos = 0 and target and not permits").select("path", F.lit(1), named("excessive-permissions")))
     )

@@ -8,12 +8,15 @@ from __future__ import annotations
 
 import json
 import tomllib
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievegrid.functions.text import basename, normalize_pypi, within_one_edit
+from sievegrid.operators.imports import normal_path
+from sievegrid.sources.scratch import materialize
 
 #: Lockfiles of the npm family, first wins in a folder.
 NPM_ORDER = ("npm-shrinkwrap.json", "package-lock.json", "pnpm-lock.yaml", "yarn.lock")
@@ -90,6 +93,92 @@ def python_locks(files: DataFrame) -> DataFrame:
     return rows.select("lockfile", name.alias("key"), F.lit("PyPI").alias("ecosystem"), name.alias("name"), F.col("p.version").alias("version"), F.filter(needs, lambda n: n != "python").alias("needs"))
 
 
+def nested_npm_packages(files: DataFrame) -> DataFrame:
+    """Nodes of npm lockfiles of version 1, keyed as those of later ones; a broken file, or one with packages, gives none."""
+
+    def flat(text: pd.Series) -> pd.Series:
+        def one(t: str | None) -> list[dict]:
+            try:
+                doc = json.loads(t or "")
+            except ValueError:
+                return []
+            if not isinstance(doc, dict) or "packages" in doc:
+                return []
+            out, open_ = [], [("", doc)]
+            while open_:
+                at, node = open_.pop()
+                for name, child in (node.get("dependencies") or {}).items():
+                    if isinstance(child, dict):
+                        key = f"{at}/node_modules/{name}".lstrip("/")
+                        out.append({"key": key, "name": name, "version": child.get("version"), "dev": bool(child.get("dev")), "source": child.get("resolved"), "needs": sorted(child.get("requires") or {})})
+                        open_.append((key, child))
+            return out
+
+        return text.map(one)
+
+    kind = "array<struct<key:string,name:string,version:string,dev:boolean,source:string,needs:array<string>>>"
+    rows = files.select(F.col("path").alias("lockfile"), F.explode(F.pandas_udf(flat, kind)(F.col("text"))).alias("p"))
+    return rows.select("lockfile", "p.key", F.lit("npm").alias("ecosystem"), "p.name", "p.version", "p.dev", "p.source", F.lit(False).alias("has_install_script"), "p.needs")
+
+
+def manifest_direct(files: DataFrame) -> DataFrame:
+    """path, name, range and scope (prod, dev, optional or peer) of what package.json files declare; broken files give none."""
+    group = "map<string,string>"
+    doc = files.select("path", F.from_json("text", f"dependencies {group}, devDependencies {group}, optionalDependencies {group}, peerDependencies {group}").alias("d"))
+    scopes = {"dependencies": "prod", "devDependencies": "dev", "optionalDependencies": "optional", "peerDependencies": "peer"}
+    groups = F.array(*(F.struct(F.lit(scope).alias("scope"), F.col(f"d.{name}").alias("deps")) for name, scope in scopes.items()))
+    each = doc.select("path", F.explode(groups).alias("g")).where("g.deps is not null")
+    return each.select("path", F.col("g.scope").alias("scope"), F.explode("g.deps").alias("name", "range")).select("path", "name", "range", "scope")
+
+
+def requirement(entry: Column) -> Column:
+    """struct<name, extras, range, marker> of a PEP 508 entry, with the name normal; null where it isn't one."""
+    pattern = r"^\s*([A-Za-z0-9](?:[A-Za-z0-9._-]*[A-Za-z0-9])?)\s*(?:\[([^\]]*)\])?\s*\(?((?:\s*(?:===|==|~=|!=|>=|<=|>|<)\s*[^\s,;()]+\s*,?)*)\)?\s*(?:;\s*(.*))?$"
+    part = lambda i: F.regexp_extract(entry, pattern, i)
+    return F.when(entry.rlike(pattern), F.struct(normalize_pypi(part(1)).alias("name"), F.nullif(F.trim(part(2)), F.lit("")).alias("extras"), F.regexp_replace(part(3), r"\s+|,\s*$", "").alias("range"), F.nullif(F.trim(part(4)), F.lit("")).alias("marker")))
+
+
+def pyproject_direct(files: DataFrame) -> DataFrame:
+    """path, name, range and scope of what pyproject.toml files declare, by the standard's fields and by poetry's; broken files give none."""
+    listed, mapped = "array<string>", "map<string,string>"
+    schema = f"project struct<dependencies:{listed},`optional-dependencies`:map<string,{listed}>>, `dependency-groups` map<string,{listed}>, tool struct<poetry:struct<dependencies:{mapped},`dev-dependencies`:{mapped},`group`:map<string,struct<dependencies:{mapped}>>>>"
+    doc = files.select("path", F.from_json(F.pandas_udf(_toml_as_json, "string")(F.col("text")), schema).alias("d"))
+    no_list, no_map = F.array().cast(listed), F.create_map().cast(mapped)
+    entries = lambda groups: F.flatten(F.transform(F.coalesce(F.map_values(groups), F.array().cast(f"array<{listed}>")), lambda g: F.coalesce(g, no_list)))
+    asked = lambda c, scope: F.transform(F.coalesce(c, no_list), lambda e: F.struct(requirement(e)["name"].alias("name"), requirement(e)["range"].alias("range"), F.lit(scope).alias("scope")))
+    ranges = lambda m, scope: F.transform(F.map_entries(F.coalesce(m, no_map)), lambda e: F.struct(normalize_pypi(e["key"]).alias("name"), F.coalesce(F.get_json_object(e["value"], "$.version"), e["value"]).alias("range"), F.lit(scope).alias("scope")))
+    of_groups = F.flatten(F.transform(F.coalesce(F.map_values("d.tool.poetry.group"), F.array().cast(f"array<struct<dependencies:{mapped}>>")), lambda g: ranges(g["dependencies"], "dev")))
+    all_ = F.concat(
+        asked(F.col("d.project.dependencies"), "prod"), asked(entries(F.col("d.project.`optional-dependencies`")), "optional"), asked(entries(F.col("d.`dependency-groups`")), "dev"),
+        ranges(F.col("d.tool.poetry.dependencies"), "prod"), ranges(F.col("d.tool.poetry.`dev-dependencies`"), "dev"), of_groups,
+    )
+    return doc.select("path", F.explode(all_).alias("r")).where("r.name is not null and r.name <> 'python'").select("path", "r.name", "r.range", "r.scope").distinct()
+
+
+def included(files: DataFrame) -> DataFrame:
+    """path and file of the requirements files that each one includes (-r or --requirement), itself and those of included ones too; cycles end."""
+    link = r"^\s*(?:-r|--requirement)[\s=]\s*(\S+)"
+    lines = files.select("path", F.explode(F.split(F.coalesce("text", F.lit("")), r"\r?\n")).alias("line")).where(F.col("line").rlike(link))
+    to = normal_path(F.concat(F.regexp_extract("path", "^(.*/)?[^/]*$", 1), F.regexp_extract("line", link, 1)))
+    links = lines.select(F.col("path").alias("src"), to.alias("dst")).join(files.select(F.col("path").alias("dst")), "dst", "left_semi").select("src", "dst").distinct()
+    seen = materialize(files.select("path", F.col("path").alias("file")).distinct(), "included")
+    parts, new = [seen], seen
+    while True:
+        step = new.join(links, F.col("file") == F.col("src")).select("path", F.col("dst").alias("file")).distinct()
+        new = materialize(step.join(reduce(DataFrame.union, parts), ["path", "file"], "left_anti"), "included")
+        if new.isEmpty():
+            return reduce(DataFrame.union, parts)
+        parts.append(new)
+
+
+def requirements_with_includes(files: DataFrame) -> DataFrame:
+    """Pins of requirements files as ``requirements`` gives them, with those of included files under each file that includes them."""
+    pins = requirements(files).withColumnRenamed("lockfile", "file")
+    met = included(files).join(pins, "file").withColumn("lockfile", F.col("path"))
+    dev = F.lower(basename(F.col("lockfile"))).rlike("dev|test")
+    return met.select("lockfile", "key", "ecosystem", "name", "version", dev.alias("dev")).dropDuplicates(["lockfile", "key"])
+
+
 def pipfile_lock(files: DataFrame) -> DataFrame:
     """Pins of Pipfile.lock; the section says whether they are for development."""
     section = "map<string,struct<version:string>>"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,16 +16,19 @@ def closure(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> Dat
 
     Cycles end, since only nodes not seen before go on. depth: the most rounds.
     """
-    seen = materialize(seeds.select("node").distinct().withColumn("depth", F.lit(0)), "closure")
-    frontier, k = seen, 0
+    frontier, k = materialize(seeds.select("node").distinct().withColumn("depth", F.lit(0)), "closure"), 0
+    rounds = [frontier]
     while depth is None or k < depth:
         k += 1
         found = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
+        seen = reduce(DataFrame.union, rounds)
         frontier = materialize(found.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(k)), "frontier")
         if frontier.isEmpty():
             break
-        seen = materialize(seen.union(frontier), "closure")
-    return seen
+        rounds.append(frontier)
+        if len(rounds) == 32:  # plans stay short, and what was found is seldom written again
+            rounds = [materialize(reduce(DataFrame.union, rounds), "closure")]
+    return reduce(DataFrame.union, rounds)
 
 
 def ancestors(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:

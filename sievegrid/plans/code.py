@@ -111,7 +111,13 @@ def recall_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.recall(wanted, found)
 
 
-@query()
+@query(r"""
+    WITH k AS (SELECT doc_id, list_filter(list_transform(string_split_regex(coalesce(text, ''), '\r?\n'), lambda x, i: {'line': CAST(i AS INTEGER), 'content': trim(x, ' ')}), lambda x: x.content <> '') AS l FROM documents),
+    w AS (SELECT doc_id, CAST(a AS INTEGER) AS pos, l[a].line AS line, list_transform(l[a:a + 5], lambda x: x.content) AS key FROM (SELECT doc_id, l, unnest(range(1, len(l) - 4)) AS a FROM k WHERE len(l) >= 6)),
+    f AS (SELECT key, min({'file': doc_id, 'pos': pos, 'line': line}) AS first FROM w GROUP BY key HAVING count(*) > 1),
+    p AS (SELECT f.first.file AS file_a, f.first.pos AS pos_a, f.first.line AS start_a, w.doc_id AS file_b, w.pos, w.line AS start_b FROM w JOIN f USING (key) WHERE w.doc_id <> f.first.file OR w.pos <> f.first.pos),
+    i AS (SELECT *, pos - pos_a AS apart, pos - row_number() OVER (PARTITION BY file_a, file_b, pos - pos_a ORDER BY pos) AS island FROM p)
+    SELECT file_a, min(start_a) AS start_a, file_b, min(start_b) AS start_b, count(*) + 5 AS length FROM i GROUP BY file_a, file_b, apart, island""")
 def dup_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code_text.duplicate_blocks(table(spark, sf_dir, "documents"), "doc_id", "text")
 

@@ -19,7 +19,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder for scratch tables of this application."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
-        return named.rstrip("/") + "/sievegrid"
+        return f"{named.rstrip('/')}/sievegrid/{spark.sparkContext.applicationId}"
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
@@ -32,9 +32,15 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Writes ``df`` as a scratch table and reads it back, without lineage.
 
     The rows are computed once; a lost executor costs a re-read of shared files
-    and not a recomputation. Files stay until the shared folder is cleared.
+    and not a recomputation. Files stay until ``clear`` or the end of the folder.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all scratch tables of this application; results that weren't written elsewhere can't be read after that."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))  # the store's own client, whatever store it is
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -126,3 +126,27 @@ def test_env_files(spark):
     files = spark.createDataFrame([(".env", "# c\nA=1\nB=2"), (".env.example", "A=1"), ("x/.env.local", "A=\n"), ("src/.env.prod", "VITE_API_SECRET=abc\nVITE_PUBLIC_KEY=abc")], "path string, text string")
     got = {(r.path, r.line, r.rule.split("/")[1], r.name) for r in config_rules.env_issues(files).collect()}
     assert got == {(".env", 2, "env-file-committed", None), ("src/.env.prod", 1, "env-file-committed", None), ("src/.env.prod", 1, "client-exposed-credential", "VITE_API_SECRET")}
+
+
+def test_npm_of_version_one(spark):
+    lock = {"dependencies": {"a": {"version": "1.0.0", "requires": {"b": "^2", "c": "1"}, "dependencies": {"b": {"version": "2.0.0", "dev": True}}}, "b": {"version": "1.0.0"}, "@s/c": {"version": "3.0.0", "resolved": "https://x/y"}}}
+    nodes = dep.nested_npm_packages(spark.createDataFrame([("l", json.dumps(lock)), ("new", json.dumps({"packages": {}, **lock})), ("bad", "{"), ("none", None), ("list", "[]")], "path string, text string"))
+    assert {(r.lockfile, r.key, r.version, r.dev) for r in nodes.collect()} == {("l", "node_modules/a", "1.0.0", False), ("l", "node_modules/a/node_modules/b", "2.0.0", True), ("l", "node_modules/b", "1.0.0", False), ("l", "node_modules/@s/c", "3.0.0", False)}
+    assert {(r.parent, r.child) for r in dep.npm_edges(nodes).collect()} == {("node_modules/a", "node_modules/a/node_modules/b")}
+
+
+def test_manifests(spark):
+    package = json.dumps({"dependencies": {"a": "^1"}, "devDependencies": {"b": "*"}, "peerDependencies": {"c": ">=1"}})
+    got = {tuple(r) for r in dep.manifest_direct(spark.createDataFrame([("package.json", package), ("bad", "{"), ("none", None)], "path string, text string")).collect()}
+    assert got == {("package.json", "a", "^1", "prod"), ("package.json", "b", "*", "dev"), ("package.json", "c", ">=1", "peer")}
+    toml = '[project]\ndependencies = ["Foo_Bar[x] >= 1.0, <2 ; python_version > \'3\'", "b"]\n[project.optional-dependencies]\nextra = ["c~=1.0"]\n[dependency-groups]\nlint = ["d==1"]\n[tool.poetry.dependencies]\npython = "^3"\ne = "^2.0"\nf = { version = "1.*", extras = ["z"] }\n[tool.poetry.group.test.dependencies]\ng = "*"\n'
+    got = {tuple(r) for r in dep.pyproject_direct(spark.createDataFrame([("pyproject.toml", toml), ("bad", "= ="), ("none", None)], "path string, text string")).collect()}
+    p = "pyproject.toml"
+    assert got == {(p, "foo-bar", ">=1.0,<2", "prod"), (p, "b", "", "prod"), (p, "c", "~=1.0", "optional"), (p, "d", "==1", "dev"), (p, "e", "^2.0", "prod"), (p, "f", "1.*", "prod"), (p, "g", "*", "dev")}
+
+
+def test_requirements_include_others(spark):
+    files = [("a/requirements.txt", "-r base.txt\nx==1\n-r gone.txt"), ("a/base.txt", "y==2\n--requirement=../common.txt\n-r requirements.txt"), ("common.txt", "z==3"), ("requirements-dev.txt", "-r common.txt\nw")]
+    got = {(r.lockfile, r.name, r.version, r.dev) for r in dep.requirements_with_includes(spark.createDataFrame(files, "path string, text string")).collect()}
+    a, b, d = "a/requirements.txt", "a/base.txt", "requirements-dev.txt"
+    assert got == {(a, "x", "1", False), (a, "y", "2", False), (a, "z", "3", False), (b, "x", "1", False), (b, "y", "2", False), (b, "z", "3", False), ("common.txt", "z", "3", False), (d, "z", "3", True), (d, "w", None, True)}
