@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 SEVERITIES = ("critical", "high", "medium", "low", "info")
 BANDS = {"critical": 85, "high": 65, "medium": 40, "low": 15, "info": 0}
 IMPACT = {"critical": 92.0, "high": 75.0, "medium": 52.0, "low": 28.0, "info": 8.0}
+#: Scores that findings have until they are scored.
+PROVISIONAL = {"critical": 90.0, "high": 70.0, "medium": 50.0, "low": 25.0, "info": 5.0}
 CONFIDENCES = ("high", "medium", "low")
 
 

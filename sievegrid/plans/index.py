@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sievegrid.operators import code_text, config_rules, dependencies, imports, repo_index, review, verification
+from sievegrid.functions import repo
+from sievegrid.operators import code_text, config_rules, dependencies, imports, repo_index, repo_tools, review, verification
 from sievegrid.plans.registry import query
 from sievegrid.sources.tables import table
 
@@ -109,7 +110,7 @@ def snippet_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
     SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND o_orderpriority < '3' THEN 'info' ELSE 'high' END AS severity,
            CASE WHEN o_orderstatus = 'F' AND o_orderpriority < '3' THEN 'low' WHEN o_orderstatus IN ('F', 'O') THEN 'medium' ELSE 'high' END AS confidence,
-           CASE WHEN o_orderstatus = 'F' AND o_orderpriority < '3' THEN 8.0 ELSE 75.0 END::DOUBLE AS risk_score FROM orders""")
+           CASE WHEN o_orderstatus = 'F' AND o_orderpriority < '3' THEN 5.0 ELSE 75.0 END::DOUBLE AS risk_score FROM orders""")
 def verdicts_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as high findings; status F refutes (with evidence below priority 3), O weakens, P upholds."""
     none = F.lit(None).cast("array<string>")
@@ -179,3 +180,51 @@ def resolved_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '\\r?\\n'), lambda x: regexp_matches(x, '\\b(TODO|FIXME|HACK|XXX)\\b'))) AS INTEGER) AS todos FROM documents""")
 def todo_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code_text.file_metrics(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "todos")
+
+
+@query("""
+    SELECT l_partkey AS package, CASE WHEN l_partkey % 4 = 0 THEN NULL ELSE 'https://github.com/o-' || l_suppkey || '/r.' || l_partkey END AS url, CASE WHEN l_partkey % 4 <> 0 THEN 'r.' || l_partkey END AS name, 'taint/sql-injection-' || l_linenumber AS rule_id,
+           'https://github.com/o/r/blob/sha/a%20b/%2E%2E/f.ts#L' || l_linenumber || CASE WHEN l_quantity > 25 THEN '-L' || (l_linenumber + 2) ELSE '' END AS link, CAST(ceil(l_quantity / 3.5) AS BIGINT) AS tokens
+    FROM lineitem""")
+def repo_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses, rule names, links and token estimates of line items."""
+    key, n = F.col("l_partkey"), F.col("l_linenumber")
+    url = F.when(key % 4 != 0, F.concat(F.lit("https://github.com/o-"), F.col("l_suppkey").cast("string"), F.lit("/r."), key.cast("string"))).otherwise("https://example.com/o/r")
+    rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_linenumber", "l_quantity", url.alias("url")).withColumn("repo", repo.repo_of_url(F.concat("url", F.when(key % 4 != 0, ".git").otherwise(""))))
+    end = F.when(F.col("l_quantity") > 25, n + 2).otherwise(n)
+    link = repo.permalink(F.lit("o"), F.lit("r"), F.lit("sha"), F.lit("a b/../f.ts"), n, end)
+    return rows.select(key.alias("package"), F.when(F.col("repo").isNotNull(), F.col("url")).alias("url"), F.col("repo.name").alias("name"), repo.taint_rule_id(F.concat(F.lit("sast/sqlInjection_"), n.cast("string"))).alias("rule_id"), link.alias("link"), repo.estimated_tokens(F.col("l_quantity")).alias("tokens"))
+
+
+@query("""
+    WITH w AS (SELECT DISTINCT doc_id, line, unnest(regexp_extract_all(content, '[A-Za-z_$][A-Za-z0-9_$]*')) AS name FROM (SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '\\r?\\n')) AS content, CAST(generate_subscripts(string_split_regex(coalesce(text, ''), '\\r?\\n'), 1) AS INTEGER) AS line FROM documents)),
+    n AS (SELECT DISTINCT left(name, 4) AS name FROM w WHERE length(name) > 9)
+    SELECT name, doc_id AS file, line FROM w JOIN n USING (name)""")
+def word_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of whole words that are the first four letters of long ones."""
+    rows = code_text.lines(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("doc_id", "file")
+    words = rows.select(F.explode(F.regexp_extract_all("content", F.lit("[A-Za-z_$][A-Za-z0-9_$]*"), F.lit(0))).alias("name"))
+    return repo_tools.references(rows, words.where(F.length("name") > 9).select(F.substring("name", 1, 4).alias("name")))
+
+
+@query("""
+    WITH RECURSIVE c AS (SELECT o_custkey, o_orderkey AS commit, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS parent FROM orders),
+    p AS (SELECT min(o_orderkey) AS base, max(o_orderkey) AS head FROM orders GROUP BY o_custkey)
+    SELECT base, head, true AS ancestor FROM p UNION ALL SELECT head, base, base = head FROM p WHERE base <> head UNION ALL SELECT -1, head, NULL FROM p""")
+def commit_ancestry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders as a line of commits: the first is an ancestor of the last, and not the other way round."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+    commits = orders.select(F.col("o_orderkey").alias("commit"), F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("parent"))
+    ends = orders.groupBy("o_custkey").agg(F.min("o_orderkey").alias("base"), F.max("o_orderkey").alias("head"))
+    asked = ends.select("base", "head").union(ends.where("base <> head").select("head", "base")).union(ends.select(F.lit(-1), "head"))
+    return repo_tools.is_ancestor(commits, asked)
+
+
+@query("""
+    WITH r AS (SELECT DISTINCT l_suppkey AS action, l_orderkey AS finding_id, l_partkey AS advisory FROM lineitem), n AS (SELECT action, count(DISTINCT advisory) AS n FROM r GROUP BY action),
+    m AS (SELECT r.finding_id, r.action, count(DISTINCT advisory) AS own, any_value(n) AS n, any_value(s_acctbal) AS priority FROM r JOIN n USING (action) JOIN supplier ON s_suppkey = action GROUP BY r.finding_id, r.action)
+    SELECT finding_id, action, 'run ' || action AS command, n - own AS others FROM m QUALIFY row_number() OVER (PARTITION BY finding_id ORDER BY priority DESC, n DESC, action) = 1""")
+def best_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    actions = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("action"), F.col("s_acctbal").alias("priority"), F.concat(F.lit("run "), F.col("s_suppkey").cast("string")).alias("command"))
+    resolves = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("action"), F.col("l_orderkey").alias("finding_id"), F.col("l_partkey").alias("advisory"))
+    return repo_tools.best_actions(actions, resolves)
