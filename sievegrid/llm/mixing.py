@@ -19,7 +19,6 @@ their names, pass through ``drawn`` and are left out by ``mix``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from math import gcd
 
 import pandas as pd
