@@ -1,25 +1,10 @@
-"""Repository text: lines, metrics, duplicate blocks, located snippets, credentials."""
+"""Repository text: lines, metrics, duplicate blocks, located snippets, and SARIF documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievegrid.functions.text import entropy, redact
-
-#: Published shapes of credentials, by type, with base severity.
-CREDENTIALS = {
-    "github-token": (r"\b(gh[pousr]_[A-Za-z0-9]{36,255}|github_pat_[A-Za-z0-9_]{22,255})\b", "high"),
-    "aws-access-key": (r"\b((?:AKIA|ASIA)[A-Z0-9]{16})\b", "high"),
-    "google-api-key": (r"\b(AIza[A-Za-z0-9_-]{35})", "medium"),
-    "slack-token": (r"\b(xox[abprs]-[A-Za-z0-9-]{10,250})", "high"),
-    "stripe-secret-key": (r"\b(sk_live_[A-Za-z0-9]{16,247})\b", "critical"),
-    "stripe-test-key": (r"\b(sk_test_[A-Za-z0-9]{16,247})\b", "low"),
-    "sendgrid-api-key": (r"\b(SG\.[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43})", "high"),
-    "database-url": (r"\b((?:postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis)://[^\s:@/'\"]{1,100}:[^\s@/'\"]{1,200}@[^\s'\"]{1,200})", "high"),
-    "jwt": (r"\b(eyJ[A-Za-z0-9_-]{8,2000}\.eyJ[A-Za-z0-9_-]{8,4000}\.[A-Za-z0-9_-]{8,1000})", "medium"),
-}
-
 
 def lines(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, line (from 1) and content of every line."""
@@ -78,20 +63,6 @@ def located(issues: DataFrame, file_lines: DataFrame, slack: int = 2, least: flo
     return best.select("issue", F.col("best.line").alias("line"), (-F.col("best.unlike")).alias("likeness"), F.when(F.col("best.far"), "relocated").otherwise("verified").alias("status"))
 
 
-def credentials(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, line, type, severity, redacted and hash of values that have a credential's shape. The values themselves don't leave."""
-    rows = lines(df, key, text)
-    kinds = F.array(*(F.struct(F.lit(t).alias("type"), F.lit(s).alias("severity"), F.regexp_extract_all("content", F.lit(p), F.lit(1)).alias("found")) for t, (p, s) in CREDENTIALS.items()))
-    hits = rows.select(key, "line", F.explode(F.filter(kinds, lambda k: F.size(k["found"]) > 0)).alias("k")).select(key, "line", "k.type", "k.severity", F.explode("k.found").alias("_sg_value"))
-    real = hits.where(~F.lower("_sg_value").rlike(r"example|placeholder|your[_-]|changeme|xxxx") & ~F.col("_sg_value").rlike(r"(.)\1{7,}"))
-    return real.select(key, "line", "type", "severity", redact(F.col("_sg_value")).alias("redacted"), F.sha2("_sg_value", 256).alias("hash")).dropDuplicates([key, "line", "type", "hash"])
-
-
-def generic_secret(name: Column, value: Column, least: float = 3.5) -> Column:
-    """Whether an assignment looks like a secret: a telling name and a value of high entropy."""
-    return name.rlike(r"(?i)(secret|token|passw(or)?d|api[_-]?key|private[_-]?key)") & (F.length(value) >= 12) & (entropy(value) >= least)
-
-
 def sarif_level(severity: Column) -> Column:
     return F.when(severity.isin("critical", "high"), "error").when(severity == "medium", "warning").otherwise("note")
 
@@ -117,11 +88,3 @@ def sarif(findings: DataFrame) -> DataFrame:
     results = findings.groupBy("scan_id").agg(F.transform(ordered, lambda r: r["result"]).alias("results"))
     run = F.struct(F.struct(F.struct(F.lit("sievegrid").alias("name"), F.col("rules")).alias("driver")).alias("tool"), F.col("results"))
     return results.join(rules, "scan_id").select("scan_id", F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("document"))
-
-
-def private_keys(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, line, type, severity and hash of PEM private keys, from a BEGIN line to the END line of the same kind."""
-    block = r"(-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----[A-Za-z0-9+/=\s:,\\-]{20,20000}?-----END \2PRIVATE KEY-----)"
-    rows = df.select(key, F.col(text).alias("_sg_text"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(block), F.lit(1)))).alias("_sg_value"))
-    line = F.size(F.split(F.substr("_sg_text", F.lit(1), F.position("_sg_value", "_sg_text")), "\n", -1))
-    return rows.select(key, line.alias("line"), F.lit("private-key").alias("type"), F.lit("high").alias("severity"), F.sha2("_sg_value", 256).alias("hash"))

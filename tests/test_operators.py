@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sievegrid.functions import severity as sev
 from sievegrid.functions import text as tx
-from sievegrid.operators import code_text, events, graph, matching, ranking, rollups, search
+from sievegrid.operators import code_text, credentials, events, graph, matching, ranking, rollups, search
 
 
 def one(spark, column):
@@ -190,7 +190,7 @@ def test_credentials_never_leave(spark):
     token = "ghp" + "_" + "".join(rng.choice(letters) for _ in range(36))
     key = "AK" + "IA" + "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVW234567") for _ in range(16))
     files = spark.createDataFrame([("a", f"x = '{token}'\n\nk = {key}"), ("b", "ghp" + "_" + "x" * 36), ("c", None)], "path string, text string")
-    rows = code_text.credentials(files, "path", "text").collect()
+    rows = credentials.credentials(files, "path", "text").collect()
     assert {(r.path, r.line, r.type) for r in rows} == {("a", 1, "github-token"), ("a", 3, "aws-access-key")}
     assert not any(token in str(r) or key in str(r) for r in rows)
 

@@ -1,6 +1,6 @@
 """Imports, line rules, carried findings, workflow rules, private keys and yarn lockfiles."""
 
-from sievegrid.operators import code_text, config_rules, dependencies as dep, imports, review
+from sievegrid.operators import config_rules, credentials, dependencies as dep, imports, review
 
 
 def lines(spark, **files):
@@ -51,7 +51,7 @@ def test_private_keys(spark):
     body = "\n".join(["QUJD" * 16] * 3)
     key = f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----"
     rows = [(1, f"a\nb {key}\n{key}\n"), (2, key.replace("END RSA", "END EC")), (3, "-----BEGIN PRIVATE KEY-----\nshort\n-----END PRIVATE KEY-----"), (4, None), (5, key.replace("RSA ", ""))]
-    got = {(r.id, r.line) for r in code_text.private_keys(spark.createDataFrame(rows, "id long, text string"), "id", "text").collect()}
+    got = {(r.id, r.line) for r in credentials.private_keys(spark.createDataFrame(rows, "id long, text string"), "id", "text").collect()}
     assert got == {(1, 2), (5, 1)}
 
 
