@@ -15,6 +15,7 @@ GONE, GONE_DIGEST = "[REDACTED]", "[redacted]"
 
 def scrub_log(text: Column) -> Column:
     """Text without tokens, values of authorization and private keys."""
+    # fixed values: what counts as a value of authorization
     head = r"(?i)(authorization\s*[\"']?\s*[:=]\s*[\"']?)"
     out = F.regexp_replace(text, head + r"(?:basic|bearer|token)\s+[^\s\"',]+", f"$1{GONE}")
     out = F.regexp_replace(out, head + r"[A-Za-z0-9._~+/=-]{16,}(?=$|[\s\"',])", f"$1{GONE}")
