@@ -7,10 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sievegrid.llm import fingerprints, language_id, mixing, near_dup, packing, quality, quality_rules, sharding, token_counts, url_rules
+from sievegrid.llm import bpe_fold, fingerprints, language_id, mixing, near_dup, packing, quality, quality_rules, sharding, token_counts, url_rules
 from sievegrid.sources.tables import table
 
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken"
 
 
 def tokenizer_path() -> str:
@@ -64,8 +64,12 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), rules)
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_fold.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_fingerprints, op4_mixing, op5_quality, op6_near_dup, op7_quality_rules, op8_packing, op9_sharding, op10_url_rules, page_language_id)}
+    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_fingerprints, op4_mixing, op5_quality, op6_near_dup, op7_quality_rules, op8_packing, op9_sharding, op10_url_rules, op11_byte_bpe, page_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
