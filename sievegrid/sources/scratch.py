@@ -40,6 +40,15 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Deletes a scratch table that nothing reads any more; ``table`` is what ``materialize`` gave."""
+    spark = table.sparkSession
+    for folder in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
+        if folder.rsplit("/", 2)[-2] == shared_dir(spark).rsplit("/", 1)[-1]:  # only tables of this application
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes all scratch tables of this application; results that weren't written elsewhere can't be read after that."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))  # the store's own client, whatever store it is
