@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievegrid.functions import yaml_tree
+from sievegrid.sources.scratch import materialize
+
 _SECRET_NAME = r"(?i)(secret|token|passw(?:or)?d|api_?key|private_?key|credential)"
 
 
@@ -75,28 +81,60 @@ UNTRUSTED = (
 )
 
 
+def yaml_nodes(files: DataFrame) -> DataFrame:
+    """path, id, parent, key, at, value, line and value_line of each node of YAML files (path, text), as ``functions.yaml_tree`` reads them."""
+    schema = "path string, id int, parent int, key string, at int, value string, line int, value_line int"
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32()]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows = list(yaml_tree.nodes(text or ""))
+                columns = [[path] * len(rows), *([r[c] for r in rows] for c in range(7))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[part.split()[0] for part in schema.split(", ")])
+
+    return files.select(F.col("path").cast("string"), F.col("text").cast("string")).mapInArrow(run, schema)
+
+
 def workflow_issues(files: DataFrame) -> DataFrame:
-    """path, line and rule of workflow files, by their lines: unpinned actions, untrusted values in scripts, checkouts of
-    a pull request's head with the target's rights, and permissions to write everything (or none stated with such a trigger)."""
-    w = Window.partitionBy("path")
-    rows = _lines(files).withColumns({"line": F.col("pos") + 1, "depth": F.length(F.regexp_extract("content", r"^([\s-]*)", 1))})
-    some = lambda p: F.max(F.col("content").rlike(p)).over(w)
-    begins = F.last(F.when(F.col("content").rlike(r"^[\s-]*run\s*:"), F.struct("pos", "depth")), ignorenulls=True).over(w.orderBy("pos"))
-    facts = rows.withColumns({"target": some(r"^\s*(-\s*)?['\"]?pull_request_target\b|^\s*['\"]?on['\"]?:.*\bpull_request_target\b"), "permits": some(r"^\s*permissions\s*:"), "script": begins})
-    # a line is in a script if no line since the script began is as shallow as its beginning
-    shallow = F.min(F.when((F.col("pos") > F.col("script.pos")) & (F.trim("content") != ""), F.col("depth"))).over(Window.partitionBy("path", "script.pos").orderBy("pos"))
-    inside = F.col("script").isNotNull() & F.coalesce(shallow > F.col("script.depth"), F.lit(True))
-    each = facts.withColumn("inside", inside)
-    action = F.regexp_extract("content", r"^[\s-]*uses\s*:\s*['\"]?([^'\"\s#]+)", 1)
-    loose = (action != "") & ~action.rlike(r"^(\./|docker://|actions/|github/)") & ~action.rlike("@[0-9a-f]{40}$")
-    values = F.regexp_extract_all("content", F.lit(r"\$\{\{([^}]{0,500})\}\}"), F.lit(1))
-    untrusted = F.exists(values, lambda v: F.coalesce(*(F.when(v.contains(n), True) for n in UNTRUSTED), F.lit(False)) | (v.contains("github.event.commits.") & v.contains(".message")) | (v.contains("github.event.pages.") & v.contains(".page_name")))
-    head = F.col("target") & F.col("content").rlike(r"^\s*ref\s*:.*github\.(event\.pull_request\.head\.(sha|ref)|head_ref)")
+    """path, line and rule of workflow files (path, text), from their nodes.
+
+    Actions of others that aren't pinned to a commit; values that an outsider's event fills in scripts, a row for each; a checkout step
+    whose own ``ref`` is a pull request's head, in a workflow with the target's rights; and permissions to write everything, of a
+    workflow or a job, or none stated anywhere with such a trigger. Files of other paths and files that aren't maps give nothing.
+    """
+    n = materialize(yaml_nodes(files.where(F.col("path").rlike(r"(?i)(^|/)\.github/workflows/[^/]+\.ya?ml$"))), "nodes")
+
+    def below(parents: DataFrame, key: str | None = None, items: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+        """Children of nodes: entries of one key, all entries, or items; with columns of the parent."""
+        fits = F.col("key") == key if key else F.col("at").isNotNull() if items else F.col("key").isNotNull()
+        p = parents.select(F.col("path").alias("_sg_p"), F.col("id").alias("_sg_i"), *keep)
+        return n.where(fits).join(p, (F.col("path") == F.col("_sg_p")) & (F.col("parent") == F.col("_sg_i"))).drop("_sg_p", "_sg_i")
+
+    roots = n.where("parent = 0")
+    on = roots.where("key = 'on'")
+    names = on.select("path", F.col("value").alias("name")).union(below(on).select("path", "key")).union(below(on, items=True).select("path", "value"))
+    target = names.where("name = 'pull_request_target'").select("path").distinct()
+    jobs = below(roots.where("key = 'jobs'"))
+    steps = below(below(jobs, "steps"), items=True).withColumn("step", F.col("line"))
+    uses = below(steps, "uses", keep=("step",)).where(F.col("value").isNotNull())
     named = lambda rule: F.lit(f"config/gha-{rule}").alias("rule")
-    return (
-        each.where(loose).select("path", "line", named("unpinned-action"))
-        .union(each.where(untrusted & F.col("inside")).select("path", "line", named("script-injection")))
-        .union(each.where(head).select("path", "line", named("pull-request-target-checkout")))
-        .union(each.where(F.col("content").rlike(r"^\s*permissions\s*:\s*['\"]?write-all\b")).select("path", "line", named("excessive-permissions")))
-        .union(facts.where("pos = 0 and target and not permits").select("path", F.lit(1), named("excessive-permissions")))
-    )
+
+    spec, ref = F.regexp_extract("value", r"^(.*?)(?:@([^@]*))?$", 1), F.regexp_extract("value", r"^(.*?)(?:@([^@]*))?$", 2)
+    own = F.col("value").rlike(r"^(\./|\.\\|docker://)") | F.split(spec, "/")[0].isin("actions", "github")
+    loose = uses.where(~own & ~ref.rlike("^[0-9a-fA-F]{40}$")).select("path", "line", named("unpinned-action")).distinct()
+
+    checkout = uses.where(F.col("value").rlike(r"^actions/checkout(@|$)")).select("path", F.col("parent").alias("of"), "step")
+    refs = below(below(steps, "with").withColumn("of", F.col("parent")), "ref", keep=("of",)).where(F.contains("value", F.lit("github.event.pull_request.head")) | F.contains("value", F.lit("github.head_ref")))
+    head = refs.select("path", "of").distinct().join(checkout, ["path", "of"]).join(target, "path").select("path", F.col("step").alias("line"), named("pull-request-target-checkout"))
+
+    scripts = below(steps, "run").select("path", "value_line", F.posexplode(F.split("value", "\n", -1)).alias("off", "content"))
+    values = scripts.select("path", (F.col("value_line") + F.col("off")).alias("line"), F.explode(F.regexp_extract_all("content", F.lit(r"\$\{\{([^}]{0,500})\}\}"), F.lit(1))).alias("v"))
+    has = lambda x: F.contains("v", F.lit(x))
+    untrusted = F.coalesce(*(F.when(has(x), True) for x in UNTRUSTED), F.when(has("github.event.commits.") & has(".message"), True), F.when(has("github.event.pages.") & has(".page_name"), True), F.lit(False))
+    injected = values.where(untrusted).select("path", "line", named("script-injection"))
+
+    stated = roots.where("key = 'permissions'").unionByName(below(jobs, "permissions"))
+    broad = stated.where("value = 'write-all'").select("path", "line", named("excessive-permissions"))
+    silent = target.join(stated.select("path").distinct(), "path", "left_anti").select("path", F.lit(1).alias("line"), named("excessive-permissions"))
+    return loose.union(head).union(injected).union(broad).union(silent)

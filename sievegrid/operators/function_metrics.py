@@ -12,13 +12,14 @@ semicolon or bracket ends.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievegrid.sources.scratch import materialize
+
 _NAME = r"[\p{L}_$#][\p{L}\p{N}_$]*"
 _TOKENS = "|".join((
     r"/\*[\s\S]*?(?:\*/|$)", r"//[^\n]*", r'"(?>[^"\\\n]|\\[\s\S])*+"?', r"'(?>[^'\\\n]|\\[\s\S])*+'?", r"`(?>[^`\\]|\\[\s\S])*+`?",
@@ -31,7 +32,7 @@ _NOT_METHODS = (*_BRANCHES, "with", "return", "function", "new", "typeof", "awai
 
 def _tokens(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, n (from 1), token, line, and its neighbours, without comments and line ends."""
-    found = F.transform(F.regexp_extract_all(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "\r\n", "\n"), F.lit(_TOKENS), F.lit(0)), F.trim)
+    found = F.transform(F.regexp_extract_all(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "\r\n", "\n"), F.lit(_TOKENS), F.lit(0)), lambda x: F.trim(x))
     rows = df.select(F.col(key).alias("file"), F.posexplode(found).alias("n", "token"))
     rows = rows.withColumn("ends", F.length("token") - F.length(F.replace("token", F.lit("\n"), F.lit(""))) + (F.col("token") == "").cast("int"))
     order = Window.partitionBy("file").orderBy("n")
@@ -43,7 +44,8 @@ def _tokens(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def _blocks(tokens: DataFrame) -> DataFrame:
     """Adds ``block`` (the bracket that a token stands in, 0 outside), ``match`` (the closing bracket of an opening one, and back),
-    and ``stop`` (where a statement without braces that begins here ends)."""
+    ``stop`` (where a statement without braces that begins here ends), ``reach`` (the same, with an ``else`` and the like that
+    follows it) and ``comma`` (where an expression ends)."""
     opens, closes = F.col("token").isin("(", "[", "{"), F.col("token").isin(")", "]", "}")
     depth = F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(Window.partitionBy("file").orderBy("n"))
     level = tokens.withColumn("level", (depth - opens.cast("int")).cast("int"))  # brackets have the level of what they stand in
@@ -54,8 +56,10 @@ def _blocks(tokens: DataFrame) -> DataFrame:
     down = Window.partitionBy("file", "block").orderBy(F.desc("n"))
     match = F.when(opens, F.lead("n").over(brackets)).when(closes, F.lag("n").over(brackets))
     stop = F.coalesce(F.last(F.when(F.col("token").isin(";", "}"), F.col("n")), True).over(down), F.first("n").over(down))
+    goes_on = F.coalesce(F.col("a1").isin("else", "catch", "finally"), F.lit(False))
+    reach = F.coalesce(F.last(F.when(F.col("token").isin(";", "}") & ~goes_on, F.col("n")), True).over(down), F.first("n").over(down))
     comma = F.coalesce(F.last(F.when(F.col("token").isin(";", ","), F.col("n")), True).over(down), F.first("n").over(down) + 1) - 1
-    return held.select("*", match.alias("match"), stop.alias("stop"), comma.alias("comma"))
+    return held.select("*", match.alias("match"), stop.alias("stop"), reach.alias("reach"), comma.alias("comma"))
 
 
 def _at(tokens: DataFrame, place: str, out: str, columns: list[str]) -> DataFrame:
@@ -85,8 +89,6 @@ def script_functions(df: DataFrame, key: str, text: str) -> DataFrame:
     The row with a null name is what stands outside of functions; its length is null. Nesting counts the branches that are
     open inside the function itself: an ``else if`` is one deeper than its ``if``, and a ``catch`` one deeper than its ``try``.
     """
-    from sievegrid.sources.scratch import materialize
-
     t = materialize(_blocks(_tokens(df, key, text)), "tokens")
     heads = _at(t, "match", "m", ["token", "line", "block", "b1", "b2", "b3", "a1"])
     word = F.col("b1").rlike(rf"^{_NAME}$") & ~F.col("b1").isin(*_NOT_METHODS)
@@ -99,12 +101,12 @@ def script_functions(df: DataFrame, key: str, text: str) -> DataFrame:
     after = params.where(declared | method).withColumn("declared", declared)
     stops = t.select(F.col("file").alias("_sg_f"), F.col("n").alias("_sg_n"), F.col("stop").alias("m_stop"))
     after = after.join(stops, (F.col("file") == F.col("_sg_f")) & (F.col("match") == F.col("_sg_n"))).drop("_sg_f", "_sg_n")
-    bodies = after.join(braces, (F.col("file") == F.col("_sg_f")) & (F.col("block") == F.col("_sg_b")) & (F.col("open") > F.col("match")) & (F.col("open") < F.col("m_stop")) & (F.col("close") >= F.col("m_stop") if False else F.lit(True)))
+    bodies = after.join(braces, (F.col("file") == F.col("_sg_f")) & (F.col("block") == F.col("_sg_b")) & (F.col("open") > F.col("match")) & (F.col("open") < F.col("m_stop")))
     bodies = bodies.where(F.col("declared") | (F.col("m_a1") == ":") | (F.col("open") == F.col("match") + 1))
     bodies = bodies.groupBy("file", "n").agg(F.min(F.struct("open", "close", "declared", "line", "b1", "b2", "b3")).alias("r")).select("file", F.col("n").alias("at"), "r.*")
     plain = F.regexp_replace("b1", "[\"']", "")
-    bound = lambda sign, name, dot: F.when((sign == "=") | (sign == ":"), F.when(name.rlike(rf"^{_NAME}$"), name))
-    named = F.when(F.col("declared") & F.col("b1").rlike(rf"^{_NAME}$") & (F.col("b1") != "function"), F.col("b1")).when(F.col("declared"), bound(F.col("b2"), F.col("b3"), None)).otherwise(F.when(F.col("b2").isin("get", "set"), F.concat_ws(" ", "b2", plain)).otherwise(plain))
+    bound = lambda sign, name: F.when((sign == "=") | (sign == ":"), F.when(name.rlike(rf"^{_NAME}$"), name))
+    named = F.when(F.col("declared") & F.col("b1").rlike(rf"^{_NAME}$") & (F.col("b1") != "function"), F.col("b1")).when(F.col("declared"), bound(F.col("b2"), F.col("b3"))).otherwise(F.when(F.col("b2").isin("get", "set"), F.concat_ws(" ", "b2", plain)).otherwise(plain))
     back = F.when(F.col("declared"), F.when(F.col("b1") == "function", 1).when(F.col("b3") == "function", 3).otherwise(2)).otherwise(1)
     classic = bodies.select("file", (F.col("at") - back).alias("n"), F.coalesce(named, F.lit("anonymous")).alias("name"), F.col("close").alias("end"))
 
@@ -116,7 +118,7 @@ def script_functions(df: DataFrame, key: str, text: str) -> DataFrame:
     begin = t.select(F.col("file").alias("_sg_h"), F.col("n").alias("first"), F.col("b1").alias("c1"), F.col("b2").alias("c2"), F.col("b3").alias("c3"))
     arrows = arrows.select("file", "arrow", "a1", "comma", "close", "first").join(begin.withColumnRenamed("first", "_sg_i"), (F.col("file") == F.col("_sg_h")) & (F.col("first") == F.col("_sg_i")))
     sign, name = F.when(F.col("c1") == "async", F.col("c2")).otherwise(F.col("c1")), F.when(F.col("c1") == "async", F.col("c3")).otherwise(F.col("c2"))
-    arrows = arrows.select("file", (F.col("first") - (F.col("c1") == "async").cast("int")).alias("n"), F.coalesce(bound(sign, name, None), F.lit("anonymous")).alias("name"), F.when(F.col("a1") == "{", F.col("close")).otherwise(F.greatest("comma", F.col("arrow") + 1)).alias("end"))
+    arrows = arrows.select("file", (F.col("first") - (F.col("c1") == "async").cast("int")).alias("n"), F.coalesce(bound(sign, name), F.lit("anonymous")).alias("name"), F.when(F.col("a1") == "{", F.col("close")).otherwise(F.greatest("comma", F.col("arrow") + 1)).alias("end"))
     functions = classic.unionByName(arrows).groupBy("file", "n").agg(F.max("end").alias("end"), F.max("name").alias("name"))
 
     # branches: a head, its parenthesis, then a block or a statement up to its stop
@@ -127,8 +129,9 @@ def script_functions(df: DataFrame, key: str, text: str) -> DataFrame:
     shut = t.select(F.col("file").alias("_sg_f"), F.col("n").alias("_sg_n"), F.col("match").alias("shut"))
     heads = heads.join(shut, (F.col("file") == F.col("_sg_f")) & (F.col("paren") == F.col("_sg_n")), "left").drop("_sg_f", "_sg_n")
     heads = heads.where(~F.col("token").isin("if", "for", "while", "switch") | F.col("shut").isNotNull()).withColumn("body", F.coalesce("shut", "n") + 1)
-    first = t.select(F.col("file").alias("_sg_f"), F.col("n").alias("_sg_n"), F.when(F.col("token") == "{", F.col("match")).otherwise(F.col("stop")).alias("end"))
-    heads = heads.join(first, (F.col("file") == F.col("_sg_f")) & (F.col("body") == F.col("_sg_n")), "left").withColumn("end", F.coalesce("end", "body"))
+    first = t.select(F.col("file").alias("_sg_f"), F.col("n").alias("_sg_n"), F.when(F.col("token") == "{", F.col("match")).alias("close"), "stop", "reach")
+    heads = heads.drop("stop", "reach").join(first, (F.col("file") == F.col("_sg_f")) & (F.col("body") == F.col("_sg_n")), "left")
+    heads = heads.withColumn("end", F.coalesce("close", F.when(F.col("token").isin("for", "while"), F.col("reach")).otherwise(F.col("stop")), "body"))
     chain = Window.partitionBy("file", "block").orderBy("n")
     inner = (F.col("token") == "if") & (F.coalesce(F.col("b1"), F.lit("")) == "else")
     ifs = heads.where(F.col("token").isin("if", "else")).withColumn("island", F.sum((~inner & (F.col("token") == "if")).cast("int")).over(chain))

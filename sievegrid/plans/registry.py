@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from sievegrid.plans import advisories, code, index, reports, review, scans, secrets, stores, supply, writes  # noqa: F401  they register their queries
+    from sievegrid.plans import advisories, code, index, reports, review, scans, secrets, stores, structure, supply, writes  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Query]:

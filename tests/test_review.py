@@ -41,10 +41,11 @@ def test_upsert_takes_nulls_of_changes(spark):
 
 
 def test_workflows(spark):
+    W = ".github/workflows/"
     bad = "on: [pull_request_target]\njobs:\n  a:\n    steps:\n      - uses: actions/checkout@v4\n        with:\n          ref: ${{ github.event.pull_request.head.sha }}\n      - uses: some/thing@v1\n      - uses: other/thing@" + "a" * 40 + "\n      - run: |\n          echo ${{ github.event.issue.title }}\n\n          echo ${{ github.sha }}\n      - name: ${{ github.head_ref }}\n      - run: echo ${{ github.event.commits.x.message }}"
-    files = spark.createDataFrame([("bad.yml", bad), ("all.yml", "on: push\npermissions: write-all\n"), ("good.yml", "on: push\njobs: {}"), ("none.yml", None)], "path string, text string")
+    files = spark.createDataFrame([(W + "bad.yml", bad), (W + "all.yml", "on: push\npermissions: write-all\n"), (W + "good.yml", "on: push\njobs: {}"), (W + "none.yml", None)], "path string, text string")
     got = {(r.path, r.line, r.rule.removeprefix("config/gha-")) for r in config_rules.workflow_issues(files).collect()}
-    assert got == {("bad.yml", 8, "unpinned-action"), ("bad.yml", 11, "script-injection"), ("bad.yml", 15, "script-injection"), ("bad.yml", 7, "pull-request-target-checkout"), ("bad.yml", 1, "excessive-permissions"), ("all.yml", 2, "excessive-permissions")}
+    assert got == {(W + "bad.yml", 8, "unpinned-action"), (W + "bad.yml", 11, "script-injection"), (W + "bad.yml", 15, "script-injection"), (W + "bad.yml", 5, "pull-request-target-checkout"), (W + "bad.yml", 1, "excessive-permissions"), (W + "all.yml", 2, "excessive-permissions")}
 
 
 def test_private_keys(spark):
