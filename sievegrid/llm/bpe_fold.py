@@ -1,64 +1,58 @@
-"""Byte-level BPE by higher-order functions: ranked merges folded over the bytes of words, and decoding.
+"""Byte-level BPE: ranked merges folded over the bytes of distinct words by higher-order functions, and decoding.
 
-A text is cut into words by the vocabulary's split pattern. A word starts as the ids of its bytes; each step of a fold
-merges the leftmost pair of lowest rank, until no pair of the word has a rank. The rank map is a constant of the plan: an
-array of cells, in which a perfect hash gives each pair of ids its slot.
+A word starts as the ids of its bytes; each step of a fold merges the leftmost pair of lowest rank, until no pair of the word
+has a rank. The rank map is a constant of the plan: an array of cells, in which a perfect hash gives each pair of ids its slot.
 
-Words of all documents are counted once (counts are combined before they are shuffled), and the most frequent ones of those that
-stand twice or more, at most FREQUENT and each of at most WORD_BYTES, are folded once and kept as a second constant; other words are folded where
-they stand. What that table holds changes no result. A word of over FOLD_BYTES is merged by a heap in Python, since a fold
-takes the square of its length.
+Tasks count their words in summaries of bounded size; the most frequent words of all documents, at most FREQUENT and each of at
+most WORD_BYTES, are folded once, spread over the cluster, and sent to every worker. Words that aren't among them are merged
+in the worker that meets them, by a heap on the same ranks, and kept in a cache of bounded size. What the table and the
+caches hold changes no result. Decoding concatenates the pieces of the ids.
 
-Null texts count as empty and have no ids. Repeated rows are encoded each, columns that are not needed pass through, and an
-empty table gives an empty result. Ids that a vocabulary doesn't have make ``decoded`` null.
+Null texts count as empty and have no ids. Repeated rows are encoded each, and an empty table gives an empty result. Ids that a
+vocabulary doesn't have decode to null, and so do null ids.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import regex
 import xxhash
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sievegrid.llm.arrow import bound_batches
+from sievegrid.llm.arrow import bound_batches, map_slices, slices, texts
 from sievegrid.sources.scratch import materialize
 
-#: Entries and slots of the table of frequent words, bytes of its longest word, and of the longest word that is folded.
-FREQUENT, SLOTS, WORD_BYTES, FOLD_BYTES = 1 << 19, 1 << 20, 32, 512
-#: Bits of an id in a cell; the value of a pair without a rank.
-ID_BITS, NONE = 20, 1 << 30
-BUCKET_SHIFT = 40
-
-#: White space by Unicode, and letters and numbers that Unicode added after version 13, which older JVMs don't know.
-SPACE = r"\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-NEW_LETTERS = (
-    r"\x{870}-\x{887}\x{889}-\x{88e}\x{8b5}\x{8c8}-\x{8c9}\x{c5d}\x{cdd}\x{170d}\x{171f}\x{1b4c}\x{1c89}-\x{1c8a}\x{2c2f}"
-    r"\x{2c5f}\x{9ffd}-\x{9fff}\x{a7c0}-\x{a7c1}\x{a7cb}-\x{a7cd}\x{a7d0}-\x{a7d1}\x{a7d3}\x{a7d5}-\x{a7dc}\x{a7f2}-\x{a7f4}"
-    r"\x{10570}-\x{1057a}\x{1057c}-\x{1058a}\x{1058c}-\x{10592}\x{10594}-\x{10595}\x{10597}-\x{105a1}\x{105a3}-\x{105b1}"
-    r"\x{105b3}-\x{105b9}\x{105bb}-\x{105bc}\x{105c0}-\x{105f3}\x{10780}-\x{10785}\x{10787}-\x{107b0}\x{107b2}-\x{107ba}"
-    r"\x{10d4a}-\x{10d65}\x{10d6f}-\x{10d85}\x{10ec2}-\x{10ec4}\x{10f70}-\x{10f81}\x{11071}-\x{11072}\x{11075}"
-    r"\x{1123f}-\x{11240}\x{11380}-\x{11389}\x{1138b}\x{1138e}\x{11390}-\x{113b5}\x{113b7}\x{113d1}\x{113d3}"
-    r"\x{11740}-\x{11746}\x{11ab0}-\x{11abf}\x{11bc0}-\x{11be0}\x{11f02}\x{11f04}-\x{11f10}\x{11f12}-\x{11f33}"
-    r"\x{12f90}-\x{12ff0}\x{1342f}\x{13441}-\x{13446}\x{13460}-\x{143fa}\x{16100}-\x{1611d}\x{16a70}-\x{16abe}"
-    r"\x{16d40}-\x{16d6c}\x{18cff}\x{1aff0}-\x{1aff3}\x{1aff5}-\x{1affb}\x{1affd}-\x{1affe}\x{1b11f}-\x{1b122}\x{1b132}"
-    r"\x{1b155}\x{1df00}-\x{1df1e}\x{1df25}-\x{1df2a}\x{1e030}-\x{1e06d}\x{1e290}-\x{1e2ad}\x{1e4d0}-\x{1e4eb}"
-    r"\x{1e5d0}-\x{1e5ed}\x{1e5f0}\x{1e7e0}-\x{1e7e6}\x{1e7e8}-\x{1e7eb}\x{1e7ed}-\x{1e7ee}\x{1e7f0}-\x{1e7fe}"
-    r"\x{2a6de}-\x{2a6df}\x{2b735}-\x{2b739}\x{2ebf0}-\x{2ee5d}\x{31350}-\x{323af}"
+#: Entries of the table of frequent words, bytes of its longest word, words of a task's summary, and bytes of a worker's cache.
+FREQUENT, WORD_BYTES, SUMMARY, CACHE_BYTES = 1 << 17, 32, 1 << 18, 100 << 20
+#: Bits of an id in a cell; the value of a pair without a rank; the first bit of a hash that names its bucket.
+ID_BITS, NONE, BUCKET_SHIFT = 20, 1 << 30, 40
+
+#: Letters and numbers that Unicode added after the version that the vocabularies' library knows.
+NEWER = (
+    r"\u0558\u058b\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c\uab6d"
+    r"\U000107bb-\U000107bf\U00010940-\U00010959\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a\U00011db0-\U00011ddb"
+    r"\U00011de0-\U00011de9\U00011df1\U0001246f\U00012475-\U0001247f\U00012550-\U00012686\U00016ea0-\U00016eb8\U00016ebb-\U00016ed3"
+    r"\U00016ff2-\U00016ff6\U000187f8-\U000187ff\U00018cd6-\U00018cda\U00018d09-\U00018d20\U00018d80-\U00018df2\U00018e00-\U00019191"
+    r"\U000191a0-\U000191d2\U0001b123-\U0001b128\U0001b168\U0001d6a6\U0001df1f-\U0001df24\U0001df2b-\U0001df81\U0001df90-\U0001df96"
+    r"\U0001dfcd-\U0001dfff\U0001e6c0-\U0001e6de\U0001e6e0-\U0001e6e2\U0001e6e4\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4"
+    r"\U0001e6fe\U0001e6ff\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f"
 )
-NEW_NUMBERS = r"\x{10d40}-\x{10d49}\x{116d0}-\x{116e3}\x{11bf0}-\x{11bf9}\x{11f50}-\x{11f59}\x{16130}-\x{16139}\x{16ac0}-\x{16ac9}\x{16d70}-\x{16d79}\x{1ccf0}-\x{1ccf9}\x{1d2c0}-\x{1d2d3}\x{1e4f0}-\x{1e4f9}\x{1e5f1}-\x{1e5fa}"
 
 
 def split_pattern() -> str:
-    """The published pattern of these vocabularies, for the JVM's expressions."""
-    letter, number = rf"\p{{L}}{NEW_LETTERS}", rf"\p{{N}}{NEW_NUMBERS}"
-    return rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{SPACE}{letter}{number}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+    """The published pattern of these vocabularies, whose classes leave out what is newer than their library."""
+    letter, number = rf"[\p{{L}}--[{NEWER}]]", rf"[\p{{N}}--[{NEWER}]]"
+    return rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?{letter}+| ?{number}+| ?[[^\s\p{{L}}\p{{N}}]||[{NEWER}]]+|\s+(?!\S)|\s+"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -142,13 +136,8 @@ class Vocabulary:
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.ranks = spark, read_ranks(path)
-        n_ids = max(self.ranks.values()) + 1
         cells, moves = in_slots(pair_ranks(self.ranks))
-        pieces: list[str | None] = [None] * n_ids
-        for piece, rank in self.ranks.items():
-            pieces[rank] = piece.hex()
         self.merges = self.constant(cells=pa.array(cells), moves=pa.array(moves), first=pa.array(first_pairs(self.ranks)), bytes=pa.array([self.ranks[bytes([b])] for b in range(256)], pa.int32()))
-        self.pieces = self.constant(pieces=pa.array(pieces, pa.string()))
 
     def constant(self, **arrays: pa.Array) -> Column:
         """A struct of arrays, as a value that is computed once and goes to the tasks with the plan."""
@@ -195,86 +184,118 @@ def folded(t: Column, word: Column) -> Column:
     return let(codes, merges)
 
 
-def _places(word: Column, slots: int) -> list[Column]:
-    """The two slots that a word may have in the table of frequent words; ``slots`` is a power of two."""
-    h = F.xxhash64(word)
-    return [x.bitwiseAND(F.lit(slots - 1)).cast("int") for x in (h, F.shiftright(h, 32))]
-
-
-def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(split_pattern()), F.lit(0))
-
-
-def frequent_words(vocabulary: Vocabulary, docs: DataFrame) -> tuple[Column | None, bool]:
-    """Constant of the most frequent words with their ids, in slots by hash (None without words), and whether a word is too long to fold.
-
-    The words of all documents are counted; counts are combined in each task before they are shuffled.
-    """
-    size = F.octet_length("word")
-    seen = Observation("words")
-    counted = docs.select(F.explode(words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).observe(seen, F.max(size).alias("longest"))
-    counted = materialize(counted.where((size <= WORD_BYTES) & (F.col("n") > 1)).withColumn("level", F.floor(F.log2("n") * 16).cast("int")), "words")
-    longest, room, least = seen.get["longest"], FREQUENT, 1 << 30
+class Codec:
+    """Encodes and decodes in a worker: ``table`` has the packed ids of frequent words, other words are merged here and cached."""
+
+    def __init__(self, ranks: dict[bytes, int], table: dict[str, bytes]) -> None:
+        self.find = regex.compile(split_pattern()).findall
+        self.pieces = [b""] * (max(ranks.values()) + 1)
+        for piece, rank in ranks.items():
+            self.pieces[rank] = piece
+        self.names = [str(i) for i in range(len(self.pieces))]
+
+        class Words(dict):
+            held = 0
+
+            def __missing__(self, word: str) -> bytes:
+                ids = np.array(merged(word.encode(), ranks), "<i4").tobytes()
+                if len(word) <= 4 * WORD_BYTES:
+                    self.held += 4 * len(word) + len(ids) + 200
+                    if self.held > CACHE_BYTES:
+                        self.clear()
+                        self.update(table)
+                        self.held = 0
+                    self[word] = ids
+                return ids
+
+        self.words = Words(table)
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.words.__getitem__, self.find(text))), "<i4")
+
+    def decode(self, ids: list[int] | np.ndarray) -> bytes | None:
+        """The pieces of ids in a row, or None where an id isn't in the vocabulary."""
+        ids = np.asarray(ids, np.int64)
+        if len(ids) and not 0 <= ids.min() <= ids.max() < len(self.pieces):
+            return None
+        return b"".join(map(self.pieces.__getitem__, ids.tolist()))
+
+
+def _summaries(docs: DataFrame) -> DataFrame:
+    """word and n: counts of each task's frequent words. A summary of over 2 * SUMMARY words is cut to its SUMMARY most frequent ones,
+    and words of under an 8 * FREQUENT-th of the task's words aren't sent."""
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, seen, total = regex.compile(split_pattern()).findall, Counter(), 0
+        for batch in batches:
+            for piece in slices(batch, "text"):
+                for text in texts(piece, "text"):
+                    seen.update(find(text))
+                if len(seen) > 2 * SUMMARY:
+                    total += seen.total()
+                    seen = Counter(dict(seen.most_common(SUMMARY)))
+                    total -= seen.total()
+        least = max(2, (total + seen.total()) // (8 * FREQUENT))
+        sent = [(w, n) for w, n in seen.items() if n >= least and len(w.encode()) <= WORD_BYTES]
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in sent], pa.string()), pa.array([n for _, n in sent], pa.int64())], names=["word", "n"])
+
+    return docs.mapInArrow(count, "word string, n long")
+
+
+def frequent_words(vocabulary: Vocabulary, docs: DataFrame) -> dict[str, bytes]:
+    """The most frequent words of ``docs`` (text) with their packed ids: at most FREQUENT rows of bounded length."""
+    counted = _summaries(docs).groupBy("word").agg(F.sum("n").alias("n")).withColumn("level", F.floor(F.log2("n") * 16).cast("int"))
+    counted, room, least = materialize(counted, "words"), FREQUENT, 1 << 30
     for r in counted.groupBy("level").agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect():  # at most 64 * 16 levels
         room -= r["words"]
         if room < 0:
             break
         least = r["level"]
-    top = counted.where(F.col("level") >= least)
-    spread = top.repartition(max(1, top.sparkSession.sparkContext.defaultParallelism), "word").withColumn("_sg_t", vocabulary.merges)
-    made = spread.select("n", "word", let(F.col("_sg_t"), lambda t: folded(t, F.col("word"))).alias("ids"), *(p.alias(f"p{i}") for i, p in enumerate(_places(F.col("word"), SLOTS))))
-    found = made.toArrow().sort_by([("n", "descending"), ("word", "ascending")])  # at most FREQUENT rows of bounded length
-    if not found.num_rows:
-        return None, (longest or 0) > FOLD_BYTES
-    taken = [None] * SLOTS
-    for row, (one, two) in enumerate(zip(found["p0"].to_pylist(), found["p1"].to_pylist(), strict=True)):
-        if taken[one] is None:
-            taken[one] = row
-        elif taken[two] is None:
-            taken[two] = row
-    rows = pa.array(taken, pa.int32())
-    held = {name: found[name].combine_chunks().take(rows) for name in ("word", "ids")}
-    return vocabulary.constant(words=held["word"], ids=held["ids"]), longest > FOLD_BYTES
+    spread = counted.where(F.col("level") >= least).repartition(max(1, docs.sparkSession.sparkContext.defaultParallelism), "word")
+    made = spread.withColumn("_sg_t", vocabulary.merges).select("word", let(F.col("_sg_t"), lambda t: folded(t, F.col("word"))).alias("ids")).toArrow()
+    return {word: np.array(ids, "<i4").tobytes() for word, ids in zip(made["word"].to_pylist(), made["ids"].to_pylist(), strict=True)}
 
 
-def encoded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``docs`` with column ``ids`` (array of int): the whole text's ids."""
-    frequent, any_long = frequent_words(vocabulary, docs)
-    ranks = vocabulary.ranks
+def _coded(docs: DataFrame, vocabulary: Vocabulary, added: str, work: Callable[[Codec, str], tuple], drop: tuple[str, ...]) -> DataFrame:
+    """Columns that a codec computes from column ``text``, row by row."""
+    bound_batches(docs)
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary.ranks, frequent_words(vocabulary, docs.select("text"))))
 
-    @F.pandas_udf("array<array<int>>")
-    def long_ids(column: pd.Series) -> pd.Series:
-        return pd.Series([[merged(w.encode(), ranks) for w in ws] for ws in column])
+    def make() -> Callable[[pa.RecordBatch], list]:
+        codec = Codec(*shared.value)
+        return lambda part: list(zip(*(work(codec, t) for t in texts(part, "text")), strict=True))
 
-    cut = docs.withColumn("_sg_words", words(F.col("text")))
-    if any_long:
-        bound_batches(docs)
-        cut = cut.withColumn("_sg_long", long_ids(F.filter("_sg_words", lambda w: F.octet_length(w) > FOLD_BYTES)))
-    cut = cut.withColumns({"_sg_t": vocabulary.merges} | ({} if frequent is None else {"_sg_f": frequent}))
+    return map_slices(docs, "text", make, added, drop=drop)
 
-    def of_word(t: Column, f: Column | None, w: Column) -> Column:
-        kept = [] if f is None else [F.when(F.get(f["words"], at) == w, F.get(f["ids"], at)) for at in _places(w, SLOTS)]
-        return F.coalesce(*kept, F.when(F.octet_length(w) <= FOLD_BYTES, folded(t, w)) if any_long else folded(t, w))
 
-    each = lambda t, f: F.transform("_sg_words", lambda w: of_word(t, f, w))
-    lists = let(F.col("_sg_t"), lambda t: each(t, None) if frequent is None else let(F.col("_sg_f"), lambda f: each(t, f)))
-    if any_long:  # a long word's list is null until now: the k-th null takes the k-th of _sg_long
-        some = lambda x: F.struct(x.alias("x"), F.transform(x, lambda y: y.isNull().cast("int")).alias("gaps"))
-        filled = lambda s: F.transform(s["x"], lambda y, i: F.coalesce(y, F.get(F.col("_sg_long"), F.aggregate(F.slice(s["gaps"], F.lit(1), i), F.lit(0), lambda a, g: a + g))))
-        lists = let(lists, lambda x: F.when(F.size("_sg_long") == 0, x).otherwise(let(some(x), filled)))
-    return cut.select(*docs.columns, F.flatten(lists).alias("ids"))
+def encoded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """``docs`` with column ``ids`` (array of int): the whole text's ids."""
+    return _coded(docs, vocabulary, "ids array<int>", lambda codec, text: (codec.encode(text),), ())
 
 
 def decoded(df: DataFrame, vocabulary: Vocabulary, out: str = "decoded") -> DataFrame:
     """``df`` with the bytes that its column ``ids`` stands for, as binary: their pieces in a row."""
-    ids = F.col("ids")
-    made = let(F.col("_sg_p"), lambda p: let(F.transform(ids, lambda i: F.get(p["pieces"], i)), lambda x: F.unhex(F.when(~F.exists(x, lambda y: y.isNull()), F.array_join(x, "")))))
-    return df.withColumn("_sg_p", vocabulary.pieces).select(*df.columns, made.alias(out))
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary.ranks)
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec(shared.value, {})
+        for batch in batches:
+            made = [None if ids is None or None in ids else codec.decode(ids) for ids in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], names=[*batch.schema.names, out])
+
+    bound_batches(df)
+    return df.mapInArrow(run, schema)
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 for every row of ``docs``; path: a .tiktoken file, read on the driver."""
+
+    def work(codec: Codec, text: str) -> tuple[int, str, str]:
+        ids = codec.encode(text)
+        names = ",".join(map(codec.names.__getitem__, ids.tolist()))
+        return len(ids), hashlib.sha256(names.encode()).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()
+
     vocabulary = Vocabulary(docs.sparkSession, path)
-    made = encoded(docs.select("doc_id", "text"), vocabulary).select("doc_id", "ids")
-    digest = F.sha2(F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").cast("binary"), 256)
-    return decoded(made, vocabulary).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return _coded(docs.select("doc_id", "text"), vocabulary, "n_tokens long, ids_sha256 string, decoded_sha256 string", work, ("text",))
