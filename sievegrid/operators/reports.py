@@ -158,3 +158,21 @@ def risk_order() -> list[Column]:
 def worst_first(score: str = "cvss", severity: str = "severity", id_: str = "advisory") -> list[Column]:
     """Order of advisories: severity, then score, then name."""
     return [rank_of(F.col(severity)), F.desc_nulls_last(score), F.col(id_)]
+
+
+def shared_windows(texts: DataFrame, asked: DataFrame, key: str, asked_key: str, size: int = 8) -> DataFrame:
+    """key, asked_key and shared: how many different windows of ``size`` words (letters and digits, lower-case) two texts share.
+
+    Windows at every offset are met by their 64-bit hashes, once for each text, and only those whose words are equal count;
+    of ``texts`` only windows that ``asked`` has too are kept, by a semi join, before words are compared. Null texts have none.
+    """
+
+    def windows(df: DataFrame, name: str) -> DataFrame:
+        found = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+        starts = F.when(F.size("w") >= size, F.sequence(F.lit(1), F.size("w") - (size - 1))).otherwise(F.array().cast("array<int>"))
+        words = F.transform(starts, lambda i: F.array_join(F.slice("w", i, F.lit(size)), " "))
+        return df.select(name, found.alias("w")).select(name, F.explode(F.array_distinct(words)).alias("window")).withColumn("hash", F.xxhash64("window"))
+
+    mine, other = windows(texts, key), windows(asked, asked_key)
+    few = mine.join(other.select("hash").distinct(), "hash", "left_semi")
+    return few.join(other, ["hash", "window"]).groupBy(key, asked_key).agg(F.count("*").alias("shared"))

@@ -75,14 +75,15 @@ def valid_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-    SELECT doc_id, CASE WHEN length(s) > 80 THEN left(s, 79) || '…' ELSE s END AS text FROM (
-      SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[A-Za-z0-9_\-+/=.]{24,}', '[redacted]', 'g'), '[ \t\n\r\f\v]+', ' ', 'g')) AS s FROM documents
-      WHERE text IS NOT NULL AND NOT contains(text, '`') AND NOT regexp_matches(text, '[A-Za-z0-9_\-+=]{16}'))
-    UNION ALL SELECT -1, 'x [redacted] y [redacted] [code]'""")
+    WITH c AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '`{1,3}[^`]*`{1,3}', '[code]', 'g') AS t FROM documents),
+    r AS (SELECT doc_id, unnest(regexp_extract_all(t, '[A-Za-z0-9_+/=.-]+|[^A-Za-z0-9_+/=.-]+')) AS x, generate_subscripts(regexp_extract_all(t, '[A-Za-z0-9_+/=.-]+|[^A-Za-z0-9_+/=.-]+'), 1) AS i FROM c),
+    g AS (SELECT doc_id, i, x, regexp_extract(x, '[A-Za-z0-9_+=-]{16,}') AS w FROM r),
+    s AS (SELECT doc_id, string_agg(CASE WHEN regexp_matches(x, '^[A-Za-z0-9_+/=.-]{24}') THEN '[redacted]' WHEN regexp_matches(w, '[0-9]') AND regexp_matches(w, '[A-Za-z]') THEN replace(x, w, '[redacted]') ELSE x END, '' ORDER BY i) AS t FROM g GROUP BY doc_id),
+    n AS (SELECT doc_id, trim(regexp_replace(coalesce(s.t, ''), '[ \t\n\r\f\v]+', ' ', 'g')) AS t FROM documents LEFT JOIN s USING (doc_id))
+    SELECT doc_id, CASE WHEN length(t) > 4000 THEN left(t, 3999) || '…' ELSE t END AS text FROM n""")
 def scrubbed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("text is not null and not contains(text, '`')").where(~F.col("text").rlike(r"[A-Za-z0-9_\-+=]{16}")).select("doc_id", "text")
-    own = spark.createDataFrame([(-1, "x " + "Ab1" * 9 + "  y\n" + "Key0" * 4 + " ``let a``")], "doc_id long, text string")
-    return docs.union(own).select("doc_id", scrub.scrub_text(F.col("text"), 80).alias("text"))
+    """All documents as digests, with their tokens and inline code gone."""
+    return table(spark, sf_dir, "documents").select("doc_id", scrub.scrub_text(F.coalesce("text", F.lit("")), 4000).alias("text"))
 
 
 @query("""
@@ -103,11 +104,10 @@ def advisory_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.advisory_tally(rows, "l_partkey")
 
 
-@query("""
-    WITH b AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+( [a-z0-9]+){7}'))) AS g FROM benchmark),
-    d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+( [a-z0-9]+){7}'))) AS g FROM documents)
-    SELECT doc_id, item_id, count(*) AS shared FROM d JOIN b USING (g) GROUP BY ALL""")
+@query(r"""
+    WITH w AS (SELECT 'd' AS side, doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS t FROM documents UNION ALL SELECT 'b', item_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') FROM benchmark),
+    g AS (SELECT DISTINCT side, id, array_to_string(t[i:i + 7], ' ') AS g FROM (SELECT side, id, t, unnest(range(1, len(t) - 6)) AS i FROM w WHERE len(t) >= 8))
+    SELECT d.id AS doc_id, b.id AS item_id, count(*) AS shared FROM g d JOIN g b USING (g) WHERE d.side = 'd' AND b.side = 'b' GROUP BY ALL""")
 def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of eight plain words that documents share with benchmark items."""
-    runs = lambda name, key: table(spark, sf_dir, name).select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9]+( [a-z0-9]+){7}"), F.lit(0)))).alias("run"))
-    return runs("documents", "doc_id").join(runs("benchmark", "item_id"), "run").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
+    """Windows of eight words, at every offset, that documents share with benchmark items."""
+    return reports.shared_windows(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"), "doc_id", "item_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievegrid.functions import scrub
 from sievegrid.operators import credentials
 from sievegrid.plans.registry import query
 from sievegrid.sources.tables import table
@@ -72,3 +73,29 @@ def generic_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"\btoken = ", "api_key = ").alias("text"))
     found = credentials.credentials(docs, "doc_id", "text").where("type = 'generic-secret'")
     return found.select("doc_id", "line", "redacted", "hash")
+
+
+_KEY_KINDS = ("RSA PRIVATE KEY", "EC PRIVATE KEY", "PRIVATE KEY", "OPENSSH PRIVATE KEY", "PGP PRIVATE KEY BLOCK")
+#: By p_partkey % 4: a plain key, one with the headers of an encrypted key, one that is cut off, and one that is made up.
+_KEY = """'-----BEGIN ' || kind || '-----' || chr(10) || CASE p_partkey % 4 WHEN 1 THEN 'Proc-Type: 4,ENCRYPTED' || chr(10) || 'DEK-Info: AES-128-CBC,' || left(h, 16) || chr(10) || chr(10) ELSE '' END
+    || CASE p_partkey % 4 WHEN 3 THEN repeat('<', 50) ELSE h || chr(10) || h END || chr(10) || CASE p_partkey % 4 WHEN 2 THEN '' ELSE '-----END ' || kind || '-----' END"""
+_PICK_KIND = "CASE p_partkey % 5 " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(_KEY_KINDS)) + " END"
+
+
+@query(f"""
+    WITH k AS (SELECT p_partkey, CAST(p_size AS INTEGER) AS z, sha256(CAST(p_partkey AS VARCHAR)) AS h, {_PICK_KIND} AS kind FROM part), b AS (SELECT p_partkey, z, {_KEY} AS v FROM k)
+    SELECT p_partkey, CAST(z + 1 AS INTEGER) AS line, 'private-key' AS type, sha256(v) AS hash FROM b WHERE p_partkey % 4 IN (0, 1)""")
+def private_key_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of five kinds, with and without headers, cut off or made up, after as many lines as a part is large."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.sha2(F.col("p_partkey").cast("string"), 256).alias("h"), F.expr(_PICK_KIND).alias("kind"))
+    text = F.expr(f"repeat('x' || chr(10), cast(p_size as int)) || {_KEY} || chr(10) || 'end'")
+    return credentials.private_keys(rows.select("p_partkey", text.alias("text")), "p_partkey", "text").select("p_partkey", "line", "type", F.sha2("value", 256).alias("hash"))
+
+
+@query(f"""
+    WITH k AS (SELECT p_partkey, sha256(CAST(p_partkey AS VARCHAR)) AS h, {_PICK_KIND} AS kind FROM part)
+    SELECT p_partkey, 'at [REDACTED]' || chr(10) || '! end' AS line FROM k""")
+def scrubbed_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log lines with whole and cut-off private keys."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.sha2(F.col("p_partkey").cast("string"), 256).alias("h"), F.expr(_PICK_KIND).alias("kind"))
+    return rows.select("p_partkey", F.regexp_replace(scrub.scrub_log(F.expr(f"'at ' || {_KEY} || chr(10) || '! end'")), r"\n+", "\n").alias("line"))

@@ -103,3 +103,30 @@ def test_runs_that_fill_a_value(spark):
     values = {"aaaaaa": True, "aaaaabbbbb": False, "xaaaaaaay": True, "aaaaaabcdefghi": False, "": False}
     rows = spark.createDataFrame([(v,) for v in values], "v string").select("v", cred.repeated_run(F.col("v")).alias("x")).collect()
     assert {r.v: r.x for r in rows} == values
+
+
+def test_keys_with_headers_and_cut_off_keys(spark):
+    from sievegrid.functions import scrub
+
+    body = "\n".join(["QUJD" * 16] * 3)
+    mark = lambda what, kind="RSA PRIVATE KEY": f"-----{what} {kind}-----"
+    locked = f"{mark('BEGIN')}\nProc-Type: 4,ENCRYPTED\nDEK-Info: DES-EDE3-CBC,ABC-DEF\n\n{body}\n{mark('END')}"
+    found = cred.private_keys(spark.createDataFrame([(1, "a\n" + locked), (2, locked.replace("END", "ENC")), (3, mark("BEGIN") + "\n" + locked)], "id long, text string"), "id", "text").collect()
+    assert {(r.id, r.line, r.value) for r in found} == {(1, 2, locked), (3, 2, locked)}
+    cases = {
+        f"x {locked} y": "x [REDACTED] y", f"x {mark('BEGIN')}\n{body}\nError: no": "x [REDACTED]\nError: no", mark("BEGIN", "PRIVATE KEY") + "\\n" + "QUJD" * 20 + "\\n": "[REDACTED]",
+        f"{mark('BEGIN')} and {locked}": "[REDACTED] and [REDACTED]", mark("BEGIN", "CERTIFICATE") + "\nabc": mark("BEGIN", "CERTIFICATE") + "\nabc",
+    }
+    rows = spark.createDataFrame([(c,) for c in cases], "t string").select("t", scrub.scrub_log(F.col("t")).alias("x")).collect()
+    assert {r.t: r.x for r in rows} == cases
+    hostile = spark.createDataFrame([(mark("BEGIN") * 20_000,), (mark("BEGIN") + "\n" + "\n".join(["QUJD" * 16] * 100_000),)], "t string")
+    assert hostile.select(F.length(scrub.scrub_log(F.col("t"))).alias("n")).agg(F.max("n")).first()[0] <= 10 * 20_000
+
+
+def test_scrubbing_of_nested_values(spark):
+    from sievegrid.functions import scrub
+
+    token = "ghp" + "_" + "a1B2" * 9
+    rows = spark.createDataFrame([((token, [{"apiKey": "v", "note": token}], ("p", [1]), 7),)], "v struct<text:string, list:array<map<string,string>>, secret:struct<a:string,b:array<int>>, tokenCount:int>")
+    got = rows.select(scrub.scrub_deep(F.col("v"), rows.schema["v"].dataType).alias("v")).first()["v"].asDict(recursive=True)
+    assert got == {"text": "[REDACTED]", "list": [{"apiKey": "[REDACTED]", "note": "[REDACTED]"}], "secret": None, "tokenCount": 7}
