@@ -263,29 +263,40 @@ def naive_bounds(measures, pairs):
     import math
 
     ratios = {"word_length": (1, 0), "symbol_ratio": (2, 1), "dup_line_ratio": (3, 0), "repeat_ratio": (4, 0)}
-    ranks = [0.25, 0.5, *(k / 100 for k in range(51, 100))]
     passed = [i for i, m in enumerate(measures) if not (m[0] < 50 or 100 * m[4] > 50 * m[0])]
-    ratio = lambda m, part, whole: m[part] / m[whole] if m[whole] else 0.0
-    quantile = lambda xs, r: xs[max(0, math.ceil(r * len(xs) - 1e-9) - 1)]
+    ratio = lambda m, part, whole: m[part] / m[whole] if m[whole] and (part == 1 or m[part] >= 16) else 0.0
+    stepped = lambda x: 1.02 ** (math.floor(math.log(x) / math.log(1.02)) + 1) if x else 0.0
+    quantile = lambda xs, k: xs[max(0, -(-k * len(xs) // 100) - 1)]
 
     def bound(rows, part, whole):
-        xs, sizes = sorted(ratio(measures[i], part, whole) for i in rows), sorted(measures[i][whole] for i in rows)
-        low, middle, *above = (quantile(xs, r) for r in ranks)
-        size = max(1, quantile(sizes, 0.5))
-        reach = max(middle - low, 3 * math.sqrt(middle / size) + 9 / size)
-        for x in above:
-            reach = max(reach, x - middle) if x - middle <= 3 * reach else reach
-        return middle + 3 * reach
+        xs = sorted(stepped(ratio(measures[i], part, whole)) for i in rows)
+        told = [x for x in xs if x]
+        if 2 * (len(xs) - len(told)) >= len(xs):
+            if not told:
+                return 0, 0
+            walk, low, n = [0.0, *(quantile(told, k) for k in range(1, 100))], 0, len(told)
+        else:
+            walk, n = [quantile(xs, k) for k in range(50, 100)], len(xs)
+            low = max(walk[0] - quantile(xs, 25), walk[0] * (1.02**2 - 1))
+        gaps = [y - x for x, y in zip(walk, walk[1:], strict=False)]
+        for x, gap in zip(walk, gaps, strict=False):
+            if 3 * gap >= max(gaps) and gap > 3 * max(x - walk[0], low):
+                return x + gap / 3, n
+        return walk[0] + 3 * max(walk[-1] - walk[0], low), n
 
     made = {}
     for name, (part, whole) in ratios.items():
-        of_all = bound(passed, part, whole)
+        of_all, n_all = bound(passed, part, whole)
+        if not n_all:  # nothing tells: no row can pass the bound
+            of_all = math.inf
+        else:
+            of_all *= 1 + 20 / n_all
+        shrunk = lambda b, under: under if not b[1] else (b[1] * b[0] + 200 * under) / (b[1] + 200)
         for lang, source in {pairs[i] for i in passed}:
             of_lang = [i for i in passed if pairs[i][0] == lang]
             of_pair = [i for i in of_lang if pairs[i][1] == source]
-            lang_bound = (len(of_lang) * bound(of_lang, part, whole) + 200 * of_all) / (len(of_lang) + 200)
-            pair_bound = (len(of_pair) * bound(of_pair, part, whole) + 200 * lang_bound) / (len(of_pair) + 200)
-            made[name, lang, source] = min(pair_bound, 2 * lang_bound), lang_bound
+            lang_bound = shrunk(bound(of_lang, part, whole), of_all)
+            made[name, lang, source] = min(shrunk(bound(of_pair, part, whole), lang_bound), 2 * lang_bound), lang_bound
     fits = lambda i, k: all(ratio(measures[i], *ratios[n]) <= made[n, *pairs[i]][k] for n in ratios)
     return [i in set(passed) and fits(i, 0) for i in range(len(measures))], [i in set(passed) and fits(i, 1) for i in range(len(measures))], made
 
@@ -315,11 +326,30 @@ def test_quality_rules_bounds_are_those_of_exact_quantiles(spark):
     kept, by_language, made = naive_bounds(measures, pairs)
     limits = {(r.lang, r.source): r for r in quality_rules.thresholds(materialize(quality_rules.measured(docs), "m")).collect()}
     for (name, lang, source), (most, _) in made.items():
-        assert limits[lang, source][f"most_{name}"] == pytest.approx(most), (name, lang, source)
+        found = limits[lang, source][f"most_{name}"]
+        assert (float("inf") if found is None else found) == pytest.approx(most), (name, lang, source)
     assert {r.doc_id: r.kept for r in quality_rules.judge(docs).collect()} == {r[0]: k for r, k in zip(rows, kept, strict=True)}
     assert sum(a != b for a, b in zip(kept, by_language, strict=True)) == 1  # the bound of the pair changes its verdict
 
 
+def test_quality_rules_move_with_a_source_and_agree_on_reruns(spark):
+    rng = random.Random(12)
+    lines = [" ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(100)) for _ in range(1500)]
+    marked = lambda text, n: "#" * n + text[n:]  # noqa: E731  of the same length
+
+    def verdicts(usual):
+        rows = [(i, marked(t, usual[i % len(usual)] if i < 700 else 60 if i < 800 else 0), "en", "a" if i < 700 else "b") for i, t in enumerate(lines)]
+        rows.append((9999, marked(lines[0], 40), "en", "a"))
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+        first, second = ({tuple(r) for r in quality_rules.thresholds(materialize(quality_rules.measured(docs.repartition(n)), "m")).collect()} for n in (3, 7))
+        assert first == second
+        return {r.doc_id: r.kept for r in quality_rules.judge(docs).collect()}
+
+    rare, common = verdicts([0, 0, 0, 1, 2]), verdicts([18, 20, 25, 30, 36])
+    assert not rare[9999] and common[9999]
+    assert sum(rare.values()) == 1400 and not any(rare[i] for i in range(700, 800))
+
+
 def test_quality_rules_tell_junk_from_a_natural_difference(spark):
     rng, rows, kinds = random.Random(8), [], {}
     symbols = lambda t, every: " ".join(f"{w} |" if i % every == 0 else w for i, w in enumerate(t.split(" ")))
