@@ -94,7 +94,28 @@ def first_pairs(ranks: dict[bytes, int]) -> np.ndarray:
 
 
 def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one word by a heap of pairs: the same merges, for words of any length."""
+    """Ids of one word: the same merges, over a list of pieces where it is short, and by a heap of pairs at any length."""
+    return _listed(word, ranks) if len(word) <= 2 * WORD_BYTES else _heaped(word, ranks)
+
+
+def _listed(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    if word in ranks:  # a piece of the vocabulary is what its own bytes merge to
+        return [ranks[word]]
+    get = ranks.get
+    pieces = [word[i : i + 1] for i in range(len(word))]
+    low = [get(a + b, NONE) for a, b in zip(pieces, pieces[1:], strict=False)]
+    while low and (least := min(low)) < NONE:
+        at = low.index(least)
+        pieces[at : at + 2] = [pieces[at] + pieces[at + 1]]
+        del low[at]
+        if at:
+            low[at - 1] = get(pieces[at - 1] + pieces[at], NONE)
+        if at < len(low):
+            low[at] = get(pieces[at] + pieces[at + 1], NONE)
+    return [ranks[p] for p in pieces]
+
+
+def _heaped(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     end = list(range(1, len(word) + 1))  # where the piece that starts at a byte ends; 0 where none starts any more
     before = list(range(-1, len(word) - 1))
     heap = []
@@ -184,8 +205,34 @@ def folded(t: Column, word: Column) -> Column:
     return let(codes, merges)
 
 
+class _Spaces(Exception):
+    """White space meets a space: words there depend on both sides."""
+
+
+class _Cache(dict):
+    """Packed ids by key; entries beside those of ``table`` take at most CACHE_BYTES, and long keys aren't held."""
+
+    def __init__(self, table: dict[str, bytes], make: Callable[[str], bytes]) -> None:
+        super().__init__(table)
+        self.table, self.make, self.held = table, make, 0
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.make(key)
+        if len(key) <= 4 * WORD_BYTES:
+            self.held += 4 * len(key) + len(ids) + 200
+            if self.held > CACHE_BYTES:
+                self.clear()
+                self.update(self.table)
+                self.held = 0
+            self[key] = ids
+        return ids
+
+
 class Codec:
-    """Encodes and decodes in a worker: ``table`` has the packed ids of frequent words, other words are merged here and cached."""
+    """Encodes and decodes in a worker: ``table`` has the packed ids of frequent words, other words are merged here and cached.
+
+    What stands between two single spaces is looked up whole before it is split into words: no word goes over such a space.
+    """
 
     def __init__(self, ranks: dict[bytes, int], table: dict[str, bytes]) -> None:
         self.find = regex.compile(split_pattern()).findall
@@ -193,25 +240,26 @@ class Codec:
         for piece, rank in ranks.items():
             self.pieces[rank] = piece
         self.names = [str(i) for i in range(len(self.pieces))]
+        self.words = _Cache(table, lambda word: np.array(merged(word.encode(), ranks), "<i4").tobytes())
+        self.chunks = _Cache({}, self._chunk)
 
-        class Words(dict):
-            held = 0
-
-            def __missing__(self, word: str) -> bytes:
-                ids = np.array(merged(word.encode(), ranks), "<i4").tobytes()
-                if len(word) <= 4 * WORD_BYTES:
-                    self.held += 4 * len(word) + len(ids) + 200
-                    if self.held > CACHE_BYTES:
-                        self.clear()
-                        self.update(table)
-                        self.held = 0
-                    self[word] = ids
-                return ids
+    def _split(self, text: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, self.find(text)))
 
-        self.words = Words(table)
+    def _chunk(self, chunk: str) -> bytes:
+        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+            raise _Spaces
+        return self._split(" " + chunk)
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.words.__getitem__, self.find(text))), "<i4")
+        first, *chunks = text.split(" ")
+        try:
+            if chunks and (not first or first[-1].isspace()):
+                raise _Spaces
+            packed = b"".join([self._split(first), *map(self.chunks.__getitem__, chunks)])
+        except _Spaces:
+            packed = self._split(text)
+        return np.frombuffer(packed, "<i4")
 
     def decode(self, ids: list[int] | np.ndarray) -> bytes | None:
         """The pieces of ids in a row, or None where an id isn't in the vocabulary."""
@@ -222,21 +270,25 @@ class Codec:
 
 
 def _summaries(docs: DataFrame) -> DataFrame:
-    """word and n: counts of each task's frequent words. A summary of over 2 * SUMMARY words is cut to its SUMMARY most frequent ones,
-    and words of under an 8 * FREQUENT-th of the task's words aren't sent."""
+    """word and n: counts of each task's frequent words. What stands between spaces is counted; a summary of over 2 * SUMMARY entries is
+    cut to its SUMMARY most frequent ones, and those of under an 8 * FREQUENT-th of the task's aren't sent."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, seen, total = regex.compile(split_pattern()).findall, Counter(), 0
         for batch in batches:
             for piece in slices(batch, "text"):
                 for text in texts(piece, "text"):
-                    seen.update(find(text))
+                    seen.update(text.split(" "))
                 if len(seen) > 2 * SUMMARY:
                     total += seen.total()
                     seen = Counter(dict(seen.most_common(SUMMARY)))
                     total -= seen.total()
         least = max(2, (total + seen.total()) // (8 * FREQUENT))
-        sent = [(w, n) for w, n in seen.items() if n >= least and len(w.encode()) <= WORD_BYTES]
+        words: Counter[str] = Counter()
+        for chunk, n in seen.items():  # what stands between spaces, split only now
+            for word in find(" " + chunk) if n >= least and len(chunk) <= 4 * WORD_BYTES else ():
+                words[word] += n
+        sent = [(w, n) for w, n in words.items() if len(w.encode()) <= WORD_BYTES]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in sent], pa.string()), pa.array([n for _, n in sent], pa.int64())], names=["word", "n"])
 
     return docs.mapInArrow(count, "word string, n long")
