@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterable, Iterator
+from functools import reduce
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from sievegrid.functions.repo import glob_pattern
 from sievegrid.operators.search import top_per
-from sievegrid.sources.scratch import materialize
+from sievegrid.sources.scratch import discard, materialize
 
 
 def children(files: DataFrame, folder: str) -> DataFrame:
@@ -57,28 +66,92 @@ def import_table(edges: DataFrame) -> DataFrame:
     return out.join(back, "file", "full").select("file", *(F.coalesce(c, none).alias(c) for c in ("imports", "packages", "importers")))
 
 
+def commit_lines(commits: DataFrame) -> DataFrame:
+    """commit, run and pos: each commit's place on a line of first parents, from 0 at its oldest commit, which names the line.
+
+    commits: commit, parent (a row for each parent, null for a root). The least parent counts as the first, and its line goes on
+    to its least child. Places come from pointer doubling: a round joins each commit with where it points, so a line of n
+    commits takes about log2(n) rounds. Histories with a circle, which no repository has, are cut off after 40 rounds.
+    """
+    first = commits.groupBy("commit").agg(F.min("parent").alias("parent"))
+    heirs = first.where("parent is not null").groupBy("parent").agg(F.min("commit").alias("heir"))
+    known = first.select(F.col("commit").alias("parent"))
+    kept = first.join(heirs, "parent").where("commit = heir").join(known, "parent", "left_semi").select("commit", F.col("parent").alias("to"))
+    state = materialize(first.select("commit").join(kept, "commit", "left").select("commit", F.coalesce("to", "commit").alias("to"), F.col("to").isNotNull().cast("long").alias("pos")), "lines")
+    for _ in range(40):
+        ahead = state.select(F.col("commit").alias("to"), F.col("to").alias("next"), F.col("pos").alias("more")).where("more > 0")
+        if ahead.join(state.where("pos > 0").select("to"), "to", "left_semi").isEmpty():
+            break
+        old, state = state, materialize(state.join(ahead, "to", "left").select("commit", F.coalesce("next", "to").alias("to"), (F.col("pos") + F.coalesce("more", F.lit(0))).alias("pos")), "lines")
+        discard(old)
+    return state.select("commit", F.col("to").alias("run"), "pos")
+
+
 def is_ancestor(commits: DataFrame, pairs: DataFrame) -> DataFrame:
     """base, head and ancestor: whether base is head or one of its ancestors; null where either commit isn't known.
 
-    commits: commit, parent (a row for each parent, null for a root). Pairs walk up together, a round of joins for each
-    generation, and stop where they have found their base.
+    commits: commit, parent (a row for each parent, null for a root). Whoever stands on a line at a place has all of the line
+    below as ancestors. So a walk goes from line to line over the other parents, a round for each change of lines, and keeps
+    only the highest place on each.
     """
-    known = commits.select("commit").distinct()
+    at = commit_lines(commits)
     asked = pairs.select("base", "head").distinct()
-    live = asked.join(known.withColumnRenamed("commit", "base"), "base", "left_semi").join(known.withColumnRenamed("commit", "head"), "head", "left_semi")
-    up = commits.where("parent is not null").select("commit", "parent")
-    seen = frontier = materialize(live.select("base", "head", F.col("head").alias("at")), "walk")
-    found = frontier.where("at = base").select("base", "head")
-    while True:
-        left = frontier.join(found, ["base", "head"], "left_anti")
-        step = left.join(up, left["at"] == up["commit"]).select("base", "head", F.col("parent").alias("at")).distinct()
-        frontier = materialize(step.join(seen, ["base", "head", "at"], "left_anti"), "walk")
-        if frontier.isEmpty():
-            break
+    place = lambda name: at.select(F.col("commit").alias(name), F.col("run").alias(f"{name}_run"), F.col("pos").alias(f"{name}_pos"))
+    live = materialize(asked.join(place("base"), "base").join(place("head"), "head"), "asked")
+    ends = commits.where("parent is not null").join(place("commit"), "commit").join(place("parent"), "parent")
+    links = ends.where(~((F.col("commit_run") == F.col("parent_run")) & (F.col("commit_pos") == F.col("parent_pos") + 1)))
+    links = materialize(links.select(F.col("commit_run").alias("run"), F.col("commit_pos").alias("from"), F.col("parent_run").alias("to_run"), F.col("parent_pos").alias("to_pos")), "links")
+    seen = frontier = materialize(live.select("base", "head", F.col("head_run").alias("run"), F.col("head_pos").alias("top"), F.lit(-1).cast("long").alias("was")), "walk")
+    while not frontier.isEmpty():
+        steps = frontier.join(links, "run").where((F.col("from") <= F.col("top")) & (F.col("from") > F.col("was"))).groupBy("base", "head", F.col("to_run").alias("run")).agg(F.max("to_pos").alias("up"))
+        best = seen.groupBy("base", "head", "run").agg(F.max("top").alias("had"))
+        higher = steps.join(best, ["base", "head", "run"], "left").where(F.col("had").isNull() | (F.col("up") > F.col("had")))
+        frontier = materialize(higher.select("base", "head", "run", F.col("up").alias("top"), F.coalesce("had", F.lit(-1)).alias("was")), "walk")
         seen = seen.union(frontier)
-        found = materialize(found.union(frontier.where("at = base").select("base", "head")), "found")
-    marked = asked.join(live.withColumn("known", F.lit(True)), ["base", "head"], "left").join(found.distinct().withColumn("hit", F.lit(True)), ["base", "head"], "left")
-    return marked.select("base", "head", F.when(F.col("known"), F.coalesce("hit", F.lit(False))).alias("ancestor"))
+    found = seen.groupBy("base", "head", "run").agg(F.max("top").alias("top")).join(live, ["base", "head"]).where((F.col("run") == F.col("base_run")) & (F.col("base_pos") <= F.col("top")))
+    marked = live.select("base", "head").join(found.select("base", "head").withColumn("hit", F.lit(True)), ["base", "head"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    return asked.join(marked, ["base", "head"], "left").select("base", "head", F.col("hit").alias("ancestor"))
+
+
+#: Bytes of names that one automaton may hold.
+AUTOMATON_BYTES = 32 << 20
+
+
+def names_in(texts: DataFrame, names: DataFrame, key: str, text: str, whole: bool = True) -> DataFrame:
+    """name, key and n: how often each name (names: name) stands in each text, overlaps counted, by one sweep of an automaton.
+
+    whole: only where no letter, digit or one of ``_$`` stands right before or after, if the name begins or ends with one. Names are
+    sent to the tasks; where they take over AUTOMATON_BYTES, they are dealt into parts by their hash, and texts are swept once for each part.
+    Null and empty names and null texts give nothing; repeated names count once.
+    """
+    some = names.where(F.length("name") > 0).select("name").distinct()
+    total = some.agg(F.sum(F.octet_length("name") + 64)).first()[0] or 0
+    parts = max(1, -(-total // AUTOMATON_BYTES))
+    kind = texts.schema[key].dataType
+    schema = T.StructType([T.StructField("name", T.StringType()), T.StructField(key, kind), T.StructField("n", T.LongType())])
+    arrow, made = to_arrow_schema(schema), []
+    for part in range(parts):
+        mine = some.where(F.pmod(F.xxhash64("name"), F.lit(parts)) == part).toArrow()["name"].to_pylist()
+        shared = texts.sparkSession.sparkContext.broadcast(mine)
+
+        def sweep(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            automaton = ahocorasick.Automaton()
+            for name in shared.value:
+                automaton.add_word(name, name)
+            automaton.make_automaton()
+            word = re.compile(r"[\w$]")
+            for batch in batches:
+                for k, t in zip(*(batch.column(c).to_pylist() for c in range(2)), strict=True):
+                    seen: Counter[str] = Counter()
+                    for end, name in automaton.iter(t or "") if shared.value else ():
+                        begin = end - len(name) + 1
+                        inside = whole and ((begin > 0 and word.match(name[0]) and word.match(t[begin - 1])) or (end + 1 < len(t) and word.match(name[-1]) and word.match(t[end + 1])))
+                        if not inside:
+                            seen[name] += 1
+                    yield pa.RecordBatch.from_arrays([pa.array(list(seen), arrow.field(0).type), pa.array([k] * len(seen), arrow.field(1).type), pa.array(list(seen.values()), pa.int64())], schema=arrow)
+
+        made.append(texts.select(key, F.col(text).cast("string")).mapInArrow(sweep, schema))
+    return reduce(DataFrame.union, made)
 
 
 def best_actions(actions: DataFrame, resolves: DataFrame) -> DataFrame:

@@ -228,3 +228,12 @@ def best_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     actions = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("action"), F.col("s_acctbal").alias("priority"), F.concat(F.lit("run "), F.col("s_suppkey").cast("string")).alias("command"))
     resolves = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("action"), F.col("l_orderkey").alias("finding_id"), F.col("l_partkey").alias("advisory"))
     return repo_tools.best_actions(actions, resolves)
+
+
+@query(r"""
+    WITH n AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{6,}')) AS name FROM benchmark)
+    SELECT name, doc_id FROM documents JOIN n ON contains(text, name)""")
+def names_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where words of benchmark items stand in documents, also within longer words."""
+    names = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{6,}"), F.lit(0))).alias("name"))
+    return repo_tools.names_in(table(spark, sf_dir, "documents").select("doc_id", "text"), names, "doc_id", "text", whole=False).select("name", "doc_id")

@@ -1,7 +1,10 @@
 """Names, paths and looks into repositories."""
 
+import random
 import re
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from sievegrid.functions import repo
@@ -68,3 +71,41 @@ def test_commits_usages_and_reasons(spark):
     assert [(r.file, r.place) for r in tools.usages_once(usages).orderBy("place").collect()] == [("a", 1), ("b", 2)] and tools.usages_once(usages, 1).count() == 1
     failures = spark.createDataFrame([("s", "other"), ("s", "budget"), ("s", "timeout"), ("s", "timeout")], "scan string, reason string")
     assert tools.failure_reasons(failures, ("timeout", "budget")).first()["said"] == "2 timeout, 1 budget, 1 other"
+
+
+def test_ancestors_of_random_histories(spark):
+    rng, commits, above = random.Random(6), [], {}
+    for i in range(120):
+        parents = rng.sample(range(max(0, i - 9), i), min(i, rng.choice([0, 1, 1, 1, 2, 3])))
+        commits += [(i, p) for p in parents] or [(i, None)]
+        above[i] = {i}.union(*(above[p] for p in parents))
+    pairs = [(rng.randrange(-2, 122), rng.randrange(-2, 122)) for _ in range(400)]
+    got = {(r.base, r.head): r.ancestor for r in tools.is_ancestor(spark.createDataFrame(commits, "commit long, parent long"), spark.createDataFrame([*pairs, *pairs[:5]], "base long, head long")).collect()}
+    assert got == {(b, h): (b in above[h]) if b in above and h in above else None for b, h in pairs}
+
+
+def test_a_long_line_takes_few_rounds(spark, monkeypatch):
+    rounds, write = [], tools.materialize
+    monkeypatch.setattr(tools, "materialize", lambda df, name: rounds.append(name) or write(df, name))
+    n = 100_000
+    commits = spark.range(n).selectExpr("id as commit", "nullif(id - 1, -1L) as parent")
+    pairs = spark.createDataFrame([(0, n - 1), (n - 1, 0), (5, n // 2)], "base long, head long")
+    assert {(r.base, r.ancestor) for r in tools.is_ancestor(commits, pairs).collect()} == {(0, True), (n - 1, False), (5, True)}
+    assert rounds.count("lines") < 20 and rounds.count("walk") <= 2
+
+
+@pytest.mark.parametrize("most", [32 << 20, 300])
+def test_names_in_texts(spark, monkeypatch, most):
+    monkeypatch.setattr(tools, "AUTOMATON_BYTES", most)
+    rng = random.Random(2)
+    names = ["a", "ab", "@s/a", "left-pad", "ba", "a.b", "é", "aa", "", None, "ab"]
+    texts = [(i, "".join(rng.choice(["a", "b", "@s/a", " ", "left-pad", ".", "_", "é", "1"]) for _ in range(30))) for i in range(40)] + [(99, None), (100, "")]
+    frame, asked = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame([(n,) for n in names], "name string")
+    for whole in (True, False):
+        want = {}
+        for i, t in texts:
+            for n in {x for x in names if x}:
+                left, right = (r"(?<![\w$])" if whole and re.match(r"[\w$]", n[0]) else ""), (r"(?![\w$])" if whole and re.match(r"[\w$]", n[-1]) else "")
+                if count := len(re.findall(f"{left}(?={re.escape(n)}{right})", t or "")):
+                    want[n, i] = count
+        assert {(r["name"], r["id"]): r["n"] for r in tools.names_in(frame, asked, "id", "text", whole).collect()} == want
