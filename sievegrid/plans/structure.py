@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievegrid.operators import config_rules, function_metrics
+from sievegrid.operators import config_rules, function_metrics, python_imports
 from sievegrid.plans.registry import query
 from sievegrid.sources.tables import table
 
@@ -74,3 +74,23 @@ def workflow_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "customer").select(F.concat(F.lit("r/"), key.cast("string"), F.lit("/.github/workflows/ci.yml")).alias("path"), text.alias("text"))
     found = config_rules.workflow_issues(files)
     return found.select(F.split("path", "/")[1].alias("customer"), "line", "rule")
+
+
+@query("""
+    WITH s AS (SELECT p_partkey AS k, 'b' || CAST(p_size % 7 AS INTEGER) AS x, 'b' || CAST((p_size + 1) % 7 AS INTEGER) AS y FROM part), own AS (SELECT *, x || '/m' || k || '.py' AS path FROM s)
+    SELECT path, CAST(line AS INTEGER) AS line, spec, kind, target, package FROM (
+        SELECT path, 1 AS line, 'os' AS spec, 'builtin' AS kind, NULL AS target, NULL AS package FROM own UNION ALL SELECT path, 1, x, 'local', x || '/__init__.py', NULL FROM own
+        UNION ALL SELECT path, 2, y, 'local', y || '/__init__.py', NULL FROM own UNION ALL SELECT path, 6, '.', 'local', x || '/__init__.py', NULL FROM own UNION ALL SELECT path, 6, '.m' || k, 'local', path, NULL FROM own
+        UNION ALL SELECT path, 7, '...', 'unresolved', NULL, NULL FROM own UNION ALL SELECT path, 8, 'p' || k || '_lib.sub', 'package', NULL, 'p' || k || '-lib' FROM own UNION ALL SELECT path, 8, 'json', 'builtin', NULL, NULL FROM own)""")
+def python_import_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree with a module for each part in seven packages: imports over several lines, relative ones, and ones that leave the tree."""
+    k = F.col("p_partkey").cast("string")
+    pack = lambda more: F.concat(F.lit("b"), ((F.col("p_size") + more) % 7).cast("int").cast("string"))
+    text = F.concat(
+        F.lit("import os, "), pack(0), F.lit("  # not: import x\nfrom "), pack(1), F.lit(" import (\n    m"), k, F.lit(",\n    gone\n)\nfrom . import m"), k,
+        F.lit(" as me\nfrom ... import up\nimport p"), k, F.lit("_lib.sub \\\n    , json\ns = 'import no'\n"),
+    )
+    parts = table(spark, sf_dir, "part")
+    files = parts.select(F.concat(pack(0), F.lit("/m"), k, F.lit(".py")).alias("path"), text.alias("text"))
+    packages = parts.select(F.concat(pack(0), F.lit("/__init__.py")).alias("path"), F.lit("").alias("text")).distinct()
+    return python_imports.resolved(files.union(packages))
