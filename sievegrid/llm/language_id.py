@@ -17,8 +17,8 @@ limited to TEXT_WORTH trigrams. A row whose best guess is the unknown language,
 that has no letters, is rejected: predicted is "und". Where two languages score
 alike the one that is first by its code counts.
 
-Null texts count as empty and are rejected. A null declared language or host is
-no evidence. Repeated rows count each. An empty table gives an empty result.
+Null texts count as empty and are rejected. A null declared language is no
+evidence. Rows of a null host share one host, the empty name, with its own prior. Repeated rows count each. An empty table gives an empty result.
 Other columns, whatever their names, pass through ``accepted`` and are left out
 elsewhere.
 """

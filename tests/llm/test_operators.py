@@ -313,13 +313,15 @@ def test_quality_rules_bounds_are_those_of_exact_quantiles(spark):
             if i % 9 == 0:
                 text += "\n" + "\n".join(["one line that is there again"] * rng.choice([1, 2, 3]))
             rows.append((len(rows), text, "en" if i % 4 else None, source, "clash"))
-    bounds = naive_bounds([naive_measure(r[1]) for r in rows], [(r[2], r[3]) for r in rows])[2]
-    for (name, lang, source), (most, of_language) in bounds.items():
-        if (name, lang, source) == ("symbol_ratio", "en", "b"):  # a text between the bound of its pair and that of its language
-            share = (most + of_language) / 2
-            words = ["".join(rng.choice("abcdefgh") for _ in range(3)) for _ in range(100)]
-            words[0] += "#" * round(300 * share / (1 - share))
-            rows.append((len(rows), " ".join(words), lang, source, "clash"))
+    between = None  # a text between the bound of its pair and that of its language, which it moves itself
+    for _ in range(9):
+        tried = [*rows, *([between] if between else [])]
+        bounds = naive_bounds([naive_measure(r[1]) for r in tried], [(r[2], r[3]) for r in tried])[2]
+        (_, lang, source), (most, of_language) = max(((k, v) for k, v in bounds.items() if k[0] == "symbol_ratio"), key=lambda x: abs(x[1][0] - x[1][1]))
+        words = ["".join(rng.choice("abcdefgh") for _ in range(3)) for _ in range(3000)]
+        words[0] += "#" * round(9000 * (most + of_language) / 2)
+        between = (len(rows), " ".join(words), lang, source, "clash")
+    rows.append(between)
     rows += [(1000, "w" * 30 + " word" * 200, "en", "a", ""), (1001, None, None, None, None), (1002, "", "xx", "a", "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n string")
     measures, pairs = [naive_measure(r[1] or "") for r in rows], [(r[2], r[3]) for r in rows]
