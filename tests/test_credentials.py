@@ -97,6 +97,8 @@ def test_history(spark):
     assert added == {(11, "new"), (12, f"t = '{GITHUB}'"), (40, "a"), (41, OPENAI)}
     found = {(r.type, r.commit, r.line) for r in cred.history_credentials(patches).collect()}
     assert found == {("github-token", "c1", 12), ("openai-api-key", "c1", 41)}
+    dated = patches.withColumn("day", F.when(F.col("commit") == "c2", 1).otherwise(2))
+    assert {(r.type, r.commit, r.line) for r in cred.history_credentials(dated, "day").collect()} == {("github-token", "c2", 1), ("openai-api-key", "c1", 41)}
 
 
 def test_runs_that_fill_a_value(spark):
