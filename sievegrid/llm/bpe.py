@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+import string
+import struct
+from operator import attrgetter
 
 import regex
 from tokenizers import Tokenizer
@@ -20,7 +23,7 @@ _LOADED: dict[str, PreTokens] = {}
 
 def packed(ids: list[int]) -> bytes:
     """Ids as unsigned little-endian 32-bit numbers."""
-    return b"".join(i.to_bytes(4, "little") for i in ids)
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -31,6 +34,12 @@ def _byte_letters() -> dict[int, str]:
 
 
 _LETTERS = _byte_letters()
+_ID = attrgetter("id")
+
+
+def _shown(text: str) -> str:
+    """A text as the vocabulary writes it; ASCII letters are written as themselves."""
+    return text.encode("utf-8", "surrogatepass").decode("latin-1").translate(_LETTERS)
 
 
 class _Spaces(Exception):
@@ -55,8 +64,10 @@ class _Cache(dict):
 class PreTokens:
     """Splits texts into pre-tokens and encodes each distinct one once.
 
-    Words between single spaces are looked up whole first. Both caches are bounded
-    in bytes, and live on in the worker from task to task.
+    Words between single spaces are looked up whole first. Most of those that aren't
+    held are letters and then marks: they are split without the pattern, and their
+    letters are held once, whatever marks follow. Both caches are bounded in bytes,
+    and live on in the worker from task to task.
     """
 
     def __init__(self, path: str) -> None:
@@ -64,10 +75,12 @@ class PreTokens:
         self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
         model = self.library.model
 
+        def encoded(shown: str) -> bytes:
+            return packed([*map(_ID, model.tokenize(shown))])
+
         class Cache(_Cache):
             def __missing__(self, pre: str) -> bytes:
-                letters = pre.encode("utf-8", "surrogatepass").decode("latin-1").translate(_LETTERS)
-                return self.keep(pre, packed([x.id for x in model.tokenize(letters)]))
+                return self.keep(pre, encoded(_shown(pre)))
 
         cache = self.cache = Cache()
 
@@ -78,8 +91,15 @@ class PreTokens:
             """
 
             def __missing__(self, word: str) -> bytes:
+                if word.isalpha():
+                    return self.keep(word, encoded(_LETTERS[32] + word if word.isascii() else _shown(" " + word)))
                 if not word or word[0].isspace() or word[-1].isspace():
                     raise _Spaces
+                letters = word.rstrip(string.punctuation)
+                if letters.isalpha():
+                    known = letters in self  # words that are met once are held once
+                    ids = self[letters] + cache[word[len(letters) :]]
+                    return self.keep(word, ids) if known else ids
                 return self.keep(word, b"".join(map(cache.__getitem__, _SPLIT.findall(" " + word))))
 
         self.words = Words()
