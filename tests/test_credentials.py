@@ -132,3 +132,24 @@ def test_scrubbing_of_nested_values(spark):
     rows = spark.createDataFrame([((token, [{"apiKey": "v", "note": token}], ("p", [1]), 7),)], "v struct<text:string, list:array<map<string,string>>, secret:struct<a:string,b:array<int>>, tokenCount:int>")
     got = rows.select(scrub.scrub_deep(F.col("v"), rows.schema["v"].dataType).alias("v")).first()["v"].asDict(recursive=True)
     assert got == {"text": "[REDACTED]", "list": [{"apiKey": "[REDACTED]", "note": "[REDACTED]"}], "secret": None, "tokenCount": 7}
+
+
+def test_fills_by_chance_in_hexadecimal_tokens(spark):
+    real = ["AK" + "IA" + "21741A2B3C4A5B6C", "S" + "K" + "9f3c000000a81e7740bd5526cc19e3f2", "xox" + "b-" + "0000000" + "f1e2d3c4b5a69788796a5b4c3d2e1"]
+    made = ["sk" + "_live_" + "0" * 12 + "f1e2d3c4b5a6", "ghp" + "_" + "000000" + "G" + word(29), "ghp" + "_" + "abc" * 12, "AK" + "IA" + "ABCABCABC1234567"]
+    rows = cred.credentials(files(spark, a="\n".join(real + made)), "path", "text").collect()
+    assert {(r.line, r.type) for r in rows} == {(1, "aws-access-key"), (2, "twilio-api-key"), (3, "slack-token")}
+
+
+def keyed(spark, tmp_path, keys):
+    """A folder with parts of these keys, each there as often as it is named."""
+    spark.createDataFrame([(k,) for k in keys], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    return str(tmp_path)
+
+
+def test_masked_lines_of_odd_hashes(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    # letters of the hash are "abcabc"; six zeros; a key that is there twice
+    rows = entry.queries()["credential_lines_masked"](spark, keyed(spark, tmp_path, [709997, 8826286, 14, 14])).collect()
+    assert sorted((r.p_partkey, r.content.split("…")[0]) for r in rows) == [(14, "token: ghp" + "_"), (14, "token: ghp" + "_"), (709997, "id = AK" + "IA"), (8826286, "token: ghp" + "_")]
