@@ -153,3 +153,11 @@ def test_masked_lines_of_odd_hashes(spark, tmp_path):
     # letters of the hash are "abcabc"; six zeros; a key that is there twice
     rows = entry.queries()["credential_lines_masked"](spark, keyed(spark, tmp_path, [709997, 8826286, 14, 14])).collect()
     assert sorted((r.p_partkey, r.content.split("…")[0]) for r in rows) == [(14, "token: ghp" + "_"), (14, "token: ghp" + "_"), (709997, "id = AK" + "IA"), (8826286, "token: ghp" + "_")]
+
+
+def test_types_of_odd_hashes(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    # a decoy's sixteen digits without a letter; a key's; six zeros; a key that is there twice
+    rows = entry.queries()["credential_types"](spark, keyed(spark, tmp_path, [53240, 709997, 614369, 14, 14])).collect()
+    assert sorted((r.p_partkey, r.type) for r in rows) == [(14, "github-token"), (14, "github-token"), (614369, "twilio-api-key"), (709997, "aws-access-key")]
