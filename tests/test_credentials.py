@@ -161,3 +161,20 @@ def test_types_of_odd_hashes(spark, tmp_path):
     # a decoy's sixteen digits without a letter; a key's; six zeros; a key that is there twice
     rows = entry.queries()["credential_types"](spark, keyed(spark, tmp_path, [53240, 709997, 614369, 14, 14])).collect()
     assert sorted((r.p_partkey, r.type) for r in rows) == [(14, "github-token"), (14, "github-token"), (614369, "twilio-api-key"), (709997, "aws-access-key")]
+
+
+def test_assignments_in_a_row_and_quoted_ones_alone(spark):
+    value = hashlib.sha256(b"x").hexdigest()[:40]
+    texts = {"chain": f"note: password = \"{value}\"", "sign": f"a=secret = '{value}'", "bare": f"password={value}", "quoted": f"TOKEN = \"{value}\"", "within": f"a = \"password={value}\"", "long": "a=" + "b" * 300_000}
+    found = lambda **more: {r.path for r in cred.credentials(files(spark, **texts), "path", "text", **more).collect()}
+    assert found() == {"chain", "sign", "bare", "quoted"}
+    assert found(bare_too=False) == {"chain", "sign"}
+
+
+def test_generic_secrets_of_documents(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    value = hashlib.sha256(b"x").hexdigest()[:40]
+    texts = [f"password={value}", f"TOKEN = \"{value.upper()}\"", f"Note: token = \"{value}\" etc", f"étoken = \"{value}\"", f"token = \"{value[:30]}\"", f"token = \"{value}\""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r.doc_id for r in entry.queries()["generic_secrets"](spark, str(tmp_path)).collect()) == [2, 3, 5]
