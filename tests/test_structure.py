@@ -81,3 +81,12 @@ def test_workflows_of_other_shapes(spark):
     files = spark.createDataFrame([(f"r/.github/workflows/{k}.yaml", t) for k, t in texts.items()], "path string, text string")
     got = {(r.path.split("/")[-1][:-5], r.line, r.rule.removeprefix("config/gha-")) for r in config_rules.workflow_issues(files).collect()}
     assert {g for g in got if g[0] not in ("broken", "huge")} == {("own", 6, "pull-request-target-checkout"), ("own", 1, "excessive-permissions"), ("other", 1, "excessive-permissions")}
+
+
+def test_functions_of_scripts_move_no_tokens(spark):
+    files = spark.createDataFrame([(k, t) for k, (t, _) in SCRIPTS.items()], "path string, text string")
+    made = function_metrics.script_functions(files, "path", "text")
+    plan = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "Union" not in plan  # the texts alone are dealt out
+    first = spark.createDataFrame([("x", "x => x + 1;"), ("y", "(a) => { if (a) b(); }")], "path string, text string")
+    assert {(r.path, r.nesting, r.branches) for r in function_metrics.script_functions(first, "path", "text").collect() if r.name} == {("x", 0, 0), ("y", 1, 1)}
