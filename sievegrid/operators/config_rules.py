@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievegrid.functions import yaml_tree
-from sievegrid.sources.scratch import materialize
 
 _SECRET_NAME = r"(?i)(secret|token|passw(?:or)?d|api_?key|private_?key|credential)"
 
@@ -81,17 +80,40 @@ UNTRUSTED = (
 )
 
 
+#: Fixed value: depth of the deepest node that a rule looks at: an entry of a step's ``with``.
+DEEPEST = 6
+
+
 def yaml_nodes(files: DataFrame) -> DataFrame:
-    """path, id, parent, key, at, value, line and value_line of each node of YAML files (path, text), as ``functions.yaml_tree`` reads them."""
-    schema = "path string, id int, parent int, key string, at int, value string, line int, value_line int"
-    kinds = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32()]
+    """path, id, parent, key, at, value, line and value_line of each node of YAML files (path, text), as ``functions.yaml_tree`` reads them.
+
+    trail has the keys from the root down to the node (null for an item), above the ids of these nodes; both are null below ``DEEPEST``.
+    """
+    schema = "path string, id int, parent int, key string, at int, value string, line int, value_line int, trail array<string>, above array<int>"
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32())]
+
+    def placed(rows: list[list]) -> list[list]:
+        ways: dict[int, tuple[list, list]] = {0: ([], [])}
+        for row in rows:
+            way = ways.get(row[1])
+            if way and len(way[0]) < DEEPEST:
+                ways[row[0]] = ([*way[0], row[2]], [*way[1], row[0]])
+            row += ways.get(row[0], (None, None))
+        return rows
+
+    def batch_of(rows: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], names=[part.split()[0] for part in schema.split(", ")])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = []
         for batch in batches:
             for path, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows = list(yaml_tree.nodes(text or ""))
-                columns = [[path] * len(rows), *([r[c] for r in rows] for c in range(7))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[part.split()[0] for part in schema.split(", ")])
+                held += ([path, *row] for row in placed(list(yaml_tree.nodes(text or ""))))
+                if len(held) >= 8192:
+                    yield batch_of(held)
+                    held = []
+        if held:
+            yield batch_of(held)
 
     return files.select(F.col("path").cast("string"), F.col("text").cast("string")).mapInArrow(run, schema)
 
@@ -102,39 +124,53 @@ def workflow_issues(files: DataFrame) -> DataFrame:
     Actions of others that aren't pinned to a commit; values that an outsider's event fills in scripts, a row for each; a checkout step
     whose own ``ref`` is a pull request's head, in a workflow with the target's rights; and permissions to write everything, of a
     workflow or a job, or none stated anywhere with such a trigger. Files of other paths and files that aren't maps give nothing.
-    """
-    n = materialize(yaml_nodes(files.where(F.col("path").rlike(r"(?i)(^|/)\.github/workflows/[^/]+\.ya?ml$"))), "nodes")
-
-    def below(parents: DataFrame, key: str | None = None, items: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
-        """Children of nodes: entries of one key, all entries, or items; with columns of the parent."""
-        fits = F.col("key") == key if key else F.col("at").isNotNull() if items else F.col("key").isNotNull()
-        p = parents.select(F.col("path").alias("_sg_p"), F.col("id").alias("_sg_i"), *keep)
-        return n.where(fits).join(p, (F.col("path") == F.col("_sg_p")) & (F.col("parent") == F.col("_sg_i"))).drop("_sg_p", "_sg_i")
-
-    roots = n.where("parent = 0")
-    on = roots.where("key = 'on'")
-    names = on.select("path", F.col("value").alias("name")).union(below(on).select("path", "key")).union(below(on, items=True).select("path", "value"))
-    target = names.where("name = 'pull_request_target'").select("path").distinct()
-    jobs = below(roots.where("key = 'jobs'"))
-    steps = below(below(jobs, "steps"), items=True).withColumn("step", F.col("line"))
-    uses = below(steps, "uses", keep=("step",)).where(F.col("value").isNotNull())
-    named = lambda rule: F.lit(f"config/gha-{rule}").alias("rule")
 
+    A node's trail tells what it is, so nodes that no rule asks for are dropped where they are read; the others are dealt out by path
+    once, and what a rule asks of a step or a file is told by windows over them.
+    """
+    # a small table makes many texts: they are dealt out before they are read
+    n = yaml_nodes(files.where(F.col("path").rlike(r"(?i)(^|/)\.github/workflows/[^/]+\.ya?ml$")).repartition("path"))
+    key = lambda i: F.get("trail", F.lit(i))
+    deep = F.size("trail")
+    item = key(3).isNull() & F.coalesce((key(0) == "jobs") & key(1).isNotNull() & (key(2) == "steps"), F.lit(False))
+    kind = (
+        F.when((key(0) == "on") & (deep == 1), "trigger").when((key(0) == "on") & (deep == 2), "trigger").when((deep == 1) & (key(0) == "permissions"), "stated")
+        .when((deep == 3) & (key(0) == "jobs") & key(1).isNotNull() & (key(2) == "permissions"), "stated").when(item & (deep == 4), "step").when(item & (deep == 5) & (key(4) == "uses") & F.col("value").isNotNull(), "uses")
+        .when(item & (deep == 5) & (key(4) == "run"), "run").when(item & (deep == 6) & (key(4) == "with") & (key(5) == "ref"), "ref")
+    )
+    # a trigger is the value of `on` or of an item of it, or a key of it
+    name = F.when((F.col("trail")[0] == "on") & (deep == 2) & key(1).isNotNull(), key(1)).otherwise(F.col("value"))
+    of_pull = F.contains("value", F.lit("github.event.pull_request.head")) | F.contains("value", F.lit("github.head_ref"))
+    found = n.select("path", "line", "value_line", kind.alias("kind"), F.get("above", F.lit(3)).alias("step"), name.alias("value"))
+    found = found.where(F.col("kind").isin("uses", "run", "stated", "step") | ((F.col("kind") == "trigger") & (F.col("value") == "pull_request_target")) | ((F.col("kind") == "ref") & of_pull))
+    # scripts go as lines and values that an outsider's event fills
+    lines = F.transform(F.split("value", "\n", -1), lambda x, i: F.struct((F.col("value_line") + i).alias("line"), F.regexp_extract_all(x, F.lit(r"\$\{\{([^}]{0,500})\}\}"), F.lit(1)).alias("values")))
+
+    def untrusted(v: Column) -> Column:
+        has = lambda x: F.contains(v, F.lit(x))
+        return F.coalesce(*(F.when(has(x), True) for x in UNTRUSTED), F.when(has("github.event.commits.") & has(".message"), True), F.when(has("github.event.pages.") & has(".page_name"), True), F.lit(False))
+
+    injected = F.flatten(F.transform(lines, lambda x: F.transform(F.filter(x["values"], untrusted), lambda _: x["line"])))
+    none = F.array().cast("array<int>")
     spec, ref = F.regexp_extract("value", r"^(.*?)(?:@([^@]*))?$", 1), F.regexp_extract("value", r"^(.*?)(?:@([^@]*))?$", 2)
     own = F.col("value").rlike(r"^(\./|\.\\|docker://)") | F.split(spec, "/")[0].isin("actions", "github")
-    loose = uses.where(~own & ~ref.rlike("^[0-9a-fA-F]{40}$")).select("path", "line", named("unpinned-action")).distinct()
-
-    checkout = uses.where(F.col("value").rlike(r"^actions/checkout(@|$)")).select("path", F.col("parent").alias("of"), "step")
-    refs = below(below(steps, "with").withColumn("of", F.col("parent")), "ref", keep=("of",)).where(F.contains("value", F.lit("github.event.pull_request.head")) | F.contains("value", F.lit("github.head_ref")))
-    head = refs.select("path", "of").distinct().join(checkout, ["path", "of"]).join(target, "path").select("path", F.col("step").alias("line"), named("pull-request-target-checkout"))
-
-    scripts = below(steps, "run").select("path", "value_line", F.posexplode(F.split("value", "\n", -1)).alias("off", "content"))
-    values = scripts.select("path", (F.col("value_line") + F.col("off")).alias("line"), F.explode(F.regexp_extract_all("content", F.lit(r"\$\{\{([^}]{0,500})\}\}"), F.lit(1))).alias("v"))
-    has = lambda x: F.contains("v", F.lit(x))
-    untrusted = F.coalesce(*(F.when(has(x), True) for x in UNTRUSTED), F.when(has("github.event.commits.") & has(".message"), True), F.when(has("github.event.pages.") & has(".page_name"), True), F.lit(False))
-    injected = values.where(untrusted).select("path", "line", named("script-injection"))
-
-    stated = roots.where("key = 'permissions'").unionByName(below(jobs, "permissions"))
-    broad = stated.where("value = 'write-all'").select("path", "line", named("excessive-permissions"))
-    silent = target.join(stated.select("path").distinct(), "path", "left_anti").select("path", F.lit(1).alias("line"), named("excessive-permissions"))
-    return loose.union(head).union(injected).union(broad).union(silent)
+    is_ = lambda k: F.col("kind") == k
+    told = found.select(
+        "path", "line", "kind", "step", F.coalesce(F.when(is_("run"), injected), none).alias("injected"), F.coalesce(is_("uses") & ~own & ~ref.rlike("^[0-9a-fA-F]{40}$"), F.lit(False)).alias("loose"),
+        F.coalesce(is_("uses") & F.col("value").rlike(r"^actions/checkout(@|$)"), F.lit(False)).alias("checkout"), F.coalesce(is_("stated") & (F.col("value") == "write-all"), F.lit(False)).alias("broad"),
+    ).where(~is_("run") | (F.size("injected") > 0)).repartition("path")
+
+    file, step = Window.partitionBy("path"), Window.partitionBy("path", "step")
+    first = F.row_number().over(Window.partitionBy("path", "kind").orderBy("line")) == 1
+    any_ = lambda c, w: F.coalesce(F.max(c).over(w), F.lit(False))
+    seen = told.withColumns({
+        "target": any_(is_("trigger"), file), "states": any_(is_("stated"), file), "pulls": any_(is_("ref"), step), "step_line": F.max(F.when(is_("step"), F.col("line"))).over(step), "first": first,
+        "alone": F.row_number().over(Window.partitionBy("path", "line", "loose").orderBy("step")) == 1,
+    })
+    issue = lambda when, line, rule: F.when(when, F.struct(line.alias("line"), F.lit(f"config/gha-{rule}").alias("rule")))
+    issues = F.array_compact(F.array(
+        issue(F.col("loose") & F.col("alone"), F.col("line"), "unpinned-action"), issue(F.col("checkout") & F.col("pulls") & F.col("target"), F.col("step_line"), "pull-request-target-checkout"),
+        issue(F.col("broad"), F.col("line"), "excessive-permissions"), issue(is_("trigger") & F.col("first") & ~F.col("states"), F.lit(1), "excessive-permissions"),
+    ))
+    scripts = F.transform("injected", lambda x: F.struct(x.alias("line"), F.lit("config/gha-script-injection").alias("rule")))
+    return seen.select("path", F.explode(F.concat(issues, scripts)).alias("i")).select("path", "i.line", "i.rule")

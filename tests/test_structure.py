@@ -90,3 +90,12 @@ def test_functions_of_scripts_move_no_tokens(spark):
     assert plan.count("Exchange") == 1 and "Join" not in plan and "Union" not in plan  # the texts alone are dealt out
     first = spark.createDataFrame([("x", "x => x + 1;"), ("y", "(a) => { if (a) b(); }")], "path string, text string")
     assert {(r.path, r.nesting, r.branches) for r in function_metrics.script_functions(first, "path", "text").collect() if r.name} == {("x", 0, 0), ("y", 1, 1)}
+
+
+def test_workflow_rules_broadcast_and_join_nothing(spark):
+    text = "on:\n  pull_request_target:\njobs:\n  a:\n    permissions: write-all\n    steps:\n      - uses: actions/checkout@v4\n        with:\n          ref: ${{ github.head_ref }}\n      - uses: x/y@v1\n      - run: |\n          echo ${{ github.head_ref }} ${{ github.head_ref }}\n"
+    files = spark.createDataFrame([("r/.github/workflows/a.yml", text), ("r/a.yml", text)], "path string, text string")
+    made = config_rules.workflow_issues(files)
+    plan = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "Join" not in plan and "Broadcast" not in plan and plan.count("Exchange") == 2  # texts, and the nodes that rules ask for
+    assert sorted((r.line, r.rule.removeprefix("config/gha-")) for r in made.collect()) == [(5, "excessive-permissions"), (7, "pull-request-target-checkout"), (10, "unpinned-action"), (12, "script-injection"), (12, "script-injection")]
