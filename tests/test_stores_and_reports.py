@@ -141,3 +141,15 @@ def test_hunted_files_and_steps(spark):
     assert step.title == "Upgrade p 1.0.0 → 2.0.0" and step.effort == "hours" and step.detail == "Run `npm install p@2.0.0`. Resolves 2 advisories; may include breaking changes, so run your tests."
     counts = reports.zero_filled(spark.createDataFrame([("s", "high"), ("s", "high")], "scan string, severity string"), "scan", "severity", ("high", "low")).collect()
     assert {(r.severity, r.n) for r in counts} == {("high", 2), ("low", 0)}
+
+
+def test_likeness_within_bounds(spark):
+    import random
+
+    rng = random.Random(2)
+    text = lambda: " ".join(rng.choice(["ab", "abc", "b", "f(x)", "é"]) for _ in range(rng.randrange(0, 9)))
+    pairs = [(a := text(), rng.choice([text(), a, a[:-1] + "z", " ".join(reversed(a.split(" ")))])) for _ in range(300)]
+    a, b = F.col("a"), F.col("b")
+    got = verification._likeness(a, b, verification._words(a), 0.8, F.lit(False))
+    rows = spark.createDataFrame(pairs, "a string, b string").select(verification.similarity(a, b).alias("want"), got.alias("got")).collect()
+    assert all(r.got == r.want if r.want >= 0.8 else r.got < 0.8 for r in rows) and sum(r.want >= 0.8 for r in rows) > 50
